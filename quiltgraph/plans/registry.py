@@ -1,0 +1,20 @@
+"""Named queries, each with the SQL that an independent engine runs on the same tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(function):
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLE[name] = sql
+        return function
+
+    return register
