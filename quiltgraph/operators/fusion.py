@@ -98,34 +98,45 @@ def final_relations(relations: DataFrame, entities: DataFrame, fused: bool = Tru
     return _with_ids(known_endpoints(merged, entities, ["doc_id"]))
 
 
-def entity_contexts(mentions: DataFrame, relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Descriptions, then lines where the entity is the source, then the target, per entity."""
-    described = mentions.filter(strip(F.col("description")) != "").select(
-        "doc_id", "name", F.lit(0).alias("kind"), seen_at().alias("at"), F.col("description").alias("line")
+def entity_contexts(mentions: DataFrame, relations: DataFrame) -> DataFrame:
+    """Fused entities with their texts: descriptions, then lines where the entity is the source, then the target.
+
+    Votes and texts come from one aggregation, so the result equals
+    ``fuse_entities`` plus ``descriptions``, ``relation_lines`` and ``context``.
+    """
+    line = F.when(strip(F.col("description")) != "", F.col("description")).alias("line")
+    described = mentions.select(
+        "doc_id", "name", F.lit(0).alias("kind"), seen_at().alias("at"), line, F.col("is_named_entity").cast("int").alias("vote")
     )
     ordered = F.array_sort(F.collect_list(F.struct(seen_at().alias("at"), "description")))
     edges = relations.filter(F.col("description") != "").groupBy("doc_id", "source", "target").agg(
         F.min(seen_at()).alias("at"), F.array_join(F.transform(ordered, lambda x: x["description"]), " | ").alias("text")
     )
-    line = F.concat("source", F.lit(" -> "), "target", F.lit(": "), "text").alias("line")
+    told = F.concat("source", F.lit(" -> "), "target", F.lit(": "), "text").alias("line")
     ends = F.explode(F.array(F.struct(F.col("source").alias("name"), F.lit(1).alias("kind")),
                              F.struct(F.col("target").alias("name"), F.lit(2).alias("kind")))).alias("end")
-    related = edges.select("doc_id", "at", line, ends).select("doc_id", "end.name", "end.kind", "at", "line")
-    parts = described.unionByName(related).groupBy("doc_id", "name").agg(
-        F.array_sort(F.collect_list(F.struct("kind", "at", "line"))).alias("_p")
+    related = edges.select("doc_id", "at", told, ends).select(
+        "doc_id", "end.name", "end.kind", "at", "line", F.lit(None).cast("int").alias("vote")
+    )
+    groups = described.unionByName(related).groupBy("doc_id", "name").agg(
+        F.max("vote").alias("_any"), F.min("vote").alias("_all"), F.count("vote").alias("n_mentions"),
+        F.min(F.when(F.col("vote").isNotNull(), F.col("at"))).alias("first_seen"),
+        F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("kind", "at", "line")))).alias("_p"),
     )
 
     def text(keep):
         return F.array_join(F.transform(F.filter("_p", keep), lambda x: x["line"]), "\n")
 
-    texts = parts.select(
-        "doc_id", "name", text(lambda x: x["kind"] == 0).alias("descriptions"), text(lambda x: x["kind"] > 0).alias("relation_lines")
+    kept = groups.filter("_any = 1").select(
+        entity_id().alias("entity_id"), "doc_id", "name", F.lit(ENTITY_TYPE).alias("type"),
+        (F.col("_all") == 1).alias("is_named_entity"), "n_mentions", "first_seen",
+        text(lambda x: x["kind"] == 0).alias("descriptions"), text(lambda x: x["kind"] > 0).alias("relation_lines"),
     )
     combined = F.concat(
         "descriptions",
         F.when(F.col("relation_lines") != "", F.concat(F.lit(f"\n\n{RELATION_HEADING}\n"), "relation_lines")).otherwise(""),
     )
-    return entities.join(texts, ["doc_id", "name"], "left").withColumn("context", strip(combined))
+    return kept.withColumn("context", strip(combined))
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.config import Settings
-from quiltgraph.functions.sizes import cut_lineage
+from quiltgraph.functions.sizes import cut_lineage, safe_unions
 from quiltgraph.models.clients import Embedder, HashingEmbedder, embed
 from quiltgraph.operators.evidence import Knowledge, assist_evidence, gather, main_evidence, route
 from quiltgraph.operators.reasoning import RuleReasoner
@@ -45,6 +45,7 @@ def answer(
     routed documents of all turns.
     """
     embedder = embedder or HashingEmbedder()
+    safe_unions(questions)
     doc_list = F.array().cast(f"array<{know.documents.schema['doc_id'].dataType.simpleString()}>")
     open_rows = questions.select(
         "question_id", F.col("question").alias("original"), "question", F.lit("").alias("history"),

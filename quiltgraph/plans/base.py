@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiltgraph.functions.sizes import cut_lineage
 from quiltgraph.functions.text import WS
 from quiltgraph.models.clients import HashingEmbedder, embed
 from quiltgraph.operators.chunking import chunk_documents
@@ -40,17 +41,23 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     return fuse_entities(mentions(spark, d))
 
 
+def extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Mentions and relations written out once, for queries that read them several times."""
+    return cut_lineage(mentions(spark, d)), cut_lineage(relations(spark, d))
+
+
 def summarized(spark: SparkSession, d: str) -> DataFrame:
-    contexts = entity_contexts(mentions(spark, d), relations(spark, d), entities(spark, d))
-    return summarize_entities(contexts)
+    return summarize_entities(entity_contexts(mentions(spark, d), relations(spark, d)))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return sourced_from(mentions(spark, d), entities(spark, d))
+    m = mentions(spark, d)
+    return sourced_from(m, fuse_entities(m))
 
 
 def summaries(spark: SparkSession, d: str) -> DataFrame:
-    return document_summaries(documents(spark, d), chunks(spark, d), mentions(spark, d), summarized(spark, d))
+    m, r = extracted(spark, d)
+    return document_summaries(documents(spark, d), chunks(spark, d), m, summarize_entities(entity_contexts(m, r)))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -63,13 +70,15 @@ def embedded_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knowledge(spark: SparkSession, d: str) -> Knowledge:
-    kept = entities(spark, d)
+    m, r = extracted(spark, d)
+    told = cut_lineage(summarize_entities(entity_contexts(m, r)))
+    text = chunks(spark, d)
     return Knowledge(
-        documents=summaries(spark, d).withColumn("vector", embed(F.col("summary"), EMBEDDER)),
-        chunks=chunks(spark, d).withColumn("vector", embed(F.col("content"), EMBEDDER)),
-        entities=summarized(spark, d).withColumn("vector", embed(F.col("summary"), EMBEDDER)),
-        sourced_from=edges(spark, d),
-        same_as=fast_links(kept),
+        documents=document_summaries(documents(spark, d), text, m, told).withColumn("vector", embed(F.col("summary"), EMBEDDER)),
+        chunks=text.withColumn("vector", embed(F.col("content"), EMBEDDER)),
+        entities=told.withColumn("vector", embed(F.col("summary"), EMBEDDER)),
+        sourced_from=sourced_from(m, told),
+        same_as=fast_links(told),
     )
 
 
@@ -123,7 +132,7 @@ hits AS (SELECT * FROM chunk_pos WHERE regexp_matches(t[p], '^[A-Z][a-z]{3,}$'))
 mentions AS (
   SELECT doc_id, chunk_id, chunk_order_index, (p - 1)::INT AS position, lower(t[p]) AS name,
     trim(array_to_string(t[p:p+2], ' ')) AS description, p > 1 AS is_named_entity,
-    chunk_order_index::BIGINT * 4294967296 + p - 1 AS at
+    chunk_order_index::BIGINT * 4294967296 + p - 1 AS seen
   FROM hits)
 """
 
@@ -134,28 +143,28 @@ hit_pairs AS (
 relations AS (
   SELECT doc_id, chunk_id, chunk_order_index, rn::INT AS position, lower(t[p]) AS source, lower(nname) AS target,
     array_to_string(t[p:np], ' ') AS description, (1 + (length(t[p]) + length(nname)) % 10)::DOUBLE AS strength,
-    [lower(t[p][1:4]), lower(nname[1:4])] AS keywords, chunk_order_index::BIGINT * 4294967296 + rn AS at
+    [lower(t[p][1:4]), lower(nname[1:4])] AS keywords, chunk_order_index::BIGINT * 4294967296 + rn AS seen
   FROM hit_pairs WHERE np IS NOT NULL)
 """
 
 SQL_ENTITIES = """
 entities AS (
   SELECT doc_id || '_' || name AS entity_id, doc_id, name, bool_and(is_named_entity) AS is_named_entity,
-    count(*) AS n_mentions, min(at) AS first_seen
+    count(*) AS n_mentions, min(seen) AS first_seen
   FROM mentions GROUP BY doc_id, name HAVING bool_or(is_named_entity))
 """
 
 SQL_CONTEXTS = f"""
 edge_text AS (
-  SELECT doc_id, source, target, min(at) AS at, string_agg(description, ' | ' ORDER BY at) AS text
+  SELECT doc_id, source, target, min(seen) AS seen, string_agg(description, ' | ' ORDER BY seen) AS text
   FROM relations GROUP BY doc_id, source, target),
 context_lines AS (
-  SELECT doc_id, name, 0 AS kind, at, description AS line FROM mentions
-  UNION ALL SELECT doc_id, source, 1, at, source || ' -> ' || target || ': ' || text FROM edge_text
-  UNION ALL SELECT doc_id, target, 2, at, source || ' -> ' || target || ': ' || text FROM edge_text),
+  SELECT doc_id, name, 0 AS kind, seen, description AS line FROM mentions
+  UNION ALL SELECT doc_id, source, 1, seen, source || ' -> ' || target || ': ' || text FROM edge_text
+  UNION ALL SELECT doc_id, target, 2, seen, source || ' -> ' || target || ': ' || text FROM edge_text),
 contexts AS (
-  SELECT doc_id, name, string_agg(line, chr(10) ORDER BY at) FILTER (kind = 0) AS d,
-    string_agg(line, chr(10) ORDER BY kind, at) FILTER (kind > 0) AS r
+  SELECT doc_id, name, string_agg(line, chr(10) ORDER BY seen) FILTER (kind = 0) AS d,
+    string_agg(line, chr(10) ORDER BY kind, seen) FILTER (kind > 0) AS r
   FROM context_lines GROUP BY doc_id, name),
 context_text AS (
   SELECT e.*, c.d || coalesce(chr(10) || chr(10) || '关系:' || chr(10) || c.r, '') AS context

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.config import Settings
+from quiltgraph.functions.sizes import cut_lineage, safe_unions
 from quiltgraph.models.clients import Embedder, HashingEmbedder, embed
 from quiltgraph.operators.chunking import chunk_documents
 from quiltgraph.operators.evidence import Knowledge
@@ -39,10 +40,12 @@ def ingest(
 ) -> Ingested:
     """Chunk, extract, fuse, summarise and embed documents (doc_id, text)."""
     embedder = embedder or HashingEmbedder()
-    chunks = chunk_documents(docs, settings)
+    chunks = chunk_documents(safe_unions(docs), settings)
     mentions, relations, failed = extractor.extract(chunks)
+    # Mentions and relations feed several tables; they are far smaller than the text.
+    mentions, relations = cut_lineage(mentions), cut_lineage(relations)
     kept = fuse_entities(mentions)
-    entities = summarize_entities(entity_contexts(mentions, relations, kept), summarizer, settings)
+    entities = cut_lineage(summarize_entities(entity_contexts(mentions, relations), summarizer, settings))
     documents = document_summaries(docs, chunks, mentions, entities, summarizer, settings)
     return Ingested(
         documents.withColumn("vector", embed(F.col("summary"), embedder)),

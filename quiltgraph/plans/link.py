@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.config import Settings
+from quiltgraph.functions.sizes import safe_unions
 from quiltgraph.operators.linking import RuleScorer, accepted_links, fast_links, link_entities
 
 
@@ -16,6 +17,7 @@ def link(
 
     ``vectors`` defaults to the ``vector`` column of the entities.
     """
+    safe_unions(entities)
     if fast:
         return fast_links(entities, settings), None
     if vectors is None:

@@ -2,9 +2,11 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quiltgraph.functions.sizes import safe_unions
+
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    return safe_unions(spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet"))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
