@@ -13,8 +13,22 @@ FENCE_ON_LINES = r"(?sU)```(?:json)?\s*\n(\{.*?\}|\[.*?\])\n\s*```"
 BRACES = r"(?s)\{.*\}"
 
 
+END_MARK = "~end~"
+
+
+def is_json(c: Column) -> Column:
+    """True for exactly one JSON value.
+
+    Spark's parser stops after the first value and ignores what follows, so the
+    text is read as the first element of an array that must go on to its mark.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{END_MARK}"]')))
+    marked = F.try_variant_get(wrapped, "$[1]", "string") == END_MARK
+    return F.coalesce(marked & F.try_variant_get(wrapped, "$[2]", "variant").isNull(), F.lit(False))
+
+
 def _valid(c: Column) -> Column:
-    return F.when(F.try_parse_json(c).isNotNull(), c)
+    return F.when(is_json(c), c)
 
 
 def strict_json(reply: Column) -> Column:
