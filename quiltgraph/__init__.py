@@ -5,8 +5,15 @@ The four public verbs are ``ingest`` (documents to knowledge tables), ``save``
 ``answer`` (questions to answers with evidence).
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from quiltgraph.config import Settings
 
+# Functions sent to executors travel by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["Settings", "ingest", "save", "link", "answer"]
 
 
