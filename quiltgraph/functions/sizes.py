@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,14 +50,20 @@ def join_lookup(
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the cluster's checkpoint folder and continue from the files."""
-    spark = df.sparkSession
+    """Write the rows as a table in the cluster's checkpoint folder and continue from it.
+
+    The table survives lost executors, is read column by column, and gives the
+    planner true sizes.
+    """
+    spark = safe_unions(df).sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-            folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+        folder = context.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

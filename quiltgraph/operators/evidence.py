@@ -94,7 +94,9 @@ def expand(selected: DataFrame, questions: DataFrame, know: Knowledge, settings:
     """
     ids = selected.join(know.entities.select("doc_id", "name", "entity_id"), ["doc_id", "name"])
     linked = linked_entities(ids.select("question_id", "doc_id", "entity_id"), know.same_as, know.entities)
-    vectors = know.entities.select(F.col("entity_id").alias("linked_id"), F.col("vector").alias("_ev"))
+    # The semi join comes first, so vectors are read (or made) for linked entities only.
+    needed = know.entities.join(linked.select(F.col("linked_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    vectors = needed.select(F.col("entity_id").alias("linked_id"), F.col("vector").alias("_ev"))
     near = linked.filter(F.coalesce("linked_summary", F.lit("")) != "").join(vectors, "linked_id")
     near = near.join(questions.select("question_id", F.col("vector").alias("_qv")), "question_id")
     scored = near.withColumn("similarity", F.round(cosine(F.col("_qv"), F.col("_ev")), 9)).drop("_ev", "_qv")
@@ -103,7 +105,8 @@ def expand(selected: DataFrame, questions: DataFrame, know: Knowledge, settings:
 
 def best_chunks(targets: DataFrame, questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest chunks to the question inside each target (question_id, doc_id)."""
-    met = chunks.select("chunk_id", "doc_id", "chunk_order_index", "content", F.col("vector").alias("_cv")).join(
+    near = chunks.join(targets.select("doc_id").distinct(), "doc_id", "left_semi")
+    met = near.select("chunk_id", "doc_id", "chunk_order_index", "content", F.col("vector").alias("_cv")).join(
         targets.select("question_id", "doc_id").distinct(), "doc_id"
     )
     met = met.join(questions.select("question_id", F.col("vector").alias("_qv")), "question_id")

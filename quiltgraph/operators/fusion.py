@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quiltgraph.config import Settings
 from quiltgraph.functions import prompts
+from quiltgraph.functions.sizes import cut_lineage
 from quiltgraph.functions.text import sorted_join, strip, truncate_words, word_count
 from quiltgraph.models.clients import TextModel, replies
 from quiltgraph.operators.extract import DEFAULT_STRENGTH, known_endpoints
@@ -39,17 +40,22 @@ def entity_id(doc: str = "doc_id", name: str = "name") -> Column:
     return F.concat_ws("_", F.col(doc).cast("string"), F.col(name))
 
 
-def fuse_entities(mentions: DataFrame) -> DataFrame:
-    """One entity per (document, name): kept when any vote is true, named when all are."""
+def fuse_entities(mentions: DataFrame, with_chunks: bool = False) -> DataFrame:
+    """One entity per (document, name): kept when any vote is true, named when all are.
+
+    ``with_chunks`` adds the sorted ids of the chunks that mention it.
+    """
+    chunks = [F.array_sort(F.collect_set("chunk_id")).alias("source_chunk_ids")] if with_chunks else []
     votes = mentions.groupBy("doc_id", "name").agg(
         F.max(F.col("is_named_entity").cast("int")).alias("_any"),
         F.min(F.col("is_named_entity").cast("int")).alias("_all"),
         F.count("*").alias("n_mentions"),
         F.min(seen_at()).alias("first_seen"),
+        *chunks,
     )
     return votes.filter("_any = 1").select(
         entity_id().alias("entity_id"), "doc_id", "name", F.lit(ENTITY_TYPE).alias("type"),
-        (F.col("_all") == 1).alias("is_named_entity"), "n_mentions", "first_seen",
+        (F.col("_all") == 1).alias("is_named_entity"), "n_mentions", "first_seen", *(["source_chunk_ids"] if with_chunks else []),
     )
 
 
@@ -143,6 +149,8 @@ def entity_contexts(mentions: DataFrame, relations: DataFrame) -> DataFrame:
 class RuleSummarizer:
     """Deterministic summaries: sizes and digests of the text to be summarised."""
 
+    in_spark = True
+
     def entity(self, rows: DataFrame) -> DataFrame:
         words = word_count(F.col("context")).cast("string")
         return rows.withColumn("summary", F.concat(F.lit("Context of "), words, F.lit(" words, digest "), F.md5("context")))
@@ -158,6 +166,7 @@ class ModelSummarizer:
     """Summaries by a text model; a failed call keeps the context, or gives an empty summary."""
 
     model: Callable[[], TextModel]
+    in_spark = False
 
     def entity(self, rows: DataFrame) -> DataFrame:
         relations = F.when(F.col("relation_lines") != "", F.col("relation_lines")).otherwise("none")
@@ -175,16 +184,21 @@ class ModelSummarizer:
 def summarize_entities(contexts: DataFrame, summarizer=RuleSummarizer(), settings: Settings = DEFAULT) -> DataFrame:
     """Short contexts are their own summary; only long ones reach the summarizer.
 
-    The rows are split, not guarded by a condition: a condition does not keep a
-    Python model from running on the other rows.
+    For a model the rows are written out and split: a condition does not keep a
+    Python function from running on the other rows. A summarizer made of Spark
+    expressions needs only the condition.
     """
     first, second, third = ENTITY_WITHOUT_CONTEXT
     nothing = F.concat(F.lit(first), "name", F.lit(second), F.col("doc_id").cast("string"), F.lit(third))
+    own = F.when(F.coalesce("context", F.lit("")) == "", nothing).otherwise(F.col("context"))
     sized = contexts.withColumn("_n", word_count(F.coalesce("context", F.lit(""))))
-    short = sized.filter(F.col("_n") <= settings.short_context_tokens)
-    long = summarizer.entity(sized.filter(F.col("_n") > settings.short_context_tokens))
-    short = short.withColumn("summary", F.when(F.coalesce("context", F.lit("")) == "", nothing).otherwise(F.col("context")))
-    return short.unionByName(long).drop("_n", "context", "descriptions", "relation_lines")
+    short = F.col("_n") <= settings.short_context_tokens
+    if summarizer.in_spark:
+        written = summarizer.entity(sized).withColumn("summary", F.when(short, own).otherwise(F.col("summary")))
+    else:
+        sized = cut_lineage(sized)
+        written = sized.filter(short).withColumn("summary", own).unionByName(summarizer.entity(sized.filter(~short)))
+    return written.drop("_n", "context", "descriptions", "relation_lines")
 
 
 def within_budget(entries: DataFrame, group: str, order: str, tokens: str, budget: int) -> DataFrame:
@@ -227,9 +241,12 @@ def document_summaries(
     )
     state = docs.select("doc_id").join(sizes, "doc_id", "left").join(found, "doc_id", "left").join(lists, "doc_id", "left")
     state = state.withColumn("_fixed", fixed)
+    cut = truncate_words(F.col("summary"), settings.embedding_tokens)
+    if summarizer.in_spark:
+        return summarizer.document(state).select(
+            "doc_id", F.coalesce("_fixed", cut).alias("summary"), F.col("_fixed").isNotNull().alias("placeholder")
+        )
+    state = cut_lineage(state)
     plain = state.filter(F.col("_fixed").isNotNull()).select("doc_id", F.col("_fixed").alias("summary"), F.lit(True).alias("placeholder"))
     written = summarizer.document(state.filter(F.col("_fixed").isNull()))
-    written = written.select(
-        "doc_id", truncate_words(F.col("summary"), settings.embedding_tokens).alias("summary"), F.lit(False).alias("placeholder")
-    )
-    return plain.unionByName(written)
+    return plain.unionByName(written.select("doc_id", cut.alias("summary"), F.lit(False).alias("placeholder")))

@@ -30,28 +30,28 @@ def useful(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
-    return EXTRACTOR.mentions(useful(spark, d))
+    return EXTRACTOR.mentions(EXTRACTOR.annotate(useful(spark, d)))
 
 
 def relations(spark: SparkSession, d: str) -> DataFrame:
-    return EXTRACTOR.relations(useful(spark, d))
+    return EXTRACTOR.relations(EXTRACTOR.annotate(useful(spark, d)))
 
 
-def entities(spark: SparkSession, d: str) -> DataFrame:
-    return fuse_entities(mentions(spark, d))
+def extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Mentions and relations from one reading of the text, for queries that need both or read them often."""
+    return EXTRACTOR.extract(chunks(spark, d))[:2]
 
 
-def extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Mentions and relations written out once, for queries that read them several times."""
-    return cut_lineage(mentions(spark, d)), cut_lineage(relations(spark, d))
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    return fuse_entities(mentions(spark, d))
 
 
 def summarized(spark: SparkSession, d: str) -> DataFrame:
-    return summarize_entities(entity_contexts(mentions(spark, d), relations(spark, d)))
+    return summarize_entities(entity_contexts(*extracted(spark, d)))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    m = mentions(spark, d)
+    m = extracted(spark, d)[0]
     return sourced_from(m, fuse_entities(m))
 
 
@@ -69,19 +69,31 @@ def embedded_questions(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).withColumn("vector", embed(F.col("question"), EMBEDDER))
 
 
-def knowledge(spark: SparkSession, d: str) -> Knowledge:
+def stored(spark: SparkSession, d: str) -> Knowledge:
+    """Knowledge tables without vectors; extraction and entity summaries are written once."""
     m, r = extracted(spark, d)
     told = cut_lineage(summarize_entities(entity_contexts(m, r)))
     text = chunks(spark, d)
     return Knowledge(
-        documents=document_summaries(documents(spark, d), text, m, told).withColumn("vector", embed(F.col("summary"), EMBEDDER)),
-        chunks=text.withColumn("vector", embed(F.col("content"), EMBEDDER)),
-        entities=told.withColumn("vector", embed(F.col("summary"), EMBEDDER)),
+        documents=document_summaries(documents(spark, d), text, m, told),
+        chunks=text,
+        entities=told,
         sourced_from=sourced_from(m, told),
         same_as=fast_links(told),
     )
 
 
+def knowledge(spark: SparkSession, d: str) -> Knowledge:
+    know = stored(spark, d)
+    return Knowledge(
+        documents=know.documents.withColumn("vector", embed(F.col("summary"), EMBEDDER)),
+        chunks=know.chunks.withColumn("vector", embed(F.col("content"), EMBEDDER)),
+        entities=know.entities.withColumn("vector", embed(F.col("summary"), EMBEDDER)),
+        sourced_from=know.sourced_from,
+        same_as=know.same_as,
+    )
+
+
 # SQL side. Each constant is a list of common table expressions without "WITH".
 
 TRIM = "regexp_replace(regexp_replace({0}, '^" + WS + "+', ''), '" + WS + "+$', '')"

@@ -42,8 +42,6 @@ def ingest(
     embedder = embedder or HashingEmbedder()
     chunks = chunk_documents(safe_unions(docs), settings)
     mentions, relations, failed = extractor.extract(chunks)
-    # Mentions and relations feed several tables; they are far smaller than the text.
-    mentions, relations = cut_lineage(mentions), cut_lineage(relations)
     kept = fuse_entities(mentions)
     entities = cut_lineage(summarize_entities(entity_contexts(mentions, relations), summarizer, settings))
     documents = document_summaries(docs, chunks, mentions, entities, summarizer, settings)

@@ -23,8 +23,7 @@ DOC = (*SUM, SQL_SUMMARIES)
 , ids AS (SELECT entity_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS source_chunk_ids FROM edges GROUP BY entity_id)
 SELECT entity_id, doc_id, name, is_named_entity, n_mentions, first_seen, source_chunk_ids FROM entities JOIN ids USING (entity_id)""")
 def entity_fusion(spark, d):
-    ids = fusion.source_chunk_ids(base.edges(spark, d))
-    e = base.entities(spark, d).drop("type").join(ids, "entity_id")
+    e = fusion.fuse_entities(base.mentions(spark, d), with_chunks=True).drop("type")
     return e.withColumn("source_chunk_ids", F.array_join("source_chunk_ids", ","))
 
 
@@ -52,7 +51,8 @@ SELECT f.doc_id || '_' || source AS source_entity_id, f.doc_id || '_' || target
 FROM fused f SEMI JOIN entities a ON a.doc_id = f.doc_id AND a.name = source
 WHERE EXISTS (SELECT 1 FROM entities b WHERE b.doc_id = f.doc_id AND b.name = target)""")
 def final_relations(spark, d):
-    final = fusion.final_relations(base.relations(spark, d), base.entities(spark, d))
+    m, r = base.extracted(spark, d)
+    final = fusion.final_relations(r, fusion.fuse_entities(m))
     return final.select("source_entity_id", "target_entity_id", "description", F.round("strength", 6).alias("strength"), "doc_id")
 
 
@@ -63,7 +63,8 @@ FROM relations r JOIN entities a ON a.doc_id = r.doc_id AND a.name = source JOIN
 GROUP BY r.doc_id, source, target""")
 def last_written_relations(spark, d):
     """Relations without fused properties: the last raw text of a pair and default strength."""
-    final = fusion.final_relations(base.relations(spark, d), base.entities(spark, d), fused=False)
+    m, r = base.extracted(spark, d)
+    final = fusion.final_relations(r, fusion.fuse_entities(m), fused=False)
     return final.select(
         "source_entity_id", "target_entity_id", "description", "strength", F.array_join("keywords", ",").alias("keywords"), "doc_id"
     )
@@ -75,8 +76,8 @@ SELECT r.doc_id, count(*) AS n_relations,
 FROM relations r LEFT JOIN entities a ON a.doc_id = r.doc_id AND a.name = source
 LEFT JOIN entities b ON b.doc_id = r.doc_id AND b.name = target GROUP BY r.doc_id""")
 def dangling_relations(spark, d):
-    raw = base.relations(spark, d)
-    kept = known_endpoints(raw, base.entities(spark, d), ["doc_id"])
+    m, raw = base.extracted(spark, d)
+    kept = known_endpoints(raw, fusion.fuse_entities(m), ["doc_id"])
     flags = raw.select("doc_id", F.lit(0).alias("k")).unionByName(kept.select("doc_id", F.lit(1).alias("k")))
     return flags.groupBy("doc_id").agg(
         F.sum((F.col("k") == 0).cast("long")).alias("n_relations"), F.sum(F.col("k").cast("long")).alias("n_kept")
@@ -85,7 +86,7 @@ def dangling_relations(spark, d):
 
 @query("entity_contexts", with_(*SUM) + "SELECT entity_id, context FROM context_text")
 def entity_contexts(spark, d):
-    contexts = fusion.entity_contexts(base.mentions(spark, d), base.relations(spark, d))
+    contexts = fusion.entity_contexts(*base.extracted(spark, d))
     return contexts.select("entity_id", "context")
 
 
@@ -116,9 +117,10 @@ SELECT 'documents' AS part, count(*) AS n FROM documents UNION ALL SELECT 'chunk
 UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'sourced_from', count(*) FROM edges
 UNION ALL SELECT 'mentions_of_entities', count(*) FROM mentions m SEMI JOIN entities e ON e.doc_id = m.doc_id AND e.name = m.name""")
 def graph_sizes(spark, d):
-    m, e = base.mentions(spark, d), base.entities(spark, d)
+    m, _ = base.extracted(spark, d)
+    e = fusion.fuse_entities(m)
     parts = {
-        "documents": documents(spark, d), "chunks": base.chunks(spark, d), "entities": e, "sourced_from": base.edges(spark, d),
+        "documents": documents(spark, d), "chunks": base.chunks(spark, d), "entities": e, "sourced_from": fusion.sourced_from(m, e),
         "mentions_of_entities": m.join(e.select("doc_id", "name"), ["doc_id", "name"], "left_semi"),
     }
     counts = None
@@ -132,7 +134,8 @@ def graph_sizes(spark, d):
 SELECT s.doc_id, s.summary, coalesce(string_agg(DISTINCT e.name, ',' ORDER BY e.name), '') AS entities
 FROM summaries s LEFT JOIN edges e USING (doc_id) GROUP BY s.doc_id, s.summary""")
 def document_metadata(spark, d):
-    meta = graph.document_metadata(base.summaries(spark, d), base.edges(spark, d), base.entities(spark, d))
+    know = base.stored(spark, d)
+    meta = graph.document_metadata(know.documents, know.sourced_from, know.entities)
     return meta.withColumn("entities", F.array_join("entities", ","))
 
 
@@ -145,7 +148,8 @@ FROM events LEFT JOIN meta ON meta.doc_id = user_id""")
 def metadata_in_order(spark, d):
     """Metadata for a list of ids with repeats and unknown ids: the users of all events."""
     ids = table(spark, d, "events").select(F.col("event_id").alias("position"), F.col("user_id").alias("doc_id"))
-    meta = graph.document_metadata(base.summaries(spark, d), base.edges(spark, d), base.entities(spark, d))
+    know = base.stored(spark, d)
+    meta = graph.document_metadata(know.documents, know.sourced_from, know.entities)
     return graph.metadata_for(ids, meta).withColumn("entities", F.array_join("entities", ",")).select("position", "doc_id", "summary", "entities")
 
 
@@ -166,9 +170,9 @@ def summaries_by_name(spark, d):
     from quiltgraph.operators.reasoning import RuleReasoner
 
     names = RuleReasoner().names(base.questions(spark, d))
-    e = base.summarized(spark, d)
-    wanted = e.select("doc_id", "name").join(names, "name")
-    found = graph.summaries_by_name(wanted, e, base.edges(spark, d), per_chunk=True)
+    know = base.stored(spark, d)
+    wanted = know.entities.select("doc_id", "name").join(names, "name")
+    found = graph.summaries_by_name(wanted, know.entities, know.sourced_from, per_chunk=True)
     return found.select("question_id", "doc_id", "name", "summary", "chunk_id")
 
 
@@ -177,8 +181,9 @@ SELECT f.doc_id, count(*) AS n_relations, round(avg(strength), 6) AS mean_streng
 FROM fused f JOIN entities a ON a.doc_id = f.doc_id AND a.name = source JOIN entities b ON b.doc_id = f.doc_id AND b.name = target
 GROUP BY f.doc_id""")
 def document_relations(spark, d):
-    e = base.entities(spark, d)
-    stored = graph.document_knowledge(e, fusion.final_relations(base.relations(spark, d), e))
+    m, r = base.extracted(spark, d)
+    e = fusion.fuse_entities(m)
+    stored = graph.document_knowledge(e, fusion.final_relations(r, e))
     return stored.groupBy("doc_id").agg(F.count("*").alias("n_relations"), F.round(F.avg("strength"), 6).alias("mean_strength"))
 
 
@@ -225,11 +230,12 @@ FROM relations r JOIN entities a ON a.doc_id = r.doc_id AND a.name = source JOIN
 GROUP BY 1, 2""")
 def relation_upsert(spark, d):
     """Raw relations written in order over an empty edge table."""
-    r = base.relations(spark, d).select(
+    m, r = base.extracted(spark, d)
+    r = r.select(
         fusion.entity_id("doc_id", "source").alias("source_entity_id"), fusion.entity_id("doc_id", "target").alias("target_entity_id"),
         "description", fusion.seen_at().alias("seq"),
     )
-    return graph.upsert_relations(r.limit(0), r, base.entities(spark, d))
+    return graph.upsert_relations(r.limit(0), r, fusion.fuse_entities(m))
 
 
 @query("delete_cascade", with_(*ENT, SQL_EDGES) + """
@@ -246,10 +252,11 @@ def delete_cascade(spark, d):
     """Toxic documents removed from every table, links included; rows left per table."""
     from quiltgraph.operators.linking import fast_links
 
-    e = base.entities(spark, d)
+    m, _ = base.extracted(spark, d)
+    e = fusion.fuse_entities(m)
     tables = {
         "documents": documents(spark, d), "chunks": base.chunks(spark, d), "entities": e,
-        "sourced_from": base.edges(spark, d), "same_as": fast_links(e),
+        "sourced_from": fusion.sourced_from(m, e), "same_as": fast_links(e),
     }
     left = graph.delete_documents(tables, table(spark, d, "labels").filter("toxic = 1"))
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in left.items()]
@@ -299,8 +306,9 @@ later AS (SELECT doc_id, source, target, string_agg(description, ' | ' ORDER BY
 SELECT doc_id, source, target, CASE WHEN description IS NULL THEN more WHEN more IS NULL THEN description ELSE description || ' | ' || more END AS description
 FROM base FULL JOIN later USING (doc_id, source, target)""")
 def supplement_relations(spark, d):
-    e = base.entities(spark, d)
-    r = known_endpoints(base.relations(spark, d), e, ["doc_id"]).withColumn("seen_at", fusion.seen_at())
+    m, r = base.extracted(spark, d)
+    e = fusion.fuse_entities(m)
+    r = known_endpoints(r, e, ["doc_id"]).withColumn("seen_at", fusion.seen_at())
     stored = r.filter("chunk_order_index = 0").groupBy("doc_id", "source", "target").agg(F.max_by("description", "seen_at").alias("description"))
     later = r.filter("chunk_order_index > 0").select("doc_id", "source", "target", "description", "seen_at")
     return graph.supplement_relations(stored, later, e, repeat=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quiltgraph.functions.sizes import cut_lineage
 from quiltgraph.operators import graph, linking
 from quiltgraph.plans import base
 from quiltgraph.plans.base import SQL_CHUNKS, SQL_CONTEXTS, SQL_ENTITIES, SQL_GROUPS, SQL_MENTIONS, SQL_RELATIONS, with_
@@ -24,14 +25,13 @@ details AS (SELECT *, (shared * 10 // total)::INT AS llm_score, (shared * 10 //
 """)
 
 
-def vectors(spark, d):
-    """Each entity carries the vector of its document."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return base.entities(spark, d).select("entity_id", "doc_id").join(e, "doc_id").select("entity_id", "vector")
-
-
 def details(spark, d):
-    return linking.link_entities(base.summarized(spark, d), vectors(spark, d))
+    """Scored pairs; each entity carries the vector of its document."""
+    e = base.summarized(spark, d)
+    by_doc = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    with_vectors = e.filter("is_named_entity").join(by_doc, "doc_id", "left")
+    groups = linking.candidate_groups(with_vectors, carry=["summary", "vector"])
+    return linking.score_pairs(linking.candidate_pairs(groups))
 
 
 @query("candidate_groups", with_(*ENT) + """
@@ -115,7 +115,7 @@ SELECT DISTINCT a AS source_id, b AS linked_id, y.doc_id AS linked_doc_id, y.nam
 FROM both_ways JOIN entities x ON x.entity_id = a JOIN entities y ON y.entity_id = b WHERE x.doc_id <> y.doc_id""")
 def same_as_neighbours(spark, d):
     """Linked entities of every entity, in both directions, other documents only."""
-    e = base.entities(spark, d).withColumn("summary", F.lit(""))
+    e = cut_lineage(base.entities(spark, d).withColumn("summary", F.lit("")))
     sources = e.select(F.col("entity_id").alias("source_id"), "entity_id", "doc_id")
     found = graph.linked_entities(sources, linking.fast_links(e), e)
     return found.select("source_id", "linked_id", "linked_doc_id", "linked_name")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quiltgraph.functions.sizes import cut_lineage
 from quiltgraph.functions.vectors import squared_norm, unit
 from quiltgraph.operators import evidence, nearest
 from quiltgraph.operators.reasoning import RuleReasoner
@@ -41,7 +42,7 @@ def _route(spark, d):
     know = base.knowledge(spark, d)
     asked = base.embedded_questions(spark, d)
     names = RULES.names(asked)
-    return evidence.route(asked, names, know), asked, names, know
+    return cut_lineage(evidence.route(asked, names, know)), asked, names, know
 
 
 @query("vector_norms", """
@@ -137,7 +138,9 @@ def hybrid_search(spark, d):
 @query("rrf_route", with_(*ROUTE) + "SELECT question_id, doc_id, round(score, 9) AS score, rank FROM routed")
 def rrf_route(spark, d):
     """Best five documents of every question, by names in the graph and by summary vectors."""
-    routed = _route(spark, d)[0]
+    know = base.knowledge(spark, d)
+    asked = base.embedded_questions(spark, d)
+    routed = evidence.route(asked, RULES.names(asked), know)
     return routed.select("question_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 

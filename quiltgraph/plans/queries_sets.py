@@ -240,9 +240,10 @@ SELECT chunk_id, 'entity' AS kind, name AS a, '' AS b, description, 1.0::DOUBLE
 UNION ALL SELECT chunk_id, 'relationship', source, target, description, strength FROM relations""")
 def delimited_records(spark, d):
     """Mentions and relations written as record replies per chunk and read back."""
-    e = base.mentions(spark, d).select("chunk_id", F.concat(
+    m, told = base.extracted(spark, d)
+    e = m.select("chunk_id", F.concat(
         F.lit('("entity"<|>"'), "name", F.lit('"<|>"word"<|>"'), "description", F.lit('")')).alias("record"))
-    r = base.relations(spark, d).select("chunk_id", F.concat(
+    r = told.select("chunk_id", F.concat(
         F.lit('("relationship"<|>"'), "source", F.lit('"<|>"'), "target", F.lit('"<|>"'), "description", F.lit('"<|>"'),
         F.array_join("keywords", ","), F.lit('"<|>'), F.col("strength").cast("string"), F.lit(")")).alias("record"))
     reply = e.unionByName(r).groupBy("chunk_id").agg(F.concat(F.array_join(F.collect_list("record"), "##"), F.lit("<|COMPLETE|>")).alias("reply"))
@@ -262,7 +263,7 @@ SELECT name, entity_type, n_fragments, n_sources, CASE WHEN n_fragments < 6 THEN
 def node_merge(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")
     order = F.col("doc_id") * 1_000_000_000_000 + F.col("chunk_order_index") * 1_000_000 + F.col("position")
-    m = base.mentions(spark, d).join(docs, "doc_id").select(
+    m = base.extracted(spark, d)[0].join(docs, "doc_id").select(
         "name", F.col("lang").alias("entity_type"), "description", F.col("source").alias("source_id"), order.alias("order")
     )
     return merging.merge_nodes(m)
@@ -276,7 +277,7 @@ words AS (SELECT src_id, tgt_id, string_agg(DISTINCT k, ',' ORDER BY k) AS keywo
 
 
 def _edges(spark, d):
-    r = base.relations(spark, d).withColumn("keywords", F.array_join("keywords", ", ")).withColumnRenamed("strength", "weight")
+    r = base.extracted(spark, d)[1].withColumn("keywords", F.array_join("keywords", ", ")).withColumnRenamed("strength", "weight")
     return merging.merge_edges(r)
 
 
@@ -300,7 +301,7 @@ def missing_endpoints(spark, d):
 p AS (SELECT doc_id, count(DISTINCT least(source, target) || ' ' || greatest(source, target))::INT AS n_pairs FROM relations WHERE source <> target GROUP BY doc_id)
 SELECT doc_id, entity_names, n_names, n_pairs FROM n LEFT JOIN p USING (doc_id)""")
 def document_index(spark, d):
-    names, pairs = merging.document_index(base.mentions(spark, d), base.relations(spark, d))
+    names, pairs = merging.document_index(*base.extracted(spark, d))
     left = names.select("doc_id", F.array_join("entity_names", ",").alias("entity_names"), F.col("count").alias("n_names"))
     return left.join(pairs.select("doc_id", F.col("count").alias("n_pairs")), "doc_id", "left")
 
