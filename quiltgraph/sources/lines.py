@@ -123,7 +123,7 @@ def read_questions(spark: SparkSession, path: str, limit: int | None = None, id_
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Every ``*.md`` file of a folder as one document named by its stem."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md")
     return files.select(file_stem(F.col("_metadata.file_name")).alias("id"), F.col("value").alias("text"))
 
 
