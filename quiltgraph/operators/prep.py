@@ -67,3 +67,10 @@ def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
 def stale_documents(processed: DataFrame, referenced: DataFrame, doc: str) -> DataFrame:
     """Processed documents that no question refers to."""
     return not_done(processed, referenced, doc)
+
+
+def progress(log: DataFrame, total: int) -> DataFrame:
+    """Finished rows of a run log (duration), their mean seconds and the seconds left for the rest."""
+    state = log.agg(F.count("*").alias("done"), F.avg("duration").alias("mean_seconds"))
+    left = F.lit(total) - F.col("done")
+    return state.withColumn("seconds_left", F.greatest(left, F.lit(0)) * F.coalesce("mean_seconds", F.lit(0.0)))

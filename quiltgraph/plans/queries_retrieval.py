@@ -225,6 +225,38 @@ def chunk_topk_per_doc(spark, d):
     return evidence.best_chunks(routed, asked, know.chunks, 2).select("question_id", "doc_id", "chunk_id", "distance", "rank")
 
 
+@query("chunk_limit_sweep", with_(*PLAN, *BEST_CHUNKS) + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY distance, chunk_id) AS rank FROM chunk_score)
+SELECT l AS chunk_limit, count(*) AS n_chunks, round(avg(distance), 6) AS mean_distance
+FROM r JOIN (SELECT unnest([1, 2, 3, 4]) AS l) ON rank <= l GROUP BY l""")
+def chunk_limit_sweep(spark, d):
+    """Evidence chunks per limit of chunks and document, all limits in one pass."""
+    routed, asked, _, know = _route(spark, d)
+    best = evidence.best_chunks(routed, asked, know.chunks, 4)
+    limits = F.explode(F.sequence(F.col("rank"), F.lit(4))).alias("chunk_limit")
+    return best.select("distance", limits).groupBy("chunk_limit").agg(
+        F.count("*").alias("n_chunks"), F.round(F.avg("distance"), 6).alias("mean_distance")
+    )
+
+
+@query("expansion_sweep", with_(*PLAN, *EXPANSION) + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY similarity DESC, linked_id) AS rank FROM expand_score)
+SELECT l AS expansion_limit, count(*) AS n_entities, count(DISTINCT linked_id) AS n_distinct
+FROM r JOIN (SELECT unnest([2, 4, 5, 6]) AS l) ON rank <= l GROUP BY l""")
+def expansion_sweep(spark, d):
+    """Linked entities per expansion limit, all limits in one pass."""
+    from quiltgraph.config import Settings
+
+    routed, asked, names, know = _route(spark, d)
+    plan = RULES.plan(asked, routed, names, know)
+    selected = RULES.select(asked, plan.filter("role = 'main'"), names, know)
+    best = evidence.expand(selected, asked, know, Settings(expansion_limit=6))
+    limits = F.explode(F.filter(F.array(*[F.lit(x) for x in (2, 4, 5, 6)]), lambda x: x >= F.col("rank"))).alias("expansion_limit")
+    return best.select("linked_id", limits).groupBy("expansion_limit").agg(
+        F.count("*").alias("n_entities"), F.countDistinct("linked_id").alias("n_distinct")
+    )
+
+
 EVIDENCE = (*PLAN, *EXPANSION, *BEST_CHUNKS, """
 own_lines AS (
   SELECT s.question_id, s.doc_id, 0 AS part, e.entity_id AS key, '- ' || e.name || ': ' || e.summary AS line

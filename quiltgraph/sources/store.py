@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quiltgraph.functions.sizes import safe_unions
 from quiltgraph.operators.ranking import last_by
-from quiltgraph.sources.lines import path_exists
+from quiltgraph.sources.lines import path_exists, remove_path
 
 KEYS = {
     "documents": ["doc_id"],
@@ -24,6 +24,7 @@ KEYS = {
     "relations": ["source_entity_id", "target_entity_id"],
     "failed_chunks": ["chunk_id"],
     "same_as": ["entity_1_id", "entity_2_id"],
+    "blobs": ["doc_id"],
 }
 
 
@@ -69,6 +70,22 @@ class Store:
         """Sorted distinct document ids of a table."""
         return self.read(name).select("doc_id").distinct().orderBy("doc_id")
 
+    def create(self, name: str, schema) -> None:
+        """An empty table, unless there is one already."""
+        if not self.exists(name):
+            self._write(self.spark.createDataFrame([], schema), self._path(name), 0)
+
+    def drop(self, *names: str) -> None:
+        """Remove tables with all their batches; a table that does not exist does no harm."""
+        for name in names or KEYS:
+            remove_path(self.spark, self._path(name))
+
+    def blob(self, doc_id) -> str | None:
+        """Stored JSON of one document, or None."""
+        rows = self.read("blobs")
+        found = [] if rows is None else rows.filter(F.col("doc_id") == doc_id).select("blob").take(1)
+        return found[0]["blob"] if found else None
+
     def compact(self, name: str, target: "Store", batch: int = 0) -> None:
         """Write the current rows as one batch of another store."""
         target.put(name, self.read(name), batch)

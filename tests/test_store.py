@@ -110,6 +110,33 @@ def test_sinks(spark, folder):
     assert sorted(x for x in os.listdir(f"{folder}/failed") if "=" in x) == ["document=1", "document=2"]
 
 
+def test_repair_and_cleanup(spark, folder):
+    from quiltgraph.operators.extract import RuleExtractor
+    from quiltgraph.operators.prep import progress
+    from quiltgraph.plans.repair import clean_up, refresh_summaries, retry_failed
+
+    made = ingest(documents(spark))
+    failed = spark.createDataFrame([(12, "and so Delta came to Beta at last with many words more", 7, "1_7", 1)], "tokens int, content string, chunk_order_index int, chunk_id string, doc_id long")
+    changed, repaired, again = retry_failed(failed, made.entities, RuleExtractor())
+    texts = {r["name"]: r["summary"] for r in changed.collect()}
+    assert set(texts) == {"beta", "gamma", "delta"} and "追加描述" in texts["beta"] and texts["delta"] == "Delta came to"
+    assert rows(repaired) == [(1,)] and again.count() == 0
+    docs, entities = refresh_summaries(made.documents, made.chunks, changed, repaired)
+    assert rows(docs, "doc_id", "summary") == [(1, "Document about 3 named entities: beta, gamma, delta")]
+    assert entities.count() == 3 and entities.filter("size(vector) = 64").count() == 3
+    store = Store(spark, folder)
+    save(made, store, 1)
+    store.put("blobs", document_blobs(made.documents, made.chunks, made.entities, made.sourced_from, made.relations), 1)
+    assert json.loads(store.blob(1))["doc_id"] == 1 and store.blob(42) is None
+    gone = clean_up(store, spark.createDataFrame([(1,)], "doc_id long"), 2)
+    assert rows(gone) == [(2,), (3,)] and rows(store.ids()) == [(1,)]
+    store.create("chunks", "chunk_id string")
+    store.drop()
+    assert store.read("documents") is None
+    log = spark.createDataFrame([(2.0,), (4.0,)], "duration double")
+    assert progress(log, 5).first()["seconds_left"] == 9.0
+
+
 def test_status_stream(spark, folder):
     documents(spark).filter("doc_id < 3").write.parquet(f"{folder}/in")
     store = Store(spark, f"{folder}/store")
