@@ -33,7 +33,7 @@ def _valid(c: Column) -> Column:
 
 def strict_json(reply: Column) -> Column:
     """Whole reply, else its fenced block, else first to last brace; null when none parses."""
-    fenced = reply.rlike(FENCE)
+    fenced = reply.contains("```") & reply.rlike(FENCE)
     inner = F.when(fenced, strip(F.regexp_extract(reply, FENCE, 1))).otherwise(reply)
     return F.coalesce(_valid(reply), _valid(inner), _valid(F.regexp_extract(inner, BRACES, 0)))
 
@@ -68,7 +68,7 @@ def lenient_json(reply: Column, innermost: bool = False) -> Column:
     else:
         outer = F.regexp_extract(reply, BRACES, 0)
         span = F.when(outer != "", outer).otherwise(reply)
-    found = F.when(reply.rlike(FENCE_ON_LINES), F.regexp_extract(reply, FENCE_ON_LINES, 1)).otherwise(span)
+    found = F.when(reply.contains("```") & reply.rlike(FENCE_ON_LINES), F.regexp_extract(reply, FENCE_ON_LINES, 1)).otherwise(span)
     json = _valid(found)
     return F.when(is_object(json), json)
 
