@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quiltgraph.llm import languages, quality
 from quiltgraph.llm.packing import pack
 from quiltgraph.llm.registry import ORACLE, QUERIES, query, table
 
@@ -19,3 +21,20 @@ def tokenizer_file() -> str:
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, directory: str) -> DataFrame:
     return pack(table(spark, directory, "documents"), tokenizer_file())
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    model = languages.fit(docs.filter(languages.remainder("doc_id", 4) != 2))
+    held_out = F.coalesce(languages.remainder("doc_id", 4) == 2, F.lit(False))
+    return languages.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    labels = table(spark, directory, "labels").filter(languages.remainder("doc_id", 5) != 0)
+    model = quality.fit(docs, labels)
+    held_out = F.coalesce(languages.remainder("doc_id", 5) == 0, F.lit(False))
+    return quality.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})

@@ -144,3 +144,55 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType | None = Non
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+_GRAM = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
+
+
+def gram_ids(points: np.ndarray, offsets: np.ndarray, n: int, dim: int) -> np.ndarray:
+    """Bucket below ``dim`` (a power of two) of the ``n``-gram from each code point on; ``dim`` where the row ends before."""
+    out = np.full(len(points), dim, np.int32)
+    m = len(points) - n + 1
+    if m <= 0:
+        return out
+    h = np.full(m, np.uint32(n * 0x01000193 & 0xFFFFFFFF))
+    for k in range(n):
+        h += points[k : k + m]
+        h *= _GRAM[k]
+        h ^= h >> np.uint32(15)
+    h *= _GRAM[3]
+    out[:m] = h >> np.uint32(32 - dim.bit_length() + 1)
+    ends = offsets[1:]
+    for k in range(1, n):  # the last n - 1 places of every row
+        late = ends - k
+        out[late[(late >= offsets[:-1])]] = dim
+    return out
+
+
+def letters() -> np.ndarray:
+    """For every code point its lower-case letter, or a space where it is no letter."""
+    cache = process_cache("letters")
+    if "table" not in cache:
+        table = np.full(0x110000, 32, np.uint32)
+        for c in range(0x110000):
+            ch = chr(c)
+            if ch.isalpha():
+                low = ch.lower()
+                table[c] = ord(low) if len(low) == 1 else c
+        cache["table"] = table
+    return cache["table"]
+
+
+def character_classes() -> np.ndarray:
+    """For every code point one of: a lower-case or other letter, a capital, a digit, else itself."""
+    cache = process_cache("classes")
+    if "table" not in cache:
+        table = np.arange(0x110000, dtype=np.uint32)
+        table[letters() != 32] = ord("a")
+        for c in range(0x110000):
+            if table[c] != ord("a") and chr(c).isdigit():
+                table[c] = ord("0")
+            elif table[c] == ord("a") and chr(c).isupper():
+                table[c] = ord("A")
+        cache["table"] = table
+    return cache["table"]
