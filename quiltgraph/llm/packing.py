@@ -9,7 +9,9 @@ bounded word cache, and a lost task is packed again to the same result.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +23,9 @@ from quiltgraph.llm.texts import process_cache
 
 CAPACITY = 2048
 OPEN_BINS = 1024
-#: Words whose ids a Python worker remembers; the memory is given back when there are more.
-CACHED_WORDS = 500_000
+#: Chunks of text and tokenizer pieces whose ids a Python worker remembers; the memory is given back when there are more.
+CACHED_CHUNKS = 800_000
+CACHED_PIECES = 1_000_000
 TASK_BITS = 33
 
 
@@ -62,10 +65,22 @@ class Bins:
         return name, self.capacity - free
 
 
+class Signs(dict):
+    """Letters in the byte alphabet of a tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, letter: str) -> str:
+        made = self[letter] = self.tokenizer.pre_tokenizer.pre_tokenize_str(letter)[0][0]
+        return made
+
+
 class WordIds(dict):
     """Little-endian ids of a chunk of text without white space, as bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in order.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in order. Ids of
+    chunks and of the tokenizer's own pieces of them are remembered, within the two bounds.
     """
 
     def __init__(self, path: str):
@@ -74,33 +89,57 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces: dict[str, bytes] = {}
+        self.signs = Signs(self.tokenizer)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Chunks that may hold an added token go to the tokenizer as they are; the sign saves looking for each of them.
+        self.mark = "<" if all(t.startswith("<") for t in self.added) else ""
 
     def __missing__(self, chunk: str) -> bytes:
-        if any(t in chunk for t in self.added):
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-            made = np.array(ids, "<u4").tobytes()
+        if self.mark in chunk and any(t in chunk for t in self.added):
+            made = self._bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         else:
             made = b"".join(map(self._piece, self._split(chunk)))
         self[chunk] = made
         return made
 
     def _split(self, chunk: str) -> list[str]:
+        """The tokenizer's pieces. Latin letters followed by signs, by far the most, are split here: one piece each."""
+        letters = chunk.rstrip(_SIGNS).lower()
+        if letters.isalpha() and max(letters) < _LATIN_END:
+            mapped = letters if letters.isascii() else "".join(map(self.signs.__getitem__, letters))
+            rest = chunk[len(letters) :]
+            return [mapped, rest] if rest else [mapped]
         tokenizer = self.tokenizer
         return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(chunk))]
 
     def _piece(self, piece: str) -> bytes:
         made = self.pieces.get(piece)
         if made is None:
-            made = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
+            made = self.pieces[piece] = self._bytes([t.id for t in self.tokenizer.model.tokenize(piece)])
         return made
 
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        made = array("I", ids)
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
+
     def of(self, text: str) -> bytes:
         # Only these are white space to every tokenizer; other kinds stay inside a chunk and are left to the tokenizer.
-        return b"".join(map(self.__getitem__, text.translate(_TO_SPACE).split(" ")))
+        for space in "\t\n\r":
+            text = text.replace(space, " ")
+        made = b"".join(map(self.__getitem__, text.split(" ")))
+        if len(self) > CACHED_CHUNKS:
+            self.clear()
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces.clear()
+        return made
 
 
-_TO_SPACE = {9: " ", 10: " ", 13: " "}
+#: Signs that may follow letters in a chunk without changing how the letters are split off; no apostrophe.
+_SIGNS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+_LATIN_END = "\u0250"
 _FIELDS = "piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
@@ -131,9 +170,6 @@ def pack(
             for i, value in enumerate(batch.column(len(keys))):
                 value = value.as_py()
                 whole = (words.of(value) if value else b"") + end
-                if len(words) > CACHED_WORDS:
-                    words.clear()
-                    words.pieces.clear()
                 n = len(whole) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     part = whole[4 * start : 4 * (start + capacity)]
