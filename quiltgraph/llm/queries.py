@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.llm import languages, quality
+from quiltgraph.llm import languages, quality, sql, urls
 from quiltgraph.llm.packing import pack
 from quiltgraph.llm.registry import ORACLE, QUERIES, query, table
 
@@ -38,3 +38,14 @@ def op10(spark: SparkSession, directory: str) -> DataFrame:
     model = quality.fit(docs, labels)
     held_out = F.coalesce(languages.remainder("doc_id", 5) == 0, F.lit(False))
     return quality.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+URL_RULES = (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+@query("op7_url_filters", sql=sql.URLS)
+def op7(spark: SparkSession, directory: str) -> DataFrame:
+    return urls.decide(table(spark, directory, "pages"), URL_RULES)
