@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.llm import languages, quality, secrets, sql, urls
+from quiltgraph.llm import languages, licenses, quality, secrets, sql, urls
 from quiltgraph.llm.packing import pack
 from quiltgraph.llm.registry import ORACLE, QUERIES, query, table
 
@@ -55,3 +55,8 @@ def op7(spark: SparkSession, directory: str) -> DataFrame:
 def op5(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents")
     return secrets.digest(secrets.spans(docs, secrets.fit(secrets.samples(docs))))
+
+
+@query("op1_license_scans")
+def op1(spark: SparkSession, directory: str) -> DataFrame:
+    return licenses.scan(table(spark, directory, "documents"))
