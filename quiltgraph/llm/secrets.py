@@ -67,7 +67,10 @@ def samples(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int
     find there, and digests of the same documents in hexadecimal and base 64.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    some = docs.select(F.xxhash64(key).alias("h"), body.alias("t")).orderBy("h", "t").limit(most)
+    ids = docs.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")).distinct()
+    last = ids.orderBy("h").limit(most).agg(F.max("h")).first()[0]  # ids first, so that no texts are moved
+    some = docs.select(F.xxhash64(key).alias("h"), body.alias("t"), F.col(key).alias("_k")).filter(
+        F.col("_k").isNotNull() & (F.col("h") <= F.lit(last).cast("bigint")))
     digest = F.sha2(F.concat(F.col("h").cast("string"), "t"), 512)
     values = F.filter(
         F.concat(*(F.regexp_extract_all("t", F.lit(p), F.lit(2 if k == "assign" else 0)) for k, p, _ in BASE)),
