@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.llm import decontamination, languages, licenses, quality, secrets, sql, urls
+from quiltgraph.llm import decontamination, languages, licenses, quality, secrets, sql, substrings, urls
 from quiltgraph.llm.packing import pack
 from quiltgraph.llm.registry import ORACLE, QUERIES, query, table
 
@@ -65,3 +65,8 @@ def op1(spark: SparkSession, directory: str) -> DataFrame:
 @query("op4_benchmark_decontamination")
 def op4(spark: SparkSession, directory: str) -> DataFrame:
     return decontamination.find(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, directory: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, directory, "documents"))
