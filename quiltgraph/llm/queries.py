@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.llm import decontamination, languages, licenses, neardup, quality, secrets, sql, substrings, urls
+from quiltgraph.llm import decontamination, languages, licenses, neardup, quality, secrets, sql, substrings, urls, vectors
 from quiltgraph.llm.packing import pack
 from quiltgraph.llm.registry import ORACLE, QUERIES, query, table
 
@@ -75,3 +75,8 @@ def op6(spark: SparkSession, directory: str) -> DataFrame:
 @query("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, directory: str) -> DataFrame:
     return neardup.classes(table(spark, directory, "documents"))
+
+
+@query("op3_embedding_near_dedup")
+def op3(spark: SparkSession, directory: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, directory, "embeddings"))
