@@ -1,10 +1,11 @@
 """Documents whose word-shingle sets are alike: an exact Jaccard join by signature trees.
 
 1. One pass counts, in each batch of rows, the words and shingles that the batch repeats; the most frequent of the whole
-   corpus, a fixed number of them, only set an order: shingles of common words late, common shingles last.
+   corpus, a fixed number of them, only set an order: likely shingles, by their words, late, and common shingles last.
 2. One pass makes every document's shingle set in that order. Equal sets are one class from here on.
-3. Two sets that are similar enough share a shingle among the first n - ceil(threshold n) + 1 of each (any order gives
-   this). Neighbours by size among the classes that share such a shingle are joined into families; no link leaves a family.
+3. Two sets that are similar enough share ``SHARED`` shingles, or all they need where that is less, among the first n -
+   ceil(threshold n) + ``SHARED`` of each (any order gives this). Classes that share so many, and neighbours by size among
+   the many classes that share one shingle, are joined into families; no link leaves a family.
 4. Families are dealt to tasks with their sets. In a task a family becomes a tree: nodes hold the OR of their members'
    token bitmaps and their range of sizes. A dual traversal leaves out node pairs whose greatest possible overlap is too
    small, whose sizes differ too much or whose members are already linked; what reaches two documents is counted exactly.
@@ -28,8 +29,9 @@ from quiltgraph.llm.texts import LOWER, U, grams, lists, mix, sequence_hashes, s
 
 SHINGLE = 5
 PERCENT = 80
-COMMON_WORDS, COMMON_SHINGLES = 4096, 1 << 18
+COMMON_WORDS, COMMON_SHINGLES = 1 << 16, 1 << 18
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 22
+SHARED, SMALL = 4, 4
 LEAF = 32
 BITS = 2048
 BROADCAST_IDS = 1_000_000
@@ -76,29 +78,28 @@ def _repeated(k: int, least_words: int, least_shingles: int):
 
 
 class Order:
-    """Late places of common words and shingles."""
+    """Places of shingles: common ones last, and before them those whose words make them likely."""
 
-    def __init__(self, common_words: np.ndarray, common: np.ndarray, counts: np.ndarray):
-        self.words = np.sort(common_words)
+    def __init__(self, frequent: np.ndarray, word_counts: np.ndarray, common: np.ndarray, counts: np.ndarray):
+        order = np.argsort(frequent)
+        self.words, self.logs = frequent[order], np.log2(word_counts[order] + 1.0)
         order = np.argsort(common)
         self.shingles, self.counts = common[order], counts[order]
 
     def keys(self, made: np.ndarray, at: np.ndarray, hashes: np.ndarray, k: int) -> np.ndarray:
-        """Sort key of each shingle: its count if common, else 0, and how many of its words are common."""
-        held = np.zeros(len(hashes) + 1, np.int64)
-        np.cumsum(_member(self.words, hashes), out=held[1:])
-        common_words = held[np.minimum(at + k, len(hashes))] - held[at]
-        key = common_words.astype(np.int64)
-        if len(self.shingles):
-            place = np.minimum(np.searchsorted(self.shingles, made), len(self.shingles) - 1)
-            key += np.where(self.shingles[place] == made, self.counts[place] * 16, 0)
-        return key
+        """Sort key of each shingle: the logarithms of its words' counts added up, and above all its own count if common."""
+        sums = np.zeros(len(hashes) + 1)
+        np.cumsum(_look_up(self.words, self.logs, hashes), out=sums[1:])
+        key = np.rint(8 * (sums[np.minimum(at + k, len(hashes))] - sums[at])).astype(np.int64)
+        return key + _look_up(self.shingles, self.counts, made).astype(np.int64) * (1 << 16)
 
 
-def _member(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+def _look_up(names: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Value of each wanted name, 0 for those not in the sorted names."""
+    if not len(names):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return np.where(names[at] == wanted, values[at], 0)
 
 
 def _distinct(rows: np.ndarray, made: np.ndarray):
@@ -124,7 +125,7 @@ def _sets(shared, k: int, percent: int):
                 bounds = np.searchsorted(rows, np.arange(n + 1))
                 total = [np.concatenate([np.zeros(1, U), np.cumsum(mix(made, s))]) for s in (31, 32)]
                 order = np.lexsort((made, key, rows))
-                length = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+                length = np.minimum(size, size - -(-percent * size // 100) + SHARED)
                 inside = np.arange(len(rows)) - bounds[:-1][rows] < length[rows]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(size.astype(np.int64)),
@@ -136,20 +137,38 @@ def _sets(shared, k: int, percent: int):
 
 
 def _neighbours(percent: int):
-    """From (shingle, size, id) sorted by all three: pairs of ids next to each other in size that may be similar enough."""
+    """From (shingle, size, id) sorted by all three: pairs of ids that may be similar enough, by their sizes.
+
+    Up to ``SMALL`` ids with one shingle give all their pairs, each with the number of shared prefix shingles it needs;
+    more ids only give those next to each other in size, with a need of 1: between two ids of fitting size all others fit.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if not len(cols[0]):
+            n = len(cols[0])
+            if not n:
                 continue
             if last is not None:
                 cols = [np.concatenate([[x], c]) for x, c in zip(last, cols, strict=True)]
+                n += 1
             last = [c[-1] for c in cols]
             token, size, ident = cols
-            pair = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:]) & (ident[1:] != ident[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(ident[1:][pair]), pa.array(ident[:-1][pair])], names=["a", "b"])
+            new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            held = np.diff(np.append(new, n))
+            small = np.repeat(held <= SMALL, held)
+            # What a batch border cuts is treated as large: neighbours with a need of 1.
+            small &= (token != token[0]) & (token != token[-1])
+            for lag in range(1, SMALL):
+                if n <= lag:
+                    break
+                pair = (token[lag:] == token[:-lag]) & (100 * size[:-lag] >= percent * size[lag:]) & (ident[lag:] != ident[:-lag])
+                pair &= small[lag:] if lag > 1 else True
+                a, b, few = ident[lag:][pair], ident[:-lag][pair], small[lag:][pair]
+                least = -(-percent * (size[lag:][pair] + size[:-lag][pair]) // (100 + percent))
+                need = np.where(few, np.minimum(SHARED, least), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(need.astype(np.int32))], names=["a", "b", "need"])
 
     return run
 
@@ -303,11 +322,11 @@ def classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str
     """
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("bigint").alias("_id"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_text"))
-    often = cut_lineage(own.select("_text").mapInArrow(_repeated(k, 64, 3), "kind int, value bigint, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n")))
+    often = cut_lineage(own.select("_text").mapInArrow(_repeated(k, 16, 3), "kind int, value bigint, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n")))
     top = lambda kind, most: often.filter(F.col("kind") == kind).orderBy(F.desc("n"), "value").limit(most).toPandas()
     common_words, common = top(0, COMMON_WORDS), top(1, COMMON_SHINGLES)  # sizes fixed by the limits
     shared = spark.sparkContext.broadcast(Order(
-        common_words["value"].to_numpy(np.int64).view(U), common["value"].to_numpy(np.int64).view(U), common["n"].to_numpy(np.int64)))
+        common_words["value"].to_numpy(np.int64).view(U), common_words["n"].to_numpy(np.int64), common["value"].to_numpy(np.int64).view(U), common["n"].to_numpy(np.int64)))
 
     scanned = cut_lineage(own.mapInArrow(
         _sets(shared, k, percent), "_id bigint, _text_hash bigint, n_shingles bigint, _s1 bigint, _s2 bigint, _prefix array<bigint>"))
@@ -316,7 +335,8 @@ def classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str
     classes_of = cut_lineage(full.groupBy("_s1", "_s2", "n_shingles").agg(F.min("_id").alias("_class"), F.count("*").alias("_n")))
     chosen = full.join(classes_of.select("_s1", "_s2", "n_shingles", F.col("_class").alias("_id")), ["_s1", "_s2", "n_shingles", "_id"], "left_semi")
     tokens = chosen.select(F.explode("_prefix").alias("t"), "n_shingles", "_id").repartition("t").sortWithinPartitions("t", "n_shingles", "_id")
-    near = cut_lineage(tokens.mapInArrow(_neighbours(percent), "a bigint, b bigint").distinct())
+    near = cut_lineage(tokens.mapInArrow(_neighbours(percent), "a bigint, b bigint, need int").groupBy("a", "b").agg(
+        F.count("*").alias("n"), F.min("need").alias("need")).filter("n >= need").select("a", "b"))
     family = cut_lineage(connected(near))
     links = cut_lineage(_link_families(own, chosen, family, percent, k))
 
