@@ -1,12 +1,92 @@
-"""Corpus pipeline: stages applied to documents, each written as Parquet and reread by the next."""
+"""Corpus pipeline: documents to packed training sequences.
+
+Every stage is ``(spark, docs, sf_dir) -> DataFrame`` and works on all rows that the stage before kept; all but the last
+return the columns of ``docs``. Rows without an id pass the stages that judge documents by their own text like any other;
+the near-duplicate stage, which names documents by id, keeps them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quiltgraph.functions.sizes import cut_lineage, proven_small
+from quiltgraph.llm import decontamination, neardup, packing, quality, secrets
+from quiltgraph.llm.queries import tokenizer_file
+from quiltgraph.llm.registry import table
+
+#: Most ids of dropped documents that are broadcast; with more, the documents are shuffled to them.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows whose id and text hash are not in ``dropped`` (_id, _hash); null ids count as equal."""
+    names = docs.columns
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    small = proven_small(dropped, BROADCAST_IDS)
+    other = F.broadcast(dropped) if small else dropped
+    kept = keyed.join(other, keyed["doc_id"].eqNullSafe(other["_id"]) & (keyed["_h"] == other["_hash"]), "left_anti")
+    return kept.select(*(F.col(f"`{n}`") for n in names))
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    plain = {f"_c{i}": F.col(f"`{n}`") for i, n in enumerate(docs.columns)}
+    judged = quality.predict(docs, model, plain)
+    return judged.filter("predicted = 1").select(*(F.col(c).alias(n) for c, n in zip(plain, docs.columns, strict=True)))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates; of rows with one id, one."""
+    groups = cut_lineage(neardup.classes(docs))
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    dropped = groups.filter("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    other = F.broadcast(dropped) if proven_small(dropped, BROADCAST_IDS) else dropped
+    kept = docs.join(other, docs["doc_id"] == other["_id"], "left_anti")
+    several = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
+    if not several.take(1):
+        return kept.select(*names)
+    again = F.broadcast(several) if proven_small(several, BROADCAST_IDS) else several
+    single = kept.join(again, kept["doc_id"] == again["_id"], "left_anti").select(*names)
+    return single.unionByName(kept.join(again, kept["doc_id"] == again["_id"], "left_semi").select(*names).dropDuplicates(["doc_id"]))
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
+    found = decontamination.find(keyed, table(spark, sf_dir, "benchmark"), text="_text", keys=("_id", "_hash"))
+    return _without(docs, cut_lineage(found.select("_id", "_hash").distinct()))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with secrets masked; n_chars follows the text."""
+    masked = secrets.redact(docs, secrets.fit(secrets.samples(docs)))
+    if "n_chars" not in docs.columns:
+        return masked
+    kind = docs.schema["n_chars"].dataType
+    return masked.withColumn("n_chars", F.when(F.col("text").contains(secrets.MASK), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids in sequences of 2048."""
+    return packing.pack(docs, tokenizer_file())
+
+
+STAGES = [
+    ("quality_classifier", keep_good_quality),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", without_benchmarks),
+    ("secret_scans", without_secrets),
+    ("best_fit_packing", packed),
+]
 
-STAGES = []
+#: The classifier, the walks and the tokenizer are beyond SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiltgraph.functions.sizes import cut_lineage
+from quiltgraph.functions.sizes import cut_lineage, proven_small
 
 # Fixed patterns of the task; the second number is the least length, of group 2 for the first kind.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -28,6 +28,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-
 LEAST = 20
 RATIO = 1.0
 SAMPLE_DOCUMENTS = 4000
+BROADCAST_DOCUMENTS = 200_000
+MASK = "[SECRET]"
 _RUN = "[A-Za-z0-9+/_.=-]{%d,}"
 
 
@@ -142,7 +144,7 @@ def digest(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return found.select(*keys, *(number(k) for k in range(len(BASE))), F.sha2(written(base), 256).alias("base_sha256"), written(spans_of).alias("spans"))
 
 
-def redact(docs: DataFrame, model: list[float], text: str = "text", key: str = "doc_id", mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, model: list[float], text: str = "text", key: str = "doc_id", mask: str = MASK) -> DataFrame:
     """``docs`` with every span, overlapping ones merged, replaced by ``mask``; all columns and rows stay."""
     names = docs.columns
     keyed = docs.withColumn("_hash", F.xxhash64(text))
@@ -153,7 +155,9 @@ def redact(docs: DataFrame, model: list[float], text: str = "text", key: str = "
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
             F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
     ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
-    found = found.select("_id", F.col("_hash").alias("_h"), merged.alias("_cut"))
+    found = cut_lineage(found.select("_id", F.col("_hash").alias("_h"), merged.alias("_cut")))
+    if proven_small(found, BROADCAST_DOCUMENTS):  # else the texts are shuffled to their spans
+        found = F.broadcast(found)
     cut = F.col("_cut")
     piece = lambda s, i: F.concat(F.substr(
         F.col(text), F.coalesce(F.get(cut, i - 1)["end"], F.lit(0)).cast("int") + 1,
