@@ -22,11 +22,11 @@ BROADCAST_IDS = 1_000_000
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows whose id and text hash are not in ``dropped`` (_id, _hash); null ids count as equal."""
     names = docs.columns
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    small = proven_small(dropped, BROADCAST_IDS)
-    other = F.broadcast(dropped) if small else dropped
-    kept = keyed.join(other, keyed["doc_id"].eqNullSafe(other["_id"]) & (keyed["_h"] == other["_hash"]), "left_anti")
-    return kept.select(*(F.col(f"`{n}`") for n in names))
+    plain = [f"c{i}" for i in range(len(names))]
+    keyed = docs.toDF(*plain).withColumn("_h", F.xxhash64(plain[names.index("text")]))
+    other = F.broadcast(dropped) if proven_small(dropped, BROADCAST_IDS) else dropped
+    same = keyed[plain[names.index("doc_id")]].eqNullSafe(other["_id"]) & (keyed["_h"] == other["_hash"])
+    return keyed.join(other, same, "left_anti").select(*plain).toDF(*names)
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,6 +147,8 @@ def digest(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 def redact(docs: DataFrame, model: list[float], text: str = "text", key: str = "doc_id", mask: str = MASK) -> DataFrame:
     """``docs`` with every span, overlapping ones merged, replaced by ``mask``; all columns and rows stay."""
     names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    docs, text, key = docs.toDF(*plain), plain[names.index(text)], plain[names.index(key)]
     keyed = docs.withColumn("_hash", F.xxhash64(text))
     found = spans(keyed.select(F.col(key).alias("_id"), "_hash", F.col(text).alias("_body")), model, "_body", ("_id", "_hash"))
     found = found.filter(F.size("spans") > 0).dropDuplicates(["_id", "_hash"])
@@ -164,4 +166,4 @@ def redact(docs: DataFrame, model: list[float], text: str = "text", key: str = "
         (s["start"] - F.coalesce(F.get(cut, i - 1)["end"], F.lit(0))).cast("int")), F.lit(mask))
     masked = F.concat(F.array_join(F.transform(cut, piece), ""), F.substr(F.col(text), F.element_at(cut, -1)["end"].cast("int") + 1))
     joined = keyed.join(found, (F.col(key).eqNullSafe(F.col("_id"))) & (F.col("_hash") == F.col("_h")), "left")
-    return joined.withColumn(text, F.when(cut.isNotNull(), masked).otherwise(F.col(text))).select(*(F.col(f"`{n}`") for n in names))
+    return joined.withColumn(text, F.when(cut.isNotNull(), masked).otherwise(F.col(text))).select(*plain).toDF(*names)
