@@ -3,9 +3,10 @@
 1. One pass counts, in each batch of rows, the words and shingles that the batch repeats; the most frequent of the whole
    corpus, a fixed number of them, only set an order: likely shingles, by their words, late, and common shingles last.
 2. One pass makes every document's shingle set in that order. Equal sets are one class from here on.
-3. Two sets that are similar enough share ``SHARED`` shingles, or all they need where that is less, among the first n -
-   ceil(threshold n) + ``SHARED`` of each (any order gives this). Classes that share so many, and neighbours by size among
-   the many classes that share one shingle, are joined into families; no link leaves a family.
+3. Two sets that are similar enough share ``SHARED`` percent of n shingles among the first n - ceil(threshold n) + that
+   many of each (any order gives this). Pairs that share so many form families; no link leaves a family. Shingles that
+   more than ``SMALL`` classes hold are not paired: a pair may miss as many as both hold of these, and classes that hold
+   so many that they could share no others are joined to their neighbours by size among such classes.
 4. Families are dealt to tasks with their sets. In a task a family becomes a tree: nodes hold the OR of their members'
    token bitmaps and their range of sizes. A dual traversal leaves out node pairs whose greatest possible overlap is too
    small, whose sizes differ too much or whose members are already linked; what reaches two documents is counted exactly.
@@ -29,9 +30,9 @@ from quiltgraph.llm.texts import LOWER, U, grams, lists, mix, sequence_hashes, s
 
 SHINGLE = 5
 PERCENT = 80
-COMMON_WORDS, COMMON_SHINGLES = 1 << 16, 1 << 18
+COMMON_WORDS, COMMON_SHINGLES = 1 << 16, 1 << 20
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 22
-SHARED, SMALL = 4, 4
+SHARED, SMALL = 15, 6
 LEAF = 32
 BITS = 2048
 BROADCAST_IDS = 1_000_000
@@ -125,7 +126,7 @@ def _sets(shared, k: int, percent: int):
                 bounds = np.searchsorted(rows, np.arange(n + 1))
                 total = [np.concatenate([np.zeros(1, U), np.cumsum(mix(made, s))]) for s in (31, 32)]
                 order = np.lexsort((made, key, rows))
-                length = np.minimum(size, size - -(-percent * size // 100) + SHARED)
+                length = np.minimum(size, size - -(-percent * size // 100) + shared_at_least(size))
                 inside = np.arange(len(rows)) - bounds[:-1][rows] < length[rows]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(size.astype(np.int64)),
@@ -136,39 +137,68 @@ def _sets(shared, k: int, percent: int):
     return run
 
 
-def _neighbours(percent: int):
-    """From (shingle, size, id) sorted by all three: pairs of ids that may be similar enough, by their sizes.
+def shared_at_least(size):
+    """How many shingles two similar sets share among the prefixes; the smaller of both sets' numbers counts."""
+    return np.maximum(1, size * SHARED // 100)
+
+
+def _emit(token, size, ident, crowded, percent: int):
+    """Pairs of ids that hold one shingle with few others, and the ids that hold one with many."""
+    out = []
+    for lag in range(1, SMALL):
+        if len(token) <= lag:
+            break
+        pair = (token[lag:] == token[:-lag]) & ~crowded[lag:] & (100 * size[:-lag] >= percent * size[lag:]) & (ident[lag:] != ident[:-lag])
+        a, b = ident[lag:][pair], ident[:-lag][pair]
+        out.append((np.maximum(a, b), np.minimum(a, b), shared_at_least(size[:-lag][pair]), np.zeros(len(a), np.int64)))
+    out.append((ident[crowded], token[crowded], size[crowded], np.ones(int(crowded.sum()), np.int64)))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "n", "crowded"])
 
-    Up to ``SMALL`` ids with one shingle give all their pairs, each with the number of shared prefix shingles it needs;
-    more ids only give those next to each other in size, with a need of 1: between two ids of fitting size all others fit.
-    """
+
+def _groups(percent: int):
+    """From (shingle, size, id) sorted by all three: what ``_emit`` gives; groups may run over many batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, open_token = None, None
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            if not len(cols[0]):
+                continue
+            if carry is not None:
+                cols = [np.concatenate(c) for c in zip(carry, cols, strict=True)]
+            token = cols[0]
+            new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            held = np.diff(np.append(new, len(token)))
+            many = held > SMALL
+            many[0] |= open_token is not None and token[0] == open_token
+            # A last group that is still small may go on in the next batch.
+            open_token = token[-1] if many[-1] else None
+            end = len(token) if many[-1] else new[-1]
+            carry = None if many[-1] else [c[end:] for c in cols]
+            yield _emit(*(c[:end] for c in cols), np.repeat(many, held)[:end], percent)
+        if carry is not None:
+            yield _emit(*carry, np.zeros(len(carry[0]), bool), percent)
+
+    return run
+
+
+def _chains(percent: int):
+    """From (shingle, size, id) sorted by all three: ids next to each other in size. Between two of fitting size all fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            n = len(cols[0])
-            if not n:
+            if not len(cols[0]):
                 continue
             if last is not None:
                 cols = [np.concatenate([[x], c]) for x, c in zip(last, cols, strict=True)]
-                n += 1
             last = [c[-1] for c in cols]
             token, size, ident = cols
-            new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            held = np.diff(np.append(new, n))
-            small = np.repeat(held <= SMALL, held)
-            # What a batch border cuts is treated as large: neighbours with a need of 1.
-            small &= (token != token[0]) & (token != token[-1])
-            for lag in range(1, SMALL):
-                if n <= lag:
-                    break
-                pair = (token[lag:] == token[:-lag]) & (100 * size[:-lag] >= percent * size[lag:]) & (ident[lag:] != ident[:-lag])
-                pair &= small[lag:] if lag > 1 else True
-                a, b, few = ident[lag:][pair], ident[:-lag][pair], small[lag:][pair]
-                least = -(-percent * (size[lag:][pair] + size[:-lag][pair]) // (100 + percent))
-                need = np.where(few, np.minimum(SHARED, least), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(need.astype(np.int32))], names=["a", "b", "need"])
+            pair = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:]) & (ident[1:] != ident[:-1])
+            a, b = ident[1:][pair], ident[:-1][pair]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     return run
 
@@ -335,8 +365,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str
     classes_of = cut_lineage(full.groupBy("_s1", "_s2", "n_shingles").agg(F.min("_id").alias("_class"), F.count("*").alias("_n")))
     chosen = full.join(classes_of.select("_s1", "_s2", "n_shingles", F.col("_class").alias("_id")), ["_s1", "_s2", "n_shingles", "_id"], "left_semi")
     tokens = chosen.select(F.explode("_prefix").alias("t"), "n_shingles", "_id").repartition("t").sortWithinPartitions("t", "n_shingles", "_id")
-    near = cut_lineage(tokens.mapInArrow(_neighbours(percent), "a bigint, b bigint, need int").groupBy("a", "b").agg(
-        F.count("*").alias("n"), F.min("need").alias("need")).filter("n >= need").select("a", "b"))
+    near = cut_lineage(_candidates(tokens, percent))
     family = cut_lineage(connected(near))
     links = cut_lineage(_link_families(own, chosen, family, percent, k))
 
@@ -350,6 +379,23 @@ def classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str
         F.col("_id").cast(docs.schema[key].dataType).alias(key), "n_shingles", F.coalesce("component", "_id").alias("component_id"))
 
 
+def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose components hold every similar pair."""
+    found = cut_lineage(tokens.mapInArrow(_groups(percent), "a bigint, b bigint, n bigint, crowded bigint"))
+    crowds = found.filter("crowded = 1")
+    held = cut_lineage(crowds.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("c"), F.min("n").alias("size")))
+    pairs = found.filter("crowded = 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("n").alias("need"))
+    of = lambda side: held.select(F.col("id").alias(side), F.col("c").alias(f"c_{side}"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    both = F.least(F.coalesce("c_a", F.lit(0)), F.coalesce("c_b", F.lit(0)))
+    few = pairs.filter((F.col("shared") >= F.greatest(F.lit(1), F.col("need") - both))).select("a", "b")
+    # Only two documents that both hold that many crowded shingles can share no others; the partner may be a fifth smaller.
+    full = held.filter(F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("size") * (SHARED * percent) / 10_000))).select(F.col("id").alias("a"))
+    chains = crowds.join(full, "a", "left_semi").select(F.col("b").alias("t"), "n", "a").repartition("t").sortWithinPartitions(
+        "t", "n", "a").mapInArrow(_chains(percent), "a bigint, b bigint")
+    return few.unionByName(chains).distinct()
+
+
 def _link_families(own: DataFrame, chosen: DataFrame, family: DataFrame, percent: int, k: int) -> DataFrame:
     """Verified links inside each family."""
     wanted = cut_lineage(chosen.select("_id", "_text_hash", "n_shingles").join(
