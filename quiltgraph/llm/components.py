@@ -1,27 +1,31 @@
 """Connected components of edges held in a DataFrame, by alternating large-star and small-star rounds.
 
-Only aggregates with map-side combining and salted joins: a node with a third of all edges is split over tasks. Every
-round's edges are written to the checkpoint folder, so a lost executor costs one round.
+Up to ``ONE_TASK`` edges a star takes one shuffle, and a node's edges fit one task whatever they are. Beyond, the smallest
+neighbour of a node is an aggregate combined before its shuffle and joined back with salts, so that a node with a third of
+all edges is split over tasks. Every round's edges are written to the checkpoint folder: a lost executor costs one round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltgraph.functions.sizes import cut_lineage, salted_join
 
 SALTS = 16
 MOST_ROUNDS = 60
+ONE_TASK = 4_000_000
 
 
-def _star(pairs: DataFrame) -> DataFrame:
+def _star(pairs: DataFrame, few: bool) -> DataFrame:
     """``pairs`` (u, v) with the smallest of u and its v beside each."""
+    if few:
+        return pairs.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return salted_join(pairs, least, ["u"], SALTS)
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
     """``node``, ``component`` (the smallest node reachable) for every node with an edge to another.
 
     Rows with a null end and loops are no edges; direction and repetition do not matter. No edges: no rows.
@@ -33,10 +37,10 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not state[0] or state == before:
             break
-        before = state
+        before, few = state, state[0] <= one_task
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _star(large)
+        large = _star(both, few).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _star(large, few)
         small = small.select("v", "m").filter("v != m").unionByName(small.select(F.col("u").alias("v"), "m"))
         pairs = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
     else:

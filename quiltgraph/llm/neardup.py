@@ -404,8 +404,8 @@ def _link_families(own: DataFrame, chosen: DataFrame, family: DataFrame, percent
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     members = salted_join(wanted.drop("n_shingles"), parts, ["component"], SALTS).withColumn(
         "part", F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int"))
-    if proven_small(wanted, BROADCAST_IDS):
-        own = own.join(F.broadcast(wanted.select("_id", "_text_hash")), ["_id", "_text_hash"], "left_semi")
+    if proven_small(wanted, BROADCAST_IDS):  # else the texts are shuffled to their families
+        members = F.broadcast(members)
     made = own.join(members, ["_id", "_text_hash"]).select("component", "part", "parts", "_id", "_text").mapInArrow(
         _with_sets(k), "component bigint, part int, parts int, _id bigint, _set array<bigint>")
     cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(

@@ -56,8 +56,9 @@ def test_words_and_hashes_by_hand():
 
 def test_components_of_a_chain_a_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 60)] + [(500, 500), (None, 7), (9, None), (3, 2)]
-    got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys(range(100, 160), 100)}
+    for one_task in (1000, 10):  # both forms of a star
+        got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
+        assert got == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys(range(100, 160), 100)}
     assert components.connected(spark.createDataFrame([], "a string, b string")).collect() == []
 
 
