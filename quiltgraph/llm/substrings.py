@@ -146,7 +146,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text
     rest = long.join(settled, ["_id", "_text_hash"], "left_anti").select("_id", "_text_hash", "_anchors").dropDuplicates(["_id", "_text_hash"])
 
     seeds = rest.select("_id", "_text_hash", F.explode(F.array_distinct("_anchors")).alias("_seed"))
-    repeated = seeds.groupBy("_seed").agg(F.min("_id").alias("_a"), F.max("_id").alias("_z")).filter("_a < _z").select("_seed")
+    # Written, so that the joins below have plain exchanges on both sides and a hot seed or window can be split.
+    repeated = cut_lineage(seeds.groupBy("_seed").agg(F.min("_id").alias("_a"), F.max("_id").alias("_z")).filter("_a < _z").select("_seed"))
     active = cut_lineage(seeds.join(repeated, "_seed", "left_semi").groupBy("_id", "_text_hash").agg(F.collect_list("_seed").alias("_seeds")))
 
     placed = _texts_of(own, active).select("_id", "_text_hash", "_text", "_seeds").mapInArrow(
@@ -155,7 +156,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text
     each = placed.select("_id", "_text_hash", F.explode(F.arrays_zip("_places", "_w1", "_w2")).alias("w")).select(
         "_id", "_text_hash", "w.*")
     least = each.groupBy("_w1", "_w2").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).filter("_least < _most")
-    covered = each.join(least.drop("_most"), ["_w1", "_w2"]).filter("_id > _least").groupBy("_id", "_text_hash").agg(
+    covered = each.join(cut_lineage(least.drop("_most")), ["_w1", "_w2"]).filter("_id > _least").groupBy("_id", "_text_hash").agg(
         F.collect_list("_places").alias("_covered"))
     cut = _texts_of(own, cut_lineage(covered)).select("_id", "_text_hash", "_text", "_covered").mapInArrow(
         _cut(window), f"{head}, n_removed bigint, kept_sha256 string").dropDuplicates(["_id", "_text_hash"])
