@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltgraph.config import Settings
@@ -49,21 +50,29 @@ def join_lookup(
     return salted_join(big, small, on, settings.salts, how)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows as a table in the cluster's checkpoint folder and continue from it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session in which tables between steps are written.
 
-    The table survives lost executors, is read column by column, and gives the
-    planner true sizes.
+    A cluster has to name one in ``spark.checkpoint.dir``; only a session in one
+    local process makes its own.
     """
-    spark = safe_unions(df).sparkSession
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         folder = context.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the cluster's checkpoint folder and continue from it.
+
+    The table survives lost executors, is read column by column, and gives the
+    planner true sizes. The folder belongs to whoever set it up and is cleared by them.
+    """
+    spark = safe_unions(df).sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -204,13 +204,15 @@ def summarize_entities(contexts: DataFrame, summarizer=RuleSummarizer(), setting
 def within_budget(entries: DataFrame, group: str, order: str, tokens: str, budget: int) -> DataFrame:
     """The longest prefix of each group, in order, whose tokens fit the budget.
 
-    An entry has at least one token, so the prefix has at most ``budget`` entries:
-    the first window keeps that many per group before the shuffle, the second sums.
+    Of the entries with tokens a prefix holds at most ``budget``, so no more of them
+    per group and task are shuffled; entries without tokens cost nothing and all stay
+    until the first one that does not fit.
     """
     w = Window.partitionBy(group).orderBy(order)
-    near = entries.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= budget)
-    total = F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return near.withColumn("used_tokens", total).filter(F.col("used_tokens") <= budget).drop("_rank")
+    costly = entries.filter(F.col(tokens) > 0).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= budget + 1).drop("_rank")
+    near = costly.unionByName(entries.filter(F.coalesce(F.col(tokens), F.lit(0)) <= 0))
+    total = F.sum(F.coalesce(F.col(tokens), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("used_tokens", total).filter(F.col("used_tokens") <= budget)
 
 
 def document_entries(entities: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -241,12 +243,11 @@ def document_summaries(
     )
     state = docs.select("doc_id").join(sizes, "doc_id", "left").join(found, "doc_id", "left").join(lists, "doc_id", "left")
     state = state.withColumn("_fixed", fixed)
-    cut = truncate_words(F.col("summary"), settings.embedding_tokens)
     if summarizer.in_spark:
         return summarizer.document(state).select(
-            "doc_id", F.coalesce("_fixed", cut).alias("summary"), F.col("_fixed").isNotNull().alias("placeholder")
+            "doc_id", F.coalesce("_fixed", "summary").alias("summary"), F.col("_fixed").isNotNull().alias("placeholder")
         )
     state = cut_lineage(state)
     plain = state.filter(F.col("_fixed").isNotNull()).select("doc_id", F.col("_fixed").alias("summary"), F.lit(True).alias("placeholder"))
     written = summarizer.document(state.filter(F.col("_fixed").isNull()))
-    return plain.unionByName(written.select("doc_id", cut.alias("summary"), F.lit(False).alias("placeholder")))
+    return plain.unionByName(written.select("doc_id", "summary", F.lit(False).alias("placeholder")))

@@ -112,15 +112,16 @@ def _append(old: Column, new: Column, sep: str, repeat: bool) -> Column:
     joined = F.concat(old, F.lit(sep), new)
     if repeat:
         return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(joined)
-    return F.when(old.isNull(), new).when(new.isNull() | F.contains(old, new), old).otherwise(joined)
+    pieces = F.split(old, "\\Q" + sep + "\\E", -1)
+    return F.when(old.isNull(), new).when(new.isNull() | F.array_contains(pieces, new), old).otherwise(joined)
 
 
 def supplement_entities(existing: DataFrame, mentions: DataFrame, repeat: bool = False) -> DataFrame:
     """Insert new entities; append new descriptions to known ones.
 
     ``existing`` is (doc_id, name, summary, is_named_entity); ``mentions`` carries
-    ``seen_at`` and arrives in that order. Text already contained is not appended
-    again unless ``repeat``.
+    ``seen_at`` and arrives in that order. A text that is already one of the
+    appended pieces is not appended again unless ``repeat``.
     """
     ordered = F.array_sort(F.collect_list(F.struct("seen_at", "description", "is_named_entity")))
     arrived = mentions.groupBy("doc_id", "name").agg(ordered.alias("_a"))

@@ -99,10 +99,16 @@ def score_pairs(pairs: DataFrame, scorer=RuleScorer(), settings: Settings = DEFA
 
 
 def link_entities(entities: DataFrame, vectors: DataFrame, scorer=RuleScorer(), settings: Settings = DEFAULT) -> DataFrame:
-    """All scored pairs of candidate entities; ``vectors`` is (entity_id, vector)."""
-    with_vectors = entities.filter("is_named_entity").join(vectors.select("entity_id", "vector"), "entity_id", "left")
-    groups = candidate_groups(with_vectors, settings, ["summary", "vector"])
-    return score_pairs(candidate_pairs(groups), scorer, settings)
+    """All scored pairs of candidate entities; ``vectors`` is (entity_id, vector).
+
+    Groups are formed on ids; summaries and vectors are joined to the members of
+    surviving groups only, at most ``max_docs`` for each name.
+    """
+    groups = cut_lineage(candidate_groups(entities, settings))
+    members = groups.select("name", F.explode("members").alias("m")).select("name", "m.entity_id")
+    told = members.join(entities.select("entity_id", "summary"), "entity_id").join(vectors.select("entity_id", "vector"), "entity_id", "left")
+    full = told.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("entity_id", "summary", "vector"))).alias("members"))
+    return score_pairs(candidate_pairs(full), scorer, settings)
 
 
 def fast_links(entities: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

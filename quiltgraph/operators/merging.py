@@ -2,7 +2,8 @@
 
 A name may occur in a third of all rows. Counts and votes are aggregated before
 the shuffle; texts are gathered only for names with few distinct fragments, and
-many fragments are summarised block by block.
+many fragments are summarised block by block, so every name and edge gets a
+description.
 """
 
 from __future__ import annotations
@@ -13,16 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.functions.rows import unnest
-from quiltgraph.functions.sizes import cut_lineage
+from quiltgraph.functions.sizes import cut_lineage, salted_join
 from quiltgraph.functions.text import strip
 from quiltgraph.models.clients import TextModel, replies
-from quiltgraph.operators.ranking import top_k
 
 # The delimiters of a record reply and of stored fragments.
 TUPLE, RECORD, COMPLETE = "<|>", "##", "<|COMPLETE|>"
 FRAGMENT_SEP = "<SEP>"
 UNKNOWN_TYPE = "UNKNOWN"
 SUMMARY_AT = 6
+SALTS = 16
 
 
 def parse_records(rows: DataFrame, keep: list[str], reply: str = "reply") -> tuple[DataFrame, DataFrame]:
@@ -42,42 +43,49 @@ def parse_records(rows: DataFrame, keep: list[str], reply: str = "reply") -> tup
     return entities, relations
 
 
-def merge_nodes(mentions: DataFrame, few: int = SUMMARY_AT) -> DataFrame:
-    """Per name: most frequent type (first seen on a tie), fragment and source counts, texts when few.
+def digest_blocks(blocks: DataFrame) -> DataFrame:
+    """Summary by rule of a block's ``text``: how many fragments it joins, the first and the last."""
+    parts = F.split("text", FRAGMENT_SEP)
+    return blocks.withColumn("summary", F.concat(
+        F.size(parts).cast("string"), F.lit(" fragments from "), F.element_at(parts, 1), F.lit(" to "), F.element_at(parts, -1)))
 
-    ``mentions`` is (name, entity_type, description, source_id, order). The
-    description is null where a name has ``few`` or more distinct fragments;
-    ``summarize_fragments`` gives those.
+
+def merge_nodes(
+    mentions: DataFrame, summarize: Callable[[DataFrame], DataFrame] = digest_blocks, few: int = SUMMARY_AT
+) -> DataFrame:
+    """Per name: most frequent type (first seen on a tie), fragment and source counts, one description.
+
+    ``mentions`` is (name, entity_type, description, source_id, order), read once:
+    all four results roll up from the distinct combinations.
     """
-    by_type = mentions.groupBy("name", "entity_type").agg(F.count("*").alias("n"), F.min("order").alias("first"))
+    seen = cut_lineage(mentions.groupBy("name", "entity_type", "description", "source_id").agg(
+        F.count("*").alias("n"), F.min("order").alias("first")))
+    by_type = seen.groupBy("name", "entity_type").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     types = by_type.groupBy("name").agg(F.max_by("entity_type", F.struct("n", (-F.col("first")).alias("f"))).alias("entity_type"))
-    fragments = mentions.select("name", "description").distinct()
+    fragments = cut_lineage(seen.select("name", "description").distinct())
     counts = fragments.groupBy("name").agg(F.count("*").alias("n_fragments"))
-    sources = mentions.select("name", "source_id").distinct().groupBy("name").agg(F.count("*").alias("n_sources"))
-    return types.join(counts, "name").join(sources, "name").join(_joined_when_few(fragments, ["name"], few), "name", "left")
-
-
-def _joined_when_few(fragments: DataFrame, key: list[str], few: int) -> DataFrame:
-    near = top_k(fragments, key, [F.asc("description")], few)
-    joined = near.groupBy(*key).agg(F.array_sort(F.collect_list("description")).alias("_d")).filter(F.size("_d") < few)
-    return joined.select(*key, F.array_join("_d", FRAGMENT_SEP).alias("description"))
+    sources = seen.select("name", "source_id").distinct().groupBy("name").agg(F.count("*").alias("n_sources"))
+    described = summarize_fragments(fragments, summarize, few)
+    return types.join(counts, "name").join(sources, "name").join(described, "name", "left")
 
 
-def merge_edges(relations: DataFrame, few: int = SUMMARY_AT) -> DataFrame:
-    """Undirected edges without self-loops: summed weight, keyword union, texts when few."""
+def merge_edges(
+    relations: DataFrame, summarize: Callable[[DataFrame], DataFrame] = digest_blocks, few: int = SUMMARY_AT
+) -> DataFrame:
+    """Undirected edges without self-loops: summed weight, keyword union, one description."""
     key = ["src_id", "tgt_id"]
     pairs = relations.filter(F.col("source") != F.col("target")).select(
         F.least("source", "target").alias("src_id"), F.greatest("source", "target").alias("tgt_id"),
         "description", "weight", "keywords",
     )
     weights = pairs.groupBy(*key).agg(F.sum("weight").alias("weight"))
-    fragments = pairs.filter(F.col("description") != "").select(*key, "description").distinct()
+    fragments = cut_lineage(pairs.filter(F.col("description") != "").select(*key, "description").distinct())
     counts = fragments.groupBy(*key).agg(F.count("*").alias("n_fragments"))
     split = F.explode_outer(F.split("keywords", ",")).alias("k")
     words = pairs.select(*key, split).select(*key, F.trim("k").alias("k")).filter("k <> ''").distinct()
     union = words.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("keywords"))
     out = weights.join(counts, key, "left").join(union, key, "left")
-    return out.join(_joined_when_few(fragments, key, few), key, "left")
+    return out.join(summarize_fragments(fragments, summarize, few, key), key, "left")
 
 
 def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -86,26 +94,31 @@ def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.join(nodes.select("name"), "name", "left_anti").withColumn("entity_type", F.lit(UNKNOWN_TYPE))
 
 
-def summarize_fragments(fragments: DataFrame, summarize: Callable[[DataFrame], DataFrame], few: int = SUMMARY_AT) -> DataFrame:
-    """One description per name from distinct (name, description) rows, however many there are.
+def summarize_fragments(
+    fragments: DataFrame, summarize: Callable[[DataFrame], DataFrame], few: int = SUMMARY_AT, key: list[str] | None = None
+) -> DataFrame:
+    """One description per ``key`` (by default name) from distinct fragments, however many there are.
 
-    Names with fewer than ``few`` fragments are joined. The fragments of the
-    others are cut into blocks of about ``few`` by hash, each block is summarised,
+    Keys with fewer than ``few`` fragments get them joined. The fragments of the
+    others are cut into blocks of about ``few`` by a hash, each block is summarised,
     and the summaries are the fragments of the next round.
     """
-    done, pending = None, fragments
+    key = key or ["name"]
+    done, pending = None, fragments.select(*key, "description")
     while True:
-        near = _joined_when_few(pending, ["name"], few)
+        counts = pending.groupBy(*key).agg(F.count("*").alias("_n"))
+        sized = cut_lineage(salted_join(pending, counts, key, SALTS))
+        near = sized.filter(F.col("_n") < few).groupBy(*key).agg(
+            F.array_join(F.array_sort(F.collect_list("description")), FRAGMENT_SEP).alias("description"))
         done = near if done is None else done.unionByName(near)
-        pending = pending.join(near.select("name"), "name", "left_anti")
-        if pending.isEmpty():
+        many = sized.filter(F.col("_n") >= few)
+        if many.isEmpty():
             return done
-        counts = pending.groupBy("name").agg(F.ceil(F.count("*") / few).alias("_blocks"))
-        block = F.pmod(F.xxhash64("description"), F.col("_blocks")).alias("_b")
-        blocks = pending.join(counts, "name").select("name", "description", block).groupBy("name", "_b").agg(
-            F.array_join(F.array_sort(F.collect_list("description")), FRAGMENT_SEP).alias("text")
-        )
-        pending = cut_lineage(summarize(blocks).select("name", F.col("summary").alias("description")).distinct())
+        place = F.conv(F.substring(F.md5("description"), 1, 8), 16, 10).cast("bigint")
+        n_blocks = F.ceil(F.col("_n") / few)
+        blocks = many.select(*key, "description", (place % n_blocks).alias("_b")).groupBy(*key, "_b").agg(
+            F.array_join(F.array_sort(F.collect_list("description")), FRAGMENT_SEP).alias("text"))
+        pending = cut_lineage(summarize(blocks).select(*key, F.col("summary").alias("description")).distinct())
 
 
 def document_index(mentions: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:

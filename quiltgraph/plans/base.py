@@ -207,9 +207,7 @@ summary_text AS (
       WHEN n IS NULL THEN 'No named entities found to generate a summary.' END AS fixed
   FROM summary_state),
 summaries AS (
-  SELECT doc_id, coalesce(fixed, CASE WHEN len({words('long_text')}) > 2048
-      THEN array_to_string(({words('long_text')})[1:2048], ' ') ELSE long_text END) AS summary, fixed IS NOT NULL AS placeholder
-  FROM summary_text)
+  SELECT doc_id, coalesce(fixed, long_text) AS summary, fixed IS NOT NULL AS placeholder FROM summary_text)
 """
 
 SQL_EDGES = """

@@ -96,14 +96,15 @@ def entity_summaries(spark, d):
 
 
 @query("token_budget", with_(f"""
-sized AS (SELECT conv_id, turn, len({base.words('text')}) AS tokens FROM conversations),
+sized AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 0 ELSE len({base.words('text')}) END AS tokens FROM conversations),
 used AS (SELECT conv_id, turn, tokens, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS used_tokens FROM sized)
 """) + "SELECT conv_id, turn, tokens::INT AS tokens, used_tokens FROM used WHERE used_tokens <= 300")
 def token_budget(spark, d):
-    """Turns of a conversation, in order, that fit 300 tokens."""
+    """Turns of a conversation, in order, that fit 300 tokens; every second turn costs nothing."""
     from quiltgraph.functions.text import word_count
 
-    turns = table(spark, d, "conversations").select("conv_id", "turn", word_count(F.col("text")).alias("tokens"))
+    tokens = F.when(F.col("turn") % 2 == 1, 0).otherwise(word_count(F.col("text"))).alias("tokens")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", tokens)
     return fusion.within_budget(turns, "conv_id", "turn", "tokens", 300)
 
 
@@ -297,6 +298,24 @@ def supplement_append(spark, d):
     return graph.supplement_entities(stored, later, repeat=True).select("doc_id", "name", "summary", "created")
 
 
+@query("supplement_distinct", with_(SQL_CHUNKS, SQL_MENTIONS) + r"""
+, ranked AS (SELECT doc_id, name, description, seen, chunk_order_index = 0 AS stored FROM mentions),
+first AS (SELECT doc_id, name, min_by(description, seen) AS summary FROM ranked WHERE stored GROUP BY ALL),
+later AS (
+  SELECT r.doc_id, r.name, r.description, min(r.seen) AS seen FROM ranked r LEFT JOIN first f USING (doc_id, name)
+  WHERE NOT r.stored AND r.description IS DISTINCT FROM f.summary GROUP BY ALL),
+more AS (SELECT doc_id, name, string_agg(description, chr(10) || chr(10) || '--- (追加描述) ---' || chr(10) ORDER BY seen) AS more FROM later GROUP BY ALL)
+SELECT doc_id, name, CASE WHEN summary IS NULL THEN more WHEN more IS NULL THEN summary
+  ELSE summary || chr(10) || chr(10) || '--- (追加描述) ---' || chr(10) || more END AS summary
+FROM first FULL JOIN more USING (doc_id, name)""")
+def supplement_distinct(spark, d):
+    """The default form: a description that is already one of the pieces is not appended again."""
+    m = base.mentions(spark, d).withColumn("seen_at", fusion.seen_at())
+    stored = m.filter("chunk_order_index = 0").groupBy("doc_id", "name").agg(
+        F.min_by("description", "seen_at").alias("summary"), F.max("is_named_entity").alias("is_named_entity"))
+    return graph.supplement_entities(stored, m.filter("chunk_order_index > 0")).select("doc_id", "name", "summary")
+
+
 @query("supplement_relations", with_(*REL) + r"""
 , kept AS (
   SELECT r.* FROM relations r SEMI JOIN entities a ON a.doc_id = r.doc_id AND a.name = r.source

@@ -5,33 +5,35 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiltgraph.functions.sizes import cut_lineage
+from quiltgraph.models.clients import embed
 from quiltgraph.operators import graph, linking
 from quiltgraph.plans import base
 from quiltgraph.plans.base import SQL_CHUNKS, SQL_CONTEXTS, SQL_ENTITIES, SQL_GROUPS, SQL_MENTIONS, SQL_RELATIONS, with_
 from quiltgraph.plans.registry import query
-from quiltgraph.sources.tables import table
 
 ENT = (SQL_CHUNKS, SQL_MENTIONS, SQL_ENTITIES, SQL_GROUPS)
-SCORED = (SQL_CHUNKS, SQL_MENTIONS, SQL_RELATIONS, SQL_ENTITIES, SQL_CONTEXTS, SQL_GROUPS, f"""
+SCORED = (SQL_CHUNKS, SQL_MENTIONS, SQL_RELATIONS, SQL_ENTITIES, SQL_CONTEXTS, SQL_GROUPS, """
+grouped AS (SELECT s.entity_id, s.summary FROM summarized s WHERE s.entity_id IN (SELECT entity_id FROM candidates))""",
+base.sql_vectors("sv", "grouped", "entity_id", "summary"), f"""
 pair_words AS (
-  SELECT p.*, list_distinct({base.words('a.summary')}) AS wa, list_distinct({base.words('b.summary')}) AS wb, x.embedding AS va, y.embedding AS vb
-  FROM candidate_pairs p JOIN summarized a ON a.entity_id = id_a JOIN summarized b ON b.entity_id = id_b
-  JOIN embeddings x ON x.vec_id = doc_a JOIN embeddings y ON y.vec_id = doc_b),
+  SELECT p.*, list_distinct({base.words('a.summary')}) AS wa, list_distinct({base.words('b.summary')}) AS wb
+  FROM candidate_pairs p JOIN grouped a ON a.entity_id = id_a JOIN grouped b ON b.entity_id = id_b),
+pair_dots AS (
+  SELECT p.id_a, p.id_b, sum(x.v * y.v) AS dot FROM candidate_pairs p JOIN sv x ON x.entity_id = p.id_a
+  JOIN sv y ON y.entity_id = p.id_b AND y.slot = x.slot GROUP BY ALL),
 pair_parts AS (
-  SELECT name, id_a, id_b, len(list_intersect(wa, wb)) AS shared, len(list_distinct(list_concat(wa, wb))) AS total,
-    list_dot_product(va::DOUBLE[], vb::DOUBLE[]) / sqrt(list_dot_product(va::DOUBLE[], va::DOUBLE[]) * list_dot_product(vb::DOUBLE[], vb::DOUBLE[])) AS cos
-  FROM pair_words),
+  SELECT name, w.id_a, w.id_b, len(list_intersect(wa, wb)) AS shared, len(list_distinct(list_concat(wa, wb))) AS total,
+    CASE WHEN na.nn * nb.nn > 0 THEN coalesce(dot, 0) / sqrt(na.nn * nb.nn) ELSE 0 END AS cos
+  FROM pair_words w JOIN sv_norm na ON na.entity_id = w.id_a JOIN sv_norm nb ON nb.entity_id = w.id_b
+  LEFT JOIN pair_dots d ON d.id_a = w.id_a AND d.id_b = w.id_b),
 details AS (SELECT *, (shared * 10 // total)::INT AS llm_score, (shared * 10 // total) * 0.7::DOUBLE + cos * 10 * 0.3::DOUBLE AS score FROM pair_parts)
 """)
 
 
 def details(spark, d):
-    """Scored pairs; each entity carries the vector of its document."""
-    e = base.summarized(spark, d)
-    by_doc = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    with_vectors = e.filter("is_named_entity").join(by_doc, "doc_id", "left")
-    groups = linking.candidate_groups(with_vectors, carry=["summary", "vector"])
-    return linking.score_pairs(linking.candidate_pairs(groups))
+    """Scored pairs; every entity carries the vector of its own summary."""
+    told = cut_lineage(base.summarized(spark, d))
+    return linking.link_entities(told, told.select("entity_id", embed(F.col("summary"), base.EMBEDDER).alias("vector")))
 
 
 @query("candidate_groups", with_(*ENT) + """

@@ -121,14 +121,14 @@ def nested_paragraphs(spark, d):
 @query("question_lines", """
 WITH n AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS p FROM conversations)
 SELECT CASE WHEN turn > 0 THEN conv_id || '_' || turn ELSE '2wiki_q_' || p END AS id, text AS question, role AS answer
-FROM n WHERE p < 10000 AND role <> 'assistant'""")
+FROM n WHERE p < 50 AND role <> 'assistant'""")
 def question_lines(spark, d):
-    """First 10 000 raw lines, then those that have every field; a missing id is made from the line number."""
+    """First 50 raw lines, then those that have every field; a missing id is made from the line number."""
     c = table(spark, d, "conversations")
     ids = F.when(F.col("turn") > 0, F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     body = F.struct(ids.alias("id"), F.col("text").alias("question"), F.when(F.col("role") != "assistant", F.col("role")).alias("answer"), F.array(F.lit("d")).alias("ids"))
     lines = c.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("position"), F.to_json(body).alias("value"))
-    return questions_from_lines(lines, limit=10_000, id_prefix="2wiki_q_").select("id", "question", "answer")
+    return questions_from_lines(lines, limit=50, id_prefix="2wiki_q_").select("id", "question", "answer")
 
 
 PARTS = "avail AS (SELECT p_partkey FROM part WHERE p_size <= 45), need AS (SELECT l_orderkey, l_partkey FROM lineitem)"
@@ -253,13 +253,30 @@ def delimited_records(spark, d):
     )
 
 
+def sql_described(fragments: str, key: str, few: int = 6, rounds: int = 12) -> str:
+    """``described`` (key, description) from distinct fragments: rounds of block summaries until fewer than ``few`` are left."""
+    parts = [f"f0 AS MATERIALIZED ({fragments})"]
+    for k in range(rounds):
+        parts.append(f"""s{k} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM f{k}),
+b{k} AS (
+  SELECT {key}, ('0x' || md5(description)[1:8])::BIGINT % ceil(n / {few}.0)::BIGINT AS b, string_agg(description, '<SEP>' ORDER BY description) AS text
+  FROM s{k} WHERE n >= {few} GROUP BY ALL),
+f{k + 1} AS MATERIALIZED (
+  SELECT DISTINCT {key}, len(string_split(text, '<SEP>')) || ' fragments from ' || string_split(text, '<SEP>')[1] || ' to ' || string_split(text, '<SEP>')[-1] AS description
+  FROM b{k})""")
+    few_left = " UNION ALL ".join(f"SELECT * FROM s{k} WHERE n < {few}" for k in range(rounds))
+    parts.append(f"described AS (SELECT {key}, string_agg(description, '<SEP>' ORDER BY description) AS description FROM ({few_left}) GROUP BY {key})")
+    return ",\n".join(parts)
+
+
 @query("node_merge", with_(SQL_CHUNKS, SQL_MENTIONS) + """
 , m AS (SELECT name, lang AS entity_type, description, source, doc_id * 1000000000000 + seen // 4294967296 * 1000000 + seen % 4294967296 AS o FROM mentions JOIN documents USING (doc_id)),
 t AS (SELECT name, entity_type, count(*) AS n, min(o) AS f FROM m GROUP BY ALL),
 k AS (SELECT name, arg_max(entity_type, n * 1e18::DOUBLE - f) AS entity_type FROM t GROUP BY name),
 best AS (SELECT name, entity_type FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, f) AS r FROM t) WHERE r = 1),
-c AS (SELECT name, count(DISTINCT description) AS n_fragments, count(DISTINCT source) AS n_sources, string_agg(DISTINCT description, '<SEP>' ORDER BY description) AS d FROM m GROUP BY name)
-SELECT name, entity_type, n_fragments, n_sources, CASE WHEN n_fragments < 6 THEN d END AS description FROM best JOIN c USING (name)""")
+c AS (SELECT name, count(DISTINCT description) AS n_fragments, count(DISTINCT source) AS n_sources FROM m GROUP BY name),
+""" + sql_described("SELECT DISTINCT name, description FROM m", "name") + """
+SELECT name, entity_type, n_fragments, n_sources, description FROM best JOIN c USING (name) JOIN described USING (name)""")
 def node_merge(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")
     order = F.col("doc_id") * 1_000_000_000_000 + F.col("chunk_order_index") * 1_000_000 + F.col("position")
@@ -271,20 +288,22 @@ def node_merge(spark, d):
 
 SQL_EDGE_MERGE = """
 pairs AS (SELECT least(source, target) AS src_id, greatest(source, target) AS tgt_id, description, strength, keywords FROM relations WHERE source <> target),
-weights AS (SELECT src_id, tgt_id, sum(strength) AS weight, count(DISTINCT description) AS n_fragments, string_agg(DISTINCT description, '<SEP>' ORDER BY description) AS d FROM pairs GROUP BY ALL),
+weights AS (SELECT src_id, tgt_id, sum(strength) AS weight, count(DISTINCT description) AS n_fragments FROM pairs GROUP BY ALL),
 words AS (SELECT src_id, tgt_id, string_agg(DISTINCT k, ',' ORDER BY k) AS keywords FROM (SELECT src_id, tgt_id, unnest(keywords) AS k FROM pairs) GROUP BY ALL)
 """
 
 
-def _edges(spark, d):
+def _edges(spark, d, few=merging.SUMMARY_AT):
     r = base.extracted(spark, d)[1].withColumn("keywords", F.array_join("keywords", ", ")).withColumnRenamed("strength", "weight")
-    return merging.merge_edges(r)
+    return merging.merge_edges(r, few=few)
 
 
-@query("edge_merge", with_(SQL_CHUNKS, SQL_MENTIONS, SQL_RELATIONS, SQL_EDGE_MERGE) + """
-SELECT src_id, tgt_id, weight, n_fragments, keywords, CASE WHEN n_fragments < 6 THEN d END AS description FROM weights JOIN words USING (src_id, tgt_id)""")
+@query("edge_merge", with_(SQL_CHUNKS, SQL_MENTIONS, SQL_RELATIONS, SQL_EDGE_MERGE) + ", " + sql_described(
+    "SELECT DISTINCT src_id, tgt_id, description FROM pairs", "src_id, tgt_id", 3) + """
+SELECT src_id, tgt_id, weight, n_fragments, keywords, description FROM weights JOIN words USING (src_id, tgt_id) JOIN described USING (src_id, tgt_id)""")
 def edge_merge(spark, d):
-    return _edges(spark, d)
+    """Three fragments are already many here, so that edges of the tables are summarised too."""
+    return _edges(spark, d, few=3)
 
 
 @query("missing_endpoints", with_(SQL_CHUNKS, SQL_MENTIONS, SQL_RELATIONS, SQL_EDGE_MERGE) + """

@@ -128,9 +128,12 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_multihop(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Multi-hop questions from Parquet, with their context as (title, sentences) pairs."""
+    """Multi-hop questions from Parquet, with their context as (title, sentences) pairs; ``limit`` takes the first in file order."""
     rows = spark.read.schema(schemas.MULTIHOP).parquet(path)
-    return rows if limit is None else rows.limit(limit)
+    if limit is None:
+        return rows
+    order = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.select("*", *(c.alias(f"_o{i}") for i, c in enumerate(order))).orderBy("_o0", "_o1", "_o2").limit(limit).drop("_o0", "_o1", "_o2")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -155,10 +158,19 @@ def read_answered(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_failed_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Failed chunks from one JSON array per document, the document named by its file."""
+    """Failed chunks with the document that names their file.
+
+    Two layouts are read: one JSON array per document in ``failed_chunks_*.json``, and the
+    folders per document that ``write_failed_chunks`` makes.
+    """
     rows = spark.read.schema(schemas.FAILED_CHUNK).option("multiLine", True).option("pathGlobFilter", "failed_chunks_*.json").json(path)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"failed_chunks_(.*)\.json", 1)
-    return rows.withColumn("file_doc_id", F.translate(F.url_decode(name), "_", " "))
+    rows = rows.select(*schemas.FAILED_CHUNK.fieldNames(), F.translate(F.url_decode(name), "_", " ").alias("file_doc_id"))
+    files, hadoop = _file_system(spark, f"{path.rstrip('/')}/document=*")
+    if not files.globStatus(hadoop):
+        return rows
+    written = spark.read.schema(schemas.FAILED_CHUNK).option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").json(path)
+    return rows.unionByName(written.withColumn("file_doc_id", F.col("doc_id")))
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -2,14 +2,14 @@
 
 Each table is a folder with one partition per batch. A batch is written once
 and overwritten if it is repeated; reading keeps the last row per key and drops
-rows marked as deleted. Nothing here depends on a table format.
+rows of deleted keys and documents. Nothing here depends on a table format.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltgraph.functions.sizes import safe_unions
@@ -30,6 +30,12 @@ KEYS = {
 
 @dataclass(frozen=True)
 class Store:
+    """Tables under ``root``. In a batch deletions come first and writes after them, in whatever order they are called.
+
+    A deletion names what it removes (keys, documents, or a whole table) and never looks at what is stored, and a batch
+    that is repeated writes the same again: repeating any call leaves the store as it was.
+    """
+
     spark: SparkSession
     root: str
 
@@ -39,31 +45,69 @@ class Store:
     def _write(self, rows: DataFrame, path: str, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
+    def _log(self, name: str) -> DataFrame | None:
+        path = self._path(name)
+        if not path_exists(self.spark, path):
+            return None
+        return safe_unions(self.spark.read.option("mergeSchema", True).option("basePath", path).parquet(path))
+
     def exists(self, name: str) -> bool:
         return path_exists(self.spark, self._path(name))
 
     def put(self, name: str, rows: DataFrame, batch: int) -> None:
-        """Upsert rows by key. Even batch slots hold writes, odd ones deletions."""
-        self._write(rows, self._path(name), 2 * batch)
+        """Upsert rows by key. Odd slots hold writes, even ones deletions."""
+        self._write(rows, self._path(name), 2 * batch + 1)
 
     def delete(self, name: str, keys: DataFrame, batch: int) -> None:
         """Remove rows by key; keys that are not stored do no harm."""
         marked = keys.select(*KEYS[name]).distinct().withColumn("_deleted", F.lit(True))
-        self._write(marked, self._path(name), 2 * batch + 1)
+        self._write(marked, self._path(name), 2 * batch)
 
-    def read(self, name: str) -> DataFrame | None:
-        """Current rows, or None when the table was never written."""
-        if not self.exists(name):
+    def _gone(self, name: str) -> DataFrame | None:
+        """Latest deletion of each document, as (doc_id, _slot), or of each of its entities for links."""
+        marks = self._log("deleted_documents")
+        if marks is None:
             return None
-        log = safe_unions(self.spark.read.option("mergeSchema", True).option("basePath", self._path(name)).parquet(self._path(name)))
+        gone = marks.groupBy("doc_id").agg(F.max("batch").alias("_slot"))
+        if name != "same_as":
+            return gone
+        known = self._log("entities")
+        if known is None or "doc_id" not in known.columns:
+            return None
+        held = known.filter("doc_id is not null").select("entity_id", "doc_id").distinct()
+        return held.join(gone, "doc_id").groupBy("entity_id").agg(F.max("_slot").alias("_slot"))
+
+    def read(self, name: str, where: Column | None = None, before: int | None = None) -> DataFrame | None:
+        """Current rows, or None when the table was never written.
+
+        ``where`` is a condition on key columns, applied to the files before versions are merged. ``before`` gives the
+        rows as they were before a batch.
+        """
+        log = self._log(name)
+        if log is None:
+            return None
+        until = F.lit(True) if before is None else F.col("batch") < 2 * before
+        log = log.filter(until) if where is None else log.filter(until & where)
+        cleared = self._log(f"cleared_{name}")
+        if cleared is not None:
+            last = cleared.filter(until).agg(F.max("batch")).first()[0]
+            log = log.filter(F.col("batch") >= (-1 if last is None else last))
         if "_deleted" not in log.columns:
             log = log.withColumn("_deleted", F.lit(None).cast("boolean"))
-        columns = [c for c in log.columns if c not in (*KEYS[name], "batch")]
-        current = last_by(log, KEYS[name], F.col("batch"), columns)
-        return current.filter(F.col("_deleted").isNull()).drop("_deleted")
-
-    def count(self, name: str) -> int:
-        rows = self.read(name)
+        columns = [c for c in log.columns if c not in KEYS[name]]
+        current = last_by(log, KEYS[name], F.col("batch"), columns).filter(F.col("_deleted").isNull()).drop("_deleted")
+        gone = self._gone(name)
+        if gone is not None and before is not None:
+            gone = gone.filter(F.col("_slot") < 2 * before)
+        for on in (() if gone is None else ("entity_1_id", "entity_2_id") if name == "same_as" else ("doc_id",)):
+            if on not in current.columns:
+                continue
+            named = gone.select(F.col("entity_id" if name == "same_as" else "doc_id").cast(current.schema[on].dataType).alias(on), "_slot")
+            current = current.join(named, on, "left").filter(F.col("_slot").isNull() | (F.col("batch") > F.col("_slot"))).drop("_slot")
+        return current.select(*[c for c in log.columns if c in current.columns and c != "batch"])
+
+    def count(self, name: str, where: Column | None = None) -> int:
+        rows = self.read(name, where)
         return 0 if rows is None else rows.count()
 
     def ids(self, name: str = "documents") -> DataFrame:
@@ -77,41 +121,31 @@ class Store:
 
     def drop(self, *names: str) -> None:
         """Remove tables with all their batches; a table that does not exist does no harm."""
-        for name in names or KEYS:
+        for name in names or (*KEYS, "deleted_documents"):
             remove_path(self.spark, self._path(name))
+            remove_path(self.spark, self._path(f"cleared_{name}"))
 
     def blob(self, doc_id) -> str | None:
         """Stored JSON of one document, or None."""
-        rows = self.read("blobs")
-        found = [] if rows is None else rows.filter(F.col("doc_id") == doc_id).select("blob").take(1)
+        rows = self.read("blobs", F.col("doc_id") == doc_id)
+        found = [] if rows is None else rows.select("blob").take(1)
         return found[0]["blob"] if found else None
 
-    def compact(self, name: str, target: "Store", batch: int = 0) -> None:
+    def compact(self, name: str, target: Store, batch: int = 0) -> None:
         """Write the current rows as one batch of another store."""
         target.put(name, self.read(name), batch)
 
     def delete_documents(self, ids: DataFrame, batch: int) -> None:
-        """Remove documents with everything derived from them; unknown ids do no harm."""
-        gone = ids.select("doc_id").distinct()
-        entities = self.read("entities")
-        lost = None if entities is None else entities.join(gone, "doc_id", "left_semi").select("entity_id")
-        for name in ("chunks", "entities", "sourced_from", "relations", "documents", "failed_chunks"):
-            rows = self.read(name)
-            if rows is not None:
-                self.delete(name, rows.join(gone, "doc_id", "left_semi"), batch)
-        links = self.read("same_as")
-        if links is not None and lost is not None:
-            hit = links.join(lost.withColumnRenamed("entity_id", "entity_1_id"), "entity_1_id", "left_semi").select(*KEYS["same_as"])
-            hit = hit.unionByName(links.join(lost.withColumnRenamed("entity_id", "entity_2_id"), "entity_2_id", "left_semi").select(*KEYS["same_as"]))
-            self.delete("same_as", hit, batch)
+        """Remove documents with everything derived from them, blobs and log entries too; unknown ids do no harm."""
+        self._write(ids.select("doc_id").distinct(), self._path("deleted_documents"), 2 * batch)
 
     def delete_all(self, name: str, batch: int) -> int:
-        """Remove every row of a table and say how many there were."""
-        rows = self.read(name)
+        """Remove every row that a table held before this batch and say how many there were."""
+        rows = self.read(name, before=batch)
         if rows is None:
             return 0
         n = rows.count()
-        self.delete(name, rows, batch)
+        self._write(self.spark.range(1).select(F.lit(name).alias("name")), self._path(f"cleared_{name}"), 2 * batch)
         return n
 
     def append_log(self, name: str, rows: DataFrame, batch: int) -> None:
@@ -129,7 +163,15 @@ class Store:
         self.append_log("processed", ids.select(F.col("doc_id").cast("string").alias("doc_id")), batch)
 
     def processed(self) -> DataFrame:
-        return self.read_log("processed", "doc_id string").distinct()
+        """Ids in the log that were not deleted since."""
+        path = self._path("log_processed")
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], "doc_id string")
+        rows, gone = self.spark.read.option("basePath", path).parquet(path), self._gone("documents")
+        if gone is not None:
+            named = gone.select(F.col("doc_id").cast("string").alias("doc_id"), "_slot")
+            rows = rows.join(named, "doc_id", "left").filter(F.col("_slot").isNull() | (2 * F.col("batch") + 1 > F.col("_slot")))
+        return rows.select("doc_id").distinct()
 
 
 def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
@@ -138,7 +180,7 @@ def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_failed_chunks(chunks: DataFrame, path: str) -> None:
-    """Failed chunks as JSON under one folder per document."""
+    """Failed chunks as JSON under one folder per document, as ``read_failed_chunks`` takes them."""
     columns = ["tokens", "content", "chunk_order_index", "chunk_id", "doc_id"]
     chunks.select(*columns, F.col("doc_id").alias("document")).write.mode("overwrite").partitionBy("document").json(path)
 

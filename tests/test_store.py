@@ -90,12 +90,73 @@ def test_ingest_save_delete(spark, folder):
     scored = link(store.read("entities"))[1]
     assert scored.count() == 2 and scored.filter("embedding_score between -1 and 1").count() == 2
     gone = spark.createDataFrame([(2,), (99,)], "doc_id long")
-    store.delete_documents(gone, 2)
-    assert rows(store.ids()) == [(1,), (3,)] and store.count("same_as") == 0
-    assert store.read("entities").filter("doc_id = 2").count() == 0
-    save(ingest(documents(spark).filter("doc_id = 2")), store, 3)
-    assert store.count("entities") == 5
-    assert store.delete_all("relations", 4) == 3 and store.count("relations") == 0 and store.read("missing") is None
+    for _ in range(2):
+        store.delete_documents(gone, 3)
+        assert rows(store.ids()) == [(1,), (3,)] and store.count("same_as") == 0
+        assert store.read("entities").filter("doc_id = 2").count() == 0
+        assert store.blob(2) is None and json.loads(store.blob(1))["doc_id"] == 1
+        assert rows(store.processed()) == [("1",), ("3",)]
+    save(ingest(documents(spark).filter("doc_id = 2")), store, 4)
+    assert store.count("entities") == 5 and store.count("same_as") == 0 and rows(store.processed()) == [("1",), ("2",), ("3",)]
+    assert [store.delete_all("relations", 5) for _ in range(2)] == [3, 3] and store.count("relations") == 0 and store.read("missing") is None
+
+
+def test_rewrite_and_order_inside_a_batch(spark, folder):
+    store = Store(spark, folder)
+    save(ingest(documents(spark)), store, 1)
+    shorter = spark.createDataFrame([(1, "Alpha met nobody and walked on alone for the rest of the long day")], "doc_id long, text string")
+    for _ in range(2):
+        save(ingest(shorter), store, 2, rewrite=True)
+        assert rows(store.read("entities").filter("doc_id = 1"), "name") == [("alpha",)] or store.read("entities").filter("doc_id = 1").count() <= 1
+        assert store.count("documents") == 3 and rows(store.read("chunks", F.col("chunk_id") == "1_0"), "content") == [(shorter.first()["text"],)]
+    chunk = store.read("chunks").filter("chunk_id = '1_0'")
+    for _ in range(2):
+        store.put("chunks", chunk, 3)
+        store.delete("chunks", chunk, 3)
+        assert store.count("chunks", F.col("chunk_id") == "1_0") == 1
+    store.delete("chunks", chunk, 4)
+    assert store.count("chunks", F.col("chunk_id") == "1_0") == 0
+
+
+class CountingModel:
+    """Summaries that differ from call to call."""
+
+    in_spark = False
+
+    def __init__(self, inner, path):
+        self.inner, self.path = inner, path
+
+    def _marked(self, rows):
+        path = self.path
+
+        @F.udf("string")
+        def mark(text):
+            import uuid
+
+            name = uuid.uuid4().hex
+            open(f"{path}/{name}", "w").close()
+            return f"{text} {name}"
+
+        return rows.withColumn("summary", mark.asNondeterministic()("summary"))
+
+    def entity(self, rows):
+        return self._marked(self.inner.entity(rows))
+
+    def document(self, rows):
+        return self._marked(self.inner.document(rows))
+
+
+def test_models_are_asked_once(spark, folder):
+    from quiltgraph.operators.fusion import RuleSummarizer
+
+    os.makedirs(f"{folder}/calls")
+    made = ingest(documents(spark), summarizer=CountingModel(RuleSummarizer(), f"{folder}/calls"))
+    asked = len(os.listdir(f"{folder}/calls"))
+    store = Store(spark, f"{folder}/store")
+    save(made, store, 1)
+    link(made.entities)
+    assert asked > 0 and len(os.listdir(f"{folder}/calls")) == asked
+    assert rows(store.read("documents"), "doc_id", "summary") == rows(made.documents, "doc_id", "summary")
 
 
 def test_sinks(spark, folder):
@@ -108,6 +169,7 @@ def test_sinks(spark, folder):
     assert rows(lines.read_answered(spark, f"{folder}/log")) == [("1",), ("2",)]
     write_failed_chunks(made.chunks, f"{folder}/failed")
     assert sorted(x for x in os.listdir(f"{folder}/failed") if "=" in x) == ["document=1", "document=2"]
+    assert rows(lines.read_failed_chunks(spark, f"{folder}/failed"), "chunk_id", "content") == rows(made.chunks, "chunk_id", "content")
 
 
 def test_repair_and_cleanup(spark, folder):
@@ -117,10 +179,13 @@ def test_repair_and_cleanup(spark, folder):
 
     made = ingest(documents(spark))
     failed = spark.createDataFrame([(12, "and so Delta came to Beta at last with many words more", 7, "1_7", 1)], "tokens int, content string, chunk_order_index int, chunk_id string, doc_id long")
-    changed, repaired, again = retry_failed(failed, made.entities, RuleExtractor())
+    changed, repaired, again, edges, relations = retry_failed(failed, made.entities, RuleExtractor(), made.relations)
     texts = {r["name"]: r["summary"] for r in changed.collect()}
     assert set(texts) == {"beta", "gamma", "delta"} and "追加描述" in texts["beta"] and texts["delta"] == "Delta came to"
     assert rows(repaired) == [(1,)] and again.count() == 0
+    assert rows(edges, "entity_id", "chunk_id") == [("1_beta", "1_7"), ("1_delta", "1_7")]
+    assert set(made.entities.columns) <= set(changed.columns) and changed.filter("name <> 'delta' and n_mentions is null").count() == 0
+    assert ("delta", "beta") in {(r["source_entity_name"], r["target_entity_name"]) for r in relations.collect()} and relations.columns == made.relations.columns
     docs, entities = refresh_summaries(made.documents, made.chunks, changed, repaired)
     assert rows(docs, "doc_id", "summary") == [(1, "Document about 3 named entities: beta, gamma, delta")]
     assert entities.count() == 3 and entities.filter("size(vector) = 64").count() == 3
@@ -128,8 +193,9 @@ def test_repair_and_cleanup(spark, folder):
     save(made, store, 1)
     store.put("blobs", document_blobs(made.documents, made.chunks, made.entities, made.sourced_from, made.relations), 1)
     assert json.loads(store.blob(1))["doc_id"] == 1 and store.blob(42) is None
-    gone = clean_up(store, spark.createDataFrame([(1,)], "doc_id long"), 2)
-    assert rows(gone) == [(2,), (3,)] and rows(store.ids()) == [(1,)]
+    for _ in range(2):
+        gone = clean_up(store, spark.createDataFrame([(1,)], "doc_id long"), 2)
+        assert rows(gone) == [(2,), (3,)] and rows(store.ids()) == [(1,)] and {r["doc_id"] for r in store.read("chunks").collect()} == {1}
     store.create("chunks", "chunk_id string")
     store.drop()
     assert store.read("documents") is None
@@ -151,11 +217,29 @@ def test_status_stream(spark, folder):
     documents(spark).filter("doc_id < 3").write.mode("append").parquet(f"{folder}/in")
     run()
     log = store.read_log("status", "doc_id string, status string, seq long, error string")
-    assert rows(status.latest(log), "doc_id", "status") == [("1", "PROCESSED"), ("2", "PROCESSED")] and log.count() == 2
+    assert rows(status.latest(log), "doc_id", "status") == [("1", "PROCESSED"), ("2", "PROCESSED")] and log.filter("status = 'PROCESSING'").count() == 2
     todo = status.queue(documents(spark).select(F.col("doc_id").cast("string").alias("doc_id")), status.latest(log))
     assert rows(todo) == [("3", "PENDING")]
 
 
+def test_one_bad_document_does_not_hold_up_a_stream(spark, folder):
+    spark.createDataFrame([(i, f"Text number {i} with a Name in it and more words") for i in range(6)] + [(3, "second copy")], "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/in")
+    store = Store(spark, f"{folder}/store")
+
+    def ingest_or_fail(todo):
+        if todo.filter("doc_id = 4").take(1):
+            raise ValueError("bad document " + "x" * 900)
+        return {"chunks": ingest(todo).chunks}
+
+    stream = spark.readStream.schema("doc_id long, text string").parquet(f"{folder}/in")
+    status.start(stream, ingest_or_fail, store, f"{folder}/check").awaitTermination(240)
+    log = status.latest(store.read_log("status", "doc_id string, status string, seq long, error string"))
+    assert rows(log, "doc_id", "status") == [(str(i), "FAILED" if i == 4 else "PROCESSED") for i in range(6)]
+    assert len(log.filter("doc_id = '4'").first()["error"]) > 900
+    assert rows(store.read("chunks"), "doc_id") == [(i,) for i in range(6) if i != 4]
+    assert store.read("chunks").filter("doc_id = 3").first()["content"].startswith("Text number 3")
+
+
 def test_settings():
     assert Settings().chunk_step == 480 and Settings().recall_width(5) == 10
     with pytest.raises(KeyError):
