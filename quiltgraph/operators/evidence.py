@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.config import Settings
+from quiltgraph.functions.sizes import cut_lineage
 from quiltgraph.functions.text import quoted_list
 from quiltgraph.functions.vectors import cosine, dot, squared_norm
 from quiltgraph.operators.graph import document_metadata, documents_by_names, linked_entities
@@ -131,7 +132,7 @@ def main_evidence(
     names up in the same document, which adds nothing new. ``per_chunk`` repeats
     an entity once per source chunk. Chunks are read only where a name is relevant.
     """
-    expansion = expand(selected, questions, know, settings)
+    expansion = cut_lineage(expand(selected, questions, know, settings))
     names = selected.select("question_id", "doc_id", "name")
     if not linked_summaries:
         names = names.unionByName(expansion.select("question_id", "doc_id", F.col("linked_name").alias("name")))

@@ -1,14 +1,15 @@
-"""Exact nearest vectors for a batch of questions.
+"""Exact nearest vectors and texts for a batch of questions.
 
-Few questions are sent to every task as one matrix, and each task keeps its best
-``k`` rows per question, so the vector table is read once and never shuffled.
-When the questions do not fit one block, questions and vectors are cut into
-blocks and every pair of blocks is one bounded group.
+A block of questions is sent to every task as one matrix, and each task keeps its
+best ``k`` rows per question, so the vector table is never shuffled; more questions
+take one pass for each block. A task holds one distance matrix of at most
+``query_block_rows`` x ``SUB_BLOCK`` numbers (32 MB with the defaults, about four
+of that size while it is made).
 """
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from quiltgraph.config import Settings
 from quiltgraph.operators.ranking import top_k
 
 DEFAULT = Settings()
+SUB_BLOCK = 1024
 
 
 def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
@@ -36,11 +38,20 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _best(q_ids, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, metric: str) -> pd.DataFrame:
-    """Every row that can be among the ``k`` nearest of a question, ties included."""
-    d = np.round(_distances(q, v, metric), 6) + 0.0
-    cut = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-    rows, cols = np.nonzero(d <= cut[:, None])
-    return pd.DataFrame({"_q": np.asarray(q_ids, dtype=object)[rows], "_v": ids[cols], "distance": d[rows, cols]})
+    """The ``k`` nearest rows of each question; of equally distant ones those with the smallest ids."""
+    order = np.argsort(ids, kind="stable")
+    d = np.round(_distances(q, v[order], metric), 6) + 0.0
+    return _top(np.asarray(q_ids, dtype=object), d, ids[order], k)
+
+
+def _top(q_ids: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    """Exactly the first ``k`` columns of each row by value, then place."""
+    k = min(k, d.shape[1])
+    cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    less, tied = d < cut, d == cut
+    keep = less | (tied & (np.cumsum(tied, axis=1) <= k - less.sum(axis=1, keepdims=True)))
+    rows, cols = np.nonzero(keep)
+    return pd.DataFrame({"_q": q_ids[rows], "_v": ids[cols], "distance": d[rows, cols]})
 
 
 def _keep(pool: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -60,18 +71,29 @@ def nearest(
     out = StructType([
         StructField("_q", q.schema["_q"].dataType), StructField("_v", v.schema["_v"].dataType), StructField("distance", DoubleType()),
     ])
-    head = q.limit(settings.query_block_rows + 1).collect()
-    if not head:
+    found = None
+    for head in _blocks(q, settings.query_block_rows):
+        part = _against(head, v, k, metric, out)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         found = q.sparkSession.createDataFrame([], out)
-    elif len(head) <= settings.query_block_rows:
-        found = _against_one_block(head, v, k, metric, out)
-    else:
-        found = _against_blocks(q, v, k, metric, out, settings)
     ranked = top_k(found, "_q", [F.asc("distance"), F.asc("_v")], k)
     return ranked.select(F.col("_q").alias(question), F.col("_v").alias(item), "distance", "rank")
 
 
-def _against_one_block(head: list, v: DataFrame, k: int, metric: str, out: StructType) -> DataFrame:
+def _blocks(q: DataFrame, rows: int) -> Iterator[list]:
+    """The rows of a table in lists of at most ``rows``, one list on the driver at a time."""
+    held = []
+    for row in q.toLocalIterator():
+        held.append(row)
+        if len(held) == rows:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _against(head: list, v: DataFrame, k: int, metric: str, out: StructType) -> DataFrame:
     q_ids = [r["_q"] for r in head]
     matrix = np.array([r["vector"] for r in head], dtype=np.float64)
     block = v.sparkSession.sparkContext.broadcast((q_ids, matrix))
@@ -80,8 +102,9 @@ def _against_one_block(head: list, v: DataFrame, k: int, metric: str, out: Struc
         ids, q = block.value
         pool = None
         for batch in batches:
-            if len(batch):
-                part = _best(ids, q, batch["_v"].to_numpy(), np.stack(batch["vector"].to_numpy()).astype(np.float64), k, metric)
+            for at in range(0, len(batch), SUB_BLOCK):
+                sub = batch.iloc[at : at + SUB_BLOCK]
+                part = _best(ids, q, sub["_v"].to_numpy(), np.stack(sub["vector"].to_numpy()).astype(np.float64), k, metric)
                 pool = _keep(part if pool is None else pd.concat([pool, part]), k)
         if pool is not None:
             yield pool
@@ -89,38 +112,61 @@ def _against_one_block(head: list, v: DataFrame, k: int, metric: str, out: Struc
     return v.mapInPandas(scan, out)
 
 
-def _against_blocks(q: DataFrame, v: DataFrame, k: int, metric: str, out: StructType, settings: Settings) -> DataFrame:
-    q_blocks = math.ceil(q.count() / settings.query_block_rows)
-    v_blocks = max(1, math.ceil(v.count() / settings.vector_shard_rows))
-
-    def block(c, n):
-        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-
-    def every(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+def sparse_nearest(
+    question_terms: DataFrame, docs: DataFrame, question: str, item: str, k: int, text: str = "text", settings: Settings = DEFAULT
+) -> DataFrame:
+    """Top ``k`` items by inner product of word counts: question terms are (question, term, weight) rows, items are texts.
 
-    left = q.withColumn("_qb", block("_q", q_blocks)).withColumn("_vb", every(v_blocks)).groupBy("_qb", "_vb")
-    right = v.withColumn("_vb", block("_v", v_blocks)).withColumn("_qb", every(q_blocks)).groupBy("_qb", "_vb")
+    A task counts the words of each text against one block of questions and keeps ``k`` items per question, so at
+    most that many rows of a question leave a task. Items that share no word with a question are not its results.
+    """
+    from quiltgraph.functions.text import words
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"_q": [], "_v": [], "distance": []})
-        stack = lambda s: np.stack(s.to_numpy()).astype(np.float64)
-        return _keep(_best(a["_q"].tolist(), stack(a["vector"]), b["_v"].to_numpy(), stack(b["vector"]), k, metric), k)
+    q = question_terms.groupBy(F.col(question).alias("_q")).agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+    d = docs.select(F.col(item).alias("_v"), words(F.lower(F.col(text))).alias("words"))
+    out = StructType([StructField("_q", q.schema["_q"].dataType), StructField("_v", d.schema["_v"].dataType), StructField("score", DoubleType())])
+    found = None
+    for head in _blocks(q, settings.query_block_rows):
+        part = _count_against(head, d, k, out)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = q.sparkSession.createDataFrame([], out)
+    kind = question_terms.schema["weight"].dataType
+    ranked = top_k(found, "_q", [F.desc("score"), F.asc("_v")], k)
+    return ranked.select(F.col("_q").alias(question), F.col("_v").alias(item), F.col("score").cast("bigint" if kind.typeName() != "double" else "double").alias("score"), "rank")
 
-    return left.cogroup(right).applyInPandas(meet, out)
 
+def _count_against(head: list, d: DataFrame, k: int, out: StructType) -> DataFrame:
+    postings: dict[str, tuple[list[int], list[float]]] = {}
+    for i, row in enumerate(head):
+        for t in row["terms"]:
+            held = postings.setdefault(t["term"], ([], []))
+            held[0].append(i)
+            held[1].append(float(t["weight"]))
+    made = {t: (np.array(i), np.array(w)) for t, (i, w) in postings.items()}
+    block = d.sparkSession.sparkContext.broadcast(([r["_q"] for r in head], made))
 
-def sparse_nearest(
-    question_terms: DataFrame, document_terms: DataFrame, question: str, item: str, k: int, settings: Settings = DEFAULT
-) -> DataFrame:
-    """Top ``k`` items by inner product of sparse vectors given as (id, term, weight) rows."""
-    from quiltgraph.functions.sizes import join_lookup
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, index = block.value
+        q_ids, pool = np.array(ids, dtype=object), None
+        for batch in batches:
+            for at in range(0, len(batch), SUB_BLOCK):
+                sub = batch.iloc[at : at + SUB_BLOCK].sort_values("_v")
+                scores = np.zeros((len(ids), len(sub)))
+                for column, held in enumerate(sub["words"]):
+                    for term, n in Counter(held if held is not None else ()).items():
+                        if term in index:
+                            rows, weights = index[term]
+                            scores[rows, column] += n * weights
+                part = _top(q_ids, -scores, sub["_v"].to_numpy(), k).rename(columns={"distance": "score"})
+                part["score"] = -part["score"]
+                part = part[part["score"] > 0]
+                pool = part if pool is None else pd.concat([pool, part])
+                pool = pool.sort_values(["_q", "score", "_v"], ascending=[True, False, True]).groupby("_q", sort=False).head(k)
+        if pool is not None:
+            yield pool
 
-    q = question_terms.select(question, "term", F.col("weight").alias("_w"))
-    met = join_lookup(document_terms, q, ["term"], settings)
-    scores = met.groupBy(question, item).agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
-    return top_k(scores, question, [F.desc("score"), F.asc(item)], k)
+    return d.mapInPandas(scan, out)
 
 
 def terms(docs: DataFrame, item: str, text: str = "text") -> DataFrame:

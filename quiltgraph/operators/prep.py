@@ -69,6 +69,16 @@ def stale_documents(processed: DataFrame, referenced: DataFrame, doc: str) -> Da
     return not_done(processed, referenced, doc)
 
 
+def united(rows: DataFrame, key: str, items: str) -> DataFrame:
+    """Sorted distinct union of the lists of each key."""
+    return rows.select(key, F.explode(items).alias("_item")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("_item")).alias(items))
+
+
+def distinct_titles(questions: DataFrame, contexts: str, title: str = "title") -> DataFrame:
+    """Titles named in the contexts of all questions, each once, in order."""
+    return questions.select(F.explode(contexts).alias("_c")).select(F.col(f"_c.{title}").alias(title)).distinct().orderBy(title)
+
+
 def progress(log: DataFrame, total: int) -> DataFrame:
     """Finished rows of a run log (duration), their mean seconds and the seconds left for the rest."""
     state = log.agg(F.count("*").alias("done"), F.avg("duration").alias("mean_seconds"))

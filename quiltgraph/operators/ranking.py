@@ -20,14 +20,14 @@ def top_k(df: DataFrame, group: str | list[str], order: list, k: int, rank: str
 
 
 def first_by(df: DataFrame, key: str, order: Column, columns: list[str]) -> DataFrame:
-    """First row per key. Aggregated before the shuffle, so a hot key is no bottleneck."""
-    return df.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("_r")).select(key, "_r.*")
+    """First row per key, rows without an order after all others. Aggregated before the shuffle, so a hot key is no bottleneck."""
+    return df.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(order.isNull(), order)).alias("_r")).select(key, "_r.*")
 
 
 def last_by(df: DataFrame, key: str | list[str], order: Column, columns: list[str]) -> DataFrame:
-    """Last row per key, aggregated the same way."""
+    """Last row per key, rows without an order before all others; aggregated the same way."""
     key = [key] if isinstance(key, str) else key
-    return df.groupBy(*key).agg(F.max_by(F.struct(*columns), order).alias("_r")).select(*key, "_r.*")
+    return df.groupBy(*key).agg(F.max_by(F.struct(*columns), F.struct(order.isNotNull(), order)).alias("_r")).select(*key, "_r.*")
 
 
 def fuse_rankings(ranked: DataFrame, group: str, item: str, k: int = 60, keep: int | None = None) -> DataFrame:

@@ -16,12 +16,13 @@ DEFAULT = Settings()
 
 def turn(questions: DataFrame, know: Knowledge, reasoner, embedder: Embedder, settings: Settings) -> DataFrame:
     """One turn for every question: decision columns plus routed and planned documents."""
-    asked = questions.withColumn("vector", embed(F.col("question"), embedder))
-    names = reasoner.names(asked)
+    asked = cut_lineage(questions.withColumn("vector", embed(F.col("question"), embedder)))
+    names = cut_lineage(reasoner.names(asked))
     routed = cut_lineage(route(asked, names, know, settings))
-    plan = reasoner.plan(asked, routed, names, know)
+    # Each of these is read several times below, so it is made once.
+    plan = cut_lineage(reasoner.plan(asked, routed, names, know))
     main, assist = plan.filter("role = 'main'"), plan.filter("role = 'assist'")
-    selected = reasoner.select(asked, main, names, know)
+    selected = cut_lineage(reasoner.select(asked, main, names, know))
     first = main_evidence(main, selected, asked, know, settings)
     second = assist_evidence(assist, know)
     # Main documents come first, each kind in plan order.
@@ -31,6 +32,7 @@ def turn(questions: DataFrame, know: Knowledge, reasoner, embedder: Embedder, se
     docs = routed.groupBy("question_id").agg(F.array_sort(F.collect_set("doc_id")).alias("routed_documents"))
     planned = plan.groupBy("question_id").agg(F.array_sort(F.collect_set("doc_id")).alias("planned_documents"))
     state = asked.drop("vector").join(gather(rows), "question_id", "left").join(docs, "question_id", "left").join(planned, "question_id", "left")
+    state = cut_lineage(state)
     return state.drop("history").join(reasoner.decide(state), "question_id").join(questions.select("question_id", "history"), "question_id")
 
 

@@ -84,13 +84,14 @@ def stored(spark: SparkSession, d: str) -> Knowledge:
 
 
 def knowledge(spark: SparkSession, d: str) -> Knowledge:
+    """Knowledge tables with vectors, every table and vector made once."""
     know = stored(spark, d)
     return Knowledge(
-        documents=know.documents.withColumn("vector", embed(F.col("summary"), EMBEDDER)),
-        chunks=know.chunks.withColumn("vector", embed(F.col("content"), EMBEDDER)),
-        entities=know.entities.withColumn("vector", embed(F.col("summary"), EMBEDDER)),
-        sourced_from=know.sourced_from,
-        same_as=know.same_as,
+        documents=cut_lineage(know.documents.withColumn("vector", embed(F.col("summary"), EMBEDDER))),
+        chunks=cut_lineage(know.chunks.withColumn("vector", embed(F.col("content"), EMBEDDER))),
+        entities=cut_lineage(know.entities.withColumn("vector", embed(F.col("summary"), EMBEDDER))),
+        sourced_from=cut_lineage(know.sourced_from),
+        same_as=cut_lineage(know.same_as),
     )
 
 

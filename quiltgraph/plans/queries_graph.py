@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quiltgraph.functions.sizes import join_lookup
 from quiltgraph.operators import fusion, graph
 from quiltgraph.operators.extract import known_endpoints
 from quiltgraph.plans import base
@@ -172,7 +173,7 @@ def summaries_by_name(spark, d):
 
     names = RuleReasoner().names(base.questions(spark, d))
     know = base.stored(spark, d)
-    wanted = know.entities.select("doc_id", "name").join(names, "name")
+    wanted = join_lookup(know.entities.select("doc_id", "name"), names, ["name"])
     found = graph.summaries_by_name(wanted, know.entities, know.sourced_from, per_chunk=True)
     return found.select("question_id", "doc_id", "name", "summary", "chunk_id")
 
@@ -194,14 +195,15 @@ SELECT x.doc_id, sum(n)::BIGINT AS n_entities FROM documents x JOIN per_doc ON s
 def entity_prefix_counts(spark, d):
     """Entities whose id starts with a document id, including ids of longer document ids.
 
-    Counted per document first; each count then meets the prefixes of its own
-    id, so the prefix match is an equi-join.
+    Counted per document, then summed for each prefix of an id before the shuffle,
+    so the prefix match is an equi-join with one row per prefix.
     """
     per_doc = base.entities(spark, d).groupBy(F.col("doc_id").cast("string").alias("d")).agg(F.count("*").alias("n"))
     size = F.sequence(F.lit(1), F.length("d"))
     prefixes = per_doc.select("n", F.explode(F.transform(size, lambda i: F.substring("d", F.lit(1), i))).alias("p"))
+    totals = prefixes.groupBy("p").agg(F.sum("n").alias("n_entities"))
     docs = documents(spark, d).select("doc_id", F.col("doc_id").cast("string").alias("p"))
-    return docs.join(prefixes, "p").groupBy("doc_id").agg(F.sum("n").alias("n_entities"))
+    return docs.join(totals, "p").select("doc_id", "n_entities")
 
 
 @query("document_audit", with_(*ENT, SQL_EDGES) + """
@@ -275,7 +277,7 @@ def delete_entities(spark, d):
 
     e = base.entities(spark, d)
     names = RuleReasoner().names(base.questions(spark, d)).select("name").distinct()
-    targets = e.select("doc_id", "name").join(names, "name", "left_semi")
+    targets = join_lookup(e.select("doc_id", "name"), names, ["name"], how="left_semi")
     return graph.delete_entities(e, targets)[1]
 
 

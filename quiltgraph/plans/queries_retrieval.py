@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quiltgraph.functions.sizes import cut_lineage
@@ -97,7 +99,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC,
 SELECT question_id, doc_id, score, rank FROM r WHERE rank <= 10""")
 def sparse_recall_topk(spark, d):
     """Inner product of word-count vectors."""
-    return nearest.sparse_nearest(_question_terms(spark, d), nearest.terms(documents(spark, d), "doc_id"), "question_id", "doc_id", 10)
+    return nearest.sparse_nearest(_question_terms(spark, d), documents(spark, d), "question_id", "doc_id", 10)
 
 
 def _question_terms(spark, d):
@@ -124,7 +126,7 @@ def hybrid_search(spark, d):
     dense = nearest.nearest(
         base.embedded_questions(spark, d), docs.withColumn("vector", embed(F.col("text"), EMBEDDER)), "question_id", "doc_id", 10, "unit_l2"
     )
-    sparse = nearest.sparse_nearest(_question_terms(spark, d), nearest.terms(docs, "doc_id"), "question_id", "doc_id", 10)
+    sparse = nearest.sparse_nearest(_question_terms(spark, d), docs, "question_id", "doc_id", 10)
     lists = dense.select("question_id", "doc_id", F.lit(0).alias("list_no"), "rank").unionByName(
         sparse.select("question_id", "doc_id", F.lit(1).alias("list_no"), "rank")
     )
@@ -312,7 +314,43 @@ def first_turn(spark, d):
     return turn(asked, base.knowledge(spark, d), RULES, EMBEDDER, Settings()).select("question_id", "decision", "content", "summary")
 
 
-@query("turn_loop")
+PER_TURN = (
+    SQL_QUESTIONS, QV, sql_distances("sd", "qv", "question_id", "sv", "doc_id"), ROUTE[-1], PLAN[-1], *EXPANSION, *BEST_CHUNKS, EVIDENCE[-1], """
+gathered AS (
+  SELECT question_id, string_agg(text, chr(10) || chr(10) ORDER BY position) AS evidence, count(*) AS n
+  FROM (SELECT * FROM main_text UNION ALL SELECT * FROM assist_text) GROUP BY question_id),
+decided AS (
+  SELECT b.item_id, b.original, b.text, b.history, b.main_docs, b.planned_docs, coalesce(contains(evidence, 'Relevant Entity Summaries:' || chr(10)), false) AS answered,
+    CASE WHEN contains(evidence, 'Relevant Entity Summaries:' || chr(10)) THEN 'Answered from evidence ' || md5(evidence)
+      ELSE regexp_replace(b.text, '^\\S+\\s*', '') END AS content, coalesce(n, 0) || ' pieces of evidence' AS summary
+  FROM benchmark b LEFT JOIN gathered g ON g.question_id = b.item_id),
+told AS (
+  SELECT d.item_id, d.original, d.answered, d.content,
+    CASE WHEN history = '' THEN '' ELSE history || chr(10) END || 'User Question: ' || d.text || chr(10) || 'LLM Summary: ' || summary AS history,
+    list_sort(list_distinct(main_docs || coalesce(r.docs, []))) AS main_docs, list_sort(list_distinct(planned_docs || coalesce(r.docs, []))) AS planned_docs
+  FROM decided d LEFT JOIN (SELECT question_id, list(DISTINCT doc_id) AS docs FROM routed GROUP BY question_id) r ON r.question_id = d.item_id)
+""")
+SHARED = (*DOC, SQL_EDGES, SQL_GROUPS, sql_vectors("sv", "(SELECT * FROM summaries WHERE NOT placeholder)", "doc_id", "summary"))
+
+
+def sql_turns(turns: int = 3) -> str:
+    """The loop unrolled: the tables of a turn are named after it, and its questions are those still open."""
+    block = ",\n".join(p.strip() for p in PER_TURN)
+    names = sorted(set(re.findall(r"^(\w+) AS (?:MATERIALIZED )?\(", block, re.M)), key=len, reverse=True)
+    parts = ["asked_1 AS (SELECT item_id, text, text AS original, '' AS history, []::BIGINT[] AS main_docs, []::BIGINT[] AS planned_docs FROM benchmark)"]
+    for k in range(1, turns + 1):
+        one = re.sub(rf"\b({'|'.join(names)})\b", rf"\1_{k}", block)
+        parts.append(re.sub(r"\bbenchmark\b", f"asked_{k}", one))
+        parts.append(f"""asked_{k + 1} AS (
+  SELECT item_id, content AS text, original, history, main_docs, planned_docs FROM told_{k} WHERE NOT answered)""")
+    ended = " UNION ALL ".join(
+        f"SELECT *, {k} AS turns FROM told_{k}" + (" WHERE answered" if k < turns else "") for k in range(1, turns + 1))
+    return with_(*SHARED, *parts) + f"""
+SELECT item_id AS question_id, original AS question, content AS answer, turns, array_to_string(main_docs, ',') AS main_documents,
+  array_to_string(planned_docs, ',') AS planned_documents, history AS conversation_history FROM ({ended})"""
+
+
+@query("turn_loop", sql_turns())
 def turn_loop(spark, d):
     """Answers of every question after at most three turns."""
     done = answer(base.questions(spark, d), base.knowledge(spark, d))

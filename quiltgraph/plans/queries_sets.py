@@ -215,18 +215,21 @@ def duplicate_texts(spark, d):
     return prep.duplicates(documents(spark, d).select(F.md5("text").alias("text_md5")), ["text_md5"])
 
 
-@query("distinct_titles", "SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+') AS title FROM pages ORDER BY title")
+@query("distinct_titles", "SELECT DISTINCT p_name AS title FROM part JOIN lineitem ON l_partkey = p_partkey ORDER BY title")
 def distinct_titles(spark, d):
-    """Sorted distinct sites of all pages."""
-    return table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]+", 0).alias("title")).distinct().orderBy("title")
+    """Sorted distinct names in the lists of parts that orders hold."""
+    _, need, parts = _sets(spark, d)
+    named = need.join(parts, "doc_id").groupBy("question_id").agg(F.collect_list(F.struct(F.col("p_name").alias("title"))).alias("context"))
+    return prep.distinct_titles(named, "context")
 
 
 @query("routed_document_union", """
-SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM events GROUP BY user_id""")
+SELECT l_orderkey AS question_id, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS documents FROM lineitem GROUP BY l_orderkey""")
 def routed_document_union(spark, d):
-    """Sorted distinct union over many small lists, as for documents routed in several turns."""
-    e = table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"))
-    return e
+    """Documents of every question over its turns: lists of one turn each, united."""
+    turns = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("question_id"), "l_returnflag").agg(
+        F.collect_list(F.col("l_partkey").cast("string")).alias("documents"))
+    return prep.united(turns, "question_id", "documents").select("question_id", F.array_join("documents", ",").alias("documents"))
 
 
 @query("prompt_cache_keys", with_(SQL_CHUNKS) + "SELECT chunk_id, sha256('" + prompts.TEMPLATES["entities"].split("{{")[0].replace("'", "''") + "' || content) AS prompt_key FROM chunks")
