@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.texts import LOWER, U, byte_class, grams, mix, slices, word_hashes, words
+from quiltgraph.llm.texts import LOWER, U, byte_class, grams, in_small_batches, mix, slices, word_hashes, words
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
@@ -188,7 +188,7 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, text
     spark = docs.sparkSession
     wanted = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
     blocks = max(1, -(-wanted.count() // ITEM_BLOCK))
-    picked = docs.select(*keys, F.col(text).alias("_text"))
+    picked = in_small_batches(docs).select(*keys, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     item_type = items.schema[item].dataType.simpleString()
     made = None

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.texts import code_points, gram_ids, letters, slices
+from quiltgraph.llm.texts import code_points, gram_ids, in_small_batches, letters, slices
 
 DIM = 1 << 15
 ORDERS = (1, 2, 3)
@@ -62,7 +62,7 @@ def fit(
                 names=["kind", "bucket", "n"],
             )
 
-    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("l is not null")
+    rows = in_small_batches(labelled).select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("l is not null")
     counted = rows.mapInArrow(count, "kind string, bucket int, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
     found = counted.toPandas()
     languages = sorted(found.kind.unique())
@@ -113,7 +113,7 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column] | None = None
             )
 
     keep = keep or {"doc_id": F.col("doc_id")}
-    picked = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).alias("_text"))
+    picked = in_small_batches(docs).select(*(c.alias(n) for n, c in keep.items()), F.col(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     return picked.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quiltgraph.functions.sizes import cut_lineage, proven_small, salted_join
 from quiltgraph.llm.components import SALTS, connected
-from quiltgraph.llm.texts import LOWER, U, grams, lists, mix, sequence_hashes, slices, word_hashes, words
+from quiltgraph.llm.texts import LOWER, U, grams, in_small_batches, lists, mix, sequence_hashes, slices, word_hashes, words
 
 SHINGLE = 5
 PERCENT = 80
@@ -351,7 +351,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str
     ``key`` has to be an integer. Other columns are not read.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(key).cast("bigint").alias("_id"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_text"))
+    own = in_small_batches(docs).select(F.col(key).cast("bigint").alias("_id"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_text"))
     often = cut_lineage(own.select("_text").mapInArrow(_repeated(k, 16, 3), "kind int, value bigint, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n")))
     top = lambda kind, most: often.filter(F.col("kind") == kind).orderBy(F.desc("n"), "value").limit(most).toPandas()
     common_words, common = top(0, COMMON_WORDS), top(1, COMMON_SHINGLES)  # sizes fixed by the limits

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quiltgraph.llm.texts import process_cache
+from quiltgraph.llm.texts import in_small_batches, process_cache
 
 CAPACITY = 2048
 OPEN_BINS = 1024
@@ -186,6 +186,6 @@ def pack(
                 made.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(taken + made, names=[*keys, *cols, *(["ids"] if with_ids else [])])
 
-    picked = docs.select(*keys, text)
+    picked = in_small_batches(docs).select(*keys, text)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keys)])
     return picked.mapInArrow(run, f"{kinds}, {_FIELDS}" + (", ids array<int>" if with_ids else ""))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.texts import character_classes, code_points, gram_ids, slices, word_hashes, words
+from quiltgraph.llm.texts import character_classes, code_points, gram_ids, in_small_batches, slices, word_hashes, words
 
 GRAMS = 1 << 11
 SHAPES = 64
@@ -108,7 +108,7 @@ def fit(
                 )
 
     chosen = F.broadcast(sample(labels, per_label, label))  # at most 2 x per_label rows
-    rows = docs.select("doc_id", F.col(text).alias("_text")).join(chosen, F.col("doc_id") == F.col("_id"))
+    rows = in_small_batches(docs).select("doc_id", F.col(text).alias("_text")).join(chosen, F.col("doc_id") == F.col("_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = rows.select("doc_id", "_y", "_text").mapInArrow(count, f"id {kind}, y int, x binary").toPandas().sort_values(["id", "y", "x"])
     x = np.frombuffer(b"".join(found.x), np.float32).reshape(len(found), SHAPE + SHAPES)
@@ -151,6 +151,6 @@ def predict(
             )
 
     keep = keep or {"doc_id": F.col("doc_id")}
-    picked = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).alias("_text"))
+    picked = in_small_batches(docs).select(*(c.alias(n) for n, c in keep.items()), F.col(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     return picked.mapInArrow(run, f"{kinds}, score double, predicted int")

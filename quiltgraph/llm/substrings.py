@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.functions.sizes import cut_lineage, proven_small, salted_join
-from quiltgraph.llm.texts import grams, lists, mix, sequence_hashes, slices, word_hashes, words
+from quiltgraph.llm.texts import grams, in_small_batches, lists, mix, sequence_hashes, slices, word_hashes, words
 
 WINDOW = 50
 SEED = 8
@@ -133,7 +133,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text
     columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
-    own = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_text"))
+    own = in_small_batches(docs).select(F.col(key).alias("_id"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_text"))
     head = f"_id {kind}, _text_hash bigint"
     scanned = cut_lineage(own.mapInArrow(
         _scan(window, seed), f"{head}, _s1 bigint, _s2 bigint, n_words bigint, _sha string, _anchors array<bigint>"))

@@ -27,6 +27,12 @@ def process_cache(name: str) -> dict:
     return vars(home).setdefault(name, {})
 
 
+def in_small_batches(df):
+    """Have this session send texts to Python in batches of at most 16 MB, so that a worker's arrays stay small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return df
+
+
 def byte_class(spans: list[tuple[int, int]], inverted: bool = False) -> np.ndarray:
     """Table of 256 flags, true for bytes inside the given inclusive spans."""
     table = np.zeros(256, bool)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quiltgraph.functions.sizes import cut_lineage, proven_small, salted_join
 from quiltgraph.llm.components import SALTS, connected
+from quiltgraph.llm.texts import in_small_batches
 
 COSINE = 0.9
 TREES = 8
@@ -275,7 +276,7 @@ def near_duplicates(
     good = F.col("v").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("v", lambda c: c != 0)
     # Adding 0 makes one zero of both.
     plain = F.transform(F.col(vector), lambda c: c + F.lit(0.0).cast(vectors.schema[vector].dataType.elementType))
-    own = vectors.select(F.col(key).cast("bigint").alias("id"), plain.alias("v"))
+    own = in_small_batches(vectors).select(F.col(key).cast("bigint").alias("id"), plain.alias("v"))
     valid = own.filter(good & F.col("id").isNotNull())
     classes = cut_lineage(valid.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
     width = classes.agg(F.max(F.size("v"))).first()[0]
