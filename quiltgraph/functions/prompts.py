@@ -28,6 +28,9 @@ TEMPLATES = {
         'Reply with JSON: {"entities": [{"entity_name": "...", "entity_description": "...", "is_named_entity": true}]}\n\n'
         "Passage:\n{{text}}"
     ),
+    "more_entities": (
+        "These entities were found: {{known}}\nDoes the passage name any other entity? Reply YES or NO.\n\nPassage:\n{{text}}"
+    ),
     "relations": (
         "Using only the entities {{names}}, list the relations that the passage states. Strength runs from 1 to 10.\n"
         'Reply with JSON: {"relationships": [{"source_entity": "...", "target_entity": "...", '
@@ -75,3 +78,11 @@ def missed_entities(text: Column, known: Column) -> Column:
 
 def relations(text: Column, names: Column) -> Column:
     return render(TEMPLATES["relations"], text=text, names=names)
+
+
+def more_entities(text: Column, known: Column) -> Column:
+    return render(TEMPLATES["more_entities"], text=text, known=known)
+
+
+def one_pass(text: Column) -> Column:
+    return render(TEMPLATES["one_pass"], text=text)

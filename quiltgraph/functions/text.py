@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,37 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(c, f"{WS}+"), "")
 
 
+@dataclass(frozen=True)
+class Words:
+    """Tokens are runs without white space; a window joins them by one space."""
+
+    def tokens(self, c: Column) -> Column:
+        return words(c)
+
+    def joined(self, tokens: Column) -> Column:
+        return F.array_join(tokens, " ")
+
+
+# Scripts that are written without spaces between words.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+
+
+@dataclass(frozen=True)
+class ScriptTokens:
+    """Like ``Words``, but every character of a script without spaces is a token of its own.
+
+    A token keeps the white space before it, so a window is a piece of the text as it stands.
+    """
+
+    def tokens(self, c: Column) -> Column:
+        space = WS[1:-1]
+        pattern = f"[{space}]*(?:[{UNSPACED}]|[^{space}{UNSPACED}]+)"
+        return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+
+    def joined(self, tokens: Column) -> Column:
+        return strip(F.array_join(tokens, ""))
+
+
 def word_count(c: Column) -> Column:
     return F.size(words(c))
 

@@ -6,15 +6,17 @@ import hashlib
 import json
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltgraph.config import api_key
 from quiltgraph.functions.sizes import cut_lineage
+from quiltgraph.sources.lines import path_exists
 
 
 class TextModel(Protocol):
@@ -117,20 +119,50 @@ def replies(prompt: Column, model: Callable[[], TextModel]) -> Column:
     return ask.asNondeterministic()(prompt)
 
 
+@dataclass(frozen=True)
+class ReplyCache:
+    """Accepted replies by the hash of their prompt, in a folder of Parquet files."""
+
+    spark: SparkSession
+    path: str
+
+    def known(self) -> DataFrame:
+        if not path_exists(self.spark, self.path):
+            return self.spark.createDataFrame([], "prompt_key string, reply string")
+        return self.spark.read.parquet(self.path).groupBy("prompt_key").agg(F.min("reply").alias("reply"))
+
+    def add(self, rows: DataFrame) -> None:
+        rows.select(F.sha2("prompt", 256).alias("prompt_key"), "reply").write.mode("append").parquet(self.path)
+
+
 def ask_with_retries(
-    rows: DataFrame, model: Callable[[], TextModel], accept: Column, attempts: int
+    rows: DataFrame, model: Callable[[], TextModel], accept: Column, attempts: int, cache: ReplyCache | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Ask for ``prompt`` until ``accept`` holds on ``reply``: (accepted rows, rows that never passed).
 
     Each attempt is written out before it is judged, so a model is never asked
     twice for one answer, and only the rows that failed go on to the next attempt.
+    With a ``cache`` known prompts are not asked, and equal ones only once.
     """
     accepted, pending = None, rows
+    passed = F.coalesce(accept, F.lit(False))
+    if cache is not None:
+        keyed = rows.withColumn("prompt_key", F.sha2("prompt", 256)).join(cache.known(), "prompt_key", "left").drop("prompt_key")
+        met = cut_lineage(keyed)
+        hit = F.col("reply").isNotNull() & passed
+        accepted, pending = met.filter(hit), met.filter(~hit).drop("reply")
+        if pending.isEmpty():
+            return accepted, pending
     for attempt in range(attempts):
-        asked = cut_lineage(pending.withColumn("reply", replies(F.col("prompt"), model)))
-        passed = F.coalesce(accept, F.lit(False))
+        if cache is None:
+            asked = cut_lineage(pending.withColumn("reply", replies(F.col("prompt"), model)))
+        else:
+            told = cut_lineage(pending.select("prompt").distinct().withColumn("reply", replies(F.col("prompt"), model)))
+            asked = cut_lineage(pending.join(told, "prompt", "left"))
         good = asked.filter(passed)
-        accepted = good if accepted is None else accepted.unionByName(good)
+        if cache is not None:
+            cache.add(good.select("prompt", "reply").distinct())
+        accepted = good.select(*asked.columns) if accepted is None else accepted.unionByName(good)
         pending = asked.filter(~passed).drop("reply")
         if attempt + 1 < attempts and pending.isEmpty():
             break

@@ -22,7 +22,7 @@ from quiltgraph.functions.replies import is_object, strict_json
 from quiltgraph.functions.rows import unnest
 from quiltgraph.functions.sizes import cut_lineage
 from quiltgraph.functions.text import clean_description, normalize_name, only_digits, strip
-from quiltgraph.models.clients import TextModel, ask_with_retries
+from quiltgraph.models.clients import ReplyCache, TextModel, ask_with_retries
 from quiltgraph.operators.chunking import halve_chunks
 
 KEYS = ["doc_id", "chunk_id", "chunk_order_index"]
@@ -119,13 +119,28 @@ class RuleExtractor:
         return self.mentions(annotated), self.relations(annotated), chunks.limit(0)
 
 
+def _relation_rows(staged: DataFrame) -> DataFrame:
+    return unnest(staged, KEYS, F.col("items"), "position").select(
+        *KEYS, "position", F.col("source_entity").alias("source"), F.col("target_entity").alias("target"),
+        F.col("relationship_description").alias("description"), F.col("relationship_strength").alias("strength"),
+        F.col("relationship_keywords").alias("keywords"),
+    )
+
+
 @dataclass(frozen=True)
 class ModelExtractor:
-    """Entities, then missed entities, then relations; a failed chunk is halved once."""
+    """Entities, then missed entities, then relations; a failed chunk is halved once.
+
+    Missed entities are asked for in at most ``gleans`` rounds; with ``ask_more`` a chunk
+    goes to the next round only while the model says that something is still missing.
+    """
 
     model: Callable[[], TextModel]
     settings: Settings = field(default_factory=Settings)
     relations_required: bool = False
+    gleans: int = 1
+    ask_more: bool = False
+    cache: ReplyCache | None = None
 
     def _stage(self, chunks: DataFrame, prompt: Column, schema, reply_field: str, required: bool):
         value = F.from_json(F.col("json"), schema).getField(reply_field)
@@ -134,7 +149,7 @@ class ModelExtractor:
         accept = is_object(json)
         if required:
             accept = accept & (F.coalesce(F.size(parsed), F.lit(0)) > 0)
-        good, failed = ask_with_retries(chunks.withColumn("prompt", prompt), self.model, accept, self.settings.model_attempts)
+        good, failed = ask_with_retries(chunks.withColumn("prompt", prompt), self.model, accept, self.settings.model_attempts, self.cache)
         done = good.withColumn("json", json).withColumn("items", F.coalesce(value, F.from_json(F.lit("[]"), schema[reply_field].dataType)))
         return done.drop("prompt", "reply", "json"), failed.drop("prompt")
 
@@ -154,28 +169,41 @@ class ModelExtractor:
     def _once(self, chunks: DataFrame):
         first, failed_1 = self._stage(chunks, prompts.entities(F.col("content")), schemas.ENTITY_REPLY, "entities", True)
         known = self._mentions(first)
-        base = first.drop("items").join(self._names(known, "known"), "chunk_id", "left")
-        prior = F.coalesce(F.col("known"), F.lit("[]"))
-        gleaned, failed_2 = self._stage(base, prompts.missed_entities(F.col("content"), prior), schemas.ENTITY_REPLY, "entities", False)
-        extra = self._mentions(gleaned).withColumn("position", F.col("position") + F.lit(1_000_000))
-        extra = extra.join(known.select("chunk_id", "name").distinct(), ["chunk_id", "name"], "left_anti")
-        first_seen = F.min_by(F.struct("position", "description", "is_named_entity"), F.col("position"))
-        extra = extra.groupBy(*KEYS, "name").agg(first_seen.alias("_f")).select(*KEYS, "name", "_f.*")
-        reached = gleaned.select("chunk_id")
-        mentions = known.unionByName(extra).join(reached, "chunk_id", "left_semi")
-
-        asked = gleaned.drop("items", "known").join(self._names(mentions, "names"), "chunk_id")
+        base = first.drop("items")
+        left, lost = base, []
+        for number in range(1, self.gleans + 1):
+            prior = F.coalesce(F.col("known"), F.lit("[]"))
+            asked = left.join(self._names(known, "known"), "chunk_id", "left")
+            gleaned, failed_2 = self._stage(asked, prompts.missed_entities(F.col("content"), prior), schemas.ENTITY_REPLY, "entities", False)
+            lost.append(failed_2.select("chunk_id"))
+            extra = self._mentions(gleaned).withColumn("position", F.col("position") + F.lit(1_000_000 * number))
+            extra = extra.join(known.select("chunk_id", "name").distinct(), ["chunk_id", "name"], "left_anti")
+            first_seen = F.min_by(F.struct("position", "description", "is_named_entity"), F.col("position"))
+            extra = extra.groupBy(*KEYS, "name").agg(first_seen.alias("_f")).select(*KEYS, "name", "_f.*")
+            known = cut_lineage(known.unionByName(extra))
+            left = gleaned.drop("items", "known")
+            if number == self.gleans:
+                break
+            if self.ask_more:
+                names = left.join(self._names(known, "known"), "chunk_id", "left")
+                names = names.withColumn("prompt", prompts.more_entities(F.col("content"), F.coalesce("known", F.lit("[]"))))
+                told, _ = ask_with_retries(names, self.model, F.col("reply").isNotNull(), self.settings.model_attempts, self.cache)
+                left = told.filter(F.upper(F.trim("reply")).startswith("YES")).drop("prompt", "reply", "known")
+            if left.isEmpty():
+                break
+        missed = lost[0]
+        for ids in lost[1:]:
+            missed = missed.unionByName(ids)
+        reached = base.join(missed, "chunk_id", "left_anti")
+        mentions = known.join(reached.select("chunk_id"), "chunk_id", "left_semi")
+
+        asked = reached.join(self._names(mentions, "names"), "chunk_id")
         related, failed_3 = self._stage(
             asked, prompts.relations(F.col("content"), F.col("names")), schemas.RELATION_REPLY, "relationships",
             self.relations_required,
         )
-        rows = unnest(related, KEYS, F.col("items"), "position").select(
-            *KEYS, "position", F.col("source_entity").alias("source"), F.col("target_entity").alias("target"),
-            F.col("relationship_description").alias("description"), F.col("relationship_strength").alias("strength"),
-            F.col("relationship_keywords").alias("keywords"),
-        )
-        relations = known_endpoints(clean_relations(rows), mentions, ["chunk_id"])
-        failed_ids = failed_1.select("chunk_id").unionByName(failed_2.select("chunk_id")).unionByName(failed_3.select("chunk_id"))
+        relations = known_endpoints(clean_relations(_relation_rows(related)), mentions, ["chunk_id"])
+        failed_ids = failed_1.select("chunk_id").unionByName(missed).unionByName(failed_3.select("chunk_id"))
         mentions = mentions.join(failed_ids, "chunk_id", "left_anti")
         return mentions.select(*KEYS, "position", "name", "description", "is_named_entity"), relations.select(
             *KEYS, "position", "source", "target", "description", "strength", "keywords"
@@ -204,3 +232,33 @@ class ModelExtractor:
             relations.unionByName(to_parent(half_relations)),
             chunks.join(lost, "chunk_id", "left_semi"),
         )
+
+
+@dataclass(frozen=True)
+class OnePassExtractor:
+    """Entities, relations and content keywords of a chunk from one reply; a chunk whose reply names no entity failed."""
+
+    model: Callable[[], TextModel]
+    settings: Settings = field(default_factory=Settings)
+    cache: ReplyCache | None = None
+
+    def read(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(chunks with the parsed reply, failed chunks)."""
+        parsed = F.from_json(strict_json(F.col("reply")), schemas.ONE_PASS_REPLY)
+        accept = F.coalesce(F.size(parsed["entities"]), F.lit(0)) > 0
+        asked = chunks.withColumn("prompt", prompts.one_pass(F.col("content")))
+        good, failed = ask_with_retries(asked, self.model, accept, self.settings.model_attempts, self.cache)
+        return good.withColumn("found", parsed).drop("prompt", "reply"), failed.drop("prompt")
+
+    def extract(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        good, failed = self.read(chunks.filter("meaningful"))
+        stages = ModelExtractor(self.model, self.settings)
+        mentions = stages._mentions(good.withColumn("items", F.col("found.entities")))
+        told = F.coalesce("found.relationships", F.from_json(F.lit("[]"), schemas.ONE_PASS_REPLY["relationships"].dataType))
+        relations = known_endpoints(clean_relations(_relation_rows(good.withColumn("items", told))), mentions, ["chunk_id"])
+        return mentions.select(*KEYS, "position", "name", "description", "is_named_entity"), relations.select(
+            *KEYS, "position", "source", "target", "description", "strength", "keywords"), failed
+
+    def keywords(self, chunks: DataFrame) -> DataFrame:
+        """Content keywords of each chunk."""
+        return self.read(chunks.filter("meaningful"))[0].select("doc_id", "chunk_id", F.col("found.content_keywords").alias("keywords"))

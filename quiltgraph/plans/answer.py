@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiltgraph import schemas
 from quiltgraph.config import Settings
 from quiltgraph.functions.sizes import cut_lineage, safe_unions
 from quiltgraph.models.clients import Embedder, HashingEmbedder, embed
 from quiltgraph.operators.evidence import Knowledge, assist_evidence, gather, main_evidence, route
+from quiltgraph.operators.prep import not_done
 from quiltgraph.operators.reasoning import RuleReasoner
+from quiltgraph.sources.lines import parsed, read_answered, read_lines
+from quiltgraph.sources.store import write_jsonl
 
 DEFAULT = Settings()
 
@@ -80,3 +86,25 @@ def answer(
         "question_id", F.col("original").alias("question"), F.col("content").alias("answer"), "turns", "main_documents",
         F.col("all_planned").alias("planned_documents"), F.col("history").alias("conversation_history"),
     )
+
+
+def answer_batches(
+    questions: DataFrame, know: Knowledge, log: str, batch_size: int = 1000, reasoner=RuleReasoner(), embedder: Embedder | None = None,
+    settings: Settings = DEFAULT,
+) -> DataFrame:
+    """Answer all questions (question_id, question) that ``log`` does not hold yet, batch by batch; returns the log's rows.
+
+    Every batch is appended when it is done, so a run that stops is taken up where it stopped.
+    """
+    spark = questions.sparkSession
+    done = read_answered(spark, log).select(F.col("id").alias("question_id"))
+    rows = questions.withColumn("question_id", F.col("question_id").cast("string"))
+    left = cut_lineage(not_done(rows, done, "question_id"))
+    batches = math.ceil(left.count() / batch_size)
+    for number in range(batches):
+        part = left.filter(F.pmod(F.xxhash64("question_id"), F.lit(batches)) == number)
+        told = answer(part, know, reasoner, embedder, settings)
+        write_jsonl(told.select(
+            F.col("question_id").alias("id"), "question", F.col("answer").alias("LLM_answer"),
+            F.transform("main_documents", lambda d: d.cast("string")).alias("LLM_ids")), log, append=True)
+    return parsed(read_lines(spark, log), schemas.ANSWER_LOG).filter("id is not null")

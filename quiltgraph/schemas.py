@@ -61,11 +61,6 @@ LINK_DETAIL = _struct(
     ("llm_score", I), ("llm_reasoning", S), ("embedding_score", D), ("final_score", D), ("is_linked", B),
 )
 
-# Declared text limits of the three vector tables.
-MAX_CHUNK_TEXT = 16384
-MAX_ENTITY_TEXT = 8000
-MAX_SUMMARY_TEXT = 15000
-
 # Shapes of model replies.
 ENTITY_REPLY = _struct(
     ("entities", ArrayType(_struct(("entity_name", S), ("entity_description", S), ("is_named_entity", S)))),
@@ -76,6 +71,9 @@ RELATION_REPLY = _struct(
         ("relationship_strength", D), ("relationship_keywords", STRINGS),
     ))),
 )
+ONE_PASS_REPLY = _struct(
+    ("entities", ENTITY_REPLY["entities"].dataType), ("relationships", RELATION_REPLY["relationships"].dataType), ("content_keywords", STRINGS),
+)
 NAMES_REPLY = _struct(("entities", STRINGS))
 PLAN_REPLY = _struct(("reasoning", S), ("main_documents", STRINGS), ("assist_documents", MapType(S, STRINGS)))
 SELECTION_REPLY = _struct(("selected_entities", STRINGS))

@@ -106,3 +106,13 @@ def test_rules_answer(spark, know):
     got = answer(ask(spark, "Who met Alpha and Beta?", "who?"), know, RuleReasoner(), settings=Settings(max_turns=2)).collect()
     by = {r["question"]: r for r in got}
     assert by["Who met Alpha and Beta?"]["turns"] == 1 and by["who?"]["turns"] == 2 and by["who?"]["answer"] == ""
+
+
+def test_batches_are_taken_up_where_a_run_stopped(spark, know, folder):
+    from quiltgraph.plans.answer import answer_batches
+
+    log = f"{folder}/answers"
+    first = answer_batches(ask(spark, "direct q", "step q"), know, log, 1, ModelReasoner(scripted))
+    assert {r["id"]: r["LLM_answer"] for r in first.collect()} == {"0": "done", "1": "done"}
+    more = answer_batches(ask(spark, "direct q", "step q", "endless"), know, log, 2, ModelReasoner(scripted))
+    assert sorted(r["id"] for r in more.collect()) == ["0", "1", "2"] and more.filter("id = '0'").count() == 1

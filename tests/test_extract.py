@@ -4,8 +4,10 @@ import re
 from pyspark.sql import functions as F
 
 from quiltgraph.config import Settings
+from quiltgraph.functions.text import ScriptTokens
+from quiltgraph.models.clients import ReplyCache
 from quiltgraph.operators.chunking import chunk_documents
-from quiltgraph.operators.extract import ModelExtractor, RuleExtractor, clean_mentions, question_names
+from quiltgraph.operators.extract import ModelExtractor, OnePassExtractor, RuleExtractor, clean_mentions, question_names
 from quiltgraph.operators.merging import cached_replies, parse_records
 from conftest import rows
 
@@ -113,3 +115,77 @@ def test_reply_cache(spark):
     cache = df.filter("i = 3").select(F.sha2("prompt", 256).alias("prompt_key"), F.lit("known").alias("reply"))
     got, fresh = cached_replies(df, cache, echo)
     assert rows(got, "i", "reply") == [(1, "<p>"), (2, "<p>"), (3, "known")] and fresh.count() == 1
+
+
+class Gleaner(Scripted):
+    """Finds one more name in each round and says so until three are found."""
+
+    def one(self, prompt):
+        if prompt.startswith("These entities were found"):
+            return "NO" if "third" in prompt.split("\n")[0] else "YES, more"
+        if prompt.startswith("These entities"):
+            known = prompt.split("\n")[0]
+            name = "Third" if "second" in known else "Second"
+            return json.dumps({"entities": [{"entity_name": name, "entity_description": "late", "is_named_entity": True}]})
+        if prompt.startswith("List at most 15"):
+            return "no idea" if "BROKEN" in prompt else json.dumps({
+                "entities": [{"entity_name": n, "entity_description": "d", "is_named_entity": True} for n in ("ALPHA", "BETA")],
+                "relationships": [{"source_entity": "ALPHA", "target_entity": "BETA", "relationship_description": "meets"}],
+                "content_keywords": ["meeting"]})
+        return super().one(prompt)
+
+
+def gleaner():
+    return Gleaner()
+
+
+class Counting(Gleaner):
+    def __init__(self, path):
+        self.path = path
+
+    def generate(self, prompts):
+        import os
+        import uuid
+
+        for _ in prompts:
+            open(os.path.join(self.path, uuid.uuid4().hex), "w").close()
+        return super().generate(prompts)
+
+
+def test_gleaning_until_the_model_says_done(spark):
+    docs = spark.createDataFrame([(1, "we met ALPHA and BETA today")], "doc_id long, text string")
+    chunks = chunk_documents(docs, LONG)
+    names = lambda **k: [r[0] for r in rows(ModelExtractor(gleaner, LONG, **k).extract(chunks)[0], "name")]
+    assert names() == ["alpha", "beta", "second"]
+    assert names(gleans=5, ask_more=True) == ["alpha", "beta", "second", "third"]
+
+
+def test_one_pass(spark):
+    docs = spark.createDataFrame([(1, "we met ALPHA and BETA today"), (2, "all BROKEN here and there")], "doc_id long, text string")
+    chunks = chunk_documents(docs, LONG)
+    one = OnePassExtractor(gleaner, LONG)
+    mentions, relations, failed = one.extract(chunks)
+    assert rows(mentions, "name") == [("alpha",), ("beta",)] and rows(relations, "source", "target") == [("alpha", "beta")]
+    assert rows(failed, "chunk_id") == [("2_0",)] and rows(one.keywords(chunks), "chunk_id", "keywords") == [("1_0", ["meeting"])]
+
+
+def test_cached_prompts_are_not_asked_again(spark, folder):
+    import os
+    from functools import partial
+
+    os.makedirs(f"{folder}/calls")
+    docs = spark.createDataFrame([(1, "we met ALPHA and BETA today"), (2, "we met ALPHA and BETA today")], "doc_id long, text string")
+    chunks = chunk_documents(docs, LONG)
+    one = OnePassExtractor(partial(Counting, f"{folder}/calls"), LONG, ReplyCache(spark, f"{folder}/cache"))
+    first = rows(one.extract(chunks)[0], "chunk_id", "name")
+    assert len(first) == 4 and len(os.listdir(f"{folder}/calls")) == 1
+    assert rows(one.extract(chunks)[0], "chunk_id", "name") == first and len(os.listdir(f"{folder}/calls")) == 1
+
+
+def test_text_without_spaces_is_cut(spark):
+    text = "知识图谱" * 300
+    docs = spark.createDataFrame([(1, text), (2, "plain words 和 more 图")], "doc_id long, text string")
+    got = {r["chunk_id"]: r for r in chunk_documents(docs, tokenizer=ScriptTokens()).collect()}
+    assert [got[f"1_{i}"]["tokens"] for i in (0, 1)] == [512, 753] and "".join(got["1_0"]["content"]) == text[:512]
+    assert got["2_0"]["content"] == "plain words 和 more 图" and got["2_0"]["tokens"] == 5
+    assert chunk_documents(docs.filter("doc_id = 1")).count() == 1  # one single word
