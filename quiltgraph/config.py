@@ -37,7 +37,6 @@ class Settings:
     # physical limits: a side is broadcast only when a count proves it is below these
     broadcast_rows: int = 200_000
     query_block_rows: int = 4096
-    vector_shard_rows: int = 200_000
     salts: int = 16
 
     @classmethod

@@ -50,7 +50,7 @@ def test_cosine_golden(spark):
 
 
 @pytest.mark.parametrize("metric", ["l2", "unit_l2"])
-@pytest.mark.parametrize("settings", [Settings(), Settings(query_block_rows=3, vector_shard_rows=7)])
+@pytest.mark.parametrize("settings", [Settings(), Settings(query_block_rows=3)])
 def test_nearest_against_brute_force(spark, metric, settings):
     rng = np.random.default_rng(5)
     q = rng.integers(-3, 4, (10, 6)).astype(float)
