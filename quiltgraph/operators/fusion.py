@@ -150,6 +150,7 @@ class RuleSummarizer:
     """Deterministic summaries: sizes and digests of the text to be summarised."""
 
     in_spark = True
+    reads_entries = False
 
     def entity(self, rows: DataFrame) -> DataFrame:
         words = word_count(F.col("context")).cast("string")
@@ -167,6 +168,7 @@ class ModelSummarizer:
 
     model: Callable[[], TextModel]
     in_spark = False
+    reads_entries = True
 
     def entity(self, rows: DataFrame) -> DataFrame:
         relations = F.when(F.col("relation_lines") != "", F.col("relation_lines")).otherwise("none")
@@ -201,26 +203,26 @@ def summarize_entities(contexts: DataFrame, summarizer=RuleSummarizer(), setting
     return written.drop("_n", "context", "descriptions", "relation_lines")
 
 
-def within_budget(entries: DataFrame, group: str, order: str, tokens: str, budget: int) -> DataFrame:
+def within_budget(entries: DataFrame, group: str, order: str, tokens: str, budget: int, free_entries: bool = True) -> DataFrame:
     """The longest prefix of each group, in order, whose tokens fit the budget.
 
     Of the entries with tokens a prefix holds at most ``budget``, so no more of them
     per group and task are shuffled; entries without tokens cost nothing and all stay
-    until the first one that does not fit.
+    until the first one that does not fit. ``free_entries=False`` says that there are none.
     """
     w = Window.partitionBy(group).orderBy(order)
     costly = entries.filter(F.col(tokens) > 0).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= budget + 1).drop("_rank")
-    near = costly.unionByName(entries.filter(F.coalesce(F.col(tokens), F.lit(0)) <= 0))
+    near = costly.unionByName(entries.filter(F.coalesce(F.col(tokens), F.lit(0)) <= 0)) if free_entries else costly
     total = F.sum(F.coalesce(F.col(tokens), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return near.withColumn("used_tokens", total).filter(F.col("used_tokens") <= budget)
 
 
-def document_entries(entities: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Named entities that fit the entity list of a document summary, with their lines."""
+def document_entries(entities: DataFrame, settings: Settings = DEFAULT, with_text: bool = True) -> DataFrame:
+    """Named entities that fit the entity list of a document summary, with their lines if wanted."""
     entry = F.concat(F.lit("- "), "name", F.lit(": "), "summary", F.lit("\n"))
-    lines = entities.filter("is_named_entity").select("doc_id", "name", "first_seen", entry.alias("entry"))
-    sized = lines.withColumn("tokens", word_count(F.col("entry")))
-    return within_budget(sized, "doc_id", "first_seen", "tokens", settings.entity_list_tokens)
+    lines = entities.filter("is_named_entity").select(
+        "doc_id", "name", "first_seen", word_count(entry).alias("tokens"), *([entry.alias("entry")] if with_text else []))
+    return within_budget(lines, "doc_id", "first_seen", "tokens", settings.entity_list_tokens, free_entries=False)
 
 
 def document_summaries(
@@ -230,10 +232,11 @@ def document_summaries(
     """``doc_id, summary, placeholder``; documents without usable content get a fixed sentence."""
     sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("_chunks"), F.sum(F.col("meaningful").cast("int")).alias("_meaningful"))
     found = mentions.groupBy("doc_id").agg(F.count("*").alias("_mentions"))
-    ordered = F.array_sort(F.collect_list(F.struct("first_seen", "name", "entry")))
-    lists = document_entries(entities, settings).groupBy("doc_id").agg(ordered.alias("_e")).select(
-        "doc_id", F.size("_e").alias("n_entities"), F.transform("_e", lambda x: x["name"]).alias("entity_names"),
-        F.array_join(F.transform("_e", lambda x: x["entry"]), "").alias("entity_list"),
+    text = ["entry"] if summarizer.reads_entries else []
+    ordered = F.array_sort(F.collect_list(F.struct("first_seen", "name", *text)))
+    listed = [F.array_join(F.transform("_e", lambda x: x["entry"]), "").alias("entity_list")] if text else []
+    lists = document_entries(entities, settings, bool(text)).groupBy("doc_id").agg(ordered.alias("_e")).select(
+        "doc_id", F.size("_e").alias("n_entities"), F.transform("_e", lambda x: x["name"]).alias("entity_names"), *listed,
     )
     fixed = (
         F.when(F.col("_chunks").isNull(), NO_CHUNKS)

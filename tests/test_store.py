@@ -122,6 +122,7 @@ class CountingModel:
     """Summaries that differ from call to call."""
 
     in_spark = False
+    reads_entries = False
 
     def __init__(self, inner, path):
         self.inner, self.path = inner, path
