@@ -62,7 +62,7 @@ def _places(words: Column, phrase: list[str]) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when(F.coalesce(hit(w, i), F.lit(False)), i)), lambda i: i.isNotNull())
 
 
-def _sets(templates, threshold: float) -> list[tuple[int, str, set[str], int]]:
+def template_sets(templates, threshold: float) -> list[tuple[int, str, set[str], int]]:
     """Number, label, distinct words and words needed of each template."""
     out = []
     for number, (statement, label) in enumerate(templates):
@@ -82,7 +82,7 @@ def scan(
     documents with a phrase. Other columns are not read.
     """
     spark = docs.sparkSession
-    known = _sets(templates, threshold)
+    known = template_sets(templates, threshold)
     vocabulary = sorted(set().union(*(distinct for _, _, distinct, _ in known)))
     body = _lower(F.coalesce(F.col(text), F.lit("")))
     lines = F.filter(F.transform(F.split("_t", r"[\r\n]+"), lambda l: F.array_intersect(F.split(l, _BREAKS), F.array(*map(F.lit, vocabulary)))), lambda b: F.size(b) > 0)

@@ -57,7 +57,7 @@ def op5(spark: SparkSession, directory: str) -> DataFrame:
     return secrets.digest(secrets.spans(docs, secrets.fit(secrets.samples(docs))))
 
 
-@query("op1_license_scans")
+@query("op1_license_scans", sql=sql.licenses(licenses.PHRASES, licenses.template_sets(licenses.TEMPLATES, licenses.THRESHOLD)))
 def op1(spark: SparkSession, directory: str) -> DataFrame:
     return licenses.scan(table(spark, directory, "documents"))
 
@@ -67,16 +67,16 @@ def op4(spark: SparkSession, directory: str) -> DataFrame:
     return decontamination.find(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", sql=sql.SUBSTRINGS)
 def op6(spark: SparkSession, directory: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, directory, "documents"))
 
 
-@query("op9_ngram_jaccard_join")
+@query("op9_ngram_jaccard_join", sql=sql.NEAR_DUPLICATES)
 def op9(spark: SparkSession, directory: str) -> DataFrame:
     return neardup.classes(table(spark, directory, "documents"))
 
 
-@query("op3_embedding_near_dedup")
+@query("op3_embedding_near_dedup", sql=sql.VECTORS)
 def op3(spark: SparkSession, directory: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, directory, "embeddings"))

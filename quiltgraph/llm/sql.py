@@ -36,3 +36,71 @@ SELECT f.page_id, f.host, f.path, f.rule,
        coalesce(f.verdict, CASE WHEN c.blocked AND NOT c.allowed THEN 'block' END, 'allow') AS verdict
 FROM fitting f LEFT JOIN classes c ON f.host || f.path || f.query = c.a
 """
+
+UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+PLACES = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def licenses(phrases, sets) -> str:
+    """``sets``: (number, label, distinct words, words needed) of each template."""
+    wanted = ", ".join(f"({_list(p.split())}, '{label}')" for p, label in phrases)
+    templates = ", ".join(f"('{label}', {_list(sorted(words))}, {need})" for _, label, words, need in sets)
+    return f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), {UPPER}) AS t FROM documents),
+w AS (SELECT doc_id, {PLACES.format('t')} AS w FROM t),
+phrases(p, label) AS (VALUES {wanted}),
+hits AS (
+  SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) JOIN phrases ON w[i] = p[1] AND w[i:i + len(p) - 1] = p),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM hits GROUP BY doc_id),
+templates(label, words, need) AS (VALUES {templates}),
+blocks AS (SELECT doc_id, {PLACES.format('line')} AS b FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '[\\r\\n]+')) AS line FROM t)),
+met AS (
+  SELECT doc_id, label, len(list_intersect(words, b)) / len(words) AS share FROM blocks JOIN templates ON len(list_intersect(words, b)) >= need),
+marks AS (SELECT doc_id, label FROM met UNION SELECT doc_id, label FROM hits),
+labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM marks GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, greatest(CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, coalesce(share, 0.0::DOUBLE)) AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
+#: Every pair; the forest finds the same links as long as it misses none, and has one leaf on tables this small.
+VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(b, vec_id)) AS kept
+FROM v LEFT JOIN least l ON l.a = vec_id LEFT JOIN counts c ON c.a = vec_id"""
+
+SUBSTRINGS = f"""
+WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM w)),
+least AS (SELECT k, min(doc_id) AS m FROM windows GROUP BY k),
+covered AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM windows JOIN least USING (k) WHERE m < doc_id),
+words AS (SELECT doc_id, w[p] AS word, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(f"translate(coalesce(text, ''), {UPPER})")} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS s FROM w)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+pairs AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id
+FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON a = doc_id"""
