@@ -157,7 +157,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = process_cache("word_ids")
+        cache = process_cache("word_ids", large=True)
         if tokenizer_path not in cache:
             cache.clear()
             cache[tokenizer_path] = WordIds(tokenizer_path)

@@ -20,11 +20,17 @@ _MULTIPLIER = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def process_cache(name: str) -> dict:
+def process_cache(name: str, large: bool = False) -> dict:
     """A dict that lives as long as the Python worker, shared by its tasks. Functions are sent by value, so their own
-    module's variables start anew in every task."""
-    home = sys.modules.setdefault("_text_caches", types.ModuleType("_text_caches"))
-    return vars(home).setdefault(name, {})
+    module's variables start anew in every task.
+
+    A ``large`` one is given up when a task of another operator asks for its own.
+    """
+    home = vars(sys.modules.setdefault("_text_caches", types.ModuleType("_text_caches")))
+    larger = home.setdefault("larger", {})
+    for other in [n for n in larger if n != name]:
+        larger.pop(other).clear()
+    return (larger if large else home).setdefault(name, {})
 
 
 def in_small_batches(df):
@@ -65,6 +71,8 @@ def slices(column: pa.Array, most_bytes: int = SLICE_BYTES):
         end = min(n, max(end, at + 1))
         yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    del column, data
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_SPACE):
