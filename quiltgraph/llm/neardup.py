@@ -83,22 +83,23 @@ class Order:
 
     def __init__(self, frequent: np.ndarray, word_counts: np.ndarray, common: np.ndarray, counts: np.ndarray):
         order = np.argsort(frequent)
-        self.words, self.logs = frequent[order], np.log2(word_counts[order] + 1.0)
+        # Whole numbers, so that a shingle's sum is the same wherever it stands.
+        self.words, self.logs = frequent[order], np.rint(8 * np.log2(word_counts[order] + 1.0)).astype(np.int64)
         order = np.argsort(common)
         self.shingles, self.counts = common[order], counts[order]
 
     def keys(self, made: np.ndarray, at: np.ndarray, hashes: np.ndarray, k: int) -> np.ndarray:
         """Sort key of each shingle: the logarithms of its words' counts added up, and above all its own count if common."""
-        sums = np.zeros(len(hashes) + 1)
+        sums = np.zeros(len(hashes) + 1, np.int64)
         np.cumsum(_look_up(self.words, self.logs, hashes), out=sums[1:])
-        key = np.rint(8 * (sums[np.minimum(at + k, len(hashes))] - sums[at])).astype(np.int64)
-        return key + _look_up(self.shingles, self.counts, made).astype(np.int64) * (1 << 16)
+        key = sums[np.minimum(at + k, len(hashes))] - sums[at]
+        return key + _look_up(self.shingles, self.counts, made) * (1 << 16)
 
 
 def _look_up(names: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Value of each wanted name, 0 for those not in the sorted names."""
     if not len(names):
-        return np.zeros(len(wanted))
+        return np.zeros(len(wanted), np.int64)
     at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
     return np.where(names[at] == wanted, values[at], 0)
 
