@@ -24,8 +24,8 @@ from quiltgraph.llm.texts import in_small_batches, process_cache
 CAPACITY = 2048
 OPEN_BINS = 1024
 #: Chunks of text and tokenizer pieces whose ids a Python worker remembers; the memory is given back when there are more.
-CACHED_CHUNKS = 800_000
-CACHED_PIECES = 1_000_000
+CACHED_CHUNKS = 400_000
+CACHED_PIECES = 600_000
 TASK_BITS = 33
 
 
@@ -95,22 +95,25 @@ class WordIds(dict):
         self.mark = "<" if all(t.startswith("<") for t in self.added) else ""
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.mark in chunk and any(t in chunk for t in self.added):
-            made = self._bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        # Latin letters followed by signs are by far the most; the tokenizer makes one piece of each of the two.
+        letters = chunk.rstrip(_SIGNS).lower()
+        if letters.isalpha() and (letters.isascii() or max(letters) < _LATIN_END):
+            made = self._piece(letters if letters.isascii() else "".join(map(self.signs.__getitem__, letters)))
+            if len(letters) < len(chunk):
+                rest = chunk[len(letters) :]
+                made = self._encoded(chunk) if self.mark in rest and any(t in chunk for t in self.added) else made + self._piece(rest)
         else:
-            made = b"".join(map(self._piece, self._split(chunk)))
+            made = self._encoded(chunk)
         self[chunk] = made
         return made
 
-    def _split(self, chunk: str) -> list[str]:
-        """The tokenizer's pieces. Latin letters followed by signs, by far the most, are split here: one piece each."""
-        letters = chunk.rstrip(_SIGNS).lower()
-        if letters.isalpha() and max(letters) < _LATIN_END:
-            mapped = letters if letters.isascii() else "".join(map(self.signs.__getitem__, letters))
-            rest = chunk[len(letters) :]
-            return [mapped, rest] if rest else [mapped]
+    def _encoded(self, chunk: str) -> bytes:
+        """Ids of any chunk by the tokenizer's own steps, as a whole where it may hold an added token."""
         tokenizer = self.tokenizer
-        return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(chunk))]
+        if self.mark in chunk and any(t in chunk for t in self.added):
+            return self._bytes(tokenizer.encode(chunk, add_special_tokens=False).ids)
+        split = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(chunk))
+        return b"".join([self._piece(p) for p, _ in split])
 
     def _piece(self, piece: str) -> bytes:
         made = self.pieces.get(piece)

@@ -24,12 +24,13 @@ def process_cache(name: str, large: bool = False) -> dict:
     """A dict that lives as long as the Python worker, shared by its tasks. Functions are sent by value, so their own
     module's variables start anew in every task.
 
-    A ``large`` one is given up when a task of another operator asks for its own.
+    A ``large`` one replaces all others, and is given up when a task of another operator asks for its own.
     """
     home = vars(sys.modules.setdefault("_text_caches", types.ModuleType("_text_caches")))
     larger = home.setdefault("larger", {})
-    for other in [n for n in larger if n != name]:
-        larger.pop(other).clear()
+    for held in (larger, home) if large else (larger,):
+        for other in [n for n, made in held.items() if isinstance(made, dict) and made is not larger and n != name]:
+            held.pop(other).clear()
     return (larger if large else home).setdefault(name, {})
 
 
