@@ -42,17 +42,18 @@ class Knowledge:
 
 
 def route(
-    questions: DataFrame, names: DataFrame, know: Knowledge, settings: Settings = DEFAULT, top: int | None = None
+    questions: DataFrame, names: DataFrame, know: Knowledge, settings: Settings = DEFAULT, top: int | None = None,
+    placeholders: bool = False,
 ) -> DataFrame:
     """Graph recall and vector recall fused by reciprocal rank: best ``top`` documents per question.
 
     ``questions`` carries ``vector``; ``names`` is (question_id, name). Documents
-    whose summary is a placeholder are not recalled by vector.
+    whose summary is a placeholder are not recalled by vector, unless ``placeholders``.
     """
     top = top or settings.route_top_k
     width = settings.recall_width(top)
     by_name = documents_by_names(names, know.entities, width, settings)
-    summaries = know.documents.filter(~F.col("placeholder")).select("doc_id", "vector")
+    summaries = know.documents.filter(F.lit(placeholders) | ~F.col("placeholder")).select("doc_id", "vector")
     by_vector = nearest(questions, summaries, "question_id", "doc_id", width, "unit_l2", settings)
     lists = by_name.select("question_id", "doc_id", F.lit(0).alias("list_no"), "rank").unionByName(
         by_vector.select("question_id", "doc_id", F.lit(1).alias("list_no"), "rank")

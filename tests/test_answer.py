@@ -116,3 +116,15 @@ def test_batches_are_taken_up_where_a_run_stopped(spark, know, folder):
     assert {r["id"]: r["LLM_answer"] for r in first.collect()} == {"0": "done", "1": "done"}
     more = answer_batches(ask(spark, "direct q", "step q", "endless"), know, log, 2, ModelReasoner(scripted))
     assert sorted(r["id"] for r in more.collect()) == ["0", "1", "2"] and more.filter("id = '0'").count() == 1
+
+
+def test_placeholder_summaries_are_recalled_on_demand(spark, know):
+    from dataclasses import replace
+
+    from quiltgraph.models.clients import HashingEmbedder, embed
+
+    hidden = replace(know, documents=know.documents.withColumn("placeholder", F.lit(True)))
+    asked = ask(spark, "walked and talked").withColumn("vector", embed(F.col("question"), HashingEmbedder()))
+    names = spark.createDataFrame([], "question_id int, name string")
+    assert evidence.route(asked, names, hidden).count() == 0
+    assert evidence.route(asked, names, hidden, placeholders=True).count() == 3
