@@ -33,7 +33,7 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that the quality classifier does not reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     plain = {f"_c{i}": F.col(f"`{n}`") for i, n in enumerate(docs.columns)}
-    judged = quality.predict(docs, model, plain)
+    judged = quality.predict(docs, model, plain, kept_text=f"_c{docs.columns.index('text')}")
     return judged.filter("predicted = 1").select(*(F.col(c).alias(n) for c, n in zip(plain, docs.columns, strict=True)))
 
 

@@ -24,8 +24,8 @@ from quiltgraph.llm.texts import in_small_batches, process_cache
 CAPACITY = 2048
 OPEN_BINS = 1024
 #: Chunks of text and tokenizer pieces whose ids a Python worker remembers; the memory is given back when there are more.
-CACHED_CHUNKS = 400_000
-CACHED_PIECES = 600_000
+CACHED_CHUNKS = 300_000
+CACHED_PIECES = 500_000
 TASK_BITS = 33
 
 

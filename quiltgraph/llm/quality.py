@@ -133,9 +133,12 @@ def _decompose(x: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
 
 def predict(
     docs: DataFrame, model: Model, keep: dict[str, Column] | None = None, text: str = "text", threshold: float = THRESHOLD,
+    kept_text: str | None = None,
 ) -> DataFrame:
     """Columns ``keep`` (by default doc_id), score and predicted (1 where score >= threshold).
 
+    ``kept_text`` names the one of ``keep`` that is the text, so that it is not sent twice.
+
     Null texts count as empty; an empty text has its shape terms and is scored like any other. Without labelled rows every
     score is 0.5. One row per input row; other columns are not read.
     """
@@ -143,14 +146,17 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [shared.value.score(counts(d, o)) for _, d, o in slices(batch.column(batch.num_columns - 1), 1 << 20)]
+            parts = [shared.value.score(counts(d, o)) for _, d, o in slices(batch.column(at), 1 << 20)]
             score = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                names=[*batch.schema.names[:-1], "score", "predicted"],
+                [*batch.columns[:width], pa.array(score), pa.array((score >= threshold).astype(np.int32))],
+                names=[*batch.schema.names[:width], "score", "predicted"],
             )
 
     keep = keep or {"doc_id": F.col("doc_id")}
-    picked = in_small_batches(docs).select(*(c.alias(n) for n, c in keep.items()), F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    width = len(keep)
+    at = width if kept_text is None else list(keep).index(kept_text)
+    extra = [F.col(text).alias("_text")] if kept_text is None else []
+    picked = in_small_batches(docs).select(*(c.alias(n) for n, c in keep.items()), *extra)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:width])
     return picked.mapInArrow(run, f"{kinds}, score double, predicted int")

@@ -13,7 +13,7 @@ import types
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 
 _MULTIPLIER = U(0x9E3779B97F4A7C15)
@@ -35,8 +35,8 @@ def process_cache(name: str, large: bool = False) -> dict:
 
 
 def in_small_batches(df):
-    """Have this session send texts to Python in batches of at most 16 MB, so that a worker's arrays stay small."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    """Have this session send texts to Python in batches of at most 8 MB, so that a worker's arrays stay small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return df
 
 
@@ -59,7 +59,9 @@ def slices(column: pa.Array, most_bytes: int = SLICE_BYTES):
     """``(first row, bytes, offsets)`` of consecutive row runs of about ``most_bytes``; a longer text is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     n = len(column)
     if n == 0:
         return
