@@ -6,10 +6,15 @@ vectors are routed through the broadcast splits (their size is set by parameters
 leaves of ``LEAF`` rows. Pairs of a leaf are compared in double precision, and a leaf sends on at most one link for each
 of its vectors. Equal vectors are one class before the forest. Inside the components the links are then counted exactly,
 in blocks, so that the counts do not depend on which trees found what.
+
+How many trees are needed depends on the depth and on how tightly the vectors lie. It is measured: made-up partners at
+exactly the least cosine to a bounded sample of the rows go through the same trees, and forests are added until at least
+``RECALL`` of the partners of every part of the sample met their row in a leaf.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +28,12 @@ from quiltgraph.llm.components import SALTS, connected
 from quiltgraph.llm.texts import in_small_batches
 
 COSINE = 0.9
+#: Trees of one forest.
 TREES = 8
+#: Least share of the made-up partners that has to be found, in each of the parts that the first tree's top splits make.
+RECALL = 0.95
+PROBES = 4096
+PARTS = 16
 #: Share of the projections' standard deviation, on each side of a split, that goes both ways.
 SPILL = 0.12
 SAMPLE = 16_384
@@ -53,6 +63,13 @@ class Splits:
                 self.at[k], self.margin[k] = np.median(p), spill * p.std()
             members[2 * k + 1], members[2 * k + 2] = rows[p < self.at[k]], rows[p >= self.at[k]]
 
+    def part(self, x: np.ndarray, levels: int) -> np.ndarray:
+        """Node of each row after so many splits, without spill."""
+        nodes = np.zeros(len(x), np.int64)
+        for _ in range(min(levels, self.depth)):
+            nodes = 2 * nodes + 1 + (np.einsum("ij,ij->i", x, self.directions[nodes]) >= self.at[nodes])
+        return nodes
+
     def to_bytes(self) -> bytes:
         return np.concatenate([[self.depth, self.directions.shape[1]], self.directions.ravel(), self.at, self.margin]).tobytes()
 
@@ -105,24 +122,35 @@ def leaf_links(x: np.ndarray, cosine: float) -> np.ndarray:
     return label
 
 
-def _links(x: np.ndarray, ids: np.ndarray, cosine: float, spill: float, leaf: int, seed: int, depth: int = 0):
-    """Links of a node's rows: split it further until leaves are small, then compare."""
-    if len(x) > leaf and depth < 40:
-        splits = Splits(x, max(leaf // 2, len(x) // 16), spill, seed)
+def _links(x: np.ndarray, ids: np.ndarray, probe: np.ndarray, cosine: float, spill: float, leaf: int, seed: int, depth: int = 0):
+    """Links of a node's rows, and the probes that meet their row: split it further until leaves are small, then compare."""
+    own = ~probe
+    if own.sum() > leaf and depth < 40:
+        splits = Splits(x[own], max(leaf // 2, int(own.sum()) // 16), spill, seed)
         rows, nodes = splits.route(x)
         order = np.argsort(nodes, kind="stable")
         rows, nodes = rows[order], nodes[order]
         cuts = np.flatnonzero(np.diff(nodes)) + 1
         for part in np.split(rows, cuts):
             # Rows that no direction tells apart would not get fewer: they are compared in blocks against all.
-            if len(part) > 0.9 * len(x):
-                yield from _blocks(x[part], ids[part], cosine, leaf)
+            if own[part].sum() > 0.9 * own.sum():
+                kept = part[own[part]]
+                for a, b in _blocks(x[kept], ids[kept], cosine, leaf):
+                    yield a, b, False
+                yield _met(ids[part], probe[part])
             else:
-                yield from _links(x[part], ids[part], cosine, spill, leaf, seed + 1, depth + 1)
+                yield from _links(x[part], ids[part], probe[part], cosine, spill, leaf, seed + 1, depth + 1)
         return
-    label = leaf_links(x, cosine)
-    linked = np.flatnonzero(label != np.arange(len(x)))
-    yield ids[linked], ids[label[linked]]
+    label = leaf_links(x[own], cosine)
+    linked = np.flatnonzero(label != np.arange(len(label)))
+    yield ids[own][linked], ids[own][label[linked]], False
+    yield _met(ids, probe)
+
+
+def _met(ids: np.ndarray, probe: np.ndarray):
+    """Ids of the probes that are together with the row they were made from."""
+    met = np.intersect1d(ids[probe], ids[~probe])
+    return met, met, True
 
 
 def _blocks(x: np.ndarray, ids: np.ndarray, cosine: float, leaf: int):
@@ -161,8 +189,10 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int):
         yield now, _one(held)
 
 
-def _pairs(a: list, b: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+def _pairs(found: list) -> pa.RecordBatch:
+    kinds = np.concatenate([np.full(len(a), probe) for a, _, probe in found])
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)), pa.array(kinds, pa.bool_())], names=["a", "b", "probe"])
 
 
 def _forest(shared, width: int):
@@ -171,12 +201,12 @@ def _forest(shared, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(1), width)
-            for tree, splits in enumerate(shared.value):
+            for tree, splits in shared.value:
                 rows, nodes = splits.route(x)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), tree, np.int32)), pa.array(nodes.astype(str)), *(batch.column(i).take(take) for i in (0, 1))],
-                    names=["tree", "node", "id", "v"])
+                    [pa.array(np.full(len(rows), tree, np.int32)), pa.array(nodes.astype(str)), *(batch.column(i).take(take) for i in (0, 1, 2))],
+                    names=["tree", "node", "id", "v", "probe"])
 
     return run
 
@@ -187,13 +217,13 @@ def _again(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, _), group in _grouped(batches, 2):
             x = matrix(group.column(3), width)
-            rows, nodes = Splits.from_bytes(group.column(4)[0].as_py()).route(x)
+            rows, nodes = Splits.from_bytes(group.column(5)[0].as_py()).route(x)
             take = pa.array(rows)
             above = np.array(group.column(1).take(take).to_pylist(), str)
             path = pa.array(np.char.add(np.char.add(above, "."), nodes.astype(str)))
             yield pa.RecordBatch.from_arrays(
-                [group.column(0).take(take), path, group.column(2).take(take), group.column(3).take(take)],
-                names=["tree", "node", "id", "v"])
+                [group.column(0).take(take), path, *(group.column(i).take(take) for i in (2, 3, 4))],
+                names=["tree", "node", "id", "v", "probe"])
 
     return run
 
@@ -213,16 +243,16 @@ def _split_large(rows: DataFrame, width: int, task_rows: int, sample: int, sampl
             made = Splits(matrix(pa.array(group["v"]), width), sample_leaf, spill, 1000 * level + int(key[0]))  # noqa: B023
             return pd.DataFrame({"tree": [key[0]], "node": [key[1]], "splits": [made.to_bytes()]})
 
-        splits = cut_lineage(picked.filter(share).select("tree", "node", "v").groupBy("tree", "node").applyInPandas(
+        splits = cut_lineage(picked.filter(share & ~F.col("probe")).select("tree", "node", "v").groupBy("tree", "node").applyInPandas(
             fit, "tree int, node string, splits binary"))
         # Chunks of a node keep the splits beside few rows of it and spread a large node over tasks.
         chunked = rows.join(large.select("tree", "node", F.ceil(F.col("count") / task_rows).alias("chunks")), ["tree", "node"])
         chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
         fitted = splits.join(large.select("tree", "node", F.ceil(F.col("count") / task_rows).alias("chunks")), ["tree", "node"])
         fitted = fitted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-        joined = chunked.select("tree", "node", "chunk", "id", "v").join(fitted.select("tree", "node", "chunk", "splits"), ["tree", "node", "chunk"])
-        deeper = joined.select("tree", "node", "id", "v", "splits").sortWithinPartitions("tree", "node").mapInArrow(
-            _again(width), rows.select("tree", "node", "id", "v").schema)
+        joined = chunked.select("tree", "node", "chunk", "id", "v", "probe").join(fitted.select("tree", "node", "chunk", "splits"), ["tree", "node", "chunk"])
+        deeper = joined.select("tree", "node", "id", "v", "probe", "splits").sortWithinPartitions("tree", "node").mapInArrow(
+            _again(width), rows.select("tree", "node", "id", "v", "probe").schema)
         rows = cut_lineage(rows.join(large.select("tree", "node"), ["tree", "node"], "left_anti").unionByName(deeper))
     return rows
 
@@ -232,9 +262,8 @@ def _compare(width: int, cosine: float, spill: float, leaf: int):
         for (tree, _), group in _grouped(batches, 2):
             if group.num_rows > 1:
                 x = matrix(group.column(3), width)
-                found = list(_links(x, group.column(2).to_numpy(), cosine, spill, leaf, 7 + int(tree)))
-                if found:
-                    yield _pairs([f[0] for f in found], [f[1] for f in found])
+                # Seeds far apart: no tree draws the directions that another one has a level deeper.
+                yield _pairs(list(_links(x, group.column(2).to_numpy(), group.column(4).to_numpy(zero_copy_only=False), cosine, spill, leaf, 1000 * (7 + int(tree)))))
 
     return run
 
@@ -260,9 +289,20 @@ def _count(width: int, cosine: float, step: int = 512):
     return run
 
 
+def _probes(picked: pa.Table, width: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and, for each, a vector at exactly ``cosine`` to it in a random direction."""
+    column = picked.column("v").combine_chunks()
+    x = matrix(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column, width)
+    u = np.random.default_rng(23).standard_normal(x.shape)
+    u -= np.einsum("ij,ij->i", u, x)[:, None] * x
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+    return picked.column("id").to_numpy(), x, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * u
+
+
 def near_duplicates(
     vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, spill: float = SPILL, key: str = "vec_id", vector: str = "embedding",
     sample: int = SAMPLE, sample_leaf: int = SAMPLE_LEAF, leaf: int = LEAF, task_rows: int = TASK_ROWS, block: int = BLOCK,
+    recall: float = RECALL,
 ) -> DataFrame:
     """``key``, n_links, component_id, kept: one row per input row.
 
@@ -270,7 +310,7 @@ def near_duplicates(
     key; shorter vectors count as padded with zeros. n_links counts other rows linked directly, equal ones included;
     component_id is the smallest ``key`` that links reach; kept marks that one (and rows with a null key). Rows with equal
     keys are forms of one vector: they share its links and component. ``key`` has to be an integer. Other columns are
-    not read.
+    not read. Forests of ``trees`` trees are added until they find ``recall`` of made-up pairs at the least cosine.
     """
     spark = vectors.sparkSession
     good = F.col("v").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("v", lambda c: c != 0)
@@ -284,12 +324,26 @@ def near_duplicates(
         return own.select(F.col("id").cast(vectors.schema[key].dataType).alias(key), F.lit(0).cast("bigint").alias("n_links"),
                           F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     fitted = matrix(_arrow_lists(classes.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample).select("v")), width)
-    shared = spark.sparkContext.broadcast([Splits(fitted, sample_leaf, spill, t) for t in range(trees)])
     kind = vectors.schema[vector].dataType.simpleString()
-    rows = cut_lineage(classes.select("id", "v").mapInArrow(_forest(shared, width), f"tree int, node string, id bigint, v {kind}"))
-    rows = _split_large(rows, width, task_rows, sample, sample_leaf, spill)
-    links = rows.repartition("tree", "node").sortWithinPartitions("tree", "node").mapInArrow(
-        _compare(width, cosine, spill, leaf), "a bigint, b bigint").distinct()
+    ids, x, partners = _probes(classes.orderBy(F.xxhash64("id", F.lit(4)), "id").limit(PROBES).select("id", "v").toArrow(), width, cosine)
+    table = pa.table({"id": pa.array(ids), "v": pa.array(list(partners), pa.list_(pa.float64())), "probe": pa.array(np.full(len(ids), True))})
+    given = classes.select("id", "v", F.lit(False).alias("probe")).unionByName(
+        spark.createDataFrame(table).select("id", F.col("v").cast(kind).alias("v"), "probe"))
+    met, links = np.zeros(len(ids), bool), None
+    for first in itertools.count(0, trees):
+        forest = [(t, Splits(fitted, sample_leaf, spill, t)) for t in range(first, first + trees)]
+        if not first:
+            part = np.unique(forest[0][1].part(x, PARTS.bit_length() - 1), return_inverse=True)[1]
+        shared = spark.sparkContext.broadcast(forest)
+        rows = cut_lineage(given.mapInArrow(_forest(shared, width), f"tree int, node string, id bigint, v {kind}, probe boolean"))
+        rows = _split_large(rows, width, task_rows, sample, sample_leaf, spill)
+        made = cut_lineage(rows.repartition("tree", "node").sortWithinPartitions("tree", "node").mapInArrow(
+            _compare(width, cosine, spill, leaf), "a bigint, b bigint, probe boolean").distinct())
+        links = made if links is None else links.unionByName(made)
+        met |= np.isin(ids, [r["a"] for r in made.filter("probe").select("a").collect()])  # at most PROBES
+        if (np.bincount(part, met) >= recall * np.bincount(part)).all():
+            break
+    links = links.filter(~F.col("probe")).select("a", "b").distinct()
     reached = cut_lineage(connected(links))
 
     members = classes.join(reached.withColumnRenamed("node", "id"), "id")
