@@ -124,3 +124,45 @@ def scan(
         *keys, "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
         F.greatest(F.when(F.col("n_base") > 0, 1.0).otherwise(0.0), F.coalesce("_share", F.lit(0.0))).alias("score"))
+
+
+def statement_sets(templates, threshold: float) -> list[tuple[str, list[str], list[str], int, int]]:
+    """Label, distinct words, anchors, words needed and words of a block of each template.
+
+    A block that holds the words needed holds at least one anchor: all other words are too few. Long words are rare ones.
+    """
+    out = []
+    for (statement, label), (_, _, distinct, need) in zip(templates, template_sets(templates, threshold), strict=True):
+        length = len("".join(c if c.isascii() and c.isalnum() else " " for c in statement).split())
+        order = sorted(distinct, key=lambda w: (-len(w), w))
+        out.append((label, order, order[: len(order) - need + 1], need, math.ceil(length / threshold - 1e-9)))
+    return out
+
+
+def statements(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys``, labels, score: one row per input row; statements are found across line breaks.
+
+    A block is any run of ``1 / threshold`` times as many consecutive words as the template has, wherever lines end. score is
+    the largest share of a template's distinct words in a block that holds ``threshold`` of them, else 0. A null text is empty.
+    """
+    known = statement_sets(templates, threshold)
+    anchors = sorted(set().union(*(a for _, _, a, _, _ in known)))
+    body = _lower(F.coalesce(F.col(text), F.lit("")))
+    # Most texts hold no anchor and are not cut into words.
+    rows = docs.select(*keys, body.alias("_t")).select(
+        *keys, F.when(F.col("_t").rlike("|".join(anchors)), words_of(F.col("_t"))).otherwise(F.array().cast("array<string>")).alias("_w"))
+    at = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(anchors), i)), lambda i: i.isNotNull())
+    rows = rows.select(*keys, "_w", at.alias("_at"))
+
+    def share(own: list[str], first: list[str], need: int, block: int) -> Column:
+        words = F.array(*map(F.lit, own))
+        held = lambda start, n: F.size(F.array_intersect(words, F.slice("_w", start + 1, n)))
+        low = lambda p: F.greatest(p - (block - 1), F.lit(0))
+        near = F.filter("_at", lambda p: F.get("_w", p).isin(first) & (held(low(p), F.lit(2 * block)) >= need))
+        best = F.array_max(F.flatten(F.transform(near, lambda p: F.transform(F.sequence(low(p), p), lambda s: held(s, F.lit(block))))))
+        return F.when(best >= need, best / F.lit(len(own))).otherwise(0.0)
+
+    rows = rows.select(*keys, F.when(F.size("_at") > 0, F.array(*(F.coalesce(share(o, a, n, b), F.lit(0.0)) for _, o, a, n, b in known))).alias("_s"))
+    named = F.array_compact(F.array(*(F.when(F.col("_s")[i] > 0, F.lit(label)) for i, (label, *_) in enumerate(known))))
+    return rows.select(
+        *keys, F.coalesce(F.array_join(F.array_sort(F.array_distinct(named)), ","), F.lit("")).alias("labels"), F.coalesce(F.array_max("_s"), F.lit(0.0)).alias("score"))

@@ -71,6 +71,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 
+def statements(sets) -> str:
+    """``sets``: (label, distinct words, anchors, words needed, words of a block) of each template."""
+    templates = ", ".join(f"('{label}', {_list(sorted(words))}, {need}, {block})" for label, words, _, need, block in sets)
+    return f"""
+WITH w AS (SELECT doc_id, {PLACES.format(f"translate(coalesce(text, ''), {UPPER})")} AS w FROM documents),
+templates(label, words, need, block) AS (VALUES {templates}),
+starts AS (
+  SELECT doc_id, w, label, words, need, block, unnest(range(1, len(w) + 1)) AS i FROM w JOIN templates ON len(list_intersect(words, w)) >= need),
+met AS (
+  SELECT doc_id, label, len(list_intersect(words, w[i:i + block - 1])) / len(words) AS share FROM starts
+  WHERE list_contains(words, w[i]) AND len(list_intersect(words, w[i:i + block - 1])) >= need)
+SELECT doc_id, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0.0::DOUBLE) AS score
+FROM w LEFT JOIN met USING (doc_id) GROUP BY doc_id"""
+
+
 #: Every pair; the forest finds the same links as long as it misses none, and has one leaf on tables this small.
 VECTORS = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
