@@ -9,6 +9,9 @@ verified exactly by bit-parallel approximate matching of the whole item.
 Items are broadcast in blocks of a fixed number; documents are read once for each block and never shuffled. Windows of
 every position are considered: those left out before embedding hold fewer word triples of items than any run within the
 distance holds, since an edit destroys at most three of them.
+
+A character of a script without spaces is a word. Items of fewer than five words have no edits to spare and are found as
+exact runs of words.
 """
 
 from __future__ import annotations
@@ -29,12 +32,45 @@ WALKS, SAMPLES, STEPS = 6, 6, 3
 ITEM_BLOCK = 20_000
 PIECE = 64
 STRETCH = 1.3
-#: Letters and digits of any script; case, punctuation and line breaks do not matter.
+#: Letters and digits of any script; case, ASCII and CJK punctuation and line breaks do not matter.
 INSIDE = byte_class([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
 _GRAM_BITS = 22
 _CHUNK = 1 << 15
 
 
+#: Code points that are words of their own, and punctuation of the same scripts: inclusive spans.
+ALONE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035),
+         (0x3038, 0x303C), (0x3040, 0x30FA), (0x30FC, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+         (0x20000, 0x3FFFF))
+BETWEEN = ((0x3000, 0x3004), (0x3008, 0x3020), (0x302A, 0x3030), (0x3036, 0x3037), (0x303D, 0x303F), (0x30FB, 0x30FB), (0xFE30, 0xFE4F),
+           (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray):
+    """Like ``words`` over ``INSIDE``, but characters of ``ALONE`` are words of their own and those of ``BETWEEN`` in none."""
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return words(data, offsets, INSIDE)
+    long = data[lead] >= 0xF0
+    byte = lambda k: data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 0x3F
+    point = (data[lead].astype(np.int64) & 0x0F) << 12 | byte(1) << 6 | byte(2)
+    point = np.where(long, (data[lead].astype(np.int64) & 0x07) << 18 | byte(1) << 12 | byte(2) << 6 | byte(3), point)
+    within = lambda spans: np.logical_or.reduce([(point >= a) & (point <= b) for a, b in spans])
+    alone, between = within(ALONE), within(BETWEEN)
+    if not (alone | between).any():
+        return words(data, offsets, INSIDE)
+    size = np.where(long, 4, 3)
+    flag, cut = INSIDE[data], np.zeros(len(data) + 1, bool)
+    for k in range(4):
+        flag[np.minimum(lead + k, len(data) - 1)[between & (k < size)]] = False
+    cut[offsets] = cut[lead[alone]] = cut[(lead + size)[alone]] = True
+    before, after = np.zeros_like(flag), np.zeros_like(flag)
+    before[1:], after[:-1] = flag[:-1], flag[1:]
+    starts = np.flatnonzero(flag & (~before | cut[:-1]))
+    ends = np.flatnonzero(flag & (~after | cut[1:])) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def embed(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, steps: int, wanted: set[int]) -> dict[int, np.ndarray]:
     """Words written at the ``wanted`` steps by one walk from each start; 0 after the end."""
     out, at = {}, starts.copy()
@@ -56,14 +92,18 @@ class Index:
     """Items by the keys of their sampled steps, for each length class, walk and sample."""
 
     def __init__(self, ids: list, texts: list[str], similarity: float, walks: int, samples: int, sampled: int):
-        self.walks, kept = walks, []
+        self.walks, kept, short = walks, [], {}
         for ident, text in zip(ids, texts, strict=True):
             data = np.frombuffer(text.encode(), np.uint8)
-            starts, ends, _ = words(data, np.array([0, len(data)]), INSIDE)
+            starts, ends, _ = split_words(data, np.array([0, len(data)]))
             found = word_hashes(data, starts, ends, LOWER)
             if len(found) >= LEAST_WORDS:
                 kept.append((ident, found, int((1 - similarity) * len(found) + 1e-9)))
+            elif len(found):
+                short.setdefault(len(found), {}).setdefault(int(grams(found, len(found))[0]), []).append(ident)
         self.items = kept
+        #: Items of too few words for edits: by number of words, the sorted hashes and the ids of each.
+        self.short = {n: (np.array(sorted(held), U), [held[h] for h in sorted(held)]) for n, held in short.items()}
         self.patterns: dict[int, dict[int, int]] = {}
         pieces = []  # item, offset, length
         for number, (_, found, _) in enumerate(kept):
@@ -177,13 +217,26 @@ def candidates(index: Index, hashes: np.ndarray, first: np.ndarray):
                         k += 1
 
 
+def exact(index: Index, hashes: np.ndarray, first: np.ndarray):
+    """(row, item id, words, last word) of the first copy of each short item in each row."""
+    row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for n, (wanted, ids) in index.short.items():
+        found = grams(hashes, n)
+        place = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+        hit = np.flatnonzero((wanted[place] == found) & (np.arange(len(found)) + n <= first[1:][row_of[: len(found)]]))
+        for h in hit[np.unique(row_of[hit] * len(wanted) + place[hit], return_index=True)[1]]:
+            row = int(row_of[h])
+            for ident in ids[place[h]]:
+                yield row, ident, n, int(h) + n - 1 - int(first[row])
+
+
 def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, text: str = "text", keys: tuple[str, ...] = ("doc_id",),
          item: str = "item_id", item_text: str = "text", walks: int = WALKS, samples: int = SAMPLES, steps: int = STEPS) -> DataFrame:
     """``keys``, item_id, n_item_words, distance, last_word: one row per document and item found in it, the closest place.
 
     An item of n words is found where some run of the document is at most (1 - similarity) n word edits away. Null texts
-    are empty and hold nothing; items of fewer than five words, or without a text or id, are not looked for. Ties go to
-    the first place. Repeated documents and repeated items are reported each. Other columns are not read.
+    are empty and hold nothing; items of fewer than five words are found as exact copies, and those without a word or an
+    id are not looked for. Ties go to the first place. Repeated documents and repeated items are reported each. Other columns are not read.
     """
     spark = docs.sparkSession
     wanted = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
@@ -207,10 +260,13 @@ def _search(shared):
             width = batch.num_columns - 1
             rows, found = [], []
             for at, data, offsets in slices(batch.column(width)):
-                starts, ends, first = words(data, offsets, INSIDE)
-                if not len(starts) or not index.items:
+                starts, ends, first = split_words(data, offsets)
+                if not len(starts) or not (index.items or index.short):
                     continue
                 hashes = word_hashes(data, starts, ends, LOWER)
+                for row, ident, n, last in exact(index, hashes, first):
+                    rows.append(at + row)
+                    found.append((ident, n, 0, last))
                 regions: dict[tuple[int, int], list[int]] = {}
                 for start, number, offset in candidates(index, hashes, first):
                     row = int(np.searchsorted(first, start, "right")) - 1

@@ -10,7 +10,7 @@ import numpy as np
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute
-from quiltgraph.llm import licenses, vectors
+from quiltgraph.llm import decontamination, licenses, vectors
 
 
 def hot_topic(rows, pairs, width=64, topic=0.75, seed=5):
@@ -59,3 +59,12 @@ def test_statements_wrapped_over_lines_are_found_and_scattered_words_are_not(spa
     assert got == sorted(want)
     found = {i: labels for i, labels, _ in got}
     assert all(label in found[i].split(",") for i, (_, label) in enumerate(licenses.TEMPLATES)) and found[100] == "" and found[102] == "mit"
+
+
+def test_items_of_scripts_without_spaces_and_of_few_words_are_found(spark):
+    items = [(1, "水在一个大气压下的沸点是多少摄氏度?"), (2, "富士山の高さは何メートルですか"), (3, "น้ำเดือดที่กี่องศา"), (4, "Capital of France"), (5, "𠀀𠀁𠀂𠀃𠀄𠀅"), (6, "?!")]
+    rows = [(1, "前文。水在一个大气压下的沸点是多少摄氏度？后文"), (2, "abc富士山の高さは、何メートルですか。"), (3, "x น้ำเดือดที่กี่องศา y"), (4, "the CAPITAL, of\nFrance; capital of France"),
+            (5, "z𠀀𠀁𠀂𠀃𠀄𠀅z"), (6, "水在一个大气压下的沸腾点是多少摄氏度"), (7, "capital of"), (8, "France 大气压下"), (9, None), (10, "capitals of France")]
+    got = decontamination.find(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got.collect()) == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 1, 1)]
+    assert {r["last_word"] for r in got.filter("doc_id = 4").collect()} == {3}
