@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiltgraph.functions.shared import Shared
 from quiltgraph.llm.texts import LOWER, U, byte_class, grams, in_small_batches, mix, slices, word_hashes, words
 
 SIMILARITY = 0.8
@@ -247,7 +248,7 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, text
     made = None
     for block in range(blocks):
         rows = wanted.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).orderBy("i", "t").collect()
-        shared = spark.sparkContext.broadcast(Index([r["i"] for r in rows], [r["t"] for r in rows], similarity, walks, samples, steps))
+        shared = Shared(spark, Index([r["i"] for r in rows], [r["t"] for r in rows], similarity, walks, samples, steps))
         part = picked.mapInArrow(_search(shared), f"{kinds}, item_id {item_type}, n_item_words int, distance int, last_word bigint")
         made = part if made is None else made.unionByName(part)
     return made

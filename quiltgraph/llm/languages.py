@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quiltgraph.functions.shared import Shared
 from quiltgraph.llm.texts import code_points, gram_ids, in_small_batches, letters, slices
 
 DIM = 1 << 15
@@ -80,7 +81,7 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column] | None = None
     Null texts and texts without a letter give ``und`` and 0, as does a model that learned nothing. Ties go to the
     language that sorts first. One row per input row; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, table = shared.value, letters()

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiltgraph.functions.shared import Shared
 from quiltgraph.functions.sizes import cut_lineage, proven_small, salted_join
 from quiltgraph.llm.components import SALTS, connected
 from quiltgraph.llm.texts import LOWER, U, grams, in_small_batches, lists, mix, sequence_hashes, slices, word_hashes, words
@@ -356,7 +357,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str
     often = cut_lineage(own.select("_text").mapInArrow(_repeated(k, 16, 3), "kind int, value bigint, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n")))
     top = lambda kind, most: often.filter(F.col("kind") == kind).orderBy(F.desc("n"), "value").limit(most).toPandas()
     common_words, common = top(0, COMMON_WORDS), top(1, COMMON_SHINGLES)  # sizes fixed by the limits
-    shared = spark.sparkContext.broadcast(Order(
+    shared = Shared(spark, Order(
         common_words["value"].to_numpy(np.int64).view(U), common_words["n"].to_numpy(np.int64), common["value"].to_numpy(np.int64).view(U), common["n"].to_numpy(np.int64)))
 
     scanned = cut_lineage(own.mapInArrow(

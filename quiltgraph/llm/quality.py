@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quiltgraph.functions.shared import Shared
 from quiltgraph.llm.texts import character_classes, code_points, gram_ids, in_small_batches, slices, word_hashes, words
 
 GRAMS = 1 << 11
@@ -142,7 +143,7 @@ def predict(
     Null texts count as empty; an empty text has its shape terms and is scored like any other. Without labelled rows every
     score is 0.5. One row per input row; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

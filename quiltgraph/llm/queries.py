@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.llm import decontamination, languages, licenses, neardup, quality, secrets, sql, substrings, urls, vectors
+from quiltgraph.llm import decontamination, languages, licenses, neardup, quality, rules, search, secrets, sql, substrings, urls, vectors, whitening
 from quiltgraph.llm.packing import pack
 from quiltgraph.llm.registry import ORACLE, QUERIES, query, table
 
@@ -85,3 +85,25 @@ def op9(spark: SparkSession, directory: str) -> DataFrame:
 @query("op3_embedding_near_dedup", sql=sql.VECTORS)
 def op3(spark: SparkSession, directory: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, directory, "embeddings"))
+
+
+@query("op11_lexical_search", sql=sql.SEARCH)
+def op11(spark: SparkSession, directory: str) -> DataFrame:
+    return search.search(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, directory: str) -> DataFrame:
+    rows = table(spark, directory, "embeddings")
+    model = whitening.fit(rows)
+    listed = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("_at", "whitened"))
+    explained = F.array(*map(F.lit, model.explained.tolist())) if model else F.array().cast("array<double>")
+    return listed.select(
+        "vec_id", (F.col("_at") + 1).cast("int").alias("component"), F.lit(model.n if model else 0).cast("bigint").alias("n"), "deviation", "whitened",
+        F.get(explained, "_at").alias("explained"), F.lit(model.identity_error if model else 0.0).alias("identity_error"))
+
+
+@query("op13_quality_rules", sql=sql.quality_rules(rules.RULES, rules.RISK, rules.ERROR, rules.TOP))
+def op13(spark: SparkSession, directory: str) -> DataFrame:
+    judged = rules.filter_quality(table(spark, directory, "documents"), table(spark, directory, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -119,3 +119,57 @@ reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN l
 least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id
 FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON a = doc_id"""
+
+
+SEARCH = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+q AS (
+  SELECT item_id, term, count(*) AS qtf FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+weights AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, c),
+sizes AS (SELECT doc_id, 25 + (75 * len(w) * n) // l AS m FROM d, c WHERE len(w) > 0),
+scored AS (
+  SELECT item_id, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+def quality_rules(rules, risk: float, error: float, top: int) -> str:
+    """``rules``: (name, numerator, denominator)."""
+    each = " UNION ALL ".join(f"SELECT doc_id, s, '{name}' AS rule, least({top}, coalesce((100 * {a}) // nullif({b}, 0), 0)) AS v FROM counted" for name, a, b in rules)
+    return f"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS s, coalesce(text, '') AS t, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 7], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+line_counts AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT l) AS again FROM lines GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, s, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(again, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(x.n, 0) AS n_lines,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclamations
+  FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN line_counts x USING (doc_id)),
+measured AS ({each}),
+agreed AS (SELECT doc_id, min(quality) AS y FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
+held AS (SELECT s, rule, v, y FROM measured JOIN agreed USING (doc_id)),
+sizes AS (SELECT s, rule, count(*) FILTER (y = 1) AS good FROM held GROUP BY ALL),
+steps AS (
+  SELECT s, rule, good, c, (SELECT count(*) FROM held h WHERE h.s = x.s AND h.rule = x.rule AND h.v > c AND y = 1) AS lost,
+    (SELECT count(*) FROM held h WHERE h.s = x.s AND h.rule = x.rule AND h.v > c AND y = 0) AS caught
+  FROM (SELECT *, unnest(range(0, {top})) AS c FROM sizes) x),
+tails AS (
+  SELECT *, CASE WHEN lost >= good THEN 1.0::DOUBLE ELSE list_sum(list_transform(range(0, lost + 1), lambda k: exp(lgamma(good + 1) - lgamma(k + 1) - lgamma(good - k + 1)
+    + k * ln({risk / len(rules)!r}::DOUBLE) + (good - k) * ln(1 - {risk / len(rules)!r}::DOUBLE)))) END AS tail FROM steps),
+tested AS (
+  SELECT *, bool_and(tail <= {error!r}::DOUBLE / ((SELECT count(DISTINCT s) FROM sizes) * {len(rules)})) OVER (PARTITION BY s, rule ORDER BY c DESC) AS certified FROM tails),
+cuts AS (SELECT s, rule, c FROM tested WHERE certified AND caught > lost QUALIFY row_number() OVER (PARTITION BY s, rule ORDER BY caught - lost DESC, c DESC) = 1),
+above AS (SELECT DISTINCT doc_id FROM measured JOIN cuts USING (s, rule) WHERE v > c),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM above) AS kept FROM judged"""

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiltgraph.functions.shared import Shared
 from quiltgraph.functions.sizes import cut_lineage, proven_small, salted_join
 from quiltgraph.llm.components import SALTS, connected
 from quiltgraph.llm.texts import in_small_batches
@@ -334,7 +335,7 @@ def near_duplicates(
         forest = [(t, Splits(fitted, sample_leaf, spill, t)) for t in range(first, first + trees)]
         if not first:
             part = np.unique(forest[0][1].part(x, PARTS.bit_length() - 1), return_inverse=True)[1]
-        shared = spark.sparkContext.broadcast(forest)
+        shared = Shared(spark, forest)
         rows = cut_lineage(given.mapInArrow(_forest(shared, width), f"tree int, node string, id bigint, v {kind}, probe boolean"))
         rows = _split_large(rows, width, task_rows, sample, sample_leaf, spill)
         made = cut_lineage(rows.repartition("tree", "node").sortWithinPartitions("tree", "node").mapInArrow(
