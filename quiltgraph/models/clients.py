@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 
 from quiltgraph.config import api_key
 from quiltgraph.functions.sizes import cut_lineage
+from quiltgraph.models.flight import Flight, TryAgain, by_requests, task_slots
 from quiltgraph.sources.lines import path_exists
 
 
 class TextModel(Protocol):
+    """A client may carry a ``flight``: how many of its requests go out at a time. Calls come from several threads."""
+
     def generate(self, prompts: list[str]) -> list[str | None]:
-        """One reply per prompt; None where the call failed."""
+        """One reply per prompt; None where the call failed. ``TryAgain`` has the request sent again after a pause."""
 
 
 class Embedder(Protocol):
@@ -63,15 +67,24 @@ class HashingEmbedder:
 class HttpTextModel:
     """Chat completion over HTTP; the key comes from the environment."""
 
-    def __init__(self, url: str, model: str, max_tokens: int = 8192, temperature: float = 0.1, timeout: float = 300.0):
-        self.url, self.model, self.timeout = url, model, timeout
+    def __init__(
+        self, url: str, model: str, max_tokens: int = 8192, temperature: float = 0.1, timeout: float = 300.0, flight: Flight = Flight()
+    ):
+        self.url, self.model, self.timeout, self.flight = url, model, timeout, flight
         self.options = {"max_tokens": max_tokens, "temperature": temperature}
 
     def _post(self, path: str, body: dict) -> dict:
         headers = {"Content-Type": "application/json", "Authorization": f"Bearer {api_key()}"}
         request = urllib.request.Request(f"{self.url.rstrip('/')}/{path}", json.dumps(body).encode(), headers)
-        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-            return json.load(reply)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                return json.load(reply)
+        except urllib.error.HTTPError as problem:
+            if problem.code == 429 or problem.code >= 500:
+                raise TryAgain(str(problem), _seconds(problem.headers.get("Retry-After"))) from problem
+            raise
+        except (urllib.error.URLError, TimeoutError, ConnectionError) as problem:
+            raise TryAgain(str(problem)) from problem
 
     def generate(self, prompts: list[str]) -> list[str | None]:
         replies: list[str | None] = []
@@ -84,9 +97,17 @@ class HttpTextModel:
         return replies
 
 
+def _seconds(value: str | None) -> float | None:
+    """Seconds of a Retry-After header; None for a date."""
+    try:
+        return None if value is None else float(value)
+    except ValueError:
+        return None
+
+
 class HttpEmbedder(HttpTextModel):
-    def __init__(self, url: str, model: str, dim: int = 768, timeout: float = 300.0):
-        super().__init__(url, model, timeout=timeout)
+    def __init__(self, url: str, model: str, dim: int = 768, timeout: float = 300.0, flight: Flight = Flight(at_once=64)):
+        super().__init__(url, model, timeout=timeout, flight=flight)
         self.dim = dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
@@ -97,24 +118,40 @@ class HttpEmbedder(HttpTextModel):
 
 
 def embed(text: Column, embedder: Embedder) -> Column:
-    """Vector of a text column, computed per Arrow batch."""
+    """Vector of a text column. An embedder with a ``flight`` gets several requests at a time, others an Arrow batch a call.
+
+    A request that fails at every attempt fails the task, which Spark repeats: no row goes without a vector unseen.
+    """
+    slots, flight = task_slots(SparkSession.getActiveSession()), getattr(embedder, "flight", None)
 
     @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(list(embedder.embed(texts.fillna("").tolist())), index=texts.index)
+        texts = (batch.fillna("").tolist() for batch in batches)
+        if flight is None:
+            for batch in texts:
+                yield pd.Series(list(embedder.embed(batch)), dtype=object)
+            return
+        for made in by_requests(texts, lambda request: list(embedder.embed(request)), flight, slots):
+            if any(v is None for v in made):
+                raise RuntimeError("the embedding service gave no reply")
+            yield pd.Series(made, dtype=object)
 
     return vectors(text)
 
 
 def replies(prompt: Column, model: Callable[[], TextModel]) -> Column:
-    """Reply of a prompt column; the client is built once per task."""
+    """Reply of a prompt column. The client is built once per task and keeps several requests in flight, in order.
+
+    How many is said by the client's ``flight``, by default ``Flight()``.
+    """
+    slots = task_slots(SparkSession.getActiveSession())
 
     @F.pandas_udf("string")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         client = model()
-        for prompts in batches:
-            yield pd.Series(client.generate(prompts.tolist()), index=prompts.index, dtype=object)
+        flight = getattr(client, "flight", None) or Flight()
+        for made in by_requests((batch.tolist() for batch in batches), client.generate, flight, slots):
+            yield pd.Series(made, dtype=object)
 
     return ask.asNondeterministic()(prompt)
 

@@ -1,28 +1,33 @@
 """Exact nearest vectors and texts for a batch of questions.
 
-A block of questions is sent to every task as one matrix, and each task keeps its
-best ``k`` rows per question, so the vector table is never shuffled; more questions
-take one pass for each block. A task holds one distance matrix of at most
-``query_block_rows`` x ``SUB_BLOCK`` numbers (32 MB with the defaults, about four
-of that size while it is made).
+Up to one block of questions, proven by a bounded count, is sent to every task as one matrix; each task keeps its best
+``k`` rows per question, and the vector table is never shuffled. More questions are numbered in blocks by Spark, and so are
+the items; every pair of blocks meets in one group of a shuffle, whose question block is held as a matrix while the items
+pass by. A task holds one distance matrix of at most ``query_block_rows`` x ``SUB_BLOCK`` numbers (32 MB with the defaults,
+about four of that size while it is made). Nothing of a question table beyond one block goes through the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quiltgraph.config import Settings
+from quiltgraph.functions.shared import Shared
+from quiltgraph.functions.sizes import cut_lineage, join_lookup, proven_small
+from quiltgraph.functions.text import words
+from quiltgraph.operators.postings import build_postings, search_postings
 from quiltgraph.operators.ranking import top_k
 
 DEFAULT = Settings()
 SUB_BLOCK = 1024
+#: Items of one block that a block of questions meets, where both sides are dealt out in blocks.
+ITEM_BLOCK = 65_536
 
 
 def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
@@ -37,25 +42,55 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return 2.0 - 2.0 * cosine
 
 
-def _best(q_ids, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, metric: str) -> pd.DataFrame:
-    """The ``k`` nearest rows of each question; of equally distant ones those with the smallest ids."""
-    order = np.argsort(ids, kind="stable")
-    d = np.round(_distances(q, v[order], metric), 6) + 0.0
-    return _top(np.asarray(q_ids, dtype=object), d, ids[order], k)
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column whose lists are equally long."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
 
 
-def _top(q_ids: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+class Best:
+    """The ``k`` nearest items of each question of a block; of equally distant ones those with the smallest ids."""
+
+    def __init__(self, q_ids: pa.Array, q: np.ndarray, k: int, metric: str):
+        self.q_ids, self.q, self.k, self.metric = q_ids, q, k, metric
+        self.rows, self.distances, self.ids = np.zeros(0, np.int64), np.zeros(0), []
+
+    def add(self, ids: pa.Array, v: np.ndarray) -> None:
+        for at in range(0, len(ids), SUB_BLOCK):
+            own = ids.slice(at, SUB_BLOCK).to_numpy(zero_copy_only=False)
+            order = np.argsort(own, kind="stable")
+            d = np.round(_distances(self.q, v[at : at + SUB_BLOCK][order], self.metric), 6) + 0.0
+            rows, cols = _first(d, self.k)
+            self.rows, self.distances = np.concatenate([self.rows, rows]), np.concatenate([self.distances, d[rows, cols]])
+            self.ids = np.concatenate([self.ids, own[order][cols]]) if len(self.ids) else own[order][cols]
+            self._cut()
+
+    def _cut(self) -> None:
+        order = np.lexsort((np.argsort(np.argsort(self.ids, kind="stable"), kind="stable"), self.distances, self.rows))
+        rows = self.rows[order]
+        order = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k]
+        self.rows, self.distances, self.ids = self.rows[order], self.distances[order], self.ids[order]
+
+    def batch(self, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [self.q_ids.take(pa.array(self.rows)), pa.array(self.ids if len(self.ids) else [], kind), pa.array(self.distances)], names=["_q", "_v", "distance"])
+
+
+def _first(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Exactly the first ``k`` columns of each row by value, then place."""
     k = min(k, d.shape[1])
     cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
     less, tied = d < cut, d == cut
-    keep = less | (tied & (np.cumsum(tied, axis=1) <= k - less.sum(axis=1, keepdims=True)))
-    rows, cols = np.nonzero(keep)
-    return pd.DataFrame({"_q": q_ids[rows], "_v": ids[cols], "distance": d[rows, cols]})
+    return np.nonzero(less | (tied & (np.cumsum(tied, axis=1) <= k - less.sum(axis=1, keepdims=True))))
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    made = column.combine_chunks()
+    return made if isinstance(made, pa.Array) else (made.chunk(0) if made.num_chunks else pa.array([], made.type))
 
 
-def _keep(pool: pd.DataFrame, k: int) -> pd.DataFrame:
-    return pool.sort_values(["_q", "distance", "_v"]).groupby("_q", sort=False).head(k)
+def _result_kind(q: DataFrame, v: DataFrame) -> str:
+    return f"_q {q.schema['_q'].dataType.simpleString()}, _v {v.schema['_v'].dataType.simpleString()}, distance double"
 
 
 def nearest(
@@ -64,52 +99,95 @@ def nearest(
 ) -> DataFrame:
     """``question, item, distance, rank``; both inputs carry their id and ``vector``.
 
-    Distances are rounded to six digits, equal ones are ordered by item.
+    Distances are rounded to six digits, equal ones are ordered by item. Rows without a vector are left out; vectors have
+    one length. A question id stands for one vector.
     """
-    q = questions.filter(F.col("vector").isNotNull()).select(F.col(question).alias("_q"), "vector")
-    v = vectors.filter(F.col("vector").isNotNull()).select(F.col(item).alias("_v"), "vector")
-    out = StructType([
-        StructField("_q", q.schema["_q"].dataType), StructField("_v", v.schema["_v"].dataType), StructField("distance", DoubleType()),
-    ])
-    found = None
-    for head in _blocks(q, settings.query_block_rows):
-        part = _against(head, v, k, metric, out)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = q.sparkSession.createDataFrame([], out)
+    q = questions.filter(F.col("vector").isNotNull()).select(F.col(question).alias("_q"), F.col("vector").cast("array<double>").alias("vector"))
+    v = vectors.filter(F.col("vector").isNotNull()).select(F.col(item).alias("_v"), F.col("vector").cast("array<double>").alias("vector"))
+    q = cut_lineage(q)
+    if proven_small(q, settings.query_block_rows):
+        found = _against(q.toArrow(), v, k, metric, _result_kind(q, v))
+    else:
+        found = meet(q.withColumn("_g", F.lit(0).cast("bigint")), cut_lineage(v).withColumn("_g", F.lit(0).cast("bigint")), k, metric, settings)
     ranked = top_k(found, "_q", [F.asc("distance"), F.asc("_v")], k)
     return ranked.select(F.col("_q").alias(question), F.col("_v").alias(item), "distance", "rank")
 
 
-def _blocks(q: DataFrame, rows: int) -> Iterator[list]:
-    """The rows of a table in lists of at most ``rows``, one list on the driver at a time."""
-    held = []
-    for row in q.toLocalIterator():
-        held.append(row)
-        if len(held) == rows:
-            yield held
-            held = []
-    if held:
-        yield held
+def _against(block: pa.Table, v: DataFrame, k: int, metric: str, out: str) -> DataFrame:
+    """The best of every task for one block of questions."""
+    shared: Any = Shared(v.sparkSession, (_one(block.column("_q")), matrix(_one(block.column("vector")))) if block.num_rows else None)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind = None, None
+        for batch in batches:
+            if shared.value is None or not batch.num_rows:
+                continue
+            best = best or Best(*shared.value, k, metric)
+            kind = batch.column(0).type
+            best.add(batch.column(0), matrix(batch.column(1)))
+        if best is not None:
+            yield best.batch(kind)
 
-def _against(head: list, v: DataFrame, k: int, metric: str, out: StructType) -> DataFrame:
-    q_ids = [r["_q"] for r in head]
-    matrix = np.array([r["vector"] for r in head], dtype=np.float64)
-    block = v.sparkSession.sparkContext.broadcast((q_ids, matrix))
+    return v.mapInArrow(scan, out)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = block.value
-        pool = None
-        for batch in batches:
-            for at in range(0, len(batch), SUB_BLOCK):
-                sub = batch.iloc[at : at + SUB_BLOCK]
-                part = _best(ids, q, sub["_v"].to_numpy(), np.stack(sub["vector"].to_numpy()).astype(np.float64), k, metric)
-                pool = _keep(part if pool is None else pd.concat([pool, part]), k)
-        if pool is not None:
-            yield pool
 
-    return v.mapInPandas(scan, out)
+def blocks(rows: DataFrame, group: str, size: int, settings: Settings, own: str, parts: str) -> DataFrame:
+    """Rows read from files with the number of their block ``own`` among the ``parts`` blocks of their group.
+
+    Rows are dealt by their number in the files, so equal rows go to different blocks as well.
+    """
+    sized = rows.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias(parts))
+    numbered = rows.withColumn("_no", F.xxhash64(F.monotonically_increasing_id()))
+    return join_lookup(numbered, sized, [group], settings).withColumn(own, F.pmod("_no", F.col(parts)).cast("int")).drop("_no")
+
+
+def meet(q: DataFrame, v: DataFrame, k: int, metric: str, settings: Settings = DEFAULT, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """``_q, _v, distance``: the best of every pair of blocks within each group ``_g``; both sides are read from files.
+
+    A group's questions and items are dealt out in blocks of about ``query_block_rows`` and ``item_block``; every question
+    block meets every item block in a task of its own.
+    """
+    q = blocks(q, "_g", settings.query_block_rows, settings, "_a", "_na")
+    v = blocks(v, "_g", item_block, settings, "_b", "_nb")
+    sides = q.select("_g", "_na").distinct(), v.select("_g", "_nb").distinct()
+    q = join_lookup(q, sides[1], ["_g"], settings).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    v = join_lookup(v, sides[0], ["_g"], settings).withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)))
+    ids = [F.lit(None).cast(side.schema[c].dataType).alias(c) for side, c in ((q, "_q"), (v, "_v"))]
+    both = q.select("_g", "_a", "_b", F.lit(0).alias("_side"), "_q", ids[1], "vector").unionByName(
+        v.select("_g", "_a", "_b", F.lit(1).alias("_side"), ids[0], "_v", "vector"))
+    return both.repartition("_g", "_a", "_b").sortWithinPartitions("_g", "_a", "_b", "_side").mapInArrow(_meeting(k, metric), _result_kind(q, v))
+
+
+def _meeting(k: int, metric: str):
+    def runs(batches: Iterator[pa.RecordBatch]):
+        """(key, side, rows) of consecutive rows of one side of one pair of blocks."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                yield tuple(keys[a, :3]), keys[a, 3], batch.slice(a, z - a)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, best, kind = None, [], None, None
+        for key, side, rows in runs(batches):
+            if key != now:
+                if best is not None:
+                    yield best.batch(kind)
+                now, waiting, best, kind = key, [], None, rows.column(5).type
+            if side == 0:
+                waiting.append(rows)
+                continue
+            if best is None and waiting:
+                held = pa.Table.from_batches(waiting)
+                best, waiting = Best(_one(held.column(4)), matrix(_one(held.column(6))), k, metric), []
+            if best is not None:
+                best.add(rows.column(5), matrix(rows.column(6)))
+        if best is not None:
+            yield best.batch(kind)
+
+    return scan
 
 
 def sparse_nearest(
@@ -117,60 +195,13 @@ def sparse_nearest(
 ) -> DataFrame:
     """Top ``k`` items by inner product of word counts: question terms are (question, term, weight) rows, items are texts.
 
-    A task counts the words of each text against one block of questions and keeps ``k`` items per question, so at
-    most that many rows of a question leave a task. Items that share no word with a question are not its results.
+    Through postings with upper bounds (``operators.postings``). Items that share no word with a question are not its
+    results. Equal scores are ordered by item.
     """
-    from quiltgraph.functions.text import words
-
-    q = question_terms.groupBy(F.col(question).alias("_q")).agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
-    d = docs.select(F.col(item).alias("_v"), words(F.lower(F.col(text))).alias("words"))
-    out = StructType([StructField("_q", q.schema["_q"].dataType), StructField("_v", d.schema["_v"].dataType), StructField("score", DoubleType())])
-    found = None
-    for head in _blocks(q, settings.query_block_rows):
-        part = _count_against(head, d, k, out)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = q.sparkSession.createDataFrame([], out)
-    kind = question_terms.schema["weight"].dataType
-    ranked = top_k(found, "_q", [F.desc("score"), F.asc("_v")], k)
-    return ranked.select(F.col("_q").alias(question), F.col("_v").alias(item), F.col("score").cast("bigint" if kind.typeName() != "double" else "double").alias("score"), "rank")
-
-
-def _count_against(head: list, d: DataFrame, k: int, out: StructType) -> DataFrame:
-    postings: dict[str, tuple[list[int], list[float]]] = {}
-    for i, row in enumerate(head):
-        for t in row["terms"]:
-            held = postings.setdefault(t["term"], ([], []))
-            held[0].append(i)
-            held[1].append(float(t["weight"]))
-    made = {t: (np.array(i), np.array(w)) for t, (i, w) in postings.items()}
-    block = d.sparkSession.sparkContext.broadcast(([r["_q"] for r in head], made))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, index = block.value
-        q_ids, pool = np.array(ids, dtype=object), None
-        for batch in batches:
-            for at in range(0, len(batch), SUB_BLOCK):
-                sub = batch.iloc[at : at + SUB_BLOCK].sort_values("_v")
-                scores = np.zeros((len(ids), len(sub)))
-                for column, held in enumerate(sub["words"]):
-                    for term, n in Counter(held if held is not None else ()).items():
-                        if term in index:
-                            rows, weights = index[term]
-                            scores[rows, column] += n * weights
-                part = _top(q_ids, -scores, sub["_v"].to_numpy(), k).rename(columns={"distance": "score"})
-                part["score"] = -part["score"]
-                part = part[part["score"] > 0]
-                pool = part if pool is None else pd.concat([pool, part])
-                pool = pool.sort_values(["_q", "score", "_v"], ascending=[True, False, True]).groupby("_q", sort=False).head(k)
-        if pool is not None:
-            yield pool
-
-    return d.mapInPandas(scan, out)
+    found, _ = search_postings(question_terms, build_postings(docs, item, text), question, k, settings)
+    return found.withColumnRenamed("item", item)
 
 
 def terms(docs: DataFrame, item: str, text: str = "text") -> DataFrame:
     """Sparse vector of a text as rows: one unit weight per occurrence of a lower-case word."""
-    from quiltgraph.functions.text import words
-
     return docs.select(item, F.explode_outer(words(F.lower(F.col(text)))).alias("term"), F.lit(1).alias("weight")).filter("term is not null")

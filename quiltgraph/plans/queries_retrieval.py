@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quiltgraph.functions.sizes import cut_lineage
 from quiltgraph.functions.vectors import squared_norm, unit
 from quiltgraph.operators import evidence, nearest
+from quiltgraph.operators.cells import build_cells, search_cells
 from quiltgraph.operators.reasoning import RuleReasoner
 from quiltgraph.plans import base
 from quiltgraph.plans.answer import answer
@@ -87,8 +88,10 @@ def summary_recall_topk(spark, d):
 , r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, entity_id)::INT AS rank FROM ed)
 SELECT question_id, entity_id, distance, rank FROM r WHERE rank <= 10""")
 def entity_recall_topk(spark, d):
+    """Nearest entity summaries of every question, through stored cells: exact, but not every cell is read."""
     e = base.summarized(spark, d).withColumn("vector", embed(F.col("summary"), EMBEDDER))
-    return nearest.nearest(base.embedded_questions(spark, d), e, "question_id", "entity_id", 10, "unit_l2")
+    best, _ = search_cells(base.embedded_questions(spark, d), build_cells(e, "entity_id", "unit_l2"), "question_id", "entity_id", 10)
+    return best
 
 
 @query("sparse_recall_topk", f"""

@@ -8,6 +8,8 @@ from quiltgraph.config import Settings
 from quiltgraph.functions import vectors
 from quiltgraph.functions.sizes import join_lookup
 from quiltgraph.operators import nearest, ranking
+from quiltgraph.operators.cells import build_cells, search_cells
+from quiltgraph.operators.postings import build_postings, search_postings
 from conftest import rows
 
 
@@ -84,3 +86,75 @@ def test_lookup_join_same_beyond_the_size_check(spark, limit, how):
     small = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "k string, v int")
     got = join_lookup(big, small if how == "inner" else small.select("k"), ["k"], Settings(broadcast_rows=limit, salts=4), how)
     assert rows(got, "i") == rows(big.join(small, "k", how), "i")
+
+
+def clustered(rows_, centres=40, dim=8, seed=9):
+    rng = np.random.default_rng(seed)
+    return rng.standard_normal((centres, dim))[rng.integers(0, centres, rows_)] * 6 + rng.standard_normal((rows_, dim)) * 0.3
+
+
+def vector_frame(spark, x, name):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{name} int, vector array<double>")
+
+
+def test_blocks_of_both_sides_meet_each_pair_once(spark):
+    """Three blocks of questions, several of items, a third of the items equal: the same as one block."""
+    x = clustered(900)
+    x[:300] = x[0]
+    qs, vs = vector_frame(spark, clustered(30, seed=4), "question_id"), vector_frame(spark, x, "item").repartition(5)
+    one = rows(nearest.nearest(qs, vs, "question_id", "item", 7), "question_id", "rank", "item", "distance")
+    assert one == rows(nearest.nearest(qs, vs, "question_id", "item", 7, settings=Settings(query_block_rows=10)), "question_id", "rank", "item", "distance")
+    group = F.lit(0).cast("bigint").alias("_g")
+    from quiltgraph.functions.sizes import cut_lineage
+
+    q, v = (cut_lineage(df.withColumnRenamed(c, n)).select(n, "vector", group) for df, c, n in ((qs, "question_id", "_q"), (vs, "item", "_v")))
+    met = nearest.meet(q, v, 7, "l2", Settings(query_block_rows=10), item_block=100)
+    assert met.groupBy("_q").count().filter("count < 7 * 5").count() == 0  # several blocks of items gave their best
+    assert rows(ranking.top_k(met, "_q", [F.asc("distance"), F.asc("_v")], 7), "_q", "rank", "_v", "distance") == one
+    source = open(nearest.__file__).read()
+    assert "toLocalIterator" not in source and "collect()" not in source
+
+
+@pytest.mark.parametrize("metric", ["l2", "unit_l2"])
+def test_cells_give_what_nearest_gives_and_read_less(spark, metric):
+    x = clustered(4000)
+    x[:5] = 0
+    x[100:140] = x[100]
+    q = np.concatenate([clustered(25, seed=3), x[100:102], np.zeros((1, 8))])
+    qs, vs = vector_frame(spark, q, "question_id"), vector_frame(spark, x, "item").repartition(4)
+    cells = build_cells(vs, "item", metric, cell_items=50)
+    best, read = search_cells(qs, cells, "question_id", "item", 10)
+    columns = ("question_id", "rank", "item", "distance")
+    assert rows(best, *columns) == rows(nearest.nearest(qs, vs, "question_id", "item", 10, metric), *columns)
+    share = {r["question_id"]: r["n_read"] / r["n_items"] for r in read.collect()}
+    assert len(share) == len(q) and np.median(list(share.values())) < 0.25
+    if metric == "unit_l2":
+        assert share[len(q) - 1] == 1  # everything is at the same distance of a zero vector
+
+
+def test_cells_of_few_or_no_items(spark):
+    qs = vector_frame(spark, clustered(3), "question_id")
+    few = vector_frame(spark, clustered(4), "item")
+    best, read = search_cells(qs, build_cells(few, "item"), "question_id", "item", 10)
+    assert rows(best, "question_id", "rank", "item") == rows(nearest.nearest(qs, few, "question_id", "item", 10), "question_id", "rank", "item")
+    assert {(r["n_read"], r["n_items"]) for r in read.collect()} == {(4, 4)}
+    best, read = search_cells(qs, build_cells(few.limit(0), "item"), "question_id", "item", 10)
+    assert best.count() == 0 and {(r["n_read"], r["n_items"]) for r in read.collect()} == {(0, 0)}
+
+
+def test_postings_leave_out_what_cannot_win(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [(i, "the of and " * rng.randint(1, 3) + " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(400)], k=30))) for i in range(1500)]
+    texts += [(1500, None), (1501, ""), (1502, "THE The the")]
+    asked = [(q, t, w) for q in range(8) for t, w in [("the", 1), ("of", 1), ("and", 1), ("nothing", 2), *((v, 3) for v in rng.sample(vocabulary[50:], 4))]]
+    docs, terms = spark.createDataFrame(texts, "item int, text string"), spark.createDataFrame(asked, "question_id int, term string, weight int")
+    best, read = search_postings(terms, build_postings(docs, "item"), "question_id", 5)
+    want = []
+    for q in range(8):
+        weights = {t: w for i, t, w in asked if i == q}
+        scores = sorted((-sum(weights.get(w, 0) for w in (t or "").lower().split()), i) for i, t in texts)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:5], 1) if s]
+    assert rows(best, "question_id", "rank", "item", "score") == sorted(want)
+    scored = [r["n_scored"] for r in read.collect()]
+    assert len(scored) == 8 and sum(scored) < 0.4 * 8 * len(texts)
