@@ -30,13 +30,18 @@ def proven_small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], salts: int, how: str = "inner") -> DataFrame:
+def salted_join(
+    big: DataFrame, small: DataFrame, on: list[str], salts: int, how: str = "inner", read_from_files: bool = False
+) -> DataFrame:
     """Equi-join whose hot keys on the ``big`` side are split into ``salts`` parts.
 
-    ``how`` is inner or left_semi. The small side is repeated once per salt, so
-    every pair still meets exactly once.
+    ``how`` is inner, left or left_semi. The small side is repeated once per salt, so every pair still meets exactly once.
+    A row's salt is a hash of the row, which a repeated task gives again. Equal rows of a hot key then stay together;
+    where ``big`` comes straight from files, whose rows are numbered alike at every reading, ``read_from_files`` splits
+    these too.
     """
-    big = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    place = F.monotonically_increasing_id() if read_from_files else F.xxhash64(*big.columns)
+    big = big.withColumn("_salt", F.pmod(place, F.lit(salts)).cast("int"))
     small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.join(small, [*on, "_salt"], how).drop("_salt")
 
@@ -70,9 +75,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows as a table in the cluster's checkpoint folder and continue from it.
 
     The table survives lost executors, is read column by column, and gives the
-    planner true sizes. The folder belongs to whoever set it up and is cleared by them.
+    planner true sizes. The folder belongs to whoever set it up and is cleared by
+    them; ``remove_tables`` takes away tables that no later step reads.
     """
     spark = safe_unions(df).sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def remove_tables(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` gave, once everything made from them is written."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -9,19 +9,19 @@ about four of that size while it is made). Nothing of a question table beyond on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.config import Settings
 from quiltgraph.functions.shared import Shared
-from quiltgraph.functions.sizes import cut_lineage, join_lookup, proven_small
+from quiltgraph.functions.sizes import cut_lineage, join_lookup
 from quiltgraph.functions.text import words
-from quiltgraph.operators.postings import build_postings, search_postings
 from quiltgraph.operators.ranking import top_k
 
 DEFAULT = Settings()
@@ -51,19 +51,26 @@ def matrix(column: pa.Array) -> np.ndarray:
 class Best:
     """The ``k`` nearest items of each question of a block; of equally distant ones those with the smallest ids."""
 
+    beyond = np.inf  # items this far are no results
+
     def __init__(self, q_ids: pa.Array, q: np.ndarray, k: int, metric: str):
         self.q_ids, self.q, self.k, self.metric = q_ids, q, k, metric
         self.rows, self.distances, self.ids = np.zeros(0, np.int64), np.zeros(0), []
 
-    def add(self, ids: pa.Array, v: np.ndarray) -> None:
+    def add(self, ids: pa.Array, column: pa.Array) -> None:
         for at in range(0, len(ids), SUB_BLOCK):
-            own = ids.slice(at, SUB_BLOCK).to_numpy(zero_copy_only=False)
-            order = np.argsort(own, kind="stable")
-            d = np.round(_distances(self.q, v[at : at + SUB_BLOCK][order], self.metric), 6) + 0.0
-            rows, cols = _first(d, self.k)
-            self.rows, self.distances = np.concatenate([self.rows, rows]), np.concatenate([self.distances, d[rows, cols]])
-            self.ids = np.concatenate([self.ids, own[order][cols]]) if len(self.ids) else own[order][cols]
-            self._cut()
+            v = matrix(column.slice(at, SUB_BLOCK))
+            self._take(ids.slice(at, SUB_BLOCK), lambda order, v=v: np.round(_distances(self.q, v[order], self.metric), 6) + 0.0)
+
+    def _take(self, ids: pa.Array, distances: Callable[[np.ndarray], np.ndarray]) -> None:
+        own = ids.to_numpy(zero_copy_only=False)
+        order = np.argsort(own, kind="stable")
+        d = distances(order)
+        rows, cols = _first(d, self.k)
+        rows, cols = (x[d[rows, cols] < self.beyond] for x in (rows, cols))
+        self.rows, self.distances = np.concatenate([self.rows, rows]), np.concatenate([self.distances, d[rows, cols]])
+        self.ids = np.concatenate([self.ids, own[order][cols]]) if len(self.ids) else own[order][cols]
+        self._cut()
 
     def _cut(self) -> None:
         order = np.lexsort((np.argsort(np.argsort(self.ids, kind="stable"), kind="stable"), self.distances, self.rows))
@@ -76,6 +83,37 @@ class Best:
             [self.q_ids.take(pa.array(self.rows)), pa.array(self.ids if len(self.ids) else [], kind), pa.array(self.distances)], names=["_q", "_v", "distance"])
 
 
+class BestByWords(Best):
+    """The ``k`` items with the greatest inner product of word counts; the distance is its negative, and 0 is no result."""
+
+    beyond = 0.0
+
+    def __init__(self, q_ids: pa.Array, terms: pa.Array, k: int):
+        super().__init__(q_ids, np.zeros((len(q_ids), 0)), k, "")
+        flat = terms.flatten()
+        word = flat.field("term").dictionary_encode()
+        self.vocabulary = word.dictionary
+        place, question = word.indices.to_numpy(), np.repeat(np.arange(len(q_ids)), terms.value_lengths().to_numpy())
+        order = np.argsort(place, kind="stable")
+        self.start = np.searchsorted(place[order], np.arange(len(self.vocabulary) + 1))
+        self.question, self.weight = question[order], flat.field("weight").to_numpy(zero_copy_only=False).astype(np.float64)[order]
+
+    def add(self, ids: pa.Array, column: pa.Array) -> None:
+        step = max(1, (1 << 22) // max(1, len(self.q_ids)))
+        for at in range(0, len(ids), min(step, SUB_BLOCK)):
+            held = column.slice(at, min(step, SUB_BLOCK))
+            n = held.value_lengths().fill_null(0).to_numpy()
+            found = pc.index_in(held.flatten(), self.vocabulary).fill_null(-1).to_numpy()
+            rows = np.repeat(np.arange(len(n)), n)[found >= 0]
+            key, count = np.unique(rows * len(self.vocabulary) + found[found >= 0], return_counts=True)
+            rows, words_ = key // max(1, len(self.vocabulary)), key % max(1, len(self.vocabulary))
+            degree = self.start[words_ + 1] - self.start[words_]
+            place = np.arange(degree.sum()) + np.repeat(self.start[words_] - (np.cumsum(degree) - degree), degree)
+            cell = self.question[place] * len(n) + np.repeat(rows, degree)
+            scores = np.bincount(cell, self.weight[place] * np.repeat(count, degree), len(self.q_ids) * len(n)).reshape(len(self.q_ids), len(n))
+            self._take(ids.slice(at, len(n)), lambda order, scores=scores: -scores[:, order])
+
+
 def _first(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Exactly the first ``k`` columns of each row by value, then place."""
     k = min(k, d.shape[1])
@@ -104,27 +142,37 @@ def nearest(
     """
     q = questions.filter(F.col("vector").isNotNull()).select(F.col(question).alias("_q"), F.col("vector").cast("array<double>").alias("vector"))
     v = vectors.filter(F.col("vector").isNotNull()).select(F.col(item).alias("_v"), F.col("vector").cast("array<double>").alias("vector"))
-    q = cut_lineage(q)
-    if proven_small(q, settings.query_block_rows):
-        found = _against(q.toArrow(), v, k, metric, _result_kind(q, v))
+    block = one_block(q, settings)
+    if block is not None:
+        found = _scan_all(block, v, lambda ids, column: Best(ids, matrix(column), k, metric), _result_kind(q, v))
     else:
-        found = meet(q.withColumn("_g", F.lit(0).cast("bigint")), cut_lineage(v).withColumn("_g", F.lit(0).cast("bigint")), k, metric, settings)
+        found = meet(in_one_group(cut_lineage(q)), in_one_group(cut_lineage(v)), k, metric, settings)
     ranked = top_k(found, "_q", [F.asc("distance"), F.asc("_v")], k)
     return ranked.select(F.col("_q").alias(question), F.col("_v").alias(item), "distance", "rank")
 
 
-def _against(block: pa.Table, v: DataFrame, k: int, metric: str, out: str) -> DataFrame:
-    """The best of every task for one block of questions."""
-    shared: Any = Shared(v.sparkSession, (_one(block.column("_q")), matrix(_one(block.column("vector")))) if block.num_rows else None)
+def in_one_group(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_g", F.lit(0).cast("bigint"))
+
+
+def one_block(q: DataFrame, settings: Settings) -> pa.Table | None:
+    """The questions, if a bounded fetch shows that they are one block; else None."""
+    fetched = q.limit(settings.query_block_rows + 1).toArrow()
+    return fetched if fetched.num_rows <= settings.query_block_rows else None
+
+
+def _scan_all(block: pa.Table, v: DataFrame, start: Callable[[pa.Array, pa.Array], Any], out: str) -> DataFrame:
+    """The best of every task for one block of questions, which every task gets."""
+    shared = Shared(v.sparkSession, (_one(block.column(0)), _one(block.column(1))) if block.num_rows else None)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, kind = None, None
         for batch in batches:
             if shared.value is None or not batch.num_rows:
                 continue
-            best = best or Best(*shared.value, k, metric)
+            best = best or start(*shared.value)
             kind = batch.column(0).type
-            best.add(batch.column(0), matrix(batch.column(1)))
+            best.add(batch.column(0), batch.column(1))
         if best is not None:
             yield best.batch(kind)
 
@@ -147,18 +195,25 @@ def meet(q: DataFrame, v: DataFrame, k: int, metric: str, settings: Settings = D
     A group's questions and items are dealt out in blocks of about ``query_block_rows`` and ``item_block``; every question
     block meets every item block in a task of its own.
     """
+    return _meet_blocks(q, v, "vector", "vector", lambda ids, column: Best(ids, matrix(column), k, metric), settings, item_block)
+
+
+def _meet_blocks(
+    q: DataFrame, v: DataFrame, asked: str, held: str, start: Callable[[pa.Array, pa.Array], Any], settings: Settings, item_block: int = ITEM_BLOCK
+) -> DataFrame:
+    """As ``meet``, for the columns ``asked`` of the questions and ``held`` of the items."""
     q = blocks(q, "_g", settings.query_block_rows, settings, "_a", "_na")
     v = blocks(v, "_g", item_block, settings, "_b", "_nb")
     sides = q.select("_g", "_na").distinct(), v.select("_g", "_nb").distinct()
     q = join_lookup(q, sides[1], ["_g"], settings).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     v = join_lookup(v, sides[0], ["_g"], settings).withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)))
-    ids = [F.lit(None).cast(side.schema[c].dataType).alias(c) for side, c in ((q, "_q"), (v, "_v"))]
-    both = q.select("_g", "_a", "_b", F.lit(0).alias("_side"), "_q", ids[1], "vector").unionByName(
-        v.select("_g", "_a", "_b", F.lit(1).alias("_side"), ids[0], "_v", "vector"))
-    return both.repartition("_g", "_a", "_b").sortWithinPartitions("_g", "_a", "_b", "_side").mapInArrow(_meeting(k, metric), _result_kind(q, v))
+    none = lambda side, c, name: F.lit(None).cast(side.schema[c].dataType).alias(name)
+    both = q.select("_g", "_a", "_b", F.lit(0).alias("_side"), "_q", none(v, "_v", "_v"), F.col(asked).alias("_asked"), none(v, held, "_held")).unionByName(
+        v.select("_g", "_a", "_b", F.lit(1).alias("_side"), none(q, "_q", "_q"), "_v", none(q, asked, "_asked"), F.col(held).alias("_held")))
+    return both.repartition("_g", "_a", "_b").sortWithinPartitions("_g", "_a", "_b", "_side").mapInArrow(_meeting(start), _result_kind(q, v))
 
 
-def _meeting(k: int, metric: str):
+def _meeting(start: Callable[[pa.Array, pa.Array], Any]):
     def runs(batches: Iterator[pa.RecordBatch]):
         """(key, side, rows) of consecutive rows of one side of one pair of blocks."""
         for batch in batches:
@@ -181,9 +236,9 @@ def _meeting(k: int, metric: str):
                 continue
             if best is None and waiting:
                 held = pa.Table.from_batches(waiting)
-                best, waiting = Best(_one(held.column(4)), matrix(_one(held.column(6))), k, metric), []
+                best, waiting = start(_one(held.column(4)), _one(held.column(6))), []
             if best is not None:
-                best.add(rows.column(5), matrix(rows.column(6)))
+                best.add(rows.column(5), rows.column(7))
         if best is not None:
             yield best.batch(kind)
 
@@ -195,11 +250,23 @@ def sparse_nearest(
 ) -> DataFrame:
     """Top ``k`` items by inner product of word counts: question terms are (question, term, weight) rows, items are texts.
 
-    Through postings with upper bounds (``operators.postings``). Items that share no word with a question are not its
-    results. Equal scores are ordered by item.
+    Every text is counted against a block of questions, sent or met as in ``nearest``; a task keeps ``k`` items per question.
+    Where postings are stored and the questions hold rare words, ``operators.postings`` reads less. Items that share no word
+    with a question are not its results; equal scores are ordered by item. Each row of ``docs`` is an item of its own.
     """
-    found, _ = search_postings(question_terms, build_postings(docs, item, text), question, k, settings)
-    return found.withColumnRenamed("item", item)
+    asked = question_terms.filter("term is not null").select(F.col(question).alias("_q"), F.struct("term", F.col("weight").cast("double").alias("weight")).alias("t"))
+    q = asked.groupBy("_q").agg(F.collect_list("t").alias("terms"))
+    v = docs.select(F.col(item).alias("_v"), words(F.lower(F.col(text))).alias("words")).filter("_v is not null and words is not null")
+    start = lambda ids, column: BestByWords(ids, column, k)
+    block = one_block(q, settings)
+    if block is not None:
+        found = _scan_all(block, v, start, _result_kind(q, v))
+    else:
+        found = _meet_blocks(in_one_group(cut_lineage(q)), in_one_group(cut_lineage(v)), "terms", "words", start, settings)
+    kind = question_terms.schema["weight"].dataType
+    ranked = top_k(found, "_q", [F.asc("distance"), F.asc("_v")], k)
+    score = -F.col("distance")
+    return ranked.select(F.col("_q").alias(question), F.col("_v").alias(item), (score if kind.typeName() in ("double", "float") else score.cast("bigint")).alias("score"), "rank")
 
 
 def terms(docs: DataFrame, item: str, text: str = "text") -> DataFrame:

@@ -1,15 +1,17 @@
 """Word-to-item tables with upper bounds, and exact search that leaves out what cannot reach the best ``k``.
 
 The score of an item for a question is the sum over shared terms of question weight times item weight, all positive. A
-term can add at most its question weight times its greatest item weight. Search goes in three steps:
+term can add at most its question weight times its greatest item weight. Long items would make these bounds useless for
+short ones, so items are in classes of length, each twice as long as the one before, and bounds are kept for each class.
+Search goes in three steps:
 
 1. *Bound.* The rarest terms of each question, until they name ``ENOUGH`` times ``k`` postings, give partial scores. The
    ``2 k`` items that lead by these are scored in full; their ``k``-th best score is one that the ``k``-th best item of all
    reaches for certain.
-2. *Candidates.* The most frequent terms whose upper bounds add up to less than that score are left out: an item that
-   holds only such terms stays below it. The postings of the others give the candidates, of which those stay whose partial
+2. *Candidates.* In each class the most frequent terms whose upper bounds add up to less than that score are left out: an
+   item that holds only such terms stays below it. A class of short items may be left out as a whole. The postings of the others give the candidates, of which those stay whose partial
    score and the bounds of the terms left out reach the score.
-3. *Scores.* Only the candidates' words are read, and counted in full.
+3. *Scores.* Only the candidates' postings are met again, with all terms.
 
 Postings, and each word's greatest weight, are written once and serve any number of searches.
 """
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltgraph.config import Settings
-from quiltgraph.functions.sizes import cut_lineage, join_lookup, proven_small
+from quiltgraph.functions.sizes import cut_lineage, join_lookup
 from quiltgraph.functions.text import words
 from quiltgraph.operators.ranking import top_k
 
@@ -33,11 +35,11 @@ ENOUGH = 8
 
 @dataclass(frozen=True)
 class Postings:
-    """``rows`` (term, item, weight), ``terms`` (term, df, most) and ``items`` (item, words: a list per item)."""
+    """``rows`` (term, length, item, weight), ``bounds`` (term, length, n, most) and ``terms`` (term, df)."""
 
     rows: DataFrame
+    bounds: DataFrame
     terms: DataFrame
-    items: DataFrame
 
 
 def build_postings(docs: DataFrame, item: str, text: str = "text") -> Postings:
@@ -48,26 +50,24 @@ def build_postings(docs: DataFrame, item: str, text: str = "text") -> Postings:
     """
     held = docs.filter(F.col(item).isNotNull()).select(F.col(item).alias("item"), words(F.lower(F.col(text))).alias("words"))
     counted = held.select("item", F.explode("words").alias("term")).groupBy("item", "term").agg(F.count("*").alias("weight"))
-    rows = cut_lineage(counted.select("term", "item", "weight"))
-    terms = cut_lineage(rows.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("most")))
-    return Postings(rows, terms, held.filter(F.size("words") > 0))
+    length = F.floor(F.log2(F.sum("weight").over(Window.partitionBy("item")))).cast("int")
+    rows = cut_lineage(counted.withColumn("length", length).select("term", "length", "item", "weight"))
+    bounds = cut_lineage(rows.groupBy("term", "length").agg(F.count("*").alias("n"), F.max("weight").alias("most")))
+    return Postings(rows, bounds, cut_lineage(bounds.groupBy("term").agg(F.sum("n").alias("df"))))
 
 
 def _named(postings: Postings, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """Partial scores (q, item, part) of the wanted terms (q, term, qw)."""
-    met = join_lookup(postings.rows, wanted.select("q", "term", "qw"), ["term"], settings)
-    return met.groupBy("q", "item").agg(F.sum(F.col("qw") * F.col("weight")).alias("part"))
+    """Partial scores (q, length, item, part) of the wanted terms (q, term, qw, and length where only one class is meant)."""
+    on = [c for c in ("term", "length") if c in wanted.columns]
+    met = join_lookup(postings.rows, wanted.select("q", "qw", *on), on, settings)
+    return met.groupBy("q", "length", "item").agg(F.sum(F.col("qw") * F.col("weight")).alias("part"))
 
 
-def _in_full(postings: Postings, chosen: DataFrame, weights: DataFrame, kind: str, settings: Settings) -> DataFrame:
-    """Scores (q, item, score) of the chosen (q, item) pairs: a word counts with its weight at each place it stands.
-
-    Only the two columns of ``chosen`` and the words of its items are joined.
-    """
-    mine = F.broadcast(chosen) if proven_small(chosen, settings.broadcast_rows) else chosen
-    met = join_lookup(postings.items.join(mine, "item"), weights, ["q"], settings)
-    score = F.aggregate("words", F.lit(0).cast(kind), lambda total, w: total + F.coalesce(F.col("weights")[w], F.lit(0)).cast(kind))
-    return met.select("q", "item", score.alias("score")).groupBy("q", "item").agg(F.sum("score").alias("score"))
+def _in_full(postings: Postings, chosen: DataFrame, known: DataFrame, settings: Settings) -> DataFrame:
+    """Scores (q, item, score) of the chosen (q, item) pairs over all terms of the question."""
+    met = join_lookup(postings.rows.select("term", "item", "weight"), chosen, ["item"], settings)
+    own = join_lookup(met, known.select("q", "term", "qw"), ["q", "term"], settings)
+    return own.groupBy("q", "item").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
 
 
 def search_postings(
@@ -79,29 +79,28 @@ def search_postings(
 
     Question terms are (``question``, term, weight) with weights above 0; those of one term are added up.
     """
-    kind = "double" if question_terms.schema["weight"].dataType.typeName() in ("double", "float") else "bigint"
     asked = question_terms.filter("weight > 0 and term is not null").groupBy(F.col(question).alias("q"), "term").agg(F.sum("weight").alias("qw"))
-    known = cut_lineage(join_lookup(asked, postings.terms, ["term"], settings).withColumn("bound", F.col("qw") * F.col("most")))
+    known = cut_lineage(join_lookup(asked, postings.terms, ["term"], settings))
 
     # The rarest terms of a question: the postings named before a term are not enough yet.
     rare = Window.partitionBy("q").orderBy("df", "term")
     before = F.coalesce(F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = known.withColumn("_before", before).filter(F.col("_before") < enough * k)
-    weights = known.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("term", "qw"))).alias("weights"))
     leading = cut_lineage(top_k(_named(postings, first, settings), "q", [F.desc("part"), F.asc("item")], 2 * k).select("q", "item"))
-    sure = top_k(_in_full(postings, leading, weights, kind, settings), "q", [F.desc("score"), F.asc("item")], k).filter(F.col("rank") == k).select(
+    sure = top_k(_in_full(postings, leading, known, settings), "q", [F.desc("score"), F.asc("item")], k).filter(F.col("rank") == k).select(
         "q", F.col("score").alias("sure"))
 
-    # The most frequent terms that cannot carry an item to that score on their own.
-    common = Window.partitionBy("q").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
-    told = join_lookup(known, sure, ["q"], settings, "left").withColumn("_sum", F.sum("bound").over(common))
-    left_out = F.coalesce(F.col("_sum") < F.col("sure"), F.lit(False))
-    told = cut_lineage(told.withColumn("kept", ~left_out))
-    rest = told.groupBy("q").agg(F.max("sure").alias("sure"), F.coalesce(F.sum(F.when(~F.col("kept"), F.col("bound"))), F.lit(0)).alias("rest"))
+    # In each class, the most frequent terms that cannot carry an item to that score on their own.
+    common = Window.partitionBy("q", "length").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    bound = F.col("qw") * F.col("most")
+    told = join_lookup(join_lookup(postings.bounds, known, ["term"], settings), sure, ["q"], settings, "left")
+    told = told.withColumn("_sum", F.sum(bound).over(common)).withColumn("kept", ~F.coalesce(F.col("_sum") < F.col("sure"), F.lit(False)))
+    told = cut_lineage(told.select("q", "length", "term", "qw", "sure", "kept", bound.alias("bound")))
+    rest = told.groupBy("q", "length").agg(F.max("sure").alias("sure"), F.coalesce(F.sum(F.when(~F.col("kept"), F.col("bound"))), F.lit(0)).alias("rest"))
     named = cut_lineage(_named(postings, told.filter("kept"), settings))
     may = F.col("part") + F.col("rest") >= F.coalesce(F.col("sure"), F.lit(0))
-    candidates = cut_lineage(join_lookup(named, rest, ["q"], settings).filter(may).select("q", "item"))
-    scored = _in_full(postings, candidates, weights, kind, settings)
+    candidates = cut_lineage(join_lookup(named, rest, ["q", "length"], settings).filter(may).select("q", "item"))
+    scored = _in_full(postings, candidates, known, settings)
     best = top_k(scored.filter("score > 0"), "q", [F.desc("score"), F.asc("item")], k)
     read = known.select("q").distinct().join(leading.groupBy("q").agg(F.count("*").alias("n_bound")), "q", "left").join(
         named.groupBy("q").agg(F.count("*").alias("n_candidates")), "q", "left").join(

@@ -6,10 +6,11 @@ import re
 
 from pyspark.sql import functions as F
 
-from quiltgraph.functions.sizes import cut_lineage
+from quiltgraph.functions.sizes import cut_lineage, join_lookup
 from quiltgraph.functions.vectors import squared_norm, unit
 from quiltgraph.operators import evidence, nearest
 from quiltgraph.operators.cells import build_cells, search_cells
+from quiltgraph.operators.postings import build_postings, search_postings
 from quiltgraph.operators.reasoning import RuleReasoner
 from quiltgraph.plans import base
 from quiltgraph.plans.answer import answer
@@ -105,6 +106,23 @@ def sparse_recall_topk(spark, d):
     return nearest.sparse_nearest(_question_terms(spark, d), documents(spark, d), "question_id", "doc_id", 10)
 
 
+@query("rare_term_topk", f"""
+WITH t AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({base.words('lower(text)')}) AS term FROM documents) GROUP BY ALL),
+df AS (SELECT term, (SELECT count(*) FROM documents) // count(*) AS w FROM t GROUP BY term),
+q AS (SELECT question_id, term, count(*) AS m FROM (SELECT item_id AS question_id, unnest({base.words('lower(text)')}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT question_id, doc_id, sum(m * w * n)::BIGINT AS score FROM q JOIN df USING (term) JOIN t USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id)::INT AS rank FROM s)
+SELECT question_id, doc_id, score, rank FROM r WHERE rank <= 10""")
+def rare_term_topk(spark, d):
+    """Word counts weighed by rarity, through stored postings with upper bounds: texts that cannot win are not scored."""
+    docs = documents(spark, d)
+    stored, n = build_postings(docs, "doc_id"), docs.count()
+    weighed = join_lookup(_question_terms(spark, d), stored.terms, ["term"]).select(
+        "question_id", "term", (F.col("weight") * F.expr(f"{n} div df")).alias("weight"))
+    best, _ = search_postings(weighed, stored, "question_id", 10)
+    return best.select("question_id", F.col("item").alias("doc_id"), "score", "rank")
+
+
 def _question_terms(spark, d):
     q = nearest.terms(base.questions(spark, d), "question_id", "question")
     return q.groupBy("question_id", "term").agg(F.count("*").alias("weight"))

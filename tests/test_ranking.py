@@ -158,3 +158,18 @@ def test_postings_leave_out_what_cannot_win(spark):
     assert rows(best, "question_id", "rank", "item", "score") == sorted(want)
     scored = [r["n_scored"] for r in read.collect()]
     assert len(scored) == 8 and sum(scored) < 0.4 * 8 * len(texts)
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_word_counts_against_plain_counting(spark, block):
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 12)))) for i in range(200)] + [(200, None), (201, "A a A")]
+    asked = [(q, t, rng.randint(1, 3)) for q in range(7) for t in rng.sample("abcdxyz", 3)]
+    docs, terms = spark.createDataFrame(texts, "item int, text string").repartition(4), spark.createDataFrame(asked, "question_id int, term string, weight int")
+    got = rows(nearest.sparse_nearest(terms, docs, "question_id", "item", 6, settings=Settings(query_block_rows=block)), "question_id", "rank", "item", "score")
+    want = []
+    for q in range(7):
+        weights = {t: w for i, t, w in asked if i == q}
+        scores = sorted((-sum(weights.get(w, 0) for w in (t or "").lower().split()), i) for i, t in texts)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:6], 1) if s]
+    assert got == sorted(want)
