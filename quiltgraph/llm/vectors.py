@@ -2,19 +2,22 @@
 
 Each tree splits on random directions at the median of a bounded sample; a vector close to a split goes both ways. All
 vectors are routed through the broadcast splits (their size is set by parameters). A node that still holds more rows than
-``TASK_ROWS`` is split again by a tree fitted to a bounded sample of its own rows; a task splits what it gets down to
+one task may is split again by a tree fitted to a bounded sample of its own rows; a task splits what it gets down to
 leaves of ``LEAF`` rows. Pairs of a leaf are compared in double precision, and a leaf sends on at most one link for each
 of its vectors. Equal vectors are one class before the forest. Inside the components the links are then counted exactly,
 in blocks, so that the counts do not depend on which trees found what.
 
 How many trees are needed depends on the depth and on how tightly the vectors lie. It is measured: made-up partners at
 exactly the least cosine to a bounded sample of the rows go through the same trees, and forests are added until at least
-``RECALL`` of the partners of every part of the sample met their row in a leaf.
+``RECALL`` of the partners of every part of the sample met their row in a leaf. If ``FORESTS`` of them do not reach it, all
+vectors are compared in pairs of blocks, and so are nodes that no direction splits.
+
+Trees are grown a few at a time, one where the vectors are many: what they route goes through one shuffle and is not
+written, only their links are. So the disk in use is that of one step, whatever the number of trees.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.functions.shared import Shared
-from quiltgraph.functions.sizes import cut_lineage, proven_small, salted_join
+from quiltgraph.functions.sizes import cut_lineage, proven_small, remove_tables, salted_join
 from quiltgraph.llm.components import SALTS, connected
 from quiltgraph.llm.texts import in_small_batches
 
@@ -33,8 +36,10 @@ COSINE = 0.9
 TREES = 8
 #: Least share of the made-up partners that has to be found, in each of the parts that the first tree's top splits make.
 RECALL = 0.95
-PROBES = 4096
-PARTS = 16
+PROBES = 8192
+PARTS = 32
+#: Most forests before all vectors are compared.
+FORESTS = 6
 #: Share of the projections' standard deviation, on each side of a split, that goes both ways.
 SPILL = 0.12
 SAMPLE = 16_384
@@ -42,6 +47,10 @@ SAMPLE_LEAF = 128
 LEAF = 1024
 TASK_ROWS = 50_000
 BLOCK = 8192
+#: Most bytes of a task's vectors, and of a sample that is fitted on the driver, in double precision: for wide vectors fewer rows.
+TASK_BYTES = 1 << 26
+#: Most bytes that the trees of one step route, unless one tree alone routes more.
+STEP_BYTES = 1 << 26
 BROADCAST_NODES = 1024
 MOST_ROUNDS = 12
 
@@ -154,14 +163,37 @@ def _met(ids: np.ndarray, probe: np.ndarray):
     return met, met, True
 
 
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, other) that join the rows and columns of a block exactly as all its true entries do.
+
+    Columns are numbered after the rows. Every row or column of a component but its first is linked to the first.
+    """
+    rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    near = near[np.ix_(rows, columns)]
+    places = np.concatenate([rows, columns + (1 << 40)])
+    mine, theirs = np.arange(len(rows)), np.arange(len(rows), len(places))
+    while len(rows):
+        new = np.minimum(mine, np.where(near, theirs[None, :], len(places)).min(1))
+        other = np.minimum(theirs, np.where(near, new[:, None], len(places)).min(0))
+        if (new == mine).all() and (other == theirs).all():
+            break
+        mine, theirs = new, other
+    label = np.concatenate([mine, theirs])
+    linked = np.flatnonzero(label != np.arange(len(places)))
+    return places[linked], places[label[linked]]
+
+
+def _block_links(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    a, b = _spanning(x @ y.T >= cosine)
+    name = lambda at: np.where(at < 1 << 40, ids[np.minimum(at, len(ids) - 1)], others[np.clip(at - (1 << 40), 0, len(others) - 1)])
+    return name(a), name(b)
+
+
 def _blocks(x: np.ndarray, ids: np.ndarray, cosine: float, leaf: int):
+    """Links among all rows, block against block."""
     for a in range(0, len(x), leaf):
         for b in range(a, len(x), leaf):
-            near = x[a : a + leaf] @ x[b : b + leaf].T >= cosine
-            hit = np.flatnonzero(near.any(1))
-            yield ids[a + hit], ids[b + near[hit].argmax(1)]
-            hit = np.flatnonzero(near.any(0))
-            yield ids[b + hit], ids[a + near[:, hit].argmax(0)]
+            yield _block_links(x[a : a + leaf], ids[a : a + leaf], x[b : b + leaf], ids[b : b + leaf], cosine)
 
 
 def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -229,33 +261,64 @@ def _again(width: int):
     return run
 
 
-def _split_large(rows: DataFrame, width: int, task_rows: int, sample: int, sample_leaf: int, spill: float) -> DataFrame:
-    """Split nodes of more than ``task_rows`` rows, again and again, by trees fitted to a bounded sample of each."""
+def _split_large(rows: DataFrame, width: int, task_rows: int, sample: int, sample_leaf: int, spill: float) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """Split nodes of more than ``task_rows`` rows, again and again, by trees fitted to a bounded sample of each.
+
+    Also the names of the nodes that are still larger after ``MOST_ROUNDS`` rounds (None: there are none), and the tables
+    that were written. ``rows`` itself is never written: it is routed anew for every reader.
+    """
+    written = []
     for level in range(1, MOST_ROUNDS + 1):
-        sizes = cut_lineage(rows.groupBy("tree", "node").count())
-        large = sizes.filter(F.col("count") > task_rows)
+        large = cut_lineage(rows.groupBy("tree", "node").count().filter(F.col("count") > task_rows))
+        written.append(large)
         if not large.take(1):
-            return rows
+            return rows, None, written
+        if level == MOST_ROUNDS:
+            return rows, large, written
         # A hash picks about ``sample`` rows of each node, whatever its size.
         share = (F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 20)) * F.col("count") < F.lit(sample) * F.lit(1 << 20))
-        picked = rows.join(F.broadcast(large), ["tree", "node"]) if proven_small(large, BROADCAST_NODES) else rows.join(large, ["tree", "node"])
+        few = proven_small(large, BROADCAST_NODES)
+        mine = rows.join(F.broadcast(large) if few else large, ["tree", "node"])
 
         def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             made = Splits(matrix(pa.array(group["v"]), width), sample_leaf, spill, 1000 * level + int(key[0]))  # noqa: B023
             return pd.DataFrame({"tree": [key[0]], "node": [key[1]], "splits": [made.to_bytes()]})
 
-        splits = cut_lineage(picked.filter(share & ~F.col("probe")).select("tree", "node", "v").groupBy("tree", "node").applyInPandas(
+        splits = cut_lineage(mine.filter(share & ~F.col("probe")).select("tree", "node", "v").groupBy("tree", "node").applyInPandas(
             fit, "tree int, node string, splits binary"))
         # Chunks of a node keep the splits beside few rows of it and spread a large node over tasks.
-        chunked = rows.join(large.select("tree", "node", F.ceil(F.col("count") / task_rows).alias("chunks")), ["tree", "node"])
-        chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+        chunked = mine.withColumn("chunks", F.ceil(F.col("count") / task_rows)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
         fitted = splits.join(large.select("tree", "node", F.ceil(F.col("count") / task_rows).alias("chunks")), ["tree", "node"])
         fitted = fitted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
         joined = chunked.select("tree", "node", "chunk", "id", "v", "probe").join(fitted.select("tree", "node", "chunk", "splits"), ["tree", "node", "chunk"])
-        deeper = joined.select("tree", "node", "id", "v", "probe", "splits").sortWithinPartitions("tree", "node").mapInArrow(
-            _again(width), rows.select("tree", "node", "id", "v", "probe").schema)
-        rows = cut_lineage(rows.join(large.select("tree", "node"), ["tree", "node"], "left_anti").unionByName(deeper))
-    return rows
+        deeper = cut_lineage(joined.select("tree", "node", "id", "v", "probe", "splits").sortWithinPartitions("tree", "node").mapInArrow(
+            _again(width), rows.select("tree", "node", "id", "v", "probe").schema))
+        written += [splits, deeper]
+        names = large.select("tree", "node")
+        rows = rows.join(F.broadcast(names) if few else names, ["tree", "node"], "left_anti").unionByName(deeper)
+    return rows, None, written
+
+
+def _all_pairs(rows: DataFrame, group: list[str], width: int, cosine: float, block: int) -> DataFrame:
+    """Links (a, b) that span the links among all rows (``group``, id, v) of each group, found in pairs of blocks."""
+    parts = rows.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = salted_join(rows, parts, group, SALTS).withColumn("part", F.pmod(F.xxhash64("id", F.lit(6)), F.col("parts")).cast("int"))
+    cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(
+        F.least(x, F.col("part")).alias("i"), F.greatest(x, F.col("part")).alias("j")))).alias("cell")
+    names = [F.col(g).cast("string") for g in group]
+    keyed = dealt.select(F.concat_ws("/", *names).alias("g"), cells, "part", "id", "v").select("g", "cell.i", "cell.j", "part", "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), held in _grouped(batches, 3):
+            part, ids, x = held.column(3).to_numpy(), held.column(4).to_numpy(), matrix(held.column(5), width)
+            mine, others = np.flatnonzero(part == i), np.flatnonzero(part == j)
+            for a in range(0, len(mine), LEAF):
+                for b in range(0, len(others), LEAF):
+                    one, two = mine[a : a + LEAF], others[b : b + LEAF]
+                    linked = _block_links(x[one], ids[one], x[two], ids[two], cosine)
+                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in linked], names=["a", "b"])
+
+    return keyed.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _compare(width: int, cosine: float, spill: float, leaf: int):
@@ -303,7 +366,7 @@ def _probes(picked: pa.Table, width: int, cosine: float) -> tuple[np.ndarray, np
 def near_duplicates(
     vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, spill: float = SPILL, key: str = "vec_id", vector: str = "embedding",
     sample: int = SAMPLE, sample_leaf: int = SAMPLE_LEAF, leaf: int = LEAF, task_rows: int = TASK_ROWS, block: int = BLOCK,
-    recall: float = RECALL,
+    recall: float = RECALL, forests: int = FORESTS,
 ) -> DataFrame:
     """``key``, n_links, component_id, kept: one row per input row.
 
@@ -311,7 +374,8 @@ def near_duplicates(
     key; shorter vectors count as padded with zeros. n_links counts other rows linked directly, equal ones included;
     component_id is the smallest ``key`` that links reach; kept marks that one (and rows with a null key). Rows with equal
     keys are forms of one vector: they share its links and component. ``key`` has to be an integer. Other columns are
-    not read. Forests of ``trees`` trees are added until they find ``recall`` of made-up pairs at the least cosine.
+    not read. Forests of ``trees`` trees are added until they find ``recall`` of made-up pairs at the least cosine; where
+    ``forests`` of them do not, every pair of blocks is compared, at a cost that grows with the square of the rows.
     """
     spark = vectors.sparkSession
     good = F.col("v").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("v", lambda c: c != 0)
@@ -324,26 +388,44 @@ def near_duplicates(
     if width is None:
         return own.select(F.col("id").cast(vectors.schema[key].dataType).alias(key), F.lit(0).cast("bigint").alias("n_links"),
                           F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    fits = max(leaf, TASK_BYTES // (8 * width))
+    sample, probes, task_rows, block = (min(n, fits) for n in (sample, PROBES, task_rows, block))
     fitted = matrix(_arrow_lists(classes.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample).select("v")), width)
     kind = vectors.schema[vector].dataType.simpleString()
-    ids, x, partners = _probes(classes.orderBy(F.xxhash64("id", F.lit(4)), "id").limit(PROBES).select("id", "v").toArrow(), width, cosine)
+    ids, x, partners = _probes(classes.orderBy(F.xxhash64("id", F.lit(4)), "id").limit(probes).select("id", "v").toArrow(), width, cosine)
     table = pa.table({"id": pa.array(ids), "v": pa.array(list(partners), pa.list_(pa.float64())), "probe": pa.array(np.full(len(ids), True))})
     given = classes.select("id", "v", F.lit(False).alias("probe")).unionByName(
         spark.createDataFrame(table).select("id", F.col("v").cast(kind).alias("v"), "probe"))
-    met, links = np.zeros(len(ids), bool), None
-    for first in itertools.count(0, trees):
-        forest = [(t, Splits(fitted, sample_leaf, spill, t)) for t in range(first, first + trees)]
-        if not first:
+    # A vector goes to about two leaves of a tree.
+    step = int(min(trees, max(1, STEP_BYTES // (2 * 8 * width * classes.count()))))
+    met, part, links = np.zeros(len(ids), bool), None, None
+    for first in range(0, forests * trees, step):
+        forest = [(t, Splits(fitted, sample_leaf, spill, t)) for t in range(first, min(first + step, forests * trees))]
+        if part is None:
             part = np.unique(forest[0][1].part(x, PARTS.bit_length() - 1), return_inverse=True)[1]
         shared = Shared(spark, forest)
-        rows = cut_lineage(given.mapInArrow(_forest(shared, width), f"tree int, node string, id bigint, v {kind}, probe boolean"))
-        rows = _split_large(rows, width, task_rows, sample, sample_leaf, spill)
-        made = cut_lineage(rows.repartition("tree", "node").sortWithinPartitions("tree", "node").mapInArrow(
-            _compare(width, cosine, spill, leaf), "a bigint, b bigint, probe boolean").distinct())
-        links = made if links is None else links.unionByName(made)
-        met |= np.isin(ids, [r["a"] for r in made.filter("probe").select("a").collect()])  # at most PROBES
-        if (np.bincount(part, met) >= recall * np.bincount(part)).all():
+        routed = given.mapInArrow(_forest(shared, width), f"tree int, node string, id bigint, v {kind}, probe boolean")
+        rows, stuck, written = _split_large(routed, width, task_rows, sample, sample_leaf, spill)
+        made = []
+        if stuck is not None:
+            whole = rows.join(stuck.select("tree", "node"), ["tree", "node"], "left_semi")
+            made.append(cut_lineage(_all_pairs(whole.filter(~F.col("probe")).select("tree", "node", "id", "v"), ["tree", "node"], width, cosine, block)
+                                    .withColumn("probe", F.lit(False))))
+            made.append(cut_lineage(whole.filter("probe").select(F.col("id").alias("a"), F.col("id").alias("b"), "probe").distinct()))
+            rows = rows.join(stuck.select("tree", "node"), ["tree", "node"], "left_anti")
+        made.append(cut_lineage(rows.repartition("tree", "node").sortWithinPartitions("tree", "node").mapInArrow(
+            _compare(width, cosine, spill, leaf), "a bigint, b bigint, probe boolean").distinct()))
+        remove_tables(*written)
+        shared.destroy()
+        for found in made:
+            links = found if links is None else links.unionByName(found)
+            met |= np.isin(ids, found.filter("probe").select("a").toArrow().column("a").to_numpy())  # at most PROBES
+        # Whole forests, so that a lucky tree does not end the search.
+        if (first + step) % trees < step and (np.bincount(part, met) >= recall * np.bincount(part)).all():
             break
+    else:
+        exact = _all_pairs(classes.withColumn("g", F.lit(0)), ["g"], width, cosine, block)
+        links = cut_lineage(exact.withColumn("probe", F.lit(False)))
     links = links.filter(~F.col("probe")).select("a", "b").distinct()
     reached = cut_lineage(connected(links))
 

@@ -110,3 +110,61 @@ def edit_distance(pattern, text):
         row = new
         best = min(best, row[-1])
     return best
+
+
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def search(docs, items, k=10):
+    """(item, rank, doc, score) of whole-number scores; rows are documents of their own."""
+    words = lambda t: re.findall(TERMS, (t or "").translate(UPPER))
+    held = [(i, collections.Counter(words(t))) for i, t in docs]
+    n = sum(bool(c) for _, c in held)
+    total = sum(sum(c.values()) for _, c in held)
+    df = collections.Counter(w for _, c in held for w in c)
+    wanted = collections.defaultdict(collections.Counter)
+    for i, t in items:
+        wanted[i].update(words(t))
+    out = []
+    for item, terms in wanted.items():
+        scores = []
+        for doc, c in held:
+            if c and doc is not None:
+                m = 25 + 75 * sum(c.values()) * n // total
+                s = sum(q * math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * (10**9 * c[w] // (1000 * c[w] + 8 * m)) for w, q in terms.items() if w in c)
+                scores.append((-s, doc))
+        out += [(item, r + 1, doc, -s) for r, (s, doc) in enumerate(sorted(scores)[:k]) if s < 0]
+    return out
+
+
+def quality_counts(text, window=8):
+    text = text or ""
+    words = re.findall(SPACED, text)
+    places = collections.defaultdict(list)
+    for i in range(len(words) - window + 1):
+        places[tuple(words[i : i + window])].append(i)
+    covered = {p for at in places.values() if len(at) > 1 for i in at for p in range(i, i + window)}
+    lines = [x for x in text.split("\n") if re.search(SPACED, x)]
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(lines),
+            sum("A" <= c <= "Z" for c in text), text.count("!"))
+
+
+def on_grid(vector):
+    return tuple(math.floor(64 * c) + 1_000_000 for c in vector)
+
+
+def whitened(vectors, components=16):
+    """(distinct x as a matrix, eigenvalues, unit eigenvectors as rows, trace) by the covariance itself."""
+    import numpy as np
+
+    x = np.array(sorted({on_grid(v) for v in vectors}), float)
+    y = x - x.mean(0)
+    values, directions = np.linalg.eigh(y.T @ y / len(y))
+    return x, values[::-1][:components], directions.T[::-1][:components], values.sum()
+
+
+def binomial_tail(k, n, p):
+    from fractions import Fraction
+
+    p = Fraction(p)
+    return float(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(min(k, n) + 1)))

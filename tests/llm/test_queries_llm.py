@@ -36,8 +36,8 @@ def test_sql(spark, name):
     assert table_of(df.columns, [tuple(r) for r in df.collect()]) == table_of([c[0] for c in cursor.description], cursor.fetchall())
 
 
-def test_ten_operators_are_registered():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+def test_thirteen_operators_are_registered():
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
 
 
 def test_op1(spark, texts):
