@@ -1,18 +1,21 @@
 """License statements in text: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text. A block meets a template when it holds at least ``threshold`` of the template's distinct
-words. Words are ordered by how many blocks of the whole corpus hold them, rarest first. A template of n words has to share
-one of its n - ceil(threshold n) + 1 rarest with every block that meets it (prefix filter); the block needs ceil(threshold
-n) template words (length filter); and the places of the shared word in both orders bound what can still be shared
-(positional filter). What passes is counted exactly. DataFrame functions only.
-
-One pass over the texts writes the counts of each document and, of its lines, only the words that occur in templates; the
-frequencies and the join read that small table.
+A block of a template of n words is any run of n / ``threshold`` consecutive words, wherever lines end. A block meets the
+template when it holds at least ``threshold`` of its distinct words. Words are ordered by how many documents of the whole
+corpus hold them, rarest first. A template of m distinct words has to share one of its m - ceil(threshold m) + 1 rarest with
+every block that meets it (prefix filter); the block needs ceil(threshold m) template words (length filter); and the places
+of the shared word in both orders bound what can still be shared (positional filter). Filters run on the documents' own
+word sets first, so most texts are cut into words once; what passes is counted exactly, block by block around the shared
+words. DataFrame functions only.
+
+One pass over the texts writes the counts of each document, the words it holds of those that occur in templates, and its
+text where these are enough for some template; the frequencies and the join read that small table.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,15 +65,31 @@ def _places(words: Column, phrase: list[str]) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when(F.coalesce(hit(w, i), F.lit(False)), i)), lambda i: i.isNotNull())
 
 
-def template_sets(templates, threshold: float) -> list[tuple[int, str, set[str], int]]:
-    """Number, label, distinct words and words needed of each template."""
+def template_sets(templates, threshold: float) -> list[tuple[int, str, set[str], int, int]]:
+    """Number, label, distinct words, words needed and words of a block of each template."""
     out = []
     for number, (statement, label) in enumerate(templates):
-        distinct = set("".join(c if c.isascii() and c.isalnum() else " " for c in statement.lower()).split())
-        out.append((number, label, distinct, math.ceil(threshold * len(distinct) - 1e-9)))
+        listed = "".join(c if c.isascii() and c.isalnum() else " " for c in statement.lower()).split()
+        distinct = set(listed)
+        out.append((number, label, distinct, math.ceil(threshold * len(distinct) - 1e-9), math.ceil(len(listed) / threshold - 1e-9)))
     return out
 
 
+def _array(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words))
+
+
+def _best_share(own: list[str], rarest: list[str], need: int, block: int) -> Column:
+    """Largest share of ``own`` in a block of the words ``_w`` that holds ``need`` of them, else 0; ``_at``: places of rare words."""
+    held = lambda start, n: F.size(F.array_intersect(_array(own), F.slice("_w", start + 1, n)))
+    low = lambda p: F.greatest(p - (block - 1), F.lit(0))
+    # Around a place, all blocks through it together have to hold enough; then each of them that starts with a template word.
+    near = F.filter("_at", lambda p: F.get("_w", p).isin(rarest) & (held(low(p), F.lit(2 * block)) >= need))
+    starts = lambda p: F.filter(F.sequence(low(p), p), lambda s: F.get("_w", s).isin(own))
+    best = F.array_max(F.flatten(F.transform(near, lambda p: F.transform(starts(p), lambda s: held(s, F.lit(block))))))
+    return F.coalesce(F.when(best >= need, best / F.lit(len(own))), F.lit(0.0))
+
+
 def scan(
     docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, text: str = "text",
     keys: tuple[str, ...] = ("doc_id",),
@@ -78,91 +97,56 @@ def scan(
     """``keys``, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per input row.
 
     A null text is empty: no words, no labels, score 0, null places. Repeated rows are judged each for itself; overlapping
-    phrases all count. score is the largest share of a template's words found in one of the document's blocks, 1 for
-    documents with a phrase. Other columns are not read.
+    phrases all count. score is the largest share of a template's words found in one of the document's blocks that meet
+    it, 1 for documents with a phrase. An empty table stays empty. Other columns are not read.
     """
     spark = docs.sparkSession
     known = template_sets(templates, threshold)
-    vocabulary = sorted(set().union(*(distinct for _, _, distinct, _ in known)))
+    vocabulary = sorted(set().union(*(distinct for _, _, distinct, _, _ in known)))
     body = _lower(F.coalesce(F.col(text), F.lit("")))
-    lines = F.filter(F.transform(F.split("_t", r"[\r\n]+"), lambda l: F.array_intersect(F.split(l, _BREAKS), F.array(*map(F.lit, vocabulary)))), lambda b: F.size(b) > 0)
-    with_words = docs.select(*keys, body.alias("_t")).select(*keys, "_t", words_of(F.col("_t")).alias("_w"))
+    with_words = docs.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), body.alias("_t")).withColumn("_w", words_of(F.col("_t")))
+    own_keys = [f"_k{i}" for i in range(len(keys))]
     places = [
-        F.when(F.forall(F.array(*map(F.lit, p.split())), lambda w: F.contains("_t", w)), _places(F.col("_w"), p.split()))
+        F.when(F.forall(_array(p.split()), lambda w: F.contains("_t", w)), _places(F.col("_w"), p.split()))
         .otherwise(F.array().cast("array<int>")) for p, _ in phrases
     ]
     named = F.array_compact(F.array(*(F.when(F.size(F.col("_p")[i]) > 0, F.lit(label)) for i, (_, label) in enumerate(phrases))))
     found = F.flatten("_p")
+    enough = reduce(lambda a, b: a | b, (F.size(F.array_intersect(_array(sorted(d)), "_have")) >= need for _, _, d, need, _ in known))
     # The row number is written with the rows, so it is the same for every later reader.
     scanned = cut_lineage(with_words.select(
-        *keys, F.size("_w").alias("n_words"), F.array(*places).alias("_p"), F.col("_t")).select(
-        *keys, F.monotonically_increasing_id().alias("_row"), F.col("n_words").cast("bigint").alias("n_words"),
+        *own_keys, F.size("_w").alias("n_words"), F.array(*places).alias("_p"), F.col("_t"), F.array_intersect("_w", _array(vocabulary)).alias("_have")).select(
+        *own_keys, F.monotonically_increasing_id().alias("_row"), F.col("n_words").cast("bigint").alias("n_words"),
         F.size(found).cast("bigint").alias("n_base"), F.array_min(found).cast("bigint").alias("first_word"),
-        F.array_max(found).cast("bigint").alias("last_word"), F.array_sort(F.array_distinct(named)).alias("_base"), lines.alias("_lines")))
+        F.array_max(found).cast("bigint").alias("last_word"), F.array_sort(F.array_distinct(named)).alias("_base"), "_have", F.when(enough, F.col("_t")).alias("_text")))
 
-    blocks = scanned.select("_row", F.explode("_lines").alias("have"))
-    frequency = blocks.select(F.explode("have").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    held = {r["word"]: r["df"] for r in frequency.toLocalIterator()}  # at most the templates' own words
+    frequency = scanned.select(F.explode("_have").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    held = {r["word"]: r["df"] for r in frequency.collect()}  # at most the templates' own words
     order = sorted(vocabulary, key=lambda w: (held.get(w, 0), w))
-    prefixes = []
-    for number, label, distinct, need in known:
+    prefixes, rarest = [], {}
+    for number, _, distinct, need, _ in known:
         own = [w for w in order if w in distinct]
-        prefixes += [(w, at, number, label, len(own), need, own) for at, w in enumerate(own[: len(own) - need + 1])]
-    prefix = F.broadcast(spark.createDataFrame(
-        prefixes, "word string, at int, template int, label string, n int, need int, own array<string>"))
+        rarest[number] = own[: len(own) - need + 1]
+        prefixes += [(w, at, number, len(own), need) for at, w in enumerate(rarest[number])]
+    prefix = F.broadcast(spark.createDataFrame(prefixes, "word string, at int, template int, n int, need int"))
     # The intersection keeps the order of its first side: rarest first.
-    ordered = blocks.select("_row", F.array_intersect(F.array(*map(F.lit, order)), "have").alias("have"))
+    ordered = scanned.filter("_text is not null").select("_row", F.array_intersect(_array(order), "_have").alias("have"))
     m, place, at = F.size("have"), F.col("place"), F.col("at")
     most = F.least(place, at) + 1 + F.least(m - place - 1, F.col("n") - at - 1)
     candidates = ordered.select("_row", "have", F.posexplode("have").alias("place", "word")).join(prefix, "word").filter(
-        (m >= F.col("need")) & (most >= F.col("need")))
-    shared = F.size(F.array_intersect("have", "own"))
-    verified = candidates.select("_row", "label", (shared / F.col("n")).alias("share"), (shared >= F.col("need")).alias("ok")).filter("ok")
-    by_row = verified.groupBy("_row").agg(F.collect_set("label").alias("_more"), F.max("share").alias("_share"))
-    labels = F.array_sort(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>"))))
-    return scanned.drop("_lines").join(by_row, "_row", "left").select(
-        *keys, "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"),
-        F.array_join(labels, ",").alias("labels"),
+        (m >= F.col("need")) & (most >= F.col("need"))).groupBy("_row").agg(F.collect_set("template").alias("_may"))  # at most the templates
+    # Only these texts are cut into words again.
+    first = sorted(set().union(*rarest.values()))
+    cut = scanned.select("_row", "_text").filter("_text is not null").join(candidates, "_row").select("_row", "_may", words_of(F.col("_text")).alias("_w"))
+    cut = cut.withColumn("_at", F.filter(F.transform("_w", lambda w, i: F.when(w.isin(first), i)), lambda i: i.isNotNull()))
+    shares = F.array(*(
+        F.when(F.array_contains("_may", number), _best_share(sorted(distinct), rarest[number], need, block)).otherwise(0.0)
+        for number, _, distinct, need, block in known))
+    met = cut.select("_row", shares.alias("_s")).filter(F.array_max("_s") > 0).select(
+        "_row", F.array_compact(F.array(*(F.when(F.col("_s")[i] > 0, F.lit(label)) for i, (_, label, *_) in enumerate(known)))).alias("_more"),
+        F.array_max("_s").alias("_share"))
+    labels = F.array_sort(F.array_distinct(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>")))))
+    return scanned.drop("_text", "_have").join(met, "_row", "left").select(
+        *(F.col(k).alias(name) for k, name in zip(own_keys, keys, strict=True)), "n_words", "n_base", "first_word", "last_word",
+        F.array_join("_base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
         F.greatest(F.when(F.col("n_base") > 0, 1.0).otherwise(0.0), F.coalesce("_share", F.lit(0.0))).alias("score"))
-
-
-def statement_sets(templates, threshold: float) -> list[tuple[str, list[str], list[str], int, int]]:
-    """Label, distinct words, anchors, words needed and words of a block of each template.
-
-    A block that holds the words needed holds at least one anchor: all other words are too few. Long words are rare ones.
-    """
-    out = []
-    for (statement, label), (_, _, distinct, need) in zip(templates, template_sets(templates, threshold), strict=True):
-        length = len("".join(c if c.isascii() and c.isalnum() else " " for c in statement).split())
-        order = sorted(distinct, key=lambda w: (-len(w), w))
-        out.append((label, order, order[: len(order) - need + 1], need, math.ceil(length / threshold - 1e-9)))
-    return out
-
-
-def statements(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys``, labels, score: one row per input row; statements are found across line breaks.
-
-    A block is any run of ``1 / threshold`` times as many consecutive words as the template has, wherever lines end. score is
-    the largest share of a template's distinct words in a block that holds ``threshold`` of them, else 0. A null text is empty.
-    """
-    known = statement_sets(templates, threshold)
-    anchors = sorted(set().union(*(a for _, _, a, _, _ in known)))
-    body = _lower(F.coalesce(F.col(text), F.lit("")))
-    # Most texts hold no anchor and are not cut into words.
-    rows = docs.select(*keys, body.alias("_t")).select(
-        *keys, F.when(F.col("_t").rlike("|".join(anchors)), words_of(F.col("_t"))).otherwise(F.array().cast("array<string>")).alias("_w"))
-    at = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(anchors), i)), lambda i: i.isNotNull())
-    rows = rows.select(*keys, "_w", at.alias("_at"))
-
-    def share(own: list[str], first: list[str], need: int, block: int) -> Column:
-        words = F.array(*map(F.lit, own))
-        held = lambda start, n: F.size(F.array_intersect(words, F.slice("_w", start + 1, n)))
-        low = lambda p: F.greatest(p - (block - 1), F.lit(0))
-        near = F.filter("_at", lambda p: F.get("_w", p).isin(first) & (held(low(p), F.lit(2 * block)) >= need))
-        best = F.array_max(F.flatten(F.transform(near, lambda p: F.transform(F.sequence(low(p), p), lambda s: held(s, F.lit(block))))))
-        return F.when(best >= need, best / F.lit(len(own))).otherwise(0.0)
-
-    rows = rows.select(*keys, F.when(F.size("_at") > 0, F.array(*(F.coalesce(share(o, a, n, b), F.lit(0.0)) for _, o, a, n, b in known))).alias("_s"))
-    named = F.array_compact(F.array(*(F.when(F.col("_s")[i] > 0, F.lit(label)) for i, (label, *_) in enumerate(known))))
-    return rows.select(
-        *keys, F.coalesce(F.array_join(F.array_sort(F.array_distinct(named)), ","), F.lit("")).alias("labels"), F.coalesce(F.array_max("_s"), F.lit(0.0)).alias("score"))

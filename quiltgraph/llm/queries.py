@@ -62,11 +62,6 @@ def op1(spark: SparkSession, directory: str) -> DataFrame:
     return licenses.scan(table(spark, directory, "documents"))
 
 
-@query("op1_license_statements", sql=sql.statements(licenses.statement_sets(licenses.TEMPLATES, licenses.THRESHOLD)))
-def op1_statements(spark: SparkSession, directory: str) -> DataFrame:
-    return licenses.statements(table(spark, directory, "documents"))
-
-
 @query("op4_benchmark_decontamination")
 def op4(spark: SparkSession, directory: str) -> DataFrame:
     return decontamination.find(table(spark, directory, "documents"), table(spark, directory, "benchmark"))

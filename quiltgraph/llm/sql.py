@@ -47,22 +47,23 @@ def _list(words: list[str]) -> str:
 
 
 def licenses(phrases, sets) -> str:
-    """``sets``: (number, label, distinct words, words needed) of each template."""
+    """``sets``: (number, label, distinct words, words needed, words of a block) of each template."""
     wanted = ", ".join(f"({_list(p.split())}, '{label}')" for p, label in phrases)
-    templates = ", ".join(f"('{label}', {_list(sorted(words))}, {need})" for _, label, words, need in sets)
+    templates = ", ".join(f"('{label}', {_list(sorted(words))}, {need}, {block})" for _, label, words, need, block in sets)
     return f"""
-WITH t AS (SELECT doc_id, translate(coalesce(text, ''), {UPPER}) AS t FROM documents),
-w AS (SELECT doc_id, {PLACES.format('t')} AS w FROM t),
+WITH w AS (SELECT doc_id, {PLACES.format(f"translate(coalesce(text, ''), {UPPER})")} AS w FROM documents),
 phrases(p, label) AS (VALUES {wanted}),
 hits AS (
   SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) JOIN phrases ON w[i] = p[1] AND w[i:i + len(p) - 1] = p),
 base AS (
   SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM hits GROUP BY doc_id),
-templates(label, words, need) AS (VALUES {templates}),
-blocks AS (SELECT doc_id, {PLACES.format('line')} AS b FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '[\\r\\n]+')) AS line FROM t)),
+templates(label, words, need, block) AS (VALUES {templates}),
+starts AS (
+  SELECT doc_id, w, label, words, need, block, unnest(range(1, len(w) + 1)) AS i FROM w JOIN templates ON len(list_intersect(words, w)) >= need),
 met AS (
-  SELECT doc_id, label, len(list_intersect(words, b)) / len(words) AS share FROM blocks JOIN templates ON len(list_intersect(words, b)) >= need),
+  SELECT doc_id, label, len(list_intersect(words, w[i:i + block - 1])) / len(words) AS share FROM starts
+  WHERE list_contains(words, w[i]) AND len(list_intersect(words, w[i:i + block - 1])) >= need),
 marks AS (SELECT doc_id, label FROM met UNION SELECT doc_id, label FROM hits),
 labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM marks GROUP BY doc_id),
 best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id)
@@ -71,21 +72,6 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 
-def statements(sets) -> str:
-    """``sets``: (label, distinct words, anchors, words needed, words of a block) of each template."""
-    templates = ", ".join(f"('{label}', {_list(sorted(words))}, {need}, {block})" for label, words, _, need, block in sets)
-    return f"""
-WITH w AS (SELECT doc_id, {PLACES.format(f"translate(coalesce(text, ''), {UPPER})")} AS w FROM documents),
-templates(label, words, need, block) AS (VALUES {templates}),
-starts AS (
-  SELECT doc_id, w, label, words, need, block, unnest(range(1, len(w) + 1)) AS i FROM w JOIN templates ON len(list_intersect(words, w)) >= need),
-met AS (
-  SELECT doc_id, label, len(list_intersect(words, w[i:i + block - 1])) / len(words) AS share FROM starts
-  WHERE list_contains(words, w[i]) AND len(list_intersect(words, w[i:i + block - 1])) >= need)
-SELECT doc_id, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0.0::DOUBLE) AS score
-FROM w LEFT JOIN met USING (doc_id) GROUP BY doc_id"""
-
-
 #: Every pair; the forest finds the same links as long as it misses none, and has one leaf on tables this small.
 VECTORS = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),

@@ -20,13 +20,13 @@ def licenses(text, phrases, templates, threshold):
                 places.append(i)
                 base.add(label)
     labels, score = set(base), 1.0 if places else 0.0
-    for line in re.split(r"[\r\n]+", text):
-        held = set(re.findall(PLACES, line))
-        for statement, label in templates:
-            wanted = set(re.findall("[a-z0-9]+", statement.lower()))
-            if len(held & wanted) >= math.ceil(threshold * len(wanted) - 1e-9):
-                labels.add(label)
-                score = max(score, len(held & wanted) / len(wanted))
+    for statement, label in templates:
+        listed = re.findall("[a-z0-9]+", statement.lower())
+        wanted, block = set(listed), math.ceil(len(listed) / threshold - 1e-9)
+        held = max((len(wanted.intersection(words[k : k + block])) for k in range(len(words))), default=0)
+        if held >= math.ceil(threshold * len(wanted) - 1e-9):
+            labels.add(label)
+            score = max(score, held / len(wanted))
     ends = (min(places), max(places)) if places else (None, None)
     return (len(words), len(places), *ends, ",".join(sorted(base)), ",".join(sorted(labels)), score)
 

@@ -1,6 +1,5 @@
 """Findings of a review: places where an operator did less than its whole job."""
 
-import math
 import os
 import re
 import sys
@@ -43,22 +42,15 @@ def test_forests_are_added_until_pairs_of_a_deep_hot_topic_are_found(spark):
 def test_statements_wrapped_over_lines_are_found_and_scattered_words_are_not(spark):
     wrapped = lambda t: t if len(t) < 30 else "\n# ".join(re.findall(r".{1,30}(?:\s|$)", t))
     rows = [(i, f"# x y z\n# {wrapped(t)}\n# and more") for i, (t, _) in enumerate(licenses.TEMPLATES)]
-    rows += [(100, " and ".join(w + " word" * 9 for w in licenses.TEMPLATES[2][0].split())), (101, None), (102, ""), (102, "Released under\r\nthe MIT License")]
-    got = sorted((r["doc_id"], r["labels"], r["score"]) for r in licenses.statements(spark.createDataFrame(rows, "doc_id int, text string")).collect())
-    want = []
-    for i, text in rows:
-        words, labels, score = re.findall(brute.PLACES, (text or "").translate(brute.UPPER)), set(), 0.0
-        for statement, label in licenses.TEMPLATES:
-            listed = re.findall("[a-z0-9]+", statement.lower())
-            block = math.ceil(len(listed) / licenses.THRESHOLD - 1e-9)
-            held = max((len(set(words[k : k + block]) & set(listed)) for k in range(len(words))), default=0)
-            if held >= math.ceil(licenses.THRESHOLD * len(set(listed)) - 1e-9):
-                labels.add(label)
-                score = max(score, held / len(set(listed)))
-        want.append((i, ",".join(sorted(labels)), score))
-    assert got == sorted(want)
-    found = {i: labels for i, labels, _ in got}
-    assert all(label in found[i].split(",") for i, (_, label) in enumerate(licenses.TEMPLATES)) and found[100] == "" and found[102] == "mit"
+    rows += [(100, " and ".join(w + " word" * 9 for w in licenses.TEMPLATES[2][0].split())), (101, None), (102, ""), (102, "Released under\r\nthe MIT License"),
+             (103, "license " * 200 + "the mit\nlicense released\nunder"), (104, "x " * 40 + "All\n\nrights RESERVED" + " y" * 40), (None, "under the mit license, released")]
+    frame = spark.createDataFrame([(*r, "n", 1.5) for r in rows], "doc_id int, text string, labels string, score double")
+    got = sorted(map(tuple, licenses.scan(frame).collect()), key=str)
+    assert got == sorted(((i, *brute.licenses(t, licenses.PHRASES, licenses.TEMPLATES, licenses.THRESHOLD)) for i, t in rows), key=str)
+    found = {r[0]: r[6] for r in got if r[6] or r[0] != 102}
+    assert all(label in found[i].split(",") for i, (_, label) in enumerate(licenses.TEMPLATES))
+    assert found[100] == "" and found[102] == "mit" and found[104] == "reserved" and found[103] == "mit"
+    assert licenses.scan(frame.limit(0)).count() == 0
 
 
 def test_items_of_scripts_without_spaces_and_of_few_words_are_found(spark):
