@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quiltgraph.config import Settings
 from quiltgraph.functions import prompts
 from quiltgraph.functions.replies import braces_json, similarity_score
-from quiltgraph.functions.sizes import cut_lineage
+from quiltgraph.functions.sizes import cut_lineage, join_lookup
 from quiltgraph.functions.text import words
 from quiltgraph.functions.vectors import cosine, link_score, linking_minutes, pair_count
 from quiltgraph.models.clients import TextModel, replies
@@ -98,19 +98,75 @@ def score_pairs(pairs: DataFrame, scorer=RuleScorer(), settings: Settings = DEFA
     return details.withColumn("is_linked", F.col("final_score") >= settings.link_threshold)
 
 
-def link_entities(entities: DataFrame, vectors: DataFrame, scorer=RuleScorer(), settings: Settings = DEFAULT) -> DataFrame:
-    """All scored pairs of candidate entities; ``vectors`` is (entity_id, vector).
+def _with_members(pairs: DataFrame, entities: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Pairs (name, one, two) with summaries and vectors as structs ``a`` and ``b``; only entities of pairs are looked up.
+
+    A lazy vector is made for those only: the entities are cut down before their vectors are joined.
+    """
+    ids = pairs.select(F.explode(F.array("one", "two")).alias("entity_id")).distinct()
+    told = ids.join(entities.select("entity_id", "summary"), "entity_id").join(vectors.select("entity_id", "vector"), "entity_id", "left")
+    side = lambda name, c: told.select(F.col("entity_id").alias(c), F.struct("entity_id", "summary", "vector").alias(name))
+    return pairs.join(side("a", "one"), "one").join(side("b", "two"), "two").select("name", "a", "b")
+
+
+def link_entities(
+    entities: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame], scorer=RuleScorer(), settings: Settings = DEFAULT
+) -> DataFrame:
+    """All scored pairs of candidate entities; ``vectors`` is (entity_id, vector), or adds ``vector`` to rows with a summary.
 
     Groups are formed on ids; summaries and vectors are joined to the members of
-    surviving groups only, at most ``max_docs`` for each name.
+    surviving groups only, at most ``max_docs`` for each name, and made for these only.
     """
     groups = cut_lineage(candidate_groups(entities, settings))
     members = groups.select("name", F.explode("members").alias("m")).select("name", "m.entity_id")
-    told = members.join(entities.select("entity_id", "summary"), "entity_id").join(vectors.select("entity_id", "vector"), "entity_id", "left")
+    told = members.join(entities.select("entity_id", "summary"), "entity_id")
+    told = vectors(told) if callable(vectors) else told.join(vectors.select("entity_id", "vector"), "entity_id", "left")
     full = told.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("entity_id", "summary", "vector"))).alias("members"))
     return score_pairs(candidate_pairs(full), scorer, settings)
 
 
+def changed_entities(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``entity_id, name`` of entities that came, went, or changed in name, flag or summary; a changed name counts twice."""
+    mark = F.xxhash64("name", "is_named_entity", "summary")
+    old, new = before.select("entity_id", F.col("name").alias("_was"), mark.alias("_old")), after.select("entity_id", "name", mark.alias("_new"))
+    moved = old.join(new, "entity_id", "full").filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    return moved.select("entity_id", F.explode(F.array_distinct(F.array("_was", "name"))).alias("name")).filter("name is not null")
+
+
+@dataclass(frozen=True)
+class LinkChange:
+    """``scored``: details to add or replace. ``withdrawn`` (entity_1_id, entity_2_id): stored details that hold no more."""
+
+    scored: DataFrame
+    withdrawn: DataFrame
+
+
+def link_changes(
+    entities: DataFrame, vectors: DataFrame, changed: DataFrame, details: DataFrame, scorer=RuleScorer(), settings: Settings = DEFAULT
+) -> LinkChange:
+    """What linking again would change in stored ``details``, from the ``changed`` (entity_id, name) alone.
+
+    Only names of changed entities are looked at. Their groups are formed anew from all current ``entities``: a name may
+    have come to two entities, grown past ``max_docs`` (all its links go) or shrunk back (all of them come). A pair that is
+    stored, still holds and has no changed member is left as it is and not scored again.
+    """
+    names = cut_lineage(changed.select("name").distinct())
+    moved = changed.select("entity_id").distinct()
+    groups = candidate_groups(join_lookup(entities, names, ["name"], settings, "left_semi"), settings)
+    pairs = cut_lineage(candidate_pairs(groups).select("name", F.col("a.entity_id").alias("one"), F.col("b.entity_id").alias("two")))
+    held = join_lookup(details.select(F.col("entity_1_name").alias("name"), F.col("entity_1_id").alias("one"), F.col("entity_2_id").alias("two")),
+                       names, ["name"], settings, "left_semi").drop("name")
+    same = held
+    for side in ("one", "two"):
+        same = same.join(moved.withColumnRenamed("entity_id", side), side, "left_anti")
+    stay = cut_lineage(same.join(pairs.select("one", "two"), ["one", "two"], "left_semi").distinct())
+    fresh = pairs.join(stay, ["one", "two"], "left_anti")
+    gone = held.join(stay, ["one", "two"], "left_anti").distinct()
+    return LinkChange(
+        score_pairs(_with_members(fresh, entities, vectors), scorer, settings),
+        gone.select(F.col("one").alias("entity_1_id"), F.col("two").alias("entity_2_id")))
+
+
 def fast_links(entities: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Every candidate pair linked with the full score, without asking a model."""
     pairs = candidate_pairs(candidate_groups(entities, settings))

@@ -14,16 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.functions.rows import unnest
-from quiltgraph.functions.sizes import cut_lineage, salted_join
+from quiltgraph.functions.sizes import cut_lineage, join_lookup
 from quiltgraph.functions.text import strip
 from quiltgraph.models.clients import TextModel, replies
+from quiltgraph.operators.ranking import top_k
 
 # The delimiters of a record reply and of stored fragments.
 TUPLE, RECORD, COMPLETE = "<|>", "##", "<|COMPLETE|>"
 FRAGMENT_SEP = "<SEP>"
 UNKNOWN_TYPE = "UNKNOWN"
 SUMMARY_AT = 6
-SALTS = 16
 
 
 def parse_records(rows: DataFrame, keep: list[str], reply: str = "reply") -> tuple[DataFrame, DataFrame]:
@@ -62,11 +62,9 @@ def merge_nodes(
         F.count("*").alias("n"), F.min("order").alias("first")))
     by_type = seen.groupBy("name", "entity_type").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     types = by_type.groupBy("name").agg(F.max_by("entity_type", F.struct("n", (-F.col("first")).alias("f"))).alias("entity_type"))
-    fragments = cut_lineage(seen.select("name", "description").distinct())
-    counts = fragments.groupBy("name").agg(F.count("*").alias("n_fragments"))
     sources = seen.select("name", "source_id").distinct().groupBy("name").agg(F.count("*").alias("n_sources"))
-    described = summarize_fragments(fragments, summarize, few)
-    return types.join(counts, "name").join(sources, "name").join(described, "name", "left")
+    described = summarize_fragments(seen.select("name", "description").distinct(), summarize, few, counted=True)
+    return types.join(sources, "name").join(described, "name", "left").select("name", "entity_type", "n_fragments", "n_sources", "description")
 
 
 def merge_edges(
@@ -78,14 +76,14 @@ def merge_edges(
         F.least("source", "target").alias("src_id"), F.greatest("source", "target").alias("tgt_id"),
         "description", "weight", "keywords",
     )
-    weights = pairs.groupBy(*key).agg(F.sum("weight").alias("weight"))
-    fragments = cut_lineage(pairs.filter(F.col("description") != "").select(*key, "description").distinct())
-    counts = fragments.groupBy(*key).agg(F.count("*").alias("n_fragments"))
+    seen = cut_lineage(pairs.groupBy(*key, "description", "keywords").agg(F.sum("weight").alias("weight")))
+    weights = seen.groupBy(*key).agg(F.sum("weight").alias("weight"))
+    fragments = seen.filter(F.col("description") != "").select(*key, "description").distinct()
     split = F.explode_outer(F.split("keywords", ",")).alias("k")
-    words = pairs.select(*key, split).select(*key, F.trim("k").alias("k")).filter("k <> ''").distinct()
+    words = seen.select(*key, split).select(*key, F.trim("k").alias("k")).filter("k <> ''").distinct()
     union = words.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("keywords"))
-    out = weights.join(counts, key, "left").join(union, key, "left")
-    return out.join(summarize_fragments(fragments, summarize, few, key), key, "left")
+    described = summarize_fragments(fragments, summarize, few, key, counted=True)
+    return weights.join(union, key, "left").join(described, key, "left").select(*key, "weight", "n_fragments", "keywords", "description")
 
 
 def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -95,28 +93,33 @@ def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def summarize_fragments(
-    fragments: DataFrame, summarize: Callable[[DataFrame], DataFrame], few: int = SUMMARY_AT, key: list[str] | None = None
+    fragments: DataFrame, summarize: Callable[[DataFrame], DataFrame], few: int = SUMMARY_AT, key: list[str] | None = None, counted: bool = False
 ) -> DataFrame:
     """One description per ``key`` (by default name) from distinct fragments, however many there are.
 
-    Keys with fewer than ``few`` fragments get them joined. The fragments of the
-    others are cut into blocks of about ``few`` by a hash, each block is summarised,
-    and the summaries are the fragments of the next round.
+    Keys with fewer than ``few`` fragments, almost all of them, get these joined in one aggregate, which keeps at most
+    ``few`` of a key's fragments in each task. The fragments of the others are cut into blocks of about ``few`` by a hash,
+    each block is summarised, and the summaries are the fragments of the next round. With ``counted`` there is n_fragments.
     """
     key = key or ["name"]
-    done, pending = None, fragments.select(*key, "description")
+    done, pending, counts = None, fragments.select(*key, "description"), None
     while True:
-        counts = pending.groupBy(*key).agg(F.count("*").alias("_n"))
-        sized = cut_lineage(salted_join(pending, counts, key, SALTS))
-        near = sized.filter(F.col("_n") < few).groupBy(*key).agg(
-            F.array_join(F.array_sort(F.collect_list("description")), FRAGMENT_SEP).alias("description"))
-        done = near if done is None else done.unionByName(near)
-        many = sized.filter(F.col("_n") >= few)
-        if many.isEmpty():
-            return done
+        first = top_k(pending, key, [F.asc("description")], few, "_place")
+        joined = F.array_join(F.array_sort(F.collect_list("description")), FRAGMENT_SEP).alias("description")
+        near = cut_lineage(first.groupBy(*key).agg(F.count("*").alias("_n"), joined))
+        many = near.filter(F.col("_n") >= few).select(*key)
+        some = not many.isEmpty()
+        pending = cut_lineage(join_lookup(pending, many, key, how="left_semi")) if some else pending
+        sized = cut_lineage(pending.groupBy(*key).agg(F.count("*").alias("_n"))) if some else None
+        if counts is None:
+            counts = near.filter(F.col("_n") < few).select(*key, F.col("_n").alias("n_fragments"))
+            counts = counts.unionByName(sized.withColumnRenamed("_n", "n_fragments")) if some else counts
+        told = near.filter(F.col("_n") < few).drop("_n")
+        done = told if done is None else done.unionByName(told)
+        if not some:
+            return done.join(counts, key) if counted else done
         place = F.conv(F.substring(F.md5("description"), 1, 8), 16, 10).cast("bigint")
-        n_blocks = F.ceil(F.col("_n") / few)
-        blocks = many.select(*key, "description", (place % n_blocks).alias("_b")).groupBy(*key, "_b").agg(
+        blocks = join_lookup(pending, sized, key).select(*key, "description", (place % F.ceil(F.col("_n") / few)).alias("_b")).groupBy(*key, "_b").agg(
             F.array_join(F.array_sort(F.collect_list("description")), FRAGMENT_SEP).alias("text"))
         pending = cut_lineage(summarize(blocks).select(*key, F.col("summary").alias("description")).distinct())
 

@@ -63,11 +63,13 @@ def ingest(
 
 
 def save(ingested: Ingested, store, batch: int, rewrite: bool = False) -> None:
-    """Write one batch to a store in a fixed order; blobs come after the tables and the processed log comes last.
+    """Write one batch to a store in a fixed order; blobs come after the tables, the processed log and the commit come last.
 
+    Readers see the whole batch or nothing of it: a batch that stopped half-way stays hidden until it is repeated.
     ``rewrite`` first removes whatever earlier batches stored of the same documents.
     """
     tables = ingested.tables()
+    store.begin(batch)
     if rewrite:
         store.delete_documents(ingested.documents, batch)
     for name in ("chunks", "entities", "documents", "sourced_from", "relations", "failed_chunks"):
@@ -75,3 +77,4 @@ def save(ingested: Ingested, store, batch: int, rewrite: bool = False) -> None:
     store.put("blobs", document_blobs(
         ingested.documents, ingested.chunks, ingested.entities, ingested.sourced_from, ingested.relations), batch)
     store.log_processed(ingested.documents.select("doc_id"), batch)
+    store.commit(batch)

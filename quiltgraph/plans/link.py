@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.config import Settings
-from quiltgraph.functions.sizes import safe_unions
-from quiltgraph.operators.linking import RuleScorer, accepted_links, fast_links, link_entities
+from quiltgraph.functions.sizes import cut_lineage, join_lookup, safe_unions
+from quiltgraph.operators.linking import RuleScorer, accepted_links, changed_entities, fast_links, link_changes, link_entities
 
 
 def link(
@@ -24,3 +24,26 @@ def link(
         vectors = entities.select("entity_id", "vector")
     details = link_entities(entities.drop("vector"), vectors, scorer, settings)
     return accepted_links(details), details.withColumn("embedding_score", F.round("embedding_score", 4))
+
+
+def link_batch(store, batch: int, scorer=RuleScorer(), settings: Settings = Settings()) -> None:
+    """Bring the stored links up to date with what one batch of a store put, rewrote or deleted.
+
+    Reads the entities of the batch's documents as they were before and are now, and writes details and links of the names
+    that changed, new ones as writes and those that hold no more as deletions of the same batch. Repeating it changes nothing.
+    """
+    now = store.read("entities")
+    if now is None:
+        return
+    touched = cut_lineage(store.touched("entities", batch))
+    was = store.read("entities", before=batch)
+    of_batch = lambda rows: join_lookup(rows, touched, ["doc_id"], settings, "left_semi")
+    changed = cut_lineage(changed_entities(of_batch(now if was is None else was).filter(F.lit(was is not None)), of_batch(now)))
+    held = store.read("link_details", before=batch)
+    if held is None:
+        held = store.spark.createDataFrame([], "entity_1_id string, entity_2_id string, entity_1_name string")
+    change = link_changes(now, now.select("entity_id", "vector"), changed, held, scorer, settings)
+    scored = cut_lineage(change.scored)
+    for name, rows in (("link_details", scored), ("same_as", accepted_links(scored))):
+        store.delete(name, change.withdrawn, batch)
+        store.put(name, rows, batch)

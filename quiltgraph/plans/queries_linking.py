@@ -9,6 +9,8 @@ from quiltgraph.models.clients import embed
 from quiltgraph.operators import graph, linking
 from quiltgraph.plans import base
 from quiltgraph.plans.base import SQL_CHUNKS, SQL_CONTEXTS, SQL_ENTITIES, SQL_GROUPS, SQL_MENTIONS, SQL_RELATIONS, with_
+from quiltgraph.plans.link import link_batch
+from quiltgraph.plans.queries_store import new_store
 from quiltgraph.plans.registry import query
 
 ENT = (SQL_CHUNKS, SQL_MENTIONS, SQL_ENTITIES, SQL_GROUPS)
@@ -33,7 +35,7 @@ details AS (SELECT *, (shared * 10 // total)::INT AS llm_score, (shared * 10 //
 def details(spark, d):
     """Scored pairs; every entity carries the vector of its own summary."""
     told = cut_lineage(base.summarized(spark, d))
-    return linking.link_entities(told, told.select("entity_id", embed(F.col("summary"), base.EMBEDDER).alias("vector")))
+    return linking.link_entities(told, lambda rows: rows.withColumn("vector", embed(F.col("summary"), base.EMBEDDER)))
 
 
 @query("candidate_groups", with_(*ENT) + """
@@ -136,3 +138,18 @@ def same_as_merge(spark, d):
     stored = linking.fast_links(base.entities(spark, d)).withColumn("created_at", first).withColumn("updated_at", F.lit(None).cast("timestamp"))
     merged = graph.merge_same_as(stored, linking.accepted_links(details(spark, d)), second)
     return merged.withColumn("score", F.round("score", 6))
+
+
+@query("link_by_change", with_(SCORED[0].replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 5 <> 1)"), *SCORED[1:]) + """
+SELECT id_a AS entity_1_id, id_b AS entity_2_id, name, llm_score, round(score, 6) AS final_score, score >= 7.0 AS is_linked FROM details""")
+def link_by_change(spark, d):
+    """Two thirds of the documents linked in one batch; the next adds the rest, deletes every fifth document and links by change."""
+    store, told = new_store(spark), base.summarized(spark, d)
+    told = cut_lineage(told.withColumn("vector", embed(F.col("summary"), base.EMBEDDER)))
+    for batch, rows in ((1, told.filter("doc_id % 3 <> 0")), (2, told.filter("doc_id % 3 = 0 and doc_id % 5 <> 1"))):
+        if batch == 2:
+            store.delete_documents(told.select("doc_id").filter("doc_id % 5 = 1").distinct(), batch)
+        store.put("entities", rows, batch)
+        link_batch(store, batch)
+    return store.read("link_details").select(
+        "entity_1_id", "entity_2_id", F.col("entity_1_name").alias("name"), "llm_score", F.round("final_score", 6).alias("final_score"), "is_linked")

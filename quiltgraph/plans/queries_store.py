@@ -114,3 +114,26 @@ def processed_again(spark, d):
     store.log_processed(docs, 1)
     store.delete_documents(docs.filter("doc_id % 5 = 0"), 2)
     return store.processed().select(F.col("doc_id").cast("long").alias("doc_id"))
+
+
+@query("store_commit_record", with_(*GRAPH) + """
+SELECT state, part, id FROM (
+  SELECT 'stopped' AS state, 'chunks' AS part, chunk_id AS id FROM chunks WHERE doc_id % 2 = 0 UNION ALL SELECT 'stopped', 'entities', entity_id FROM entities WHERE doc_id % 2 = 0
+  UNION ALL SELECT 'stopped', 'documents', doc_id::VARCHAR FROM documents WHERE doc_id % 2 = 0
+  UNION ALL SELECT 'committed', 'chunks', chunk_id FROM chunks WHERE doc_id % 10 <> 4 UNION ALL SELECT 'committed', 'entities', entity_id FROM entities WHERE doc_id % 10 <> 4
+  UNION ALL SELECT 'committed', 'documents', doc_id::VARCHAR FROM documents WHERE doc_id % 10 <> 4)""")
+def store_commit_record(spark, d):
+    """A batch that deletes, writes two of its tables and stops shows nothing; repeated and committed it shows whole."""
+    store, made = new_store(spark), {n: cut_lineage(rows) for n, rows in parts(spark, d).items()}
+    put(store, {n: rows.filter("doc_id % 2 = 0") for n, rows in made.items()}, 1)
+    second = {n: rows.filter("doc_id % 2 = 1") for n, rows in made.items()}
+    gone = documents(spark, d).filter("doc_id % 10 = 4")
+    store.begin(2)
+    store.delete_documents(gone, 2)
+    put(store, {n: second[n] for n in ("chunks", "entities")}, 2)
+    stopped = cut_lineage(stored_ids(store))
+    store.begin(2)
+    store.delete_documents(gone, 2)
+    put(store, second, 2)
+    store.commit(2)
+    return stopped.select(F.lit("stopped").alias("state"), "part", "id").unionByName(stored_ids(store).select(F.lit("committed").alias("state"), "part", "id"))

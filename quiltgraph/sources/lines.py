@@ -186,3 +186,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def remove_path(spark: SparkSession, path: str) -> bool:
     files, hadoop = _file_system(spark, path)
     return files.delete(hadoop, True)
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders right below a folder; none if there is no such folder."""
+    files, hadoop = _file_system(spark, path)
+    return [entry.getPath().getName() for entry in files.listStatus(hadoop)] if files.exists(hadoop) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, which appears under its name only when it is whole."""
+    files, hadoop = _file_system(spark, path)
+    part = hadoop.suffix(".part")
+    stream = files.create(part, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    files.delete(hadoop, False)
+    files.rename(part, hadoop)

@@ -7,14 +7,14 @@ rows of deleted keys and documents. Nothing here depends on a table format.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltgraph.functions.sizes import safe_unions
 from quiltgraph.operators.ranking import last_by
-from quiltgraph.sources.lines import path_exists, remove_path
+from quiltgraph.sources.lines import file_names, path_exists, remove_path, write_text
 
 KEYS = {
     "documents": ["doc_id"],
@@ -24,6 +24,7 @@ KEYS = {
     "relations": ["source_entity_id", "target_entity_id"],
     "failed_chunks": ["chunk_id"],
     "same_as": ["entity_1_id", "entity_2_id"],
+    "link_details": ["entity_1_id", "entity_2_id"],
     "blobs": ["doc_id"],
 }
 
@@ -34,10 +35,45 @@ class Store:
 
     A deletion names what it removes (keys, documents, or a whole table) and never looks at what is stored, and a batch
     that is repeated writes the same again: repeating any call leaves the store as it was.
+
+    Between ``begin`` and ``commit`` readers see nothing of a batch, neither its writes nor its deletions: the commit is one
+    small file, written last. A batch that was never begun is seen as it is written.
     """
 
     spark: SparkSession
     root: str
+    #: Numbers of the batches that are not seen; None: as the files say at each reading.
+    hidden: tuple[int, ...] | None = None
+
+    def begin(self, batch: int) -> None:
+        """Hide a batch until it is committed; one that was committed before is hidden again."""
+        write_text(self.spark, self._path(f"_batches/{batch}.open"), "")
+        remove_path(self.spark, self._path(f"_batches/{batch}.done"))
+
+    def commit(self, batch: int, note: str = "") -> None:
+        write_text(self.spark, self._path(f"_batches/{batch}.done"), note)
+
+    def open_batches(self) -> tuple[int, ...]:
+        """Batches that were begun and not committed, the running one and those that stopped half-way."""
+        if self.hidden is not None:
+            return self.hidden
+        names = file_names(self.spark, self._path("_batches"))
+        done = {n.removesuffix(".done") for n in names if n.endswith(".done")}
+        return tuple(sorted(int(n.removesuffix(".open")) for n in names if n.endswith(".open") and n.removesuffix(".open") not in done))
+
+    def snapshot(self) -> Store:
+        """The same store, for whose reader batches that are open now stay hidden even if they are committed meanwhile."""
+        return replace(self, hidden=self.open_batches())
+
+    def touched(self, name: str, batch: int) -> DataFrame:
+        """doc_id of the documents that a batch wrote to a table or deleted, whether it is committed or not."""
+        slots = F.col("batch").isin(2 * batch, 2 * batch + 1)
+        ids = [rows.filter(slots).select(F.col("doc_id").cast("string").alias("doc_id"))
+               for rows in (self._log(name, all_batches=True), self._log("deleted_documents", all_batches=True)) if rows is not None]
+        found = ids[0] if ids else self.spark.createDataFrame([], "doc_id string")
+        found = (found.unionByName(ids[1]) if len(ids) > 1 else found).filter("doc_id is not null").distinct()
+        held = self._log(name, all_batches=True)
+        return found if held is None else found.select(F.col("doc_id").cast(held.schema["doc_id"].dataType).alias("doc_id"))
 
     def _path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
@@ -45,11 +81,16 @@ class Store:
     def _write(self, rows: DataFrame, path: str, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    def _log(self, name: str) -> DataFrame | None:
+    def _log(self, name: str, all_batches: bool = False) -> DataFrame | None:
         path = self._path(name)
         if not path_exists(self.spark, path):
             return None
-        return safe_unions(self.spark.read.option("mergeSchema", True).option("basePath", path).parquet(path))
+        hidden = () if all_batches else self.open_batches()
+        slots = [n for n in file_names(self.spark, path) if n.startswith("batch=") and int(n[6:]) // 2 not in hidden]
+        if not slots:
+            return None
+        # Only folders of batches that count are listed and opened.
+        return safe_unions(self.spark.read.option("mergeSchema", True).option("basePath", path).parquet(*(f"{path}/{n}" for n in slots)))
 
     def exists(self, name: str) -> bool:
         return path_exists(self.spark, self._path(name))
@@ -168,6 +209,7 @@ class Store:
         if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], "doc_id string")
         rows, gone = self.spark.read.option("basePath", path).parquet(path), self._gone("documents")
+        rows = rows.filter(~F.col("batch").isin(*self.open_batches())) if self.open_batches() else rows
         if gone is not None:
             named = gone.select(F.col("doc_id").cast("string").alias("doc_id"), "_slot")
             rows = rows.join(named, "doc_id", "left").filter(F.col("_slot").isNull() | (2 * F.col("batch") + 1 > F.col("_slot")))

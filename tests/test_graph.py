@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quiltgraph.operators.linking import RuleScorer
 from quiltgraph.operators import graph, linking
 from quiltgraph.config import Settings
 from conftest import rows
@@ -127,3 +128,46 @@ def test_sweep_counts(spark):
 def test_threshold_uses_settings(spark):
     pairs = linking.candidate_groups(entities(spark), Settings(min_docs=2, max_docs=1))
     assert pairs.count() == 0
+
+
+class Counted(RuleScorer):
+    """Writes down how many pairs it scores."""
+
+    def score(self, pairs):
+        seen.append(pairs.count())
+        return super().score(pairs)
+
+
+seen = []
+
+
+def test_linking_by_change_equals_linking_anew(spark, folder):
+    """Names that come to two, pass ten, shrink back, change their text or their flag; repeated batches change nothing."""
+    from quiltgraph.plans.link import link, link_batch
+    from quiltgraph.sources.store import Store
+
+    def entity(doc, name, text="w x y", named=True):
+        return (f"{doc}_{name}", doc, name, named, f"{text} {name}", [1.0, float(len(text))])
+
+    def frame(made):
+        return spark.createDataFrame(made, "entity_id string, doc_id string, name string, is_named_entity boolean, summary string, vector array<double>")
+
+    batches = [
+        ([], [entity(f"d{i}", "many") for i in range(10)] + [entity("d1", "one"), entity("d1", "two"), entity("d2", "two"), entity("d3", "flag"), entity("d4", "flag", named=False)]),
+        ([], [entity("e1", "one"), entity("e1", "many"), entity("e2", "two", "w x z")]),
+        (["d0", "d3"], [entity("f1", "flag"), entity("f2", "flag")]),
+        (["d2"], [entity("d2", "two", "new words here"), entity("d4", "flag")]),
+    ]
+    store = Store(spark, folder)
+    for number, (gone, made) in enumerate(batches, 1):
+        for _ in range(2):
+            if gone:
+                store.delete_documents(spark.createDataFrame([(i,) for i in gone], "doc_id string"), number)
+            store.put("entities", frame(made), number)
+            link_batch(store, number, Counted())
+            links, details = link(store.read("entities"))
+            columns = ("entity_1_id", "entity_2_id", "llm_score", "final_score", "is_linked")
+            assert rows(store.read("link_details"), *columns) == rows(details, *columns)
+            assert rows(store.read("same_as"), "entity_1_id", "entity_2_id", "score") == rows(links, "entity_1_id", "entity_2_id", "score")
+    # 45 + 1; then "one" and two of "two" while "many" goes; then 36 come back and "flag"; then what changed of "two" and "flag".
+    assert seen[::2] == seen[1::2] == [46, 3, 37, 4]

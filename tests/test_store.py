@@ -245,3 +245,29 @@ def test_settings():
     assert Settings().chunk_step == 480 and Settings().recall_width(5) == 10
     with pytest.raises(KeyError):
         Settings.from_mapping({"rerank_top": 10})
+
+
+def test_a_batch_is_seen_whole_or_not_at_all(spark, folder):
+    store = Store(spark, folder)
+    docs = lambda *ids: spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id string, text string")
+    store.put("documents", docs("a", "b"), 1)
+    before = store.snapshot()
+    store.begin(2)
+    pinned = store.snapshot()
+    store.delete_documents(docs("a"), 2)
+    store.put("documents", docs("c"), 2)
+    store.log_processed(docs("c"), 2)
+    ids = lambda s: [r[0] for r in rows(s.read("documents"), "doc_id")]
+    assert store.open_batches() == (2,) and ids(store) == ["a", "b"] and store.processed().count() == 0
+    store.commit(2)
+    assert ids(store) == ["b", "c"] and rows(store.processed()) == [("c",)] and ids(pinned) == ["a", "b"] and before.open_batches() == ()
+    store.begin(2)  # repeated: hidden until it is whole again
+    assert ids(store) == ["a", "b"]
+    store.delete_documents(docs("a"), 2)
+    store.put("documents", docs("c", "d"), 2)
+    store.commit(2)
+    assert ids(store) == ["b", "c", "d"]
+    other = Store(spark, folder + "/new")
+    other.begin(1)
+    other.put("documents", docs("z"), 1)
+    assert other.read("documents") is None and other.exists("documents")
