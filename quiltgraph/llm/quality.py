@@ -2,9 +2,11 @@
 
 A text becomes counts of hashed character n-grams, of the same over character classes (upper and lower letters, digits,
 other signs as they are), and of a few terms for its shape (length, repeated words). Labelled rows,
-at most ``per_label`` for each label, give the term weights and a truncated singular value decomposition; the projection
-and the projected labelled vectors are broadcast, their size bounded by these parameters. Every document is projected in
-blocks and its exact cosines to all labelled vectors are computed; the nearest vote with their similarity as weight.
+at most ``per_label`` for each label, give the term weights and a truncated singular value decomposition, which one task
+makes; the projection and the projected labelled vectors come back and are broadcast, their size bounded by these
+parameters. Every document is projected in blocks and its exact cosines to all labelled vectors are computed; the nearest
+vote with their similarity as weight. Cosines count in steps of 0.00001; of equal ones the labelled document with the
+smaller id is nearer.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.functions.shared import Shared
-from quiltgraph.llm.texts import character_classes, code_points, gram_ids, in_small_batches, slices, word_hashes, words
+from quiltgraph.functions.sizes import cut_lineage
+from quiltgraph.llm.texts import character_classes, code_points, gram_ids, in_small_batches, lists, slices, word_hashes, words
 
 GRAMS = 1 << 11
 SHAPES = 64
@@ -30,6 +33,10 @@ NEIGHBOURS = 15
 THRESHOLD = 0.3
 #: Power of a neighbour's cosine in its vote.
 SHARPNESS = 8
+#: Texts and bytes that are counted at once: each text takes an array of all terms.
+ROWS, BYTES = 512, 1 << 20
+#: Cosines are compared in steps of one part of this.
+STEP = 100_000
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -65,24 +72,32 @@ class Model:
         self.weights, self.projection, self.vectors, self.labels, self.neighbours = weights, projection, vectors, labels, neighbours
 
     def weigh(self, x: np.ndarray) -> np.ndarray:
-        """Logarithmic counts times term weights; grams, class grams and shape terms each have length 1."""
-        x = np.log1p(x) * self.weights
+        """Logarithmic counts times term weights, in place; grams, class grams and shape terms each have length 1."""
+        np.log1p(x, out=x)
+        x *= self.weights
         for part in (slice(0, GRAMS), slice(GRAMS, SHAPE), slice(SHAPE, None)):
-            x[:, part] /= np.maximum(np.linalg.norm(x[:, part], axis=1, keepdims=True), 1e-9)
+            x[:, part] /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x[:, part], x[:, part]))[:, None], 1e-9)
         return x
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        v = self.weigh(x) @ self.projection
+        """Unit vectors of weighted counts."""
+        v = x @ self.projection
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        if not len(self.labels):
+        """Share of good labels among the votes, for counts (which are overwritten)."""
+        m = len(self.labels)
+        if not m:
             return np.full(len(x), 0.5)
-        cosines = self.project(x) @ self.vectors.T
-        k = min(self.neighbours, len(self.labels))
-        near = np.argpartition(cosines, -k, axis=1)[:, -k:]
-        weight = np.maximum(np.take_along_axis(cosines, near, 1).astype(np.float64), 1e-6) ** SHARPNESS
-        return np.clip((weight * self.labels[near]).sum(1) / weight.sum(1), 0, 1)
+        # A step's number and, below it, the place of the labelled vector: no two keys are equal.
+        key = np.rint(self.project(self.weigh(x)) @ self.vectors.T * STEP).astype(np.int64)
+        key *= m
+        key += np.arange(m)[::-1]
+        k = min(self.neighbours, m)
+        key.partition(m - k, axis=1)
+        near = np.sort(key[:, m - k :], axis=1)
+        weight = np.maximum(near // m / STEP, 1e-6) ** SHARPNESS
+        return np.clip((weight * self.labels[m - 1 - near % m]).sum(1) / weight.sum(1), 0, 1)
 
 
 def sample(labels: DataFrame, per_label: int, label: str) -> DataFrame:
@@ -98,28 +113,56 @@ def fit(
     docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", per_label: int = PER_LABEL,
     rank: int = RANK, neighbours: int = NEIGHBOURS,
 ) -> Model:
-    """Learn from at most ``per_label`` documents of each label. Null ids and labels are skipped."""
+    """Learn from at most ``per_label`` documents of each label. Null ids and labels are skipped.
+
+    Counts travel to the one task that decomposes them as lists of the terms that occur.
+    """
+
+    parts_of = ["weights", "projection", "vectors", "labels"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, offsets in slices(batch.column(2), 1 << 20):
-                made = [r.tobytes() for r in counts(data, offsets)]
+            for at, data, offsets in slices(batch.column(2), BYTES, ROWS):
+                x = counts(data, offsets)
+                rows, terms = np.nonzero(x)
+                held = np.bincount(rows, minlength=len(x))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(at, len(made)) for i in (0, 1)), pa.array(made, pa.binary())], names=["id", "y", "x"]
-                )
+                    [*(batch.column(i).slice(at, len(x)) for i in (0, 1)), lists(terms.astype(np.int32), held), lists(x[rows, terms], held)],
+                    names=["id", "y", "terms", "n"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(_dense(batch.column(2), batch.column(3)), batch.column(1).to_numpy().astype(np.float64)) for batch in batches]  # in order of id
+        if not parts:
+            return
+        x, labelled = np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])
+        parts.clear()
+        weights = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
+        model = Model(weights, np.zeros((x.shape[1], 0), np.float32), np.zeros((0, 0), np.float32), labelled, neighbours)
+        x = model.weigh(x)
+        model.projection = _decompose(x, rank)
+        model.vectors = model.project(x)
+        made = {**vars(model), "labels": labelled}
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(made[c]).tobytes()], pa.binary()) for c in parts_of], names=parts_of)
 
     chosen = F.broadcast(sample(labels, per_label, label))  # at most 2 x per_label rows
     rows = in_small_batches(docs).select("doc_id", F.col(text).alias("_text")).join(chosen, F.col("doc_id") == F.col("_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.select("doc_id", "_y", "_text").mapInArrow(count, f"id {kind}, y int, x binary").toPandas().sort_values(["id", "y", "x"])
-    x = np.frombuffer(b"".join(found.x), np.float32).reshape(len(found), SHAPE + SHAPES)
-    present = (x > 0).sum(0)
-    weights = np.log((1 + len(x)) / (1 + present)).astype(np.float32) + 1
-    model = Model(weights, np.zeros((x.shape[1], 0), np.float32), np.zeros((0, 0), np.float32), found.y.to_numpy(np.float64), neighbours)
-    if len(found):
-        model.projection = _decompose(model.weigh(x), rank)
-        model.vectors = model.project(x)
-    return model
+    found = cut_lineage(rows.select("doc_id", "_y", "_text").mapInArrow(count, f"id {kind}, y int, terms array<int>, n array<float>"))
+    row = found.repartition(1).sortWithinPartitions("id", "y", F.xxhash64("terms", "n")).mapInArrow(
+        learn, ", ".join(f"{c} binary" for c in parts_of)).first()
+    if row is None:
+        return Model(np.zeros(SHAPE + SHAPES, np.float32), np.zeros((SHAPE + SHAPES, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), neighbours)
+    labelled = np.frombuffer(row["labels"])
+    shaped = lambda c, n: np.frombuffer(row[c], np.float32).reshape(n, -1)
+    return Model(np.frombuffer(row["weights"], np.float32), shaped("projection", SHAPE + SHAPES), shaped("vectors", len(labelled)), labelled, neighbours)
+
+
+def _dense(terms: pa.Array, n: pa.Array) -> np.ndarray:
+    """Counts of some rows from their lists of terms and numbers."""
+    held = terms.value_lengths().to_numpy(zero_copy_only=False)
+    x = np.zeros((len(held), SHAPE + SHAPES), np.float32)
+    x[np.repeat(np.arange(len(held)), held), terms.flatten().to_numpy()] = n.flatten().to_numpy()
+    return x
 
 
 def _decompose(x: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
@@ -147,7 +190,7 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [shared.value.score(counts(d, o)) for _, d, o in slices(batch.column(at), 1 << 20)]
+            parts = [shared.value.score(counts(d, o)) for _, d, o in slices(batch.column(at), BYTES, ROWS)]
             score = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:width], pa.array(score), pa.array((score >= threshold).astype(np.int32))],

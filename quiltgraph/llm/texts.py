@@ -55,8 +55,11 @@ LOWER[65:91] += 32
 SAME = np.arange(256, dtype=np.uint8)
 
 
-def slices(column: pa.Array, most_bytes: int = SLICE_BYTES):
-    """``(first row, bytes, offsets)`` of consecutive row runs of about ``most_bytes``; a longer text is a run of its own."""
+def slices(column: pa.Array, most_bytes: int = SLICE_BYTES, most_rows: int | None = None):
+    """``(first row, bytes, offsets)`` of consecutive row runs of about ``most_bytes``; a longer text is a run of its own.
+
+    ``most_rows`` bounds a run of very short texts, for those who hold an array per row.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
@@ -71,7 +74,7 @@ def slices(column: pa.Array, most_bytes: int = SLICE_BYTES):
     at = 0
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1
-        end = min(n, max(end, at + 1))
+        end = min(n, max(end, at + 1), at + (most_rows or n))
         yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
     del column, data
