@@ -355,10 +355,13 @@ def classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str
     spark = docs.sparkSession
     own = in_small_batches(docs).select(F.col(key).cast("bigint").alias("_id"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_text"))
     often = cut_lineage(own.select("_text").mapInArrow(_repeated(k, 16, 3), "kind int, value bigint, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n")))
-    top = lambda kind, most: often.filter(F.col("kind") == kind).orderBy(F.desc("n"), "value").limit(most).toPandas()
-    common_words, common = top(0, COMMON_WORDS), top(1, COMMON_SHINGLES)  # sizes fixed by the limits
-    shared = Shared(spark, Order(
-        common_words["value"].to_numpy(np.int64).view(U), common_words["n"].to_numpy(np.int64), common["value"].to_numpy(np.int64).view(U), common["n"].to_numpy(np.int64)))
+
+    def top(kind: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """At most ``most`` values and their counts, 16 bytes each on the driver."""
+        rows = often.filter(F.col("kind") == kind).orderBy(F.desc("n"), "value").limit(most).select("value", "n").toArrow()
+        return rows.column("value").to_numpy().view(U), rows.column("n").to_numpy()
+
+    shared = Shared(spark, Order(*top(0, COMMON_WORDS), *top(1, COMMON_SHINGLES)))
 
     scanned = cut_lineage(own.mapInArrow(
         _sets(shared, k, percent), "_id bigint, _text_hash bigint, n_shingles bigint, _s1 bigint, _s2 bigint, _prefix array<bigint>"))
