@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltgraph.config import api_key
-from quiltgraph.functions.sizes import cut_lineage
+from quiltgraph.functions.sizes import cut_lineage, join_lookup
 from quiltgraph.models.flight import Flight, TryAgain, by_requests, task_slots
 from quiltgraph.sources.lines import path_exists
 
@@ -158,18 +158,24 @@ def replies(prompt: Column, model: Callable[[], TextModel]) -> Column:
 
 @dataclass(frozen=True)
 class ReplyCache:
-    """Accepted replies by the hash of their prompt, in a folder of Parquet files."""
+    """Accepted replies by the hash of their prompt, in folders by the first ``digits`` of the hash (16 ** digits at most)."""
 
     spark: SparkSession
     path: str
+    digits: int = 2
 
-    def known(self) -> DataFrame:
+    def known(self, keys: DataFrame) -> DataFrame:
+        """``prompt_key, reply`` of those ``keys`` (prompt_key) that are stored; only the folders of their hashes are read."""
         if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], "prompt_key string, reply string")
-        return self.spark.read.parquet(self.path).groupBy("prompt_key").agg(F.min("reply").alias("reply"))
+        prefixes = [r[0] for r in keys.select(F.substring("prompt_key", 1, self.digits)).distinct().collect()]  # at most 16 ** digits
+        stored = self.spark.read.schema("prompt_key string, reply string, prefix string").parquet(self.path).filter(F.col("prefix").isin(prefixes))
+        wanted = join_lookup(stored.select("prompt_key", "reply"), keys.select("prompt_key").distinct(), ["prompt_key"], how="left_semi")
+        return wanted.groupBy("prompt_key").agg(F.min("reply").alias("reply"))
 
     def add(self, rows: DataFrame) -> None:
-        rows.select(F.sha2("prompt", 256).alias("prompt_key"), "reply").write.mode("append").parquet(self.path)
+        keyed = rows.select(F.sha2("prompt", 256).alias("prompt_key"), "reply").withColumn("prefix", F.substring("prompt_key", 1, self.digits))
+        keyed.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(self.path)
 
 
 def ask_with_retries(
@@ -184,8 +190,8 @@ def ask_with_retries(
     accepted, pending = None, rows
     passed = F.coalesce(accept, F.lit(False))
     if cache is not None:
-        keyed = rows.withColumn("prompt_key", F.sha2("prompt", 256)).join(cache.known(), "prompt_key", "left").drop("prompt_key")
-        met = cut_lineage(keyed)
+        keyed = cut_lineage(rows.withColumn("prompt_key", F.sha2("prompt", 256)))
+        met = cut_lineage(keyed.join(cache.known(keyed), "prompt_key", "left").drop("prompt_key"))
         hit = F.col("reply").isNotNull() & passed
         accepted, pending = met.filter(hit), met.filter(~hit).drop("reply")
         if pending.isEmpty():

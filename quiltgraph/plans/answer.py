@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +45,12 @@ def turn(questions: DataFrame, know: Knowledge, reasoner, embedder: Embedder, se
 
 def answer(
     questions: DataFrame, know: Knowledge, reasoner=RuleReasoner(), embedder: Embedder | None = None,
-    settings: Settings = DEFAULT,
+    settings: Settings = DEFAULT, sink: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """``question_id, question, answer, turns, main_documents, planned_documents, conversation_history``.
 
+    ``sink`` gets the answers of every turn when it is done, so that they survive a later turn that stops.
+
     At most ``max_turns`` turns run, each over the questions still open. At the
     limit the answer is the last follow-up question. ``main_documents`` are all
     routed documents of all turns.
@@ -73,7 +76,9 @@ def answer(
         )
         merged = cut_lineage(merged)
         last = number == settings.max_turns
-        finished = merged if last else merged.filter("decision = 'ANSWER'")
+        finished = _told(merged if last else merged.filter("decision = 'ANSWER'"))
+        if sink is not None:
+            sink(finished)
         done = finished if done is None else done.unionByName(finished)
         if last:
             break
@@ -82,7 +87,11 @@ def answer(
         )
         if open_rows.isEmpty():
             break
-    return done.select(
+    return done
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "question_id", F.col("original").alias("question"), F.col("content").alias("answer"), "turns", "main_documents",
         F.col("all_planned").alias("planned_documents"), F.col("history").alias("conversation_history"),
     )
@@ -94,17 +103,20 @@ def answer_batches(
 ) -> DataFrame:
     """Answer all questions (question_id, question) that ``log`` does not hold yet, batch by batch; returns the log's rows.
 
-    Every batch is appended when it is done, so a run that stops is taken up where it stopped.
+    The answers of every turn are appended when it is done, so a run that stops loses at most the turn it is in.
     """
     spark = questions.sparkSession
     done = read_answered(spark, log).select(F.col("id").alias("question_id"))
     rows = questions.withColumn("question_id", F.col("question_id").cast("string"))
     left = cut_lineage(not_done(rows, done, "question_id"))
     batches = math.ceil(left.count() / batch_size)
-    for number in range(batches):
-        part = left.filter(F.pmod(F.xxhash64("question_id"), F.lit(batches)) == number)
-        told = answer(part, know, reasoner, embedder, settings)
+
+    def append(told: DataFrame) -> None:
         write_jsonl(told.select(
             F.col("question_id").alias("id"), "question", F.col("answer").alias("LLM_answer"),
             F.transform("main_documents", lambda d: d.cast("string")).alias("LLM_ids")), log, append=True)
+
+    for number in range(batches):
+        part = left.filter(F.pmod(F.xxhash64("question_id"), F.lit(batches)) == number)
+        answer(part, know, reasoner, embedder, settings, sink=append)
     return parsed(read_lines(spark, log), schemas.ANSWER_LOG).filter("id is not null")

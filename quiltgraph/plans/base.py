@@ -83,15 +83,20 @@ def stored(spark: SparkSession, d: str) -> Knowledge:
     )
 
 
-def knowledge(spark: SparkSession, d: str) -> Knowledge:
-    """Knowledge tables with vectors, every table and vector made once."""
+def knowledge(spark: SparkSession, d: str, links: bool = True) -> Knowledge:
+    """Knowledge tables with vectors. Every document has its vector made once, as routing compares all of them.
+
+    Vectors of chunks and entities are columns yet to be made: what reads them first keeps the documents or entities it
+    needs, and only for these are texts sent to the embedder. ``links=False`` leaves edges and links unwritten for routing.
+    """
     know = stored(spark, d)
+    write = cut_lineage if links else (lambda rows: rows)
     return Knowledge(
         documents=cut_lineage(know.documents.withColumn("vector", embed(F.col("summary"), EMBEDDER))),
-        chunks=cut_lineage(know.chunks.withColumn("vector", embed(F.col("content"), EMBEDDER))),
-        entities=cut_lineage(know.entities.withColumn("vector", embed(F.col("summary"), EMBEDDER))),
-        sourced_from=cut_lineage(know.sourced_from),
-        same_as=cut_lineage(know.same_as),
+        chunks=know.chunks.withColumn("vector", embed(F.col("content"), EMBEDDER)),
+        entities=know.entities.withColumn("vector", embed(F.col("summary"), EMBEDDER)),
+        sourced_from=write(know.sourced_from),
+        same_as=write(know.same_as),
     )
 
 

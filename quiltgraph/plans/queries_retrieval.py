@@ -161,7 +161,7 @@ def hybrid_search(spark, d):
 @query("rrf_route", with_(*ROUTE) + "SELECT question_id, doc_id, round(score, 9) AS score, rank FROM routed")
 def rrf_route(spark, d):
     """Best five documents of every question, by names in the graph and by summary vectors."""
-    know = base.knowledge(spark, d)
+    know = base.knowledge(spark, d, links=False)
     asked = base.embedded_questions(spark, d)
     routed = evidence.route(asked, RULES.names(asked), know)
     return routed.select("question_id", "doc_id", F.round("score", 9).alias("score"), "rank")

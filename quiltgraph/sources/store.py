@@ -26,6 +26,7 @@ KEYS = {
     "same_as": ["entity_1_id", "entity_2_id"],
     "link_details": ["entity_1_id", "entity_2_id"],
     "blobs": ["doc_id"],
+    "waiting": ["doc_id"],
 }
 
 

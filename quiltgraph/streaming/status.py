@@ -42,24 +42,40 @@ def _ingested(part: DataFrame, ingest: Callable[[DataFrame], dict[str, DataFrame
     return made, failed
 
 
+def again(waiting: DataFrame | None, log: DataFrame, most_attempts: int) -> DataFrame | None:
+    """Stored rows of documents that failed or were interrupted, fewer than ``most_attempts`` times."""
+    if waiting is None:
+        return None
+    tries = log.filter(F.col("status") == PROCESSING).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_tries"))
+    due = latest(log).filter(F.col("status").isin(FAILED, PROCESSING)).select(F.col("doc_id").alias("_id")).join(tries, "_id").filter(
+        F.col("_tries") < most_attempts)
+    return waiting.join(due, F.col("doc_id").cast("string") == F.col("_id"), "left_semi")
+
+
 def start(
-    stream: DataFrame, ingest: Callable[[DataFrame], dict[str, DataFrame]], store, checkpoint: str, available_now: bool = True
+    stream: DataFrame, ingest: Callable[[DataFrame], dict[str, DataFrame]], store, checkpoint: str, available_now: bool = True,
+    most_attempts: int = 3,
 ):
     """Ingest a stream of documents batch by batch.
 
     Each batch takes the first copy of each document, drops those already processed,
     logs the rest as being processed, ingests them and writes the tables under its
     batch number, so a repeated batch overwrites itself. Documents that fail are
-    logged with their error and do not hold up the others; they are tried again
-    when they arrive again.
+    logged with their error and do not hold up the others. Their rows are kept in
+    the store, and later batches take them up again, without their arriving again,
+    until they were tried ``most_attempts`` times; what arrives again is always tried.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         safe_unions(batch)
-        status = latest(store.read_log("status", "doc_id string, status string, seq long, error string", before=2 * number))
+        log = store.read_log("status", "doc_id string, status string, seq long, error string", before=2 * number)
+        status = latest(log)
         fields = [c for c in batch.columns if c != "doc_id"]
         arrived = first_by(batch.withColumn("_at", F.monotonically_increasing_id()), "doc_id", F.col("_at"), fields)
         todo = cut_lineage(queue(arrived, status).drop("status"))
+        due = again(store.read("waiting", before=number), log, most_attempts)
+        if due is not None:
+            todo = cut_lineage(todo.unionByName(due.select(*todo.columns).join(todo.select("doc_id"), "doc_id", "left_anti")))
 
         def note(rows: DataFrame, state: str, slot: int) -> DataFrame:
             error = F.col("error") if "error" in rows.columns and state == FAILED else F.lit(None).cast("string")
@@ -79,6 +95,7 @@ def start(
             lost = rows if lost is None else lost.unionByName(rows)
         if lost is not None:
             lost = cut_lineage(lost)
+            store.put("waiting", todo.join(lost.select("doc_id"), "doc_id", "left_semi"), number)
             ended = todo.join(lost.select("doc_id"), "doc_id", "left_anti")
         log = note(ended, PROCESSED, 2 * number + 1)
         store.append_log("status", log if lost is None else log.unionByName(note(lost, FAILED, 2 * number + 1)), 2 * number + 1)

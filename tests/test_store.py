@@ -241,6 +241,30 @@ def test_one_bad_document_does_not_hold_up_a_stream(spark, folder):
     assert store.read("chunks").filter("doc_id = 3").first()["content"].startswith("Text number 3")
 
 
+def test_a_failed_document_recovers_without_arriving_again(spark, folder):
+    """It fails twice, then goes through; one that never does is given up after three attempts."""
+    store, tries = Store(spark, f"{folder}/store"), {1: 0, 2: 0}
+
+    def flaky(todo):
+        held = {r[0] for r in todo.select("doc_id").collect()}
+        if len(held) == 1:
+            for i in held & set(tries):
+                tries[i] += 1
+        if 2 in held or 1 in held and tries[1] < 3:
+            raise ValueError("not now")
+        return {"chunks": ingest(todo).chunks}
+
+    for number in range(5):
+        first = [(1, "Text number one with a Name in it"), (2, "Text number two with a Name in it")] if number == 0 else []
+        made = first + [(10 + number, f"Text number {number} with a Name in it and more")]
+        spark.createDataFrame(made, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("doc_id long, text string").parquet(f"{folder}/in")
+        status.start(stream, flaky, store, f"{folder}/check").awaitTermination(240)
+    log = status.latest(store.read_log("status", "doc_id string, status string, seq long, error string"))
+    assert rows(log, "doc_id", "status") == sorted([("1", "PROCESSED"), ("2", "FAILED"), *((str(10 + n), "PROCESSED") for n in range(5))])
+    assert tries == {1: 3, 2: 3} and rows(store.read("chunks"), "doc_id") == [(1,), *((10 + n,) for n in range(5))]
+
+
 def test_settings():
     assert Settings().chunk_step == 480 and Settings().recall_width(5) == 10
     with pytest.raises(KeyError):
