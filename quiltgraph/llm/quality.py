@@ -115,7 +115,8 @@ def fit(
 ) -> Model:
     """Learn from at most ``per_label`` documents of each label. Null ids and labels are skipped.
 
-    Counts travel to the one task that decomposes them as lists of the terms that occur.
+    Of several rows with one id one is used, that with the smallest hash of its counts. Counts travel to the one task that
+    decomposes them as lists of the terms that occur.
     """
 
     parts_of = ["weights", "projection", "vectors", "labels"]
@@ -131,11 +132,14 @@ def fit(
                     names=["id", "y", "terms", "n"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(_dense(batch.column(2), batch.column(3)), batch.column(1).to_numpy().astype(np.float64)) for batch in batches]  # in order of id
-        if not parts:
+        x, labelled, n = np.zeros((2 * per_label, SHAPE + SHAPES), np.float32), np.zeros(2 * per_label), 0
+        for batch in batches:  # in order of id
+            _fill(x[n : n + batch.num_rows], batch.column(2), batch.column(3))
+            labelled[n : n + batch.num_rows] = batch.column(1).to_numpy()
+            n += batch.num_rows
+        if not n:
             return
-        x, labelled = np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])
-        parts.clear()
+        x, labelled = x[:n], labelled[:n]
         weights = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
         model = Model(weights, np.zeros((x.shape[1], 0), np.float32), np.zeros((0, 0), np.float32), labelled, neighbours)
         x = model.weigh(x)
@@ -148,7 +152,8 @@ def fit(
     rows = in_small_batches(docs).select("doc_id", F.col(text).alias("_text")).join(chosen, F.col("doc_id") == F.col("_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = cut_lineage(rows.select("doc_id", "_y", "_text").mapInArrow(count, f"id {kind}, y int, terms array<int>, n array<float>"))
-    row = found.repartition(1).sortWithinPartitions("id", "y", F.xxhash64("terms", "n")).mapInArrow(
+    one = found.groupBy("id", "y").agg(F.min_by(F.struct("terms", "n"), F.xxhash64("terms", "n")).alias("r")).select("id", "y", "r.terms", "r.n")
+    row = one.repartition(1).sortWithinPartitions("id", "y").mapInArrow(
         learn, ", ".join(f"{c} binary" for c in parts_of)).first()
     if row is None:
         return Model(np.zeros(SHAPE + SHAPES, np.float32), np.zeros((SHAPE + SHAPES, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), neighbours)
@@ -157,12 +162,10 @@ def fit(
     return Model(np.frombuffer(row["weights"], np.float32), shaped("projection", SHAPE + SHAPES), shaped("vectors", len(labelled)), labelled, neighbours)
 
 
-def _dense(terms: pa.Array, n: pa.Array) -> np.ndarray:
-    """Counts of some rows from their lists of terms and numbers."""
+def _fill(x: np.ndarray, terms: pa.Array, n: pa.Array) -> None:
+    """Write the counts of some rows, given as lists of terms and numbers, into zeros."""
     held = terms.value_lengths().to_numpy(zero_copy_only=False)
-    x = np.zeros((len(held), SHAPE + SHAPES), np.float32)
     x[np.repeat(np.arange(len(held)), held), terms.flatten().to_numpy()] = n.flatten().to_numpy()
-    return x
 
 
 def _decompose(x: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
