@@ -179,4 +179,5 @@ def page_names(spark, d):
 SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'),
   '&middot;', '·'), '&nbsp;', chr(160)), '&amp;', '&') AS html FROM pages""")
 def unescaped_pages(spark, d):
-    return unescape_html(table(spark, d, "pages").select("page_id", "html"), "html")
+    """Closed references only: titles of pages may be cut inside one (``&amp``), which stays as it is."""
+    return unescape_html(table(spark, d, "pages").select("page_id", "html"), "html", closed=True)

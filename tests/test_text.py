@@ -68,3 +68,10 @@ def test_unescape(spark):
 def test_truncate(spark):
     cut = lambda c: text.truncate_words(c, 2)
     assert values(spark, cut, ["a  b", "a b  c"]) == ["a  b", "a b"]
+
+
+def test_unescape_closed_references(spark):
+    """A reference that lost its semicolon stays; the others are resolved once, in one pass."""
+    df = spark.createDataFrame([("and&amp</title>&amp;lt; &copy;&#233;&#x41; &ampx; &nope; &&&",), (None,)], "html string")
+    got = [r[0] for r in unescape_html(df, "html", closed=True).collect()]
+    assert sorted(got, key=str) == [None, "and&amp</title>&lt; ©éA &ampx; &nope; &&&"]
