@@ -189,3 +189,21 @@ def test_text_without_spaces_is_cut(spark):
     assert [got[f"1_{i}"]["tokens"] for i in (0, 1)] == [512, 753] and "".join(got["1_0"]["content"]) == text[:512]
     assert got["2_0"]["content"] == "plain words 和 more 图" and got["2_0"]["tokens"] == 5
     assert chunk_documents(docs.filter("doc_id = 1")).count() == 1  # one single word
+
+
+def test_places_of_names_with_and_without_words_between(spark):
+    """Names are found and numbered as in the plain list of words, in a chunk of more names than are added up too."""
+    import re
+
+    from quiltgraph.operators.extract import RuleExtractor
+
+    texts = ["Anna met Bert.", "  Anna Bert", "x, Anna", "", "none", "Anna,Bert;Carl d", "éAnna Bertö Annab1 1Anna ANNA Ann", "Anna " * 5000, " Zoey!?"]
+    df = spark.createDataFrame([(i, str(i), 0, t) for i, t in enumerate(texts)], "doc_id int, chunk_id string, chunk_order_index int, content string")
+    found = RuleExtractor().annotate(df)
+    got = {r["doc_id"]: r for r in found.collect()}
+    for i, t in enumerate(texts):
+        words = re.split("[^A-Za-z0-9]+", t)
+        at = [p for p, w in enumerate(words) if re.fullmatch("[A-Z][a-z]{3,}", w)]
+        assert [(x["position"], x["raw_name"], x["description"].strip(), x["is_named_entity"]) for x in got[i]["found"]] == [
+            (p, words[p], " ".join(words[p:p + 3]).strip(), p > 0) for p in at]
+        assert [x["description"] for x in got[i]["told"]] == [" ".join(words[a:b + 1]) for a, b in zip(at, at[1:])]

@@ -116,3 +116,24 @@ def test_many_fragments_are_summarised_in_blocks(spark):
 
     got = {x["name"]: x["description"] for x in merging.summarize_fragments(f, summarize).collect()}
     assert got["cold"] == "a<SEP>b" and got["hot"] and max(seen) < 40 and len(seen) > 1
+
+
+def test_contexts_shuffle_the_text_once(spark):
+    """Mentions and relations are dealt by document once; a name that only relations hold gives no entity."""
+    from pyspark.sql import functions as F
+
+    from quiltgraph.operators.fusion import entity_contexts, summarize_entities
+
+    m = spark.createDataFrame(
+        [(1, "c", 0, 2, "ann", "Ann went", True), (1, "c", 0, 0, "ann", "", False), (1, "c", 1, 0, "bob", "Bob", True)],
+        "doc_id long, chunk_id string, chunk_order_index int, position int, name string, description string, is_named_entity boolean")
+    r = spark.createDataFrame(
+        [(1, "c", 0, 1, "ann", "bob", "x"), (1, "c", 0, 0, "ann", "bob", "y"), (1, "c", 0, 2, "bob", "eve", "z"), (1, "c", 0, 3, "ann", "eve", "")],
+        "doc_id long, chunk_id string, chunk_order_index int, position int, source string, target string, description string")
+    told = entity_contexts(m, r)
+    assert told._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {x["entity_id"]: (x["is_named_entity"], x["n_mentions"], x["first_seen"], x["context"]) for x in told.collect()} == {
+        "1_ann": (False, 2, 0, "Ann went\n\n关系:\nann -> bob: y | x"),
+        "1_bob": (True, 1, 1 << 32, "Bob\n\n关系:\nbob -> eve: z\nann -> bob: y | x")}
+    short = told.select("entity_id", "doc_id", "name", "descriptions", "relation_lines", F.repeat(F.lit("w "), F.lit(300)).alias("context"))
+    assert all(x["summary"] == "w " * 300 for x in summarize_entities(short).collect())
