@@ -295,3 +295,28 @@ def test_a_batch_is_seen_whole_or_not_at_all(spark, folder):
     other.begin(1)
     other.put("documents", docs("z"), 1)
     assert other.read("documents") is None and other.exists("documents")
+
+
+def test_read_takes_keys_and_columns_before_versions_are_merged(spark, folder):
+    """Wanted columns and keys give the same rows as a full read, deletions and newer versions included."""
+    from pyspark.sql import functions as F
+
+    store = Store(spark, folder)
+    kind = "entity_id string, doc_id string, name string, summary string"
+    store.put("entities", spark.createDataFrame([("a", "d1", "x", "old"), ("b", "d2", "y", "s"), ("c", "d3", "z", "t")], kind), 1)
+    store.delete_documents(spark.createDataFrame([("d3",)], "doc_id string"), 2)
+    store.put("entities", spark.createDataFrame([("a", "d1", "x", "new")], kind), 2)
+    slim = store.read("entities", columns=["name"], made={"n": F.length("summary")})
+    assert rows(slim, "entity_id", "doc_id", "name", "n") == [("a", "d1", "x", 3), ("b", "d2", "y", 1)]
+    assert "summary" not in slim.columns
+    some = store.read("entities", columns=["summary"], only=spark.createDataFrame([("a",), ("c",), ("q",)], "entity_id string"))
+    assert rows(some, "entity_id", "summary") == [("a", "new")]
+
+
+def test_multihop_rows_are_written_in_as_many_parts_as_the_session_shuffles(spark):
+    """Sorting the rows is spread with the input: no fixed number of parts."""
+    import inspect
+
+    from quiltgraph.plans.queries_sources import multihop_rows
+
+    assert "repartitionByRange(4" not in inspect.getsource(multihop_rows)
