@@ -62,7 +62,7 @@ def multihop_rows(spark, d):
         F.struct(F.array(F.lit("t")).alias("title")).alias("supporting_facts"),
         F.struct(F.array(F.lit("t")).alias("title"), F.array(F.array(F.lit("s"))).alias("sentences")).alias("context"))
     path = new_path(spark, "multihop")
-    rows.repartitionByRange(4, "id").sortWithinPartitions("id").write.parquet(path)
+    rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(path)
     return lines.read_multihop(spark, path, limit=37).select("id", "question", "answer")
 
 

@@ -313,10 +313,17 @@ def test_read_takes_keys_and_columns_before_versions_are_merged(spark, folder):
     assert rows(some, "entity_id", "summary") == [("a", "new")]
 
 
-def test_multihop_rows_are_written_in_as_many_parts_as_the_session_shuffles(spark):
+def test_multihop_rows_are_written_in_as_many_parts_as_the_session_shuffles(spark, folder, monkeypatch):
     """Sorting the rows is spread with the input: no fixed number of parts."""
-    import inspect
+    from quiltgraph.plans import queries_sources
 
-    from quiltgraph.plans.queries_sources import multihop_rows
-
-    assert "repartitionByRange(4" not in inspect.getsource(multihop_rows)
+    monkeypatch.setattr(queries_sources, "new_path", lambda spark, name: f"{folder}/{name}")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        queries_sources.multihop_rows(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len([f for f in os.listdir(f"{folder}/multihop") if f.startswith("part-")]) == 7
