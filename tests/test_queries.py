@@ -39,3 +39,13 @@ def test_scans_read_only_needed_columns(spark):
 def test_common_names_are_limited_before_the_shuffle(spark):
     plan = QUERIES["candidate_groups"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_chunks_of_the_knowledge_are_made_once(spark):
+    """Texts are cut once for extraction, summaries and evidence; links are written only where several turns read them."""
+    from quiltgraph.plans import base
+
+    know = base.knowledge(spark, DATA, links=False)
+    assert "chunk_order_index" in know.chunks.columns
+    plan = know.chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "Generate" not in plan
