@@ -11,7 +11,7 @@ Search goes in three steps:
 2. *Candidates.* In each class the most frequent terms whose upper bounds add up to less than that score are left out: an
    item that holds only such terms stays below it. A class of short items may be left out as a whole. The postings of the others give the candidates, of which those stay whose partial
    score and the bounds of the terms left out reach the score.
-3. *Scores.* Only the candidates' postings are met again, with all terms.
+3. *Scores.* Only the candidates' postings are met again, with the terms left out; the others are in the partial scores.
 
 Postings, and each word's greatest weight, are written once and serve any number of searches.
 """
@@ -45,10 +45,11 @@ class Postings:
 def build_postings(docs: DataFrame, item: str, text: str = "text") -> Postings:
     """Postings of the lower-case words of texts; an item's weight for a word is how often it holds it.
 
-    Rows of one item are one item whose words are added up, and rows without an item or a text are left out. The rows are
-    counted per item and word before they are shuffled by word, so a word of every text is spread by its items.
+    Rows of one item are one item whose words are added up, and rows without an item or a text are left out. Texts are dealt
+    by item once; counts and lengths are made in place, so a word of every text is spread by its items.
     """
-    held = docs.filter(F.col(item).isNotNull()).select(F.col(item).alias("item"), words(F.lower(F.col(text))).alias("words"))
+    dealt = docs.filter(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.col(text).alias("text")).repartition("item")
+    held = dealt.select("item", words(F.lower("text")).alias("words"))
     counted = held.select("item", F.explode("words").alias("term")).groupBy("item", "term").agg(F.count("*").alias("weight"))
     length = F.floor(F.log2(F.sum("weight").over(Window.partitionBy("item")))).cast("int")
     rows = cut_lineage(counted.withColumn("length", length).select("term", "length", "item", "weight"))
@@ -70,6 +71,16 @@ def _in_full(postings: Postings, chosen: DataFrame, known: DataFrame, settings:
     return own.groupBy("q", "item").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
 
 
+def _completed(postings: Postings, candidates: DataFrame, left_out: DataFrame, settings: Settings) -> DataFrame:
+    """Scores (q, item, score): the partial ones of ``candidates`` (q, length, item, part) and what the terms ``left_out``
+    (q, length, term, qw) of their class add. Of the postings only those of terms that any question left out are met."""
+    frequent = cut_lineage(left_out.select("term", "length").distinct())
+    met = join_lookup(postings.rows, frequent, ["term", "length"], settings, "left_semi").select("term", "item", "weight")
+    own = join_lookup(join_lookup(met, candidates.select("q", "length", "item"), ["item"], settings), left_out, ["q", "length", "term"], settings)
+    added = own.select("q", "item", (F.col("qw") * F.col("weight")).alias("part"))
+    return candidates.select("q", "item", "part").unionByName(added).groupBy("q", "item").agg(F.sum("part").alias("score"))
+
+
 def search_postings(
     question_terms: DataFrame, postings: Postings, question: str, k: int, settings: Settings = DEFAULT, enough: int = ENOUGH
 ) -> tuple[DataFrame, DataFrame]:
@@ -99,8 +110,8 @@ def search_postings(
     rest = told.groupBy("q", "length").agg(F.max("sure").alias("sure"), F.coalesce(F.sum(F.when(~F.col("kept"), F.col("bound"))), F.lit(0)).alias("rest"))
     named = cut_lineage(_named(postings, told.filter("kept"), settings))
     may = F.col("part") + F.col("rest") >= F.coalesce(F.col("sure"), F.lit(0))
-    candidates = cut_lineage(join_lookup(named, rest, ["q", "length"], settings).filter(may).select("q", "item"))
-    scored = _in_full(postings, candidates, known, settings)
+    candidates = cut_lineage(join_lookup(named, rest, ["q", "length"], settings).filter(may).select("q", "length", "item", "part"))
+    scored = _completed(postings, candidates, told.filter("not kept").select("q", "length", "term", "qw"), settings)
     best = top_k(scored.filter("score > 0"), "q", [F.desc("score"), F.asc("item")], k)
     read = known.select("q").distinct().join(leading.groupBy("q").agg(F.count("*").alias("n_bound")), "q", "left").join(
         named.groupBy("q").agg(F.count("*").alias("n_candidates")), "q", "left").join(

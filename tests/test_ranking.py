@@ -173,3 +173,28 @@ def test_word_counts_against_plain_counting(spark, block):
         scores = sorted((-sum(weights.get(w, 0) for w in (t or "").lower().split()), i) for i, t in texts)
         want += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:6], 1) if s]
     assert got == sorted(want)
+
+
+def test_postings_deal_texts_once(spark, monkeypatch):
+    """Words are counted and lengths summed where the item's text was dealt to, by one shuffle."""
+    from quiltgraph.operators import postings
+
+    plans, written = [], postings.cut_lineage
+    monkeypatch.setattr(postings, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    docs = spark.createDataFrame([(1, "a b b"), (1, "b c"), (2, None), (None, "a"), (3, "")], "doc_id int, text string")
+    stored = postings.build_postings(docs, "doc_id")
+    assert plans[0].count("Exchange") == 1
+    assert rows(stored.rows, "term", "length", "item", "weight") == [("a", 2, 1, 1), ("b", 2, 1, 3), ("c", 2, 1, 1)]
+
+
+def test_candidates_are_completed_by_terms_left_out(spark):
+    """The last step adds what the left-out terms of an item's class give, and reads no other postings."""
+    from quiltgraph.config import Settings
+    from quiltgraph.operators import postings
+
+    stored = postings.Postings(spark.createDataFrame(
+        [("rare", 3, 1, 2), ("the", 3, 1, 5), ("of", 3, 1, 4), ("the", 4, 2, 9), ("rare", 4, 2, 1)], "term string, length int, item int, weight long"), None, None)
+    candidates = spark.createDataFrame([("q", 3, 1, 20), ("q", 4, 2, 10), ("r", 4, 2, 7)], "q string, length int, item int, part long")
+    left_out = spark.createDataFrame([("q", 3, "the", 1), ("q", 3, "of", 2), ("r", 4, "the", 3)], "q string, length int, term string, qw long")
+    got = postings._completed(stored, candidates, left_out, Settings())
+    assert rows(got, "q", "item", "score") == [("q", 1, 33), ("q", 2, 10), ("r", 2, 34)]
