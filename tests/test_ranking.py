@@ -198,3 +198,28 @@ def test_candidates_are_completed_by_terms_left_out(spark):
     left_out = spark.createDataFrame([("q", 3, "the", 1), ("q", 3, "of", 2), ("r", 4, "the", 3)], "q string, length int, term string, qw long")
     got = postings._completed(stored, candidates, left_out, Settings())
     assert rows(got, "q", "item", "score") == [("q", 1, 33), ("q", 2, 10), ("r", 2, 34)]
+
+
+def test_word_search_and_embedder_hold_bounded_arrays():
+    """Words that all questions share, and long texts, are worked off in parts; the results are those of one part."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quiltgraph.models.clients import HashingEmbedder
+
+    shared = [{"term": f"w{i}", "weight": float(i % 7 + 1)} for i in range(50)]
+    q_ids, n = pa.array(range(300)), 1024
+    best = nearest.BestByWords(q_ids, pa.array([shared] * 300), 3)
+    items = pa.array([[f"w{(i * j) % 60}" for j in range(50)] for i in range(n)])
+    tracemalloc.start()
+    best.add(pa.array(range(n)), items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    HashingEmbedder().embed([f"a{i % 50} " * 10_000 for i in range(200)])
+    peak_embed = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and peak_embed < 60e6, (peak, peak_embed)
+    weights = {t["term"]: t["weight"] for t in shared}
+    scores = sorted(((-sum(weights.get(w, 0) for w in words), i) for i, words in enumerate(items.to_pylist())))[:3]
+    assert best.ids[:3].tolist() == [i for _, i in scores] and best.distances[:3].tolist() == [s for s, _ in scores]
