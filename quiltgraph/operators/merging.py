@@ -10,14 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltgraph.functions.rows import unnest
 from quiltgraph.functions.sizes import cut_lineage, join_lookup
 from quiltgraph.functions.text import strip
 from quiltgraph.models.clients import TextModel, replies
-from quiltgraph.operators.ranking import top_k
 
 # The delimiters of a record reply and of stored fragments.
 TUPLE, RECORD, COMPLETE = "<|>", "##", "<|COMPLETE|>"
@@ -63,7 +62,7 @@ def merge_nodes(
     by_type = seen.groupBy("name", "entity_type").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     types = by_type.groupBy("name").agg(F.max_by("entity_type", F.struct("n", (-F.col("first")).alias("f"))).alias("entity_type"))
     sources = seen.select("name", "source_id").distinct().groupBy("name").agg(F.count("*").alias("n_sources"))
-    described = summarize_fragments(seen.select("name", "description").distinct(), summarize, few, counted=True)
+    described = summarize_fragments(seen.select("name", "description"), summarize, few, counted=True)
     return types.join(sources, "name").join(described, "name", "left").select("name", "entity_type", "n_fragments", "n_sources", "description")
 
 
@@ -76,14 +75,16 @@ def merge_edges(
         F.least("source", "target").alias("src_id"), F.greatest("source", "target").alias("tgt_id"),
         "description", "weight", "keywords",
     )
-    seen = cut_lineage(pairs.groupBy(*key, "description", "keywords").agg(F.sum("weight").alias("weight")))
-    weights = seen.groupBy(*key).agg(F.sum("weight").alias("weight"))
-    fragments = seen.filter(F.col("description") != "").select(*key, "description").distinct()
-    split = F.explode_outer(F.split("keywords", ",")).alias("k")
-    words = seen.select(*key, split).select(*key, F.trim("k").alias("k")).filter("k <> ''").distinct()
-    union = words.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("keywords"))
-    described = summarize_fragments(fragments, summarize, few, key, counted=True)
-    return weights.join(union, key, "left").join(described, key, "left").select(*key, "weight", "n_fragments", "keywords", "description")
+    seen = cut_lineage(pairs.groupBy(*key, "description", "keywords").agg(F.sum("weight").alias("weight")), "zstd")
+    fragments = seen.filter(F.col("description") != "").select(*key, "description")
+    # Weights travel with the first of a row's keywords, so that both roll up in one aggregation.
+    split = F.posexplode_outer(F.split("keywords", ",")).alias("_at", "k")
+    words = seen.select(*key, "weight", split).select(*key, F.trim("k").alias("k"), F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("weight")).alias("weight"))
+    words = words.groupBy(*key, "k").agg(F.sum("weight").alias("weight"))
+    kept = F.array_sort(F.collect_set(F.when(F.col("k") != "", F.col("k"))))
+    rolled = words.groupBy(*key).agg(F.sum("weight").alias("weight"), F.when(F.size(kept) > 0, F.array_join(kept, ",")).alias("keywords"))
+    described = summarize_fragments(fragments, summarize, few, key, counted=True, beside=rolled)
+    return described.select(*key, "weight", "n_fragments", "keywords", "description")
 
 
 def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -93,31 +94,42 @@ def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def summarize_fragments(
-    fragments: DataFrame, summarize: Callable[[DataFrame], DataFrame], few: int = SUMMARY_AT, key: list[str] | None = None, counted: bool = False
+    fragments: DataFrame, summarize: Callable[[DataFrame], DataFrame], few: int = SUMMARY_AT, key: list[str] | None = None, counted: bool = False,
+    beside: DataFrame | None = None,
 ) -> DataFrame:
-    """One description per ``key`` (by default name) from distinct fragments, however many there are.
+    """One description per ``key`` (by default name) from its distinct fragments, however many there are.
 
-    Keys with fewer than ``few`` fragments, almost all of them, get these joined in one aggregate, which keeps at most
+    Keys with fewer than ``few`` fragments, almost all of them, get these joined in one aggregate, which keeps about
     ``few`` of a key's fragments in each task. The fragments of the others are cut into blocks of about ``few`` by a hash,
     each block is summarised, and the summaries are the fragments of the next round. With ``counted`` there is n_fragments.
+    Rows of ``beside``, one of each key, all stay and get the description and the count of their key, if it has any; they
+    meet the first round's aggregate where that is made, so descriptions are not shuffled again.
     """
     key = key or ["name"]
-    done, pending, counts = None, fragments.select(*key, "description"), None
+    done, pending, counts, others = None, fragments.select(*key, "description"), None, None
+    more = [c for c in beside.columns if c not in key] if beside is not None else []
     while True:
-        first = top_k(pending, key, [F.asc("description")], few, "_place")
-        joined = F.array_join(F.array_sort(F.collect_list("description")), FRAGMENT_SEP).alias("description")
-        near = cut_lineage(first.groupBy(*key).agg(F.count("*").alias("_n"), joined))
-        many = near.filter(F.col("_n") >= few).select(*key)
+        # A fragment that comes twice keeps its rank, and the sets below hold it once.
+        rank = F.dense_rank().over(Window.partitionBy(*key).orderBy(F.asc("description")))
+        first = pending.withColumn("_place", rank).filter(F.col("_place") <= few)
+        joined = F.array_join(F.array_sort(F.collect_set("description")), FRAGMENT_SEP).alias("description")
+        near = first.groupBy(*key).agg(F.max("_place").alias("_n"), joined)
+        near = cut_lineage(beside.join(near, key, "left") if counts is None and beside is not None else near, "zstd")
+        few_left = F.coalesce(F.col("_n"), F.lit(0)) < few
+        many = near.filter(~few_left).select(*key)
         some = not many.isEmpty()
-        pending = cut_lineage(join_lookup(pending, many, key, how="left_semi")) if some else pending
+        pending = cut_lineage(join_lookup(pending, many, key, how="left_semi").distinct()) if some else pending
         sized = cut_lineage(pending.groupBy(*key).agg(F.count("*").alias("_n"))) if some else None
+        told = near.filter(few_left)
         if counts is None:
-            counts = near.filter(F.col("_n") < few).select(*key, F.col("_n").alias("n_fragments"))
-            counts = counts.unionByName(sized.withColumnRenamed("_n", "n_fragments")) if some else counts
-        told = near.filter(F.col("_n") < few).drop("_n")
-        done = told if done is None else done.unionByName(told)
+            done = told.select(*key, *more, "description", *([F.col("_n").cast("bigint").alias("n_fragments")] if counted else []))
+            counts = sized.withColumnRenamed("_n", "n_fragments") if some else near.limit(0)
+            others = near.filter(~few_left).select(*key, *more)
+        else:
+            told = join_lookup(told.select(*key, "description"), counts, key) if counted else told.select(*key, "description")
+            done = done.unionByName(join_lookup(told, others, key) if more else told)
         if not some:
-            return done.join(counts, key) if counted else done
+            return done
         place = F.conv(F.substring(F.md5("description"), 1, 8), 16, 10).cast("bigint")
         blocks = join_lookup(pending, sized, key).select(*key, "description", (place % F.ceil(F.col("_n") / few)).alias("_b")).groupBy(*key, "_b").agg(
             F.array_join(F.array_sort(F.collect_list("description")), FRAGMENT_SEP).alias("text"))

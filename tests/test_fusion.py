@@ -156,3 +156,19 @@ def test_contexts_of_some_names_are_whole(spark):
     assert rows(told, *same) == rows(whole, *same)
     chunks = fusion.source_chunk_ids(fusion.sourced_from(m, fusion.fuse_entities(m).filter(F.col("name").isin(asked))))
     assert rows(told, "entity_id", "source_chunk_ids") == rows(chunks, "entity_id", "source_chunk_ids")
+
+
+def test_edges_meet_their_descriptions_in_place(spark, monkeypatch):
+    """Weights, keywords and descriptions of an edge are joined where they are made; what is left reads one table."""
+    r = spark.createDataFrame([
+        ("a", "b", "x", 1.0, "k1, k2"), ("b", "a", "x", 2.0, "k2,k3"), ("a", "b", "y", 4.0, None), ("a", "c", "", 8.0, ""),
+        ("a", "a", "self", 1.0, "k"), ("c", "d", "z", 0.5, " , k")], "source string, target string, description string, weight double, keywords string")
+    made = merging.merge_edges(r)
+    expected = [("a", "b", 7.0, 2, "k1,k2,k3", "x<SEP>y"), ("a", "c", 8.0, None, None, None), ("c", "d", 0.5, 1, "k", "z")]
+    assert [tuple(x) for x in sorted(made.collect())] == expected
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    many = spark.createDataFrame([("a", "b", f"t{i % 40:02d}", 1.0, f"k{i % 3}") for i in range(120)] + [("a", "c", "x", 1.0, "k")], r.schema)
+    got = {x["tgt_id"]: x for x in merging.merge_edges(many, few=3).collect()}
+    assert (got["b"]["weight"], got["b"]["n_fragments"], got["b"]["keywords"]) == (120.0, 40, "k0,k1,k2") and got["b"]["description"]
+    assert (got["c"]["weight"], got["c"]["n_fragments"], got["c"]["description"]) == (1.0, 1, "x")
