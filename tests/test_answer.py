@@ -128,3 +128,27 @@ def test_placeholder_summaries_are_recalled_on_demand(spark, know):
     names = spark.createDataFrame([], "question_id int, name string")
     assert evidence.route(asked, names, hidden).count() == 0
     assert evidence.route(asked, names, hidden, placeholders=True).count() == 3
+
+
+def test_evidence_embeds_the_chunks_and_entities_it_reads_only(spark, know):
+    from dataclasses import replace
+
+    from quiltgraph.models.clients import HashingEmbedder, embed
+
+    seen = {"content": [], "summary": []}
+
+    def made(column):
+        def run(rows):
+            seen[column] += [r["doc_id"] for r in rows.select("doc_id").collect()]
+            return rows.withColumn("vector", embed(F.col(column), HashingEmbedder()))
+
+        return run
+
+    q = ask(spark, "x").withColumn("vector", embed(F.col("question"), HashingEmbedder()))
+    main = spark.createDataFrame([(0, 1, 1), (0, 3, 2), (0, 77, 3)], "question_id int, doc_id long, position int")
+    selected = spark.createDataFrame([(0, 1, "alpha"), (0, None, "alpha"), (0, 1, None)], "question_id int, doc_id long, name string")
+    lazy = replace(know, embed_chunks=made("content"), embed_entities=made("summary"))
+    want = sorted(map(tuple, evidence.main_evidence(main, selected, q, know).collect()))
+    assert sorted(map(tuple, evidence.main_evidence(main, selected, q, lazy).collect())) == want and len(want) == 3
+    assert set(seen["content"]) == {1}, "only document 1 has a selected name"
+    assert set(seen["summary"]) == {1, 2} and len(seen["summary"]) == 2, "alpha of document 1 and what it is linked to"
