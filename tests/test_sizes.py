@@ -1,7 +1,10 @@
 from pyspark.sql import functions as F
 
 from quiltgraph.config import Settings
+from quiltgraph.functions import sizes
 from quiltgraph.functions.sizes import cut_lineage, join_lookup
+from quiltgraph.llm import neardup
+from quiltgraph.operators import linking, merging
 
 
 def _broadcasts(df):
@@ -16,3 +19,22 @@ def test_a_side_too_large_to_be_broadcast_is_not_broadcast_by_the_size_of_its_fi
         assert _broadcasts(met) == 0
         assert met.count() == met.distinct().count() == rows
     assert _broadcasts(join_lookup(big, small, ["id"], Settings(broadcast_rows=500))) == 1
+
+
+def _repeated_broadcasts(df):
+    """How many broadcasts of the plan hold the repetition of a salted join."""
+    lines, found = df._jdf.queryExecution().executedPlan().toString().splitlines(), 0
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = lines[i + 1 :]
+            end = next((k for k, x in enumerate(below) if depth(x) <= depth(line)), len(below))
+            found += any("Generate explode" in x for x in below[:end])
+    return found
+
+
+def test_near_duplicate_classes_are_not_broadcast_repeated(spark):
+    texts = ["one two three four five six seven eight nine ten", "eleven twelve thirteen fourteen fifteen sixteen", "one two three four five six seven eight nine ten"]
+    got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert _repeated_broadcasts(got) == 0
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(0, 0), (1, 1), (2, 0)]
