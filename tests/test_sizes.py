@@ -38,3 +38,11 @@ def test_near_duplicate_classes_are_not_broadcast_repeated(spark):
     got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert _repeated_broadcasts(got) == 0
     assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(0, 0), (1, 1), (2, 0)]
+
+
+def test_edges_with_many_fragments_are_not_broadcast_repeated(spark, monkeypatch):
+    monkeypatch.setattr(sizes, "proven_small", lambda df, most: False)
+    rows = [("a", "b", f"text {i}", 1.0, "k") for i in range(9)] + [("c", "d", "one", 2.0, None)]
+    got = merging.merge_edges(spark.createDataFrame(rows, "source string, target string, description string, weight double, keywords string"), few=3)
+    assert _repeated_broadcasts(got) == 0
+    assert sorted((r["src_id"], r["weight"], r["n_fragments"]) for r in got.collect()) == [("a", 9.0, 9), ("c", 2.0, 1)]
