@@ -46,3 +46,15 @@ def test_edges_with_many_fragments_are_not_broadcast_repeated(spark, monkeypatch
     got = merging.merge_edges(spark.createDataFrame(rows, "source string, target string, description string, weight double, keywords string"), few=3)
     assert _repeated_broadcasts(got) == 0
     assert sorted((r["src_id"], r["weight"], r["n_fragments"]) for r in got.collect()) == [("a", 9.0, 9), ("c", 2.0, 1)]
+
+
+def test_links_of_changed_names_are_not_broadcast_repeated(spark, monkeypatch):
+    monkeypatch.setattr(sizes, "proven_small", lambda df, most: False)
+    entities = cut_lineage(spark.createDataFrame([("1_a", 1, "a", True), ("2_a", 2, "a", True)], "entity_id string, doc_id long, name string, is_named_entity boolean"))
+    vectors = lambda ids: ids.withColumn("summary", F.lit("s")).withColumn("vector", F.array(F.lit(1.0)))
+    changed = cut_lineage(spark.createDataFrame([("2_a", "a"), ("3_a", "a")], "entity_id string, name string"))
+    details = cut_lineage(spark.createDataFrame([("1_a", "3_a", "a")], "entity_1_id string, entity_2_id string, entity_1_name string"))
+    got = linking.link_changes(entities, vectors, changed, details)
+    assert _repeated_broadcasts(got.withdrawn) == 0
+    assert [tuple(r) for r in got.withdrawn.collect()] == [("1_a", "3_a")]
+    assert [(r["entity_1_id"], r["entity_2_id"]) for r in got.scored.collect()] == [("1_a", "2_a")]
